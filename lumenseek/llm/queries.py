@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenseek.llm.packing import pack_documents
+from lumenseek.llm.quality_rules import judge_documents, with_text_stats
+from lumenseek.llm.scratch import stored
 from lumenseek.llm.substring_dedup import remove_repeated_windows
 
 
@@ -34,6 +36,14 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM w LEFT JOIN done USING (doc_id)
 """
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    stats = with_text_stats(docs)
+    stats = stored(stats.withColumn("row", F.struct("row.doc_id", "row.lang")), "text-stats")
+    judged = judge_documents(docs, _table(spark, sf_dir, "labels"), stats=stats)
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -46,6 +56,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
