@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenseek.llm.packing import pack_documents
+from lumenseek.llm.pii import pseudonymise
 from lumenseek.llm.quality_rules import judge_documents, with_text_stats
 from lumenseek.llm.scratch import stored
 from lumenseek.llm.substring_dedup import remove_repeated_windows
@@ -54,10 +55,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), str(tokenizer_path()), capacity=4096, end_id=1, carry={"ids_crc32": F.crc32("ids")})
 
 
+#: Key of the pseudonyms in queries and the pipeline; a real run passes its own.
+PII_KEY = "lumenseek0"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PII_KEY, found_col="kinds").withColumn("n_found", F.size("kinds").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
