@@ -140,7 +140,7 @@ def _pack_task(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def batch(items: list[tuple[int, bytes, bytes]], done: bool) -> pa.RecordBatch:
         fill, keys, lengths = zip(*items, strict=True) if items else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(fill, pa.int32()), pa.array(keys, pa.binary()), pa.array(lengths, pa.binary()), pa.array([done] * len(items))], ["fill", "keys", "lengths", "done"])
+        return pa.RecordBatch.from_arrays([pa.array(fill, pa.int32()), pa.array(keys, pa.binary()), pa.array(lengths, pa.binary()), pa.array([done] * len(items), pa.bool_())], ["fill", "keys", "lengths", "done"])
 
     def pack(items: list[tuple[int, bytes, bytes]]) -> tuple[list, list]:
         fills = np.fromiter((x[0] for x in items), np.int64, len(items))
