@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenseek.llm.scratch import stored
+
 #: False rejections that one rule may cause among good documents of a stratum, and the error level of all bounds.
 ALPHA = 0.01
 DELTA = 0.05
@@ -104,15 +106,14 @@ def calibrate(stats: DataFrame, *, stratum: str, good: str, alpha: float = ALPHA
     must be left out. Rows of a null stratum form a stratum of their own."""
     shares = _shares()
     steps = [(r, i, c) for r, grid in GRID.items() for i, c in enumerate(grid)]
-    counts = stats.where(F.col(good)).groupBy(F.col(stratum).alias("stratum")).agg(
+    counts = stored(stats.where(F.col(good)).groupBy(F.col(stratum).alias("stratum")).agg(
         F.count(F.lit(1)).alias("n"),
         *(F.sum((shares[r] > F.lit(c)).cast("long")).alias(f"{r}_{i}") for r, i, c in steps),
-    )
+    ), "holdout-counts")
     cells = ", ".join(f"named_struct('rule', '{r}', 'step', {i}, 'cutoff', {c!r}D, 'k', {r}_{i})" for r, i, c in steps)
     tested = counts.select("stratum", "n", F.expr(f"inline(array({cells}))"))
-    strata = counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
-    level = f"{delta!r}D / ({len(GRID)} * strata)"
-    tested = tested.crossJoin(F.broadcast(strata)).withColumn("safe", F.expr(f"{_tail('n', 'k', alpha)} <= {level}"))
+    level = delta / (len(GRID) * max(1, counts.count()))
+    tested = tested.withColumn("safe", F.expr(f"{_tail('n', 'k', alpha)} <= {level!r}D"))
     # the lowest cutoff before the first step that fails
     first_bad = tested.groupBy("stratum", "rule").agg(
         F.coalesce(F.min(F.when(~F.col("safe"), F.col("step"))), F.lit(1 << 30)).alias("bad"),
@@ -125,6 +126,7 @@ def calibrate(stats: DataFrame, *, stratum: str, good: str, alpha: float = ALPHA
 def with_verdict(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     """stats with base_failed and kept (boolean)."""
     cutoffs = cutoffs.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"_{r}") for r in GRID))
+    cutoffs = stored(cutoffs, "cutoffs")
     small = cutoffs.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
     joined = stats.join(F.broadcast(cutoffs) if small else cutoffs, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     fired = F.lit(False)

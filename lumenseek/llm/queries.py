@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenseek.llm.mixing import mix_sources
 from lumenseek.llm.packing import pack_documents
 from lumenseek.llm.pii import pseudonymise
 from lumenseek.llm.quality_rules import judge_documents, with_text_stats
@@ -55,6 +56,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), str(tokenizer_path()), capacity=4096, end_id=1, carry={"ids_crc32": F.crc32("ids")})
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mix_sources(docs, entropy_share=0.95)
+    return mixed.select("row.doc_id", "row.source", "n_tokens", "epoch", "block", "block_order", "place")
+
+
 #: Key of the pseudonyms in queries and the pipeline; a real run passes its own.
 PII_KEY = "lumenseek0"
 
@@ -67,6 +74,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_source_mixing": op4_source_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
 }
