@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenseek.llm.mixing import mix_sources
 from lumenseek.llm.packing import pack_documents
+from lumenseek.llm import quality_classifier
 from lumenseek.llm.pii import pseudonymise
 from lumenseek.llm.quality_rules import judge_documents, with_text_stats
 from lumenseek.llm.scratch import stored
@@ -62,6 +63,17 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "n_tokens", "epoch", "block", "block_order", "place")
 
 
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"), learn=~_held_out())
+    scored = quality_classifier.score(docs, weights)
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: Key of the pseudonyms in queries and the pipeline; a real run passes its own.
 PII_KEY = "lumenseek0"
 
@@ -75,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mixing": op4_source_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
 }
