@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenseek.llm.embedding_dedup import embedding_classes
 from lumenseek.llm.mixing import mix_sources
 from lumenseek.llm.packing import pack_documents
 from lumenseek.llm import quality_classifier
@@ -74,6 +75,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_classes(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 #: Key of the pseudonyms in queries and the pipeline; a real run passes its own.
 PII_KEY = "lumenseek0"
 
@@ -83,15 +88,32 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, PII_KEY, found_col="kinds").withColumn("n_found", F.size("kinds").cast("long"))
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a AS node, a AS least FROM links UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.node AND r.least < l.b),
+least AS (SELECT node, min(least) AS least FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(least, vec_id) AS component_id, vec_id = coalesce(least, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON node = vec_id LEFT JOIN counted ON counted.a = vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op7_embedding_dedup": OP7_SQL,
 }
