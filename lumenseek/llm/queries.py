@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenseek.llm.embedding_dedup import embedding_classes
+from lumenseek.llm.html_text import extract_text
 from lumenseek.llm.mixing import mix_sources
 from lumenseek.llm.packing import pack_documents
 from lumenseek.llm import quality_classifier
@@ -79,6 +80,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_classes(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: Key of the pseudonyms in queries and the pipeline; a real run passes its own.
 PII_KEY = "lumenseek0"
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
