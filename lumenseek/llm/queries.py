@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenseek.llm.embedding_dedup import embedding_classes
 from lumenseek.llm.html_text import extract_text
+from lumenseek.llm.jaccard_join import jaccard_classes
 from lumenseek.llm.mixing import mix_sources
 from lumenseek.llm.packing import pack_documents
 from lumenseek.llm import quality_classifier
@@ -84,6 +85,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 #: Key of the pseudonyms in queries and the pipeline; a real run passes its own.
 PII_KEY = "lumenseek0"
 
@@ -93,6 +98,21 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, PII_KEY, found_col="kinds").withColumn("n_found", F.size("kinds").cast("long"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
+        lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS g
+      FROM w, unnest(range(1, greatest(len(ws) - 2, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS least FROM sym UNION SELECT l.b, r.least FROM reach r JOIN sym l ON l.a = r.node AND r.least < l.b),
+least AS (SELECT node, min(least) AS least FROM reach GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(least, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON node = w.doc_id
+"""
+
 OP7_SQL = """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -113,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
@@ -121,5 +142,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
 }
