@@ -7,7 +7,12 @@ the others are emitted as they are, so the last task's input stays bounded. Only
 
 from __future__ import annotations
 
+import json
 import math
+import os
+import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,54 +30,198 @@ RESIDUAL = 20_000
 #: A bin with less room than this part of the capacity is full enough.
 NEARLY = 1 / 256
 #: Bytes of text tokenised at once, and words whose ids a task remembers.
-TEXT_CHUNK = 4 << 20
-REMEMBERED = 1_000_000
+TEXT_CHUNK = 2 << 20
+REMEMBERED = 400_000
 
 LEVEL = "fill int, keys binary, lengths binary, done boolean"
 
 
-def word_ids(tokenizer_path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """From texts to their ids, one after another, and bounds. For tokenizers that never join across white space:
-    each distinct word between ASCII white space is encoded once and then looked up."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, int] = {}
-    flat = np.empty(1 << 16, np.uint32)
-    ends = np.zeros(1 << 12, np.int64)  # of the n-th known word; the n-th starts where the one before ends
-
-    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal flat, ends
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1 and so on for size[0] places, then from start[1], and so on."""
+    upto = np.cumsum(size)
+    place = np.arange(upto[-1] if len(upto) else 0, dtype=np.int64)
+    place += np.repeat(start - upto + size, size)
+    return place
+
+
+class Merges:
+    """Byte-pair merges of many short strings at once: in each round every string makes its best merge."""
+
+    NONE = np.int32((1 << 31) - 1)
+
+    def __init__(self, tokenizer) -> None:
+        model = json.loads(tokenizer.to_str())["model"]
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        byte_char = self._byte_characters()
+        self.first = np.array([vocab.get(c, -1) for c in byte_char], np.int32)
+        self.last = np.array([vocab.get(c + end, -1) for c in byte_char], np.int32)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocab[x] << 24 | vocab[y] for x, y in pairs], np.uint64)
+        self.made = np.array([vocab[x + y] for x, y in pairs], np.int32)
+        self.bits = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.mask = (1 << (64 - int(self.bits))) - 1
+        self.keys = np.full(self.mask + 1, np.iinfo(np.uint64).max, np.uint64)
+        self.ranks = np.full(self.mask + 1, self.NONE, np.int32)
+        for rank, (key, at) in enumerate(zip(keys, self._slot(keys), strict=True)):
+            while self.ranks[at] != self.NONE:
+                at = (at + 1) & self.mask
+            self.keys[at], self.ranks[at] = key, rank
+
+    @staticmethod
+    def _byte_characters() -> list[str]:
+        """Byte-level alphabets show printable Latin-1 bytes as themselves and the others from U+0100 on."""
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = iter(range(256))
+        return [chr(b) if b in shown else chr(256 + next(other)) for b in range(256)]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+
+    def rank(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        out, found = self.ranks[at], self.keys[at]
+        todo = np.flatnonzero((found != keys) & (out != self.NONE))
+        out[found != keys] = self.NONE
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            here, held = self.keys[at[todo]], self.ranks[at[todo]]
+            out[todo] = np.where(here == keys[todo], held, self.NONE)
+            todo = todo[(here != keys[todo]) & (held != self.NONE)]
+        return out
+
+    def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of not empty strings, one after another, and how many of each."""
+        raw = [x.encode() for x in strings]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        sym = self.first[data]
+        sym[np.cumsum(size) - 1] = self.last[data[np.cumsum(size) - 1]]
+        word = np.arange(len(raw))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            begin = np.cumsum(size) - size
+            rank = np.full(len(sym), self.NONE, np.int32)
+            inner = np.ones(len(sym), bool)
+            inner[begin + size - 1] = False
+            left = np.flatnonzero(inner)
+            rank[left] = self.rank((sym[left].astype(np.uint64) << np.uint64(24)) | sym[left + 1].astype(np.uint64))
+            best = np.minimum.reduceat(rank, begin)
+            over = best == self.NONE
+            if over.any():
+                done.append((word[over], size[over], sym[ragged(begin[over], size[over])]))
+                keep = ~over
+                stay = np.repeat(keep, size)
+                sym, rank, word, size, best = sym[stay], rank[stay], word[keep], size[keep], best[keep]
+                begin = np.cumsum(size) - size
+                if not len(word):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            of = np.searchsorted(begin, at, "right") - 1
+            first = np.ones(len(at), bool)
+            first[1:] = of[1:] != of[:-1]
+            at = at[first]
+            sym[at] = self.made[best]
+            stay = np.ones(len(sym), bool)
+            stay[at + 1] = False
+            sym, size = sym[stay], size - 1
+        sizes = np.zeros(len(raw), np.int64)
+        for w, n, _ in done:
+            sizes[w] = n
+        start = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.uint32)
+        for w, n, ids in done:
+            out[ragged(start[w], n)] = ids
+        return out, sizes
+
+
+class WordIds:
+    """Ids of words, for a tokenizer that never joins across white space, kept for later words of the same worker.
+
+    A word of Latin letters and then punctuation without apostrophes is taken apart there, where such tokenizers also
+    divide it and treat letters as in lower case, and its parts are merged by Merges, many at once. All other words, and
+    all words of tokenizers for which trials disagree with that, are encoded by the tokenizer itself."""
+
+    _parts = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,48})([!-&(-/:-@\[-`{-~]{0,48})")
+
+    def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        try:
+            self.merges = Merges(self.tokenizer)
+            self.apart = self._divides()
+        except (KeyError, ValueError):  # not a byte-pair model
+            self.apart = False
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.empty(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 12, np.int64)  # of the n-th known word; it starts where the one before ends
+
+    def _divides(self) -> bool:
+        trial = [a + b for a in ("The", "ÉÀü", "xXy", "straße", "unquestionably", "aaaaaaa", "qzxv") for b in ("", ".", "***", "&&&!", "(;", '"', "!!!!!!")]
+        ids, sizes = self._divided(list(map(self._parts.fullmatch, trial)))
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in trial]
+
+    def _divided(self, matches: list[re.Match]) -> tuple[np.ndarray, np.ndarray]:
+        number: dict[str, int] = {}
+        parts = [(m[1].lower(), m[2]) for m in matches]
+        of = np.array([number.setdefault(p, len(number)) for ab in parts for p in ab], np.int64)
+        strings = list(number)
+        empty = number.get("")
+        ids, sizes = self.merges.encode([x or "a" for x in strings])
+        start = np.cumsum(sizes) - sizes
+        if empty is not None:
+            sizes[empty] = 0
+        return ids[ragged(start[of], sizes[of])], sizes[of].reshape(-1, 2).sum(axis=1)
+
+    def _learn(self, fresh: list[str]) -> None:
+        matches = list(map(self._parts.fullmatch, fresh)) if self.apart else [None] * len(fresh)
+        plain = [w for w, m in zip(fresh, matches, strict=True) if m]
+        other = [w for w, m in zip(fresh, matches, strict=True) if not m]
+        ids, sizes = self._divided([m for m in matches if m]) if plain else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        found = [np.array(e.ids, np.uint32) for k in range(0, len(other), 4096) for e in self.tokenizer.encode_batch_fast(other[k : k + 4096], add_special_tokens=False)]
+        ids = np.concatenate([ids, *found])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, found), np.int64, len(found))])
+        n = len(self.known)
+        stop = int(self.ends[n - 1]) if n else 0
+        if n + len(sizes) > len(self.ends):
+            self.ends = np.resize(self.ends, 2 * (n + len(sizes)))
+        self.ends[n : n + len(sizes)] = stop + np.cumsum(sizes)
+        if stop + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (stop + len(ids)))
+        self.flat[stop : stop + len(ids)] = ids
+        self.known.update(zip([*plain, *other], range(n, n + len(sizes)), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """From texts to their ids, one after another, and bounds."""
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         counts = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
         strings = coded.dictionary.to_pylist()
-        fresh = [w for w in strings if w not in known]
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = strings
-        if fresh:
-            lists = [e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            n, sizes = len(known), np.fromiter(map(len, lists), np.int64, len(lists))
-            if n + len(fresh) + 1 > len(ends):
-                ends = np.resize(ends, 2 * (n + len(fresh) + 1))
-            stop = ends[n - 1] if n else 0
-            ends[n : n + len(fresh)] = stop + np.cumsum(sizes)
-            total = int(ends[n + len(fresh) - 1])
-            if total > len(flat):
-                flat = np.resize(flat, 2 * total)
-            flat[stop:total] = np.fromiter((i for x in lists for i in x), np.uint32, total - stop)
-            known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        at = np.fromiter((known[w] for w in strings), np.int64, len(strings))
-        stop = ends[at] if len(at) else np.empty(0, np.int64)
-        start = np.where(at > 0, ends[at - 1], 0) if len(at) else stop
+        if len(self.known) > REMEMBERED:
+            self.clear()
+        known = self.known
+        if fresh := [w for w in strings if w not in known]:
+            self._learn(fresh)
+        at = np.array([known[w] for w in strings], np.int64)
+        stop = self.ends[at]
+        start = np.where(at > 0, self.ends[at - 1], 0)
         code = coded.indices.to_numpy()
         size = (stop - start)[code]
-        upto = np.cumsum(size)
-        ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start[code] - upto + size, size)]
-        return ids, np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(counts)])]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[ragged(start[code], size)], upto[np.concatenate([[0], np.cumsum(counts)])]
 
-    return encode
+
+def word_ids(tokenizer_path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """WordIds.encode of this process, which keeps what earlier tasks have learnt."""
+    kept = sys.modules.setdefault("lumenseek_word_ids", types.ModuleType("lumenseek_word_ids"))
+    by_path = kept.__dict__.setdefault("by_path", {})
+    if tokenizer_path not in by_path:
+        by_path[tokenizer_path] = WordIds(tokenizer_path)
+    return by_path[tokenizer_path].encode
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int | None = 1) -> DataFrame:
