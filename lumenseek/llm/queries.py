@@ -17,6 +17,7 @@ from lumenseek.llm.pii import pseudonymise
 from lumenseek.llm.quality_rules import judge_documents, with_text_stats
 from lumenseek.llm.scratch import stored
 from lumenseek.llm.substring_dedup import remove_repeated_windows
+from lumenseek.llm.suffix_dedup import remove_repeated_strings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,11 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM w LEFT JOIN done USING (doc_id)
 """
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_strings(_table(spark, sf_dir, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     stats = with_text_stats(docs)
@@ -130,6 +136,7 @@ FROM embeddings LEFT JOIN least ON node = vec_id LEFT JOIN counted ON counted.a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_classifier": op5_quality_classifier,
