@@ -144,7 +144,8 @@ def judge_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     id is never labelled. Other columns, whatever their names, stay inside `row`. Empty tables give empty tables.
     stats: with_text_stats(docs) if it has been stored already.
     """
-    known = with_text_stats(docs, text_col) if stats is None else stats
+    # written, so that filters on the counts are not pushed into the long expressions that make them
+    known = stored(with_text_stats(docs, text_col), "text-stats") if stats is None else stats
     good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg((F.min(label_col) == 1).alias("_good")).where("_good")
     narrow = known.select(F.col(f"row.{id_col}").alias("_id"), F.col(f"row.{stratum_col}").cast("string").alias("_of"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_bangs")
     labelled = narrow.where(~base_failed()).join(good, F.col("_id") == F.col("_label_id")).withColumn("_good", F.lit(True))
