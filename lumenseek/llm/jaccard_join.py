@@ -29,13 +29,13 @@ from pyspark.sql import Window as W
 
 from lumenseek.llm.blocks import ANSWER, QUESTION, Block, bucket_count, first_of_runs, packed, question_batch, questions
 from lumenseek.llm.components import components
-from lumenseek.llm.hashing import BASES, Runs, Words, mix
+from lumenseek.llm.hashing import BASES, Runs, Words, mix, ragged
 from lumenseek.llm.scratch import stored
 
 #: Sizes of a class lie within this ratio.
 CLASS_RATIO = 1.5
 #: Sets that a region may hold before it is cut, pivots it is cut at, and times it is cut at most.
-REGION, PIVOTS, CUTS = 5_000, 16, 4
+REGION, PIVOTS, CUTS = 2_000, 16, 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -127,8 +127,20 @@ class Region:
     def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int):
         self.ids, self.percent, self.radius = ids, percent, 1 - percent / 100 + 1e-9
         self.size = np.array([len(s) for s in sets], np.int64)
-        self.bounds = np.concatenate([[0], np.cumsum(self.size)])
-        universe, self.element = np.unique(np.concatenate(sets), return_inverse=True)
+        # elements of one set alone are in no intersection; they only count in its size
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        new = first_of_runs(flat[order])
+        number = np.empty(len(flat), np.int32)
+        number[order] = np.cumsum(new, dtype=np.int32) - 1
+        shared = np.bincount(number) > 1
+        universe = np.flatnonzero(shared)
+        keep = shared[number]
+        held = np.add.reduceat(keep, np.cumsum(self.size) - self.size).astype(np.int64)
+        self.element = (np.cumsum(shared, dtype=np.int32) - 1)[number[keep]]
+        del flat, order, new, number
+        self.held = held
+        self.bounds = np.concatenate([[0], np.cumsum(held)])
         self.mark = np.zeros(len(universe), bool)
         self.parent = np.arange(len(ids))
 
@@ -137,20 +149,18 @@ class Region:
             self.parent[x] = x = self.parent[self.parent[x]]
         return int(x)
 
-    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+    def common(self, x: int, others: np.ndarray | None = None) -> np.ndarray:
+        """Sizes of the intersections of set x with others, by default all."""
         own = self.element[self.bounds[x] : self.bounds[x + 1]]
         self.mark[own] = True
-        if len(others) == len(self.ids):
-            out = np.add.reduceat(self.mark[self.element], self.bounds[:-1]).astype(np.int64)
-        else:
-            at = np.concatenate([np.arange(self.bounds[y], self.bounds[y + 1]) for y in others])
-            out = np.add.reduceat(self.mark[self.element[at]], np.concatenate([[0], np.cumsum(self.size[others])[:-1]])).astype(np.int64)
+        at = self.element if others is None else self.element[ragged(self.bounds[others], self.held[others])]
+        hits = np.concatenate([[0], np.cumsum(self.mark[at], dtype=np.int32)])
         self.mark[own] = False
-        return out
+        ends = np.cumsum(self.held if others is None else self.held[others])
+        return np.diff(hits[np.concatenate([[0], ends])]).astype(np.int64)
 
     def join(self) -> list[tuple[int, int]]:
         n = len(self.ids)
-        every = np.arange(n)
         edges: list[tuple[int, int]] = []
 
         def link(x: int, y: int) -> None:
@@ -161,24 +171,25 @@ class Region:
 
         cell = np.full(n, -1)
         pivots: list[int] = []
-        distance: list[np.ndarray] = []
+        distance: dict[int, np.ndarray] = {}  # of cells with members besides the pivot, which has met all sets
         for p in range(n):
             if cell[p] >= 0:
                 continue
-            both = self.common(p, every)
-            distance.append((1 - both / (self.size[p] + self.size - both)).astype(np.float32))
+            both = self.common(p)
             near = linked(both, self.size[p], self.size, self.percent)
             for y in np.flatnonzero(near):
                 link(p, int(y))
-            cell[near & (cell < 0)] = len(pivots)
+            fresh = near & (cell < 0)
+            cell[fresh] = len(pivots)
+            if fresh.sum() > 1:
+                distance[len(pivots)] = (1 - both / (self.size[p] + self.size - both)).astype(np.float32)
             pivots.append(p)
         reach = self.radius + 1e-6
         # members of two cells whose pivots are near enough, and that nothing has connected
-        for a, p in enumerate(pivots):
+        for a in distance:
+            p = pivots[a]
             members = np.flatnonzero(cell == a)
             members = members[members != p]
-            if not len(members):
-                continue
             # what lies outside the cell within reach of its farthest member; pivots are compared with all already
             inside = distance[a][members]
             near = np.flatnonzero((distance[a] <= inside.max() + reach) & (cell > a))

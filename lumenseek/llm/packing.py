@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenseek.llm.hashing import ragged
 from lumenseek.llm.scratch import stored
 
 FAN_IN = 8
@@ -36,14 +37,6 @@ REMEMBERED = 400_000
 LEVEL = "fill int, keys binary, lengths binary, done boolean"
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1 and so on for size[0] places, then from start[1], and so on."""
-    upto = np.cumsum(size)
-    place = np.arange(upto[-1] if len(upto) else 0, dtype=np.int64)
-    place += np.repeat(start - upto + size, size)
-    return place
-
-
 class Merges:
     """Byte-pair merges of many short strings at once: in each round every string makes its best merge."""
 
