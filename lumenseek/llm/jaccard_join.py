@@ -35,7 +35,9 @@ from lumenseek.llm.scratch import stored
 #: Sizes of a class lie within this ratio.
 CLASS_RATIO = 1.5
 #: Sets that a region may hold before it is cut, pivots it is cut at, and times it is cut at most.
-REGION, PIVOTS, CUTS = 2_000, 16, 4
+REGION, PIVOTS, CUTS = 3_000, 16, 4
+#: Sets of a large region that are compared with its pivots at once.
+CHUNK = 500
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -124,11 +126,10 @@ def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
 class Region:
     """Sets with identifiers; join() gives edges that connect what links connect."""
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int):
+    def __init__(self, ids: np.ndarray, flat: np.ndarray, size: np.ndarray, percent: int):
         self.ids, self.percent, self.radius = ids, percent, 1 - percent / 100 + 1e-9
-        self.size = np.array([len(s) for s in sets], np.int64)
+        self.size = size
         # elements of one set alone are in no intersection; they only count in its size
-        flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         new = first_of_runs(flat[order])
         number = np.empty(len(flat), np.int32)
@@ -166,7 +167,7 @@ class Region:
         def link(x: int, y: int) -> None:
             a, b = self.find(x), self.find(y)
             if a != b:
-                self.parent[max(a, b)] = min(a, b)
+                self.parent[max(a, b)] = min(a, b)  # of places, not of ids
                 edges.append((int(self.ids[x]), int(self.ids[y])))
 
         cell = np.full(n, -1)
@@ -209,43 +210,54 @@ class Region:
         return edges
 
 
-def _as_sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a column of sets one after another, without a copy, and the sets' sizes."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint64)[bounds[0] // 8 : bounds[-1] // 8], np.diff(bounds).astype(np.int64) // 8
 
 
 def _cut(sets: DataFrame, percent: int) -> DataFrame:
-    """(region, id, items): regions of more than REGION sets cut at PIVOTS of their own sets."""
+    """(region, id, items): regions of more than REGION sets cut at PIVOTS of their own sets.
+
+    A region is dealt out in chunks of about CHUNK sets; each chunk gets a copy of the region's pivots."""
     radius = 1 - percent / 100 + 1e-9
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            regions, rows = [], []
-            for k, (region, raw, pivots) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
-                gaps = []
-                for p in pivots.values:
-                    other = np.frombuffer(p.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    gaps.append(1 - both / (len(own) + len(other) - both))
-                for j in np.flatnonzero(np.array(gaps) <= min(gaps) + 2 * radius):
-                    regions.append(f"{region}.{j}")
-                    rows.append(k)
-            part = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.string()), part.column(1), part.column(2)], ["region", "id", "items"])
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        pivots = right.sort_by("number").column("items").to_pylist() if right.num_rows else []
+        if not left.num_rows or not pivots:
+            return left.select(["region", "id", "items"]).slice(0, 0)
+        flat, size = _flat(left.column("items"))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        gaps = np.empty((len(pivots), len(size)))
+        for j, raw in enumerate(pivots):
+            other = np.frombuffer(raw, np.uint64)  # in order
+            at = np.minimum(np.searchsorted(other, flat), len(other) - 1)
+            hits = np.concatenate([[0], np.cumsum(other[at] == flat)])
+            both = hits[ends[1:]] - hits[ends[:-1]]
+            gaps[j] = 1 - both / (size + len(other) - both)
+        to, row = np.nonzero(gaps <= gaps.min(axis=0) + 2 * radius)
+        part = left.take(pa.array(row))
+        regions = [f"{region}.{j}" for region, j in zip(part.column("region").to_pylist(), to.tolist(), strict=True)]
+        return pa.table({"region": pa.array(regions, pa.string()), "id": part.column("id"), "items": part.column("items")})
 
     for _ in range(CUTS):
         counts = sets.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-        large = stored(counts.where(F.col("n") > REGION), "large-regions")
-        before = large.agg(F.sum("n")).first()[0]
-        if not before:
+        large = stored(counts.where(F.col("n") > REGION).withColumn("chunks", F.ceil(F.col("n") / CHUNK)), "large-regions")
+        most = large.agg(F.max("n")).first()[0]
+        if not most:
             break
-        inside = sets.join(large.select("region"), "region")
-        ranked = inside.withColumn("_r", F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("id"), "id"))).where(F.col("_r") <= PIVOTS)
-        pivots = ranked.groupBy("region").agg(F.sort_array(F.collect_list("items")).alias("pivots"))
-        cut = stored(inside.join(pivots, "region").select("region", "id", "items", "pivots").mapInArrow(spread, "region string, id long, items binary"), "cut-regions")
-        most = cut.groupBy("region").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if most > 0.9 * large.agg(F.max("n")).first()[0]:
-            break  # all within twice the radius of each other: cells inside the region do better
+        inside = sets.join(large, "region").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+        named = sets.select("region", "id").join(large, "region").withColumn("h", F.xxhash64("id", F.lit(1)))
+        first = F.row_number().over(W.partitionBy("region").orderBy("h", "id"))
+        named = named.withColumn("number", first).where(F.col("number") <= PIVOTS).select("region", "id", "number", "chunks")
+        pivots = sets.join(named, ["region", "id"]).select("region", "number", "items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+        pair = inside.select("region", "chunk", "id", "items").groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk"))
+        cut = stored(pair.applyInArrow(spread, "region string, id long, items binary"), "cut-regions")
+        left = cut.groupBy("region").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if left > 0.8 * most:
+            break  # nearly all lie within twice the radius of each other: cells inside the region do better
         sets = sets.join(large.select("region"), "region", "left_anti").unionByName(cut)
     return sets
 
@@ -371,8 +383,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = _cut(stored(sets, "region-sets"), percent)
 
     def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        found = Region(table.column("id").to_numpy(), _as_sets(table.column("items")), percent).join()
+        found = Region(table.column("id").to_numpy(), *_flat(table.column("items")), percent).join()
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     links = components(sets.groupBy("region").applyInArrow(join, "a long, b long"))
