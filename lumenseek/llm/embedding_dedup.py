@@ -7,7 +7,7 @@ wider than the radius, a vector goes to its own cell and, if within the radius o
 over it; a pair meets in exactly one cell of each block. What passes a block's budget is verified exactly on the original
 vectors in double precision, and counted only in the first block whose budget it passes.
 
-Equal vectors are joined once, with their number. Cells emit, per vector, its count and its smallest link, never pairs.
+Equal vectors are joined once, with their number. Cells emit, per vector, its count and its tree in the cell, never pairs.
 """
 
 from __future__ import annotations
@@ -90,8 +90,22 @@ def _to_cells(cosine: float):
     return run
 
 
+def _unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the trees of x[0] and y[0], x[1] and y[1] and so on; root has each place's root, its tree's first place."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+
+
 def _join_cell(cosine: float):
-    """One cell: for each vector the number of vectors it links with here, copies counted, and its smallest link."""
+    """One cell: for each linked vector the number of vectors it links with here, copies counted, and the one that stands
+    for all that links connect with it here."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -106,7 +120,7 @@ def _join_cell(cosine: float):
         blocks, budgets = _blocks(dims), _budgets(dims, cosine)
         own = turned[:, blocks[k]]
         squares = (own * own).sum(axis=1)
-        links, least = np.zeros(len(rep), np.int64), rep.copy()
+        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
         for a in range(0, n_home, TILE):
             b = min(a + TILE, n_home)
             distance = squares[a:b, None] + squares[None, a:] - 2 * own[a:b] @ own[a:].T
@@ -125,10 +139,9 @@ def _join_cell(cosine: float):
                 x, y = x[here], y[here]
                 np.add.at(links, x, copies[y])
                 np.add.at(links, y, copies[x])
-                np.minimum.at(least, x, rep[y])
-                np.minimum.at(least, y, rep[x])
+                _unite(root, x, y)
         found = np.flatnonzero(links)
-        return pa.table({"rep": pa.array(rep[found]), "links": pa.array(links[found]), "least": pa.array(least[found])})
+        return pa.table({"rep": pa.array(rep[found]), "links": pa.array(links[found]), "joined": pa.array(rep[root[found]])})
 
     return run
 
@@ -149,9 +162,9 @@ def embedding_classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     usable = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite)
     classes = stored(usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     sent = classes.select("rep", "label", "vector", "copies").mapInArrow(_to_cells(cosine), "label string, dims int, block int, cell string, home boolean, rep long, copies long, vector array<double>")
-    found = sent.groupBy("label", "dims", "block", "cell").applyInArrow(_join_cell(cosine), "rep long, links long, least long")
-    found = stored(found.groupBy("rep").agg(F.sum("links").alias("links"), F.collect_set("least").alias("least")), "vector-links")
-    linked = components(found.select(F.col("rep").alias("a"), F.explode("least").alias("b")))
+    found = sent.groupBy("label", "dims", "block", "cell").applyInArrow(_join_cell(cosine), "rep long, links long, joined long")
+    found = stored(found.groupBy("rep").agg(F.sum("links").alias("links"), F.collect_set("joined").alias("joined")), "vector-links")
+    linked = components(found.select(F.col("rep").alias("a"), F.explode("joined").alias("b")))
     per_class = classes.select("rep", "copies").join(found.select("rep", "links"), "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     members = usable.select("id", "label", "vector").join(classes.select("label", "vector", "rep"), ["label", "vector"]).select("id", "rep").distinct()

@@ -225,7 +225,7 @@ def _cut(sets: DataFrame, percent: int) -> DataFrame:
     radius = 1 - percent / 100 + 1e-9
 
     def spread(left: pa.Table, right: pa.Table) -> pa.Table:
-        pivots = right.sort_by("number").column("items").to_pylist() if right.num_rows else []
+        pivots = right.sort_by("number").column("pivot").to_pylist() if right.num_rows else []
         if not left.num_rows or not pivots:
             return left.select(["region", "id", "items"]).slice(0, 0)
         flat, size = _flat(left.column("items"))
@@ -252,8 +252,8 @@ def _cut(sets: DataFrame, percent: int) -> DataFrame:
         named = sets.select("region", "id").join(large, "region").withColumn("h", F.xxhash64("id", F.lit(1)))
         first = F.row_number().over(W.partitionBy("region").orderBy("h", "id"))
         named = named.withColumn("number", first).where(F.col("number") <= PIVOTS).select("region", "id", "number", "chunks")
-        pivots = sets.join(named, ["region", "id"]).select("region", "number", "items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-        pair = inside.select("region", "chunk", "id", "items").groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk"))
+        pivots = sets.join(named, ["region", "id"]).select(F.col("region").alias("of"), "number", F.col("items").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
+        pair = inside.select("region", "chunk", "id", "items").groupBy("region", "chunk").cogroup(pivots.groupBy("of", "part"))
         cut = stored(pair.applyInArrow(spread, "region string, id long, items binary"), "cut-regions")
         left = cut.groupBy("region").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if left > 0.8 * most:
