@@ -10,9 +10,9 @@ are at distance exactly 1 from every pivot and would be copied to all regions. S
    a set near the upper border of its size class is also in the next one. Sets that share a pivot, directly or over
    others, are a region; links never leave it.
 2. Regions of more than REGION sets are cut at documents of their own: every set goes to its nearest pivot and to those
-   that are at most twice the radius farther, over and over while that makes them smaller.
-3. In a region, sets not yet covered become pivots one after another; a pivot's distances to all sets are exact, and
-   sets within the radius are its cell and link with it. Sets of two cells are compared only where their distances to
+   that are at most twice the radius farther, over and over while that makes them smaller with few copies.
+3. In a region, sets not yet covered become pivots one after another; a pivot's distances to the sets that share an
+   element with it (found by the region's inverted lists) are exact, all others are 1; sets within the radius are its cell and link with it. Sets of two cells are compared only where their distances to
    both pivots allow a link, and not if they are connected already.
 """
 
@@ -36,6 +36,8 @@ from lumenseek.llm.scratch import stored
 CLASS_RATIO = 1.5
 #: Sets that a region may hold before it is cut, pivots it is cut at, and times it is cut at most.
 REGION, PIVOTS, CUTS = 3_000, 16, 4
+#: A region is left whole if cutting it would make more copies than this, as a multiple of its sets.
+COPIES = 1.5
 #: Sets of a large region that are compared with its pivots at once.
 CHUNK = 500
 
@@ -127,7 +129,7 @@ class Region:
     """Sets with identifiers; join() gives edges that connect what links connect."""
 
     def __init__(self, ids: np.ndarray, flat: np.ndarray, size: np.ndarray, percent: int):
-        self.ids, self.percent, self.radius = ids, percent, 1 - percent / 100 + 1e-9
+        self.ids, self.percent, self.radius = ids, percent, 1 - percent / 100 + 1e-6
         self.size = size
         # elements of one set alone are in no intersection; they only count in its size
         order = np.argsort(flat, kind="stable")
@@ -135,14 +137,17 @@ class Region:
         number = np.empty(len(flat), np.int32)
         number[order] = np.cumsum(new, dtype=np.int32) - 1
         shared = np.bincount(number) > 1
-        universe = np.flatnonzero(shared)
+        place = np.cumsum(shared, dtype=np.int32) - 1
         keep = shared[number]
-        held = np.add.reduceat(keep, np.cumsum(self.size) - self.size).astype(np.int64)
-        self.element = (np.cumsum(shared, dtype=np.int32) - 1)[number[keep]]
-        del flat, order, new, number
-        self.held = held
-        self.bounds = np.concatenate([[0], np.cumsum(held)])
-        self.mark = np.zeros(len(universe), bool)
+        self.held = np.add.reduceat(keep, np.cumsum(size) - size).astype(np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.held)])
+        #: elements of each set, and the sets of each element
+        self.element = place[number[keep]]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+        self.owner = owner[keep[order]]
+        self.having = np.bincount(self.element, minlength=int(shared.sum()))
+        self.from_ = np.cumsum(self.having) - self.having
+        self.mark = np.zeros(len(self.having), bool)
         self.parent = np.arange(len(ids))
 
     def find(self, x: int) -> int:
@@ -150,15 +155,22 @@ class Region:
             self.parent[x] = x = self.parent[self.parent[x]]
         return int(x)
 
-    def common(self, x: int, others: np.ndarray | None = None) -> np.ndarray:
-        """Sizes of the intersections of set x with others, by default all."""
+    def met(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that share an element with set x, itself included, and the sizes of the intersections. A set of
+        elements that no other has meets itself."""
+        own = self.element[self.bounds[x] : self.bounds[x + 1]]
+        both = np.bincount(self.owner[ragged(self.from_[own], self.having[own])], minlength=len(self.ids))
+        both[x] = self.size[x]
+        others = np.flatnonzero(both)
+        return others, both[others]
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set x with others."""
         own = self.element[self.bounds[x] : self.bounds[x + 1]]
         self.mark[own] = True
-        at = self.element if others is None else self.element[ragged(self.bounds[others], self.held[others])]
-        hits = np.concatenate([[0], np.cumsum(self.mark[at], dtype=np.int32)])
+        hits = np.concatenate([[0], np.cumsum(self.mark[self.element[ragged(self.bounds[others], self.held[others])]])])
         self.mark[own] = False
-        ends = np.cumsum(self.held if others is None else self.held[others])
-        return np.diff(hits[np.concatenate([[0], ends])]).astype(np.int64)
+        return np.diff(hits[np.concatenate([[0], np.cumsum(self.held[others])])])
 
     def join(self) -> list[tuple[int, int]]:
         n = len(self.ids)
@@ -172,35 +184,39 @@ class Region:
 
         cell = np.full(n, -1)
         pivots: list[int] = []
-        distance: dict[int, np.ndarray] = {}  # of cells with members besides the pivot, which has met all sets
+        # distances below 1 from the pivots of cells with more members; a pivot alone has met all that it can link with
+        met: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for p in range(n):
             if cell[p] >= 0:
                 continue
-            both = self.common(p)
-            near = linked(both, self.size[p], self.size, self.percent)
-            for y in np.flatnonzero(near):
-                link(p, int(y))
-            fresh = near & (cell < 0)
+            others, both = self.met(p)
+            near = others[linked(both, self.size[p], self.size[others], self.percent)]
+            for y in near.tolist():
+                link(p, y)
+            fresh = near[cell[near] < 0]
             cell[fresh] = len(pivots)
-            if fresh.sum() > 1:
-                distance[len(pivots)] = (1 - both / (self.size[p] + self.size - both)).astype(np.float32)
+            if len(fresh) > 1:
+                met[len(pivots)] = others, 1 - both / (self.size[p] + self.size[others] - both)
             pivots.append(p)
-        reach = self.radius + 1e-6
+
+        def distance(a: int, sets: np.ndarray) -> np.ndarray:
+            others, gaps = met[a]
+            at = np.minimum(np.searchsorted(others, sets), len(others) - 1)
+            return np.where(others[at] == sets, gaps[at], 1.0)
+
+        is_pivot = np.zeros(n, bool)
+        is_pivot[pivots] = True
         # members of two cells whose pivots are near enough, and that nothing has connected
-        for a in distance:
+        for a, (others, gaps) in met.items():
             p = pivots[a]
-            members = np.flatnonzero(cell == a)
-            members = members[members != p]
-            # what lies outside the cell within reach of its farthest member; pivots are compared with all already
-            inside = distance[a][members]
-            near = np.flatnonzero((distance[a] <= inside.max() + reach) & (cell > a))
-            near = near[~np.isin(near, pivots)]
-            roots = np.array([self.find(int(y)) for y in near], np.int64)
-            near = near[roots != self.find(p)] if len(near) else near
+            members = others[(cell[others] == a) & (others != p)]
+            inside = distance(a, members)
+            # what lies outside the cell within reach of its farthest member; pivots have been compared with all
+            near = others[(gaps <= inside.max() + self.radius) & (cell[others] > a) & ~is_pivot[others]]
             for y in near.tolist():
                 if self.find(y) == self.find(p):
                     continue
-                window = members[(np.abs(inside - distance[a][y]) <= reach) & (np.abs(distance[cell[y]][members] - distance[cell[y]][y]) <= reach)]
+                window = members[(np.abs(inside - distance(a, np.array([y]))) <= self.radius) & (np.abs(distance(cell[y], members) - distance(cell[y], np.array([y]))) <= self.radius)]
                 if not len(window):
                     continue
                 both = self.common(y, window)
@@ -227,7 +243,7 @@ def _cut(sets: DataFrame, percent: int) -> DataFrame:
     def spread(left: pa.Table, right: pa.Table) -> pa.Table:
         pivots = right.sort_by("number").column("pivot").to_pylist() if right.num_rows else []
         if not left.num_rows or not pivots:
-            return left.select(["region", "id", "items"]).slice(0, 0)
+            return pa.table({"cell": pa.array([], pa.string()), "region": pa.array([], pa.string()), "id": pa.array([], pa.int64())})
         flat, size = _flat(left.column("items"))
         ends = np.concatenate([[0], np.cumsum(size)])
         gaps = np.empty((len(pivots), len(size)))
@@ -238,9 +254,9 @@ def _cut(sets: DataFrame, percent: int) -> DataFrame:
             both = hits[ends[1:]] - hits[ends[:-1]]
             gaps[j] = 1 - both / (size + len(other) - both)
         to, row = np.nonzero(gaps <= gaps.min(axis=0) + 2 * radius)
-        part = left.take(pa.array(row))
-        regions = [f"{region}.{j}" for region, j in zip(part.column("region").to_pylist(), to.tolist(), strict=True)]
-        return pa.table({"region": pa.array(regions, pa.string()), "id": part.column("id"), "items": part.column("items")})
+        part = left.select(["region", "id"]).take(pa.array(row))
+        cells = [f"{region}.{j}" for region, j in zip(part.column("region").to_pylist(), to.tolist(), strict=True)]
+        return pa.table({"cell": pa.array(cells, pa.string()), "region": part.column("region"), "id": part.column("id")})
 
     for _ in range(CUTS):
         counts = sets.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
@@ -254,11 +270,16 @@ def _cut(sets: DataFrame, percent: int) -> DataFrame:
         named = named.withColumn("number", first).where(F.col("number") <= PIVOTS).select("region", "id", "number", "chunks")
         pivots = sets.join(named, ["region", "id"]).select(F.col("region").alias("of"), "number", F.col("items").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
         pair = inside.select("region", "chunk", "id", "items").groupBy("region", "chunk").cogroup(pivots.groupBy("of", "part"))
-        cut = stored(pair.applyInArrow(spread, "region string, id long, items binary"), "cut-regions")
-        left = cut.groupBy("region").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if left > 0.8 * most:
-            break  # nearly all lie within twice the radius of each other: cells inside the region do better
-        sets = sets.join(large.select("region"), "region", "left_anti").unionByName(cut)
+        cells = stored(pair.applyInArrow(spread, "cell string, region string, id long"), "region-cells")
+        # a region is cut only if its cells are smaller and hold few copies; else cells inside the region do better
+        per_cell = cells.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("m"))
+        good = per_cell.groupBy("region").agg(F.max("m").alias("most"), F.sum("m").alias("copies")).join(large, "region")
+        good = stored(good.where((F.col("most") <= 0.8 * F.col("n")) & (F.col("copies") <= COPIES * F.col("n"))).select("region"), "good-cuts")
+        if not good.head():
+            break
+        moved = cells.join(good, "region").select(F.col("region").alias("of"), F.col("id").alias("member"), "cell")
+        cut = sets.join(moved, (F.col("region") == F.col("of")) & (F.col("id") == F.col("member"))).select(F.col("cell").alias("region"), "id", "items")
+        sets = stored(sets.join(good, "region", "left_anti").unionByName(cut), "region-sets")
     return sets
 
 
