@@ -104,6 +104,66 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, PII_KEY, found_col="kinds").withColumn("n_found", F.size("kinds").cast("long"))
 
 
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i AS p, md5(substring(h, 2 * i + 1, 200)) AS g FROM d, unnest(range(0, n - 99)) AS t(i)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1 AS again FROM s),
+a AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 1 ELSE 0 END AS apart FROM f WHERE again),
+i AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM a),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, island),
+k AS (SELECT doc_id, b AS x, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), n) AS y FROM r JOIN d USING (doc_id)
+      UNION ALL SELECT doc_id, 0, coalesce(min(a), any_value(n)) FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) JOIN kept USING (doc_id)
+"""
+
+
+def _op3_sql() -> str:
+    """Counts by explosion, cutoffs by the binomial tail from log-factorials."""
+    from lumenseek.llm.quality_rules import ALPHA, DELTA, GRID
+
+    shares = {
+        "symbol_share": ("n_symbols", "word_chars"),
+        "dup_line_share": ("n_dup_lines", "n_lines"),
+        "repeat_share": ("n_repeat_words", "n_words"),
+        "capital_share": ("n_capitals", "word_chars"),
+        "bang_share": ("n_bangs", "word_chars"),
+    }
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0e0 END AS share FROM m" for r, (a, b) in shares.items())
+    grid = ", ".join(f"('{r}', {i}, {c!r}e0)" for r, g in GRID.items() for i, c in enumerate(g))
+    return rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS g FROM w, unnest(range(1, len(ws) - 1)) AS t(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 3) AS r(k) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (SELECT w.doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+      len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+      coalesce(rep.n, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '!')) AS n_bangs
+      FROM w JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT doc_id, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+shares AS ({long}),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+hold AS (SELECT s.* FROM shares s JOIN b USING (doc_id) JOIN good USING (doc_id) WHERE NOT base_failed),
+grid(rule, step, cutoff) AS (VALUES {grid}),
+k AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS k FROM hold JOIN grid USING (rule) GROUP BY ALL),
+strata AS (SELECT greatest(1, count(DISTINCT coalesce(lang, chr(0)))) AS strata FROM hold),
+t AS (SELECT *, CASE WHEN k >= {ALPHA!r}e0 * n THEN 1e0 ELSE list_sum(list_transform(range(0, k + 1),
+      lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA!r}e0) + (n - j) * ln({1 - ALPHA!r}e0)))) END AS p FROM k),
+bad AS (SELECT lang, rule, min(step) FILTER (p > {DELTA!r}e0 / ({len(GRID)} * strata)) AS bad FROM t, strata GROUP BY lang, rule),
+cut AS (SELECT t.lang, t.rule, min(cutoff) AS cutoff FROM t JOIN bad ON t.lang IS NOT DISTINCT FROM bad.lang AND t.rule = bad.rule
+        WHERE bad IS NULL OR step < bad GROUP BY t.lang, t.rule),
+fired AS (SELECT DISTINCT doc_id FROM shares s JOIN cut ON s.lang IS NOT DISTINCT FROM cut.lang AND s.rule = cut.rule WHERE share > cutoff)
+SELECT m.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND fired.doc_id IS NULL AS kept
+FROM m JOIN b USING (doc_id) LEFT JOIN fired USING (doc_id)
+"""
+
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
@@ -149,6 +209,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_suffix_dedup": OP2_SQL,
+    "op3_quality_rules": _op3_sql(),
     "op6_jaccard_join": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
 }
