@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenseek.functions.tokenize import identifier_tokens, idf_probabilistic, idf_smoothed, plain_tokens
-from lumenseek.operators.common import broadcast_if_small
+from lumenseek.operators.common import SMALL_ROWS, broadcast_if_small
 
 K1, B = 1.2, 0.75
 
@@ -53,16 +53,19 @@ def scored_terms(units: DataFrame, keys: list[str], queries: DataFrame, dialect:
     """query_id, pos, term, keys, tf (count), doc_len, df, idf, bm25: one row per query term that a unit has.
 
     Only query terms leave the units: tokens are filtered against the distinct terms before anything is shuffled."""
+    # terms and weights have no more rows than the queries, so one look at these bounds all that is broadcast
+    small = queries.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    sent = F.broadcast if small else lambda df: df
     terms = queries.select("term").distinct()
     stats = units.agg(F.count(F.lit(1)), F.avg(F.size("tokens").cast("double"))).first()
     n, avgdl = F.lit(stats[0]), F.lit(max(stats[1] or 0.0, dialect.least_avgdl) or 1.0)
     hits = units.select(*keys, F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
-    hits = hits.join(broadcast_if_small(terms), "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    hits = hits.join(sent(terms), "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = queries.join(df, "term").withColumn("idf", dialect.idf(n, F.col("df")))
     tf, dl = F.col("tf").cast("double"), F.col("doc_len").cast("double")
     part = F.col("idf") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
-    return hits.join(broadcast_if_small(weights), "term").withColumn("bm25", part)
+    return hits.join(sent(weights), "term").withColumn("bm25", part)
 
 
 def rank(scored: DataFrame, keys: list[str], *, limit: int | None = 10, min_score: float | None = None, components: bool = False) -> DataFrame:
