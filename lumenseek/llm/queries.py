@@ -164,6 +164,34 @@ FROM m JOIN b USING (doc_id) LEFT JOIN fired USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE r AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+       md5('0|' || doc_id) AS place, substring(md5('0|' || doc_id), 1, 3) AS block FROM documents),
+b AS (SELECT s, block, sum(n_tokens) AS tokens FROM r GROUP BY ALL),
+src AS (SELECT s, sum(tokens) AS tokens FROM b GROUP BY s HAVING sum(tokens) > 0),
+ps AS (SELECT list(tokens / CAST(total AS DOUBLE)) AS ps, any_value(total) AS total FROM src, (SELECT sum(tokens) AS total FROM src)),
+half AS (SELECT 0 AS k, 0e0 AS lo, 1e0 AS hi
+         UNION ALL SELECT k + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+           SELECT k, lo, hi, mid, ln(z) - mid * zl / z >= 0.95e0 * ln(CAST(n AS DOUBLE)) - 1e-12 AS ok FROM (
+             SELECT k, lo, hi, (lo + hi) / 2 AS mid, len(ps) AS n, list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2))) AS z,
+                    list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2) * ln(p))) AS zl FROM half, ps WHERE k < 45))),
+x AS (SELECT least(1e0, round(max(lo), 6)) AS x FROM half),
+raw AS (SELECT s, tokens, pow(tokens / CAST(total AS DOUBLE), x) AS raw, CAST(total AS DOUBLE) AS total FROM src, ps, x),
+reads AS (SELECT s, tokens, raw / (SELECT sum(raw) FROM raw) * total / tokens AS reads FROM raw),
+plan AS (SELECT s, tokens, CAST(floor(reads + 1e-9) AS INTEGER) AS epochs, CAST(greatest(floor((reads - floor(reads + 1e-9)) * tokens), 0) AS BIGINT) AS rest FROM reads),
+o AS (SELECT s, block, b.tokens, epochs, rest, md5('0|' || epochs || '|' || s || '|' || block) AS o FROM b JOIN plan USING (s)),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY s ORDER BY o, block) AS upto FROM o),
+cut AS (SELECT s, block, o, rest - upto + tokens AS room FROM u WHERE upto > rest QUALIFY row_number() OVER (PARTITION BY s ORDER BY o, block) = 1),
+inner_ AS (SELECT s, place, room, sum(sum(n_tokens)) OVER (PARTITION BY s ORDER BY place) AS upto FROM r JOIN cut USING (s, block) GROUP BY s, place, room),
+last AS (SELECT s, max(place) FILTER (upto <= room) AS last_place FROM inner_ GROUP BY s),
+n AS (SELECT r.*, plan.epochs AS full_, coalesce(plan.epochs, 1) + CASE WHEN plan.epochs IS NULL THEN 0
+        WHEN md5('0|' || plan.epochs || '|' || r.s || '|' || r.block) < cut.o THEN 1
+        WHEN md5('0|' || plan.epochs || '|' || r.s || '|' || r.block) = cut.o AND r.place <= last_place THEN 1 ELSE 0 END AS n
+      FROM r LEFT JOIN plan USING (s) LEFT JOIN cut ON cut.s = r.s LEFT JOIN last ON last.s = r.s)
+SELECT doc_id, source, n_tokens, CAST(e AS INTEGER) AS epoch, block, md5('0|' || e || '|' || s || '|' || block) AS block_order, place
+FROM n, unnest(range(0, n)) AS t(e)
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
@@ -211,6 +239,7 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_suffix_dedup": OP2_SQL,
     "op3_quality_rules": _op3_sql(),
+    "op4_source_mixing": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
 }
