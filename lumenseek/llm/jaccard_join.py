@@ -34,8 +34,9 @@ from lumenseek.llm.scratch import stored
 
 #: Sizes of a class lie within this ratio.
 CLASS_RATIO = 1.5
-#: Sets that a region may hold before it is cut, pivots it is cut at, and times it is cut at most.
-REGION, PIVOTS, CUTS = 3_000, 16, 4
+#: Sets that a region may hold before it is cut (one task joins so many by inverted lists within some 300 MB), pivots it
+#: is cut at, and times it is cut at most.
+REGION, PIVOTS, CUTS = 20_000, 16, 4
 #: A region is left whole if cutting it would make more copies than this, as a multiple of its sets.
 COPIES = 1.5
 #: Sets of a large region that are compared with its pivots at once.
