@@ -1,14 +1,13 @@
-"""Packing of tokenised documents into fixed-length sequences: hierarchical residual packing.
+"""Packing of tokenised documents into fixed-length sequences: best fit over all pieces, planned on counts.
 
-Each task best-fits its own pieces, longest first, and emits bins that are nearly full. Underfull bins become items of
-the next round, in an eighth of the tasks, until one task is left. A task hands on at most RESIDUAL bins, the emptiest;
-the others are emitted as they are, so the last task's input stays bounded. Only lengths and keys move, never tokens.
+Pieces of equal length are interchangeable, so best fit, longest first, is planned on the counts per length of the whole
+table (capacity of them at most); each piece then finds its sequence in the plan by its length and its number among the
+pieces of that length. No task packs for itself, and only lengths and keys move, never tokens.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import os
 import re
 import sys
@@ -18,24 +17,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lumenseek.llm.hashing import ragged
 from lumenseek.llm.scratch import stored
 
-FAN_IN = 8
-#: Items that a task packs at once, and underfull bins that it hands to the next round at most.
-CHUNK = 200_000
-RESIDUAL = 20_000
-#: A bin with less room than this part of the capacity is full enough.
-NEARLY = 1 / 256
 #: Bytes of text tokenised at once, and words whose ids a task remembers.
 TEXT_CHUNK = 2 << 20
 REMEMBERED = 400_000
 
-LEVEL = "fill int, keys binary, lengths binary, done boolean"
-
 
 class Merges:
     """Byte-pair merges of many short strings at once: in each round every string makes its best merge."""
@@ -277,74 +270,83 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack_task(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packs the items (fill, keys, lengths) of one task."""
-
-    def batch(items: list[tuple[int, bytes, bytes]], done: bool) -> pa.RecordBatch:
-        fill, keys, lengths = zip(*items, strict=True) if items else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(fill, pa.int32()), pa.array(keys, pa.binary()), pa.array(lengths, pa.binary()), pa.array([done] * len(items), pa.bool_())], ["fill", "keys", "lengths", "done"])
-
-    def pack(items: list[tuple[int, bytes, bytes]]) -> tuple[list, list]:
-        fills = np.fromiter((x[0] for x in items), np.int64, len(items))
-        full, rest = [], []
-        for b in best_fit(fills, capacity):
-            made = (int(fills[b].sum()), b"".join(items[i][1] for i in b), b"".join(items[i][2] for i in b))
-            (full if made[0] >= capacity * (1 - NEARLY) else rest).append(made)
-        rest.sort()
-        return full + rest[RESIDUAL:], rest[:RESIDUAL]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
-        for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            if len(held) >= CHUNK:
-                full, held = pack(held)
-                yield batch(full, True)
-        full, held = pack(held)
-        yield batch(full, True)
-        yield batch(held, False)
+def plan_bins(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """best_fit of so many items per length, on counts: rows length, first, each, bin, sorted. Item first + i of a length
+    (i below the next row's first) goes to bin + i // each. Items of length 0 get bins of their own."""
+    done: list[tuple[int, list]] = []  # so many bins, which hold `each` items of a length from number `first` on
+    with_room: list[list[tuple[int, list]]] = [[] for _ in range(capacity + 1)]
+    mask = 0  # bit r: a bin has r left
 
-    return run
+    def put(room: int, times: int, parts: list) -> None:
+        nonlocal mask
+        if times and not room:
+            done.append((times, parts))
+        elif times:
+            with_room[room].append((times, parts))
+            mask |= 1 << room
+
+    for size in sorted(counts, reverse=True):
+        first, left = 0, counts[size]
+        while left:
+            if size and (fits := mask >> size):
+                room = size + (fits & -fits).bit_length() - 1
+                times, parts = with_room[room].pop()
+                if not with_room[room]:
+                    mask &= ~(1 << room)
+            else:
+                room, times, parts = capacity, left, []
+            each = room // size if size else capacity
+            # bins that take as many as have room, then one bin that takes what is left
+            for take, bins in ((each, min(times, left // each)), (left % each, 1)):
+                if take and bins and times and left >= take and (take == each or left < each):
+                    put(room - take * size, bins, [*parts, (size, first, take)])
+                    parts = [(s, f + bins * n, n) for s, f, n in parts]
+                    times, first, left = times - bins, first + bins * take, left - bins * take
+            if parts:
+                put(room, times, parts)
+    rows, at = [], 0
+    for times, parts in [*done, *(g for held in with_room for g in held)]:
+        rows += [(*part, at) for part in parts]
+        at += times
+    return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
 def assign_sequences(pieces: DataFrame, capacity: int) -> DataFrame:
     """key long, sequence_id long, offset long for pieces (key long, unique and not null; length long, capacity at
     most). A sequence's id is the smallest key in it; a piece of full length is a sequence of its own."""
-    spark = pieces.sparkSession
     whole = pieces.where(F.col("length") >= capacity).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def own() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys, lengths = (np.ascontiguousarray(c.to_numpy(), dtype=np.int64) for c in b.columns)
-                raw = [x.tobytes() for x in keys], [x.tobytes() for x in lengths]
-                yield pa.RecordBatch.from_arrays([pa.array(lengths.astype(np.int32)), pa.array(raw[0], pa.binary()), pa.array(raw[1], pa.binary())], ["fill", "keys", "lengths"])
-
-        return _pack_task(capacity)(own())
-
-    level = stored(pieces.where(F.col("length") < capacity).select("key", "length").mapInArrow(items, LEVEL), "bins")
-    tasks = level.rdd.getNumPartitions()
-    made = [level.where("done")]
-    while tasks > 1:
-        tasks = math.ceil(tasks / FAN_IN)
-        # the node of a bin follows from its first key, and bins are packed in the order of their keys: a rerun is equal
-        node = F.pmod(F.xxhash64("keys"), F.lit(tasks))
-        rest = level.where(~F.col("done")).select("fill", "keys", "lengths").repartition(tasks, node).sortWithinPartitions("keys")
-        level = stored(rest.mapInArrow(_pack_task(capacity), LEVEL), "bins")
-        made.append(level.where("done"))
-    made.append(level.where(~F.col("done")))
-    bins = made[0]
-    for x in made[1:]:
-        bins = bins.unionByName(x)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        seen = np.zeros(capacity, np.int64)
         for b in batches:
-            for keys, lengths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys, lengths = np.frombuffer(keys, np.int64), np.frombuffer(lengths, np.int64)
-                offset = np.cumsum(lengths) - lengths
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), keys.min())), pa.array(offset)], ["key", "sequence_id", "offset"])
-
-    return whole.unionByName(bins.select("keys", "lengths").mapInArrow(spread, "key long, sequence_id long, offset long"))
+            length = b.column(1).to_numpy()
+            order = np.argsort(length, kind="stable")
+            values, first, counts = np.unique(length[order], return_index=True, return_counts=True)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) + np.repeat(seen[values] - first, counts)
+            seen[values] += counts
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(nth)], ["key", "length", "task", "nth"])
+
+    parts = pieces.where(F.col("length") < capacity).select("key", "length").mapInArrow(number, "key long, length long, task int, nth long")
+    parts = stored(parts, "numbered")
+    sizes = parts.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    plan = plan_bins({r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    # a piece's number among all of its length: its number in its task after those of the tasks before
+    before = sizes.select("length", "task", (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    numbered = parts.join(before, ["length", "task"]).select("key", "length", (F.col("before") + F.col("nth")).alias("nth"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = plan[:, 0] << 44 | plan[:, 1]
+        for b in batches:
+            length, nth = b.column(1).to_numpy(), b.column(2).to_numpy()
+            _, first, each, at = plan[np.searchsorted(start, length << 44 | nth, "right") - 1].T
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(at + (nth - first) // each)], ["key", "length", "bin"])
+
+    placed = numbered.mapInArrow(place, "key long, length long, bin long")
+    inside = W.partitionBy("bin")
+    offset = F.sum("length").over(inside.orderBy(F.desc("length"), "key").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length")
+    return whole.unionByName(placed.select("key", F.min("key").over(inside).alias("sequence_id"), offset.alias("offset")))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int | None = 1, carry: dict[str, Column] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from lumenseek.llm.embedding_dedup import embedding_classes
 from lumenseek.llm.html_text import extract_text, main_text
 from lumenseek.llm.jaccard_join import Region, jaccard_classes
 from lumenseek.llm.mixing import mix_sources
-from lumenseek.llm.packing import best_fit, pack_documents
+from lumenseek.llm.packing import assign_sequences, best_fit, pack_documents, plan_bins
 from lumenseek.llm.pii import pseudonymise
 from lumenseek.llm.quality_rules import judge_documents
 from lumenseek.llm.queries import tokenizer_path
@@ -336,6 +336,30 @@ def test_best_fit_fills_exact_bins():
     assert len(bins) == 4 and sorted(i for b in bins for i in b) == list(range(7))
 
 
+def test_plans_are_best_fit():
+    rng = random.Random(3)
+    for capacity in (10, 64, 512):
+        for n in (0, 1, 7, 500):
+            lengths = np.array([rng.randrange(1, rng.choice([3, capacity // 2, capacity])) for _ in range(n)], np.int64)
+            plan = plan_bins(dict(Counter(lengths.tolist())), capacity)
+            bins, seen = defaultdict(list), Counter()
+            for x in lengths.tolist():
+                _, first, each, at = max(r for r in plan.tolist() if r[0] == x and r[1] <= seen[x])
+                bins[at + (seen[x] - first) // each].append(x)
+                seen[x] += 1
+            want = Counter(tuple(sorted(lengths[b].tolist())) for b in best_fit(lengths, capacity))
+            assert Counter(tuple(sorted(b)) for b in bins.values()) == want
+    assert {tuple(r) for r in plan_bins({0: 25}, 10).tolist()} == {(0, 0, 10, 0), (0, 20, 5, 2)}
+
+
+def test_packing_joins_pieces_of_all_tasks(spark):
+    # one task holds long pieces alone, of which no two fit, and more than one task could ever hand on
+    n = 50_000
+    pieces = spark.range(0, 2 * n, 1, 2).select(F.col("id").alias("key"), F.when(F.col("id") < n, 300).otherwise(212).cast("long").alias("length"))
+    got = assign_sequences(pieces, 512).groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("last"), F.min("key").alias("key"))
+    assert got.count() == n and got.where("n <> 2 OR last <> 300 OR key <> sequence_id").count() == 0
+
+
 # op 9
 
 
