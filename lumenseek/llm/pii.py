@@ -14,22 +14,37 @@ from pyspark.sql import functions as F
 
 #: Feistel rounds; each adds a keyed hash of one half to the other.
 ROUNDS = 8
+#: Secrets of more characters, or of other than ASCII characters, are replaced by a keyed hash, which cannot be inverted.
+LONG = 512
 #: Days from FIRST_DAY that dates are permuted among: DATE_A * DATE_B.
 FIRST_DAY, DATE_A, DATE_B = "1900-01-01", 340, 215
 
 _DIGIT_END = r"(?![\d\p{L}])"
+_PASSWORD_WORDS, _SECRET_WORDS = "password|passwd|pwd", r"token|secret|api[_-]?key"
+#: A separator and a quoted value without its last quote; and a value up to the next space.
+_QUOTED = r"[=:]\s{0,3}(?:\x22(?!\x22|$)[^\x22\\\n]*+(?:\\.[^\x22\\\n]*+)*+(?=\x22|$)|'(?!'|$)[^'\\\n]*+(?:\\.[^'\\\n]*+)*+(?='|$))"
+_BARE = r"[\x22']?[^\s\x22']\S*+"
+
+
+def _secret(words: str, rest: str) -> str:
+    return rf"(?<![A-Za-z])(?i:{words})[\x22']?\s{{0,3}}{rest}"
+
+
+#: What stays of a secret.
+_SECRET_NAME = _secret(f"{_PASSWORD_WORDS}|{_SECRET_WORDS}", r"[=:]\s{0,3}[\x22']?")
 #: What each kind looks like; the first that fits at a place counts.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]{1,256}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_-]{12,256}+)",
+    "secret": _secret(_SECRET_WORDS, f"(?:{_QUOTED}|=\\s{{0,3}}{_BARE}|:\\s{{0,3}}(?=[\\x22']?(?:\\S{{12}}|[\\p{{L}}]*+[^\\p{{L}}\\s.,;:!?)])){_BARE})") + "|" + _secret(_PASSWORD_WORDS, f"(?:{_QUOTED}|[=:]\\s{{0,3}}{_BARE})"),
     "access": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)\d\d|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/(?:19|20)\d\d)(?![\d/-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,2}?|\d{1,4}(?:[ .-]?\d{2,4}){2,4})" + _DIGIT_END,
+    "phone": r"(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,2}?|\d{1,4}(?:[ .-]?\d{2,4}){2,4})|(?<![\d+.-])(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![.-]\d)))" + _DIGIT_END,
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
-    "card": r"(?<![\d\p{L}])\d(?:[ -]?\d){12,18}" + _DIGIT_END,
 }
+# a run of digit groups that may hold card numbers; see _pieces
+PATTERNS["card"] = r"(?<![\d\p{L}])(?=(?:[ -]?\d){13})\d++(?!\p{L})(?:[ -](?!" + "|".join(PATTERNS[k] for k in ("date", "ip", "ssn")) + r")\d++(?!\p{L}))*+"
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -65,12 +80,26 @@ def _mod97(text: str) -> str:
     return _bind("y", text, f"aggregate({moved}, 0, (s, c) -> (s * CASE WHEN c RLIKE '[0-9]' THEN 10 ELSE 100 END + {value}) % 97)")
 
 
+def _pieces(v: str) -> str:
+    """SQL: a match as an array of strings: a run of digit groups is divided into the card numbers in it, each the longest
+    from a group's start to a group's end whose check digit is right, and what lies between them."""
+    part = "array_join(slice(tk, n, m - n + 1), '')"
+    ends = f"filter(sequence(n, least(n + 36, size(tk)), 2), m -> length({_digits(part)}) BETWEEN 13 AND 19 AND {_luhn(_digits(part), '0')} = 0)"
+    put = "named_struct('at', m + 1, 'made', concat(g.made, array(array_join(slice(tk, g.at, n - g.at), ''), " + part + ")))"
+    found = _bind("m", f"array_max({ends})", f"CASE WHEN m IS NULL THEN g ELSE {put} END")
+    start = "named_struct('at', 1, 'made', CAST(array() AS ARRAY<STRING>))"
+    left = "array_join(slice(tk, g.at, size(tk)), '')"
+    parts = f"aggregate(sequence(1, size(tk), 2), {start}, (g, n) -> CASE WHEN n < g.at THEN g ELSE {found} END, g -> filter(concat(g.made, array({left})), y -> y <> ''))"
+    # digit groups and single separators take turns
+    return f"CASE WHEN {v} RLIKE '^[0-9][0-9 -]{{12,}}$' THEN {_bind('tk', f"regexp_extract_all({v}, '[0-9]+|[ -]', 0)", parts)} ELSE array({v}) END"
+
+
 def _valid(v: str) -> str:
     """SQL: whether a match (struct v with kind and text) is what it looks like."""
     day = f"coalesce(try_to_timestamp({_iso(f'{v}.text')}), CAST(NULL AS TIMESTAMP))"
     return (
-        f"CASE {v}.kind WHEN 'card' THEN {_luhn(_digits(f'{v}.text'), '0')} = 0 "
-        f"WHEN 'iban' THEN {_mod97(f'''replace({v}.text, ' ', '')''')} = 1 WHEN 'date' THEN {day} IS NOT NULL ELSE true END"
+        f"CASE {v}.kind WHEN 'card' THEN length({_digits(f'{v}.text')}) BETWEEN 13 AND 19 AND {_luhn(_digits(f'{v}.text'), '0')} = 0 "
+        f"WHEN 'iban' THEN {_mod97(f'''replace({v}.text, ' ', '')''')} = 1 WHEN 'date' THEN {day} IS NOT NULL ELSE {v}.kind IS NOT NULL END"
     )
 
 
@@ -85,7 +114,7 @@ def _fixed(v: str) -> str:
     """SQL: how many characters at the start, and at the end, of a match stay as they are: struct a, z."""
     body = {
         "email": ("0", f"length({v}.text) - instr({v}.text, '@') + 1"),
-        "secret": (f"length({v}.text) - length(regexp_extract({v}.text, '[A-Za-z0-9+/_-]+$', 0))", "0"),
+        "secret": (f"length(regexp_extract({v}.text, {_quoted('^' + _SECRET_NAME)}, 0))", "0"),
         "access": ("4", "0"),
         "iban": ("4", "0"),
         "phone": (f"length(regexp_extract({v}.text, '^[+][0-9]+', 0))", "0"),
@@ -150,15 +179,15 @@ def _steps(key: str) -> list[tuple[str, str]]:
     dated = f"CASE WHEN v.text LIKE '____-%' THEN date_format({date}, 'yyyy-MM-dd') WHEN v.text LIKE '%.%' THEN date_format({date}, 'dd.MM.yyyy') ELSE date_format({date}, 'MM/dd/yyyy') END"
     card = _bind("w", letters, f"concat(substr(w, 1, length(w) - 1), CAST((10 - {_luhn(_digits('substr(w, 1, length(w) - 1)'), '1')}) % 10 AS STRING))")
     iban = _bind("w", letters, f"concat(substr(w, 1, 2), lpad(CAST(98 - {_mod97('''concat(substr(w, 1, 2), '00', replace(substr(w, 5), ' ', ''))''')} AS STRING), 2, '0'), substr(w, 5))")
-    whole = f"concat('u', substr(sha2(concat_ws('|', '{key}', v.kind, v.text), 256), 1, 15), substr(v.text, -v.fixed.z))"
+    whole = f"concat(left(v.text, v.fixed.a), 'u', substr(sha2(concat_ws('|', '{key}', v.kind, v.text), 256), 1, 15), right(v.text, v.fixed.z))"
     made = (
-        f"CASE WHEN NOT v.valid THEN v.text WHEN size(v.codes) = 0 THEN {whole} WHEN v.kind = 'ip' THEN array_join(transform(v.new, x -> CAST(x AS STRING)), '.') "
+        f"CASE WHEN NOT v.valid THEN v.text WHEN size(v.codes) = 0 OR v.kind = 'secret' AND (length(v.text) > {LONG} OR substr(v.text, v.fixed.a + 1) RLIKE '[^ -~]') THEN {whole} WHEN v.kind = 'ip' THEN array_join(transform(v.new, x -> CAST(x AS STRING)), '.') "
         f"WHEN v.kind = 'date' THEN {dated} WHEN v.kind = 'card' THEN {card} WHEN v.kind = 'iban' THEN {iban} ELSE {letters} END"
     )
     tweak = f"concat('{key}', ':', v.kind)"
     return [
         ("_found", f"transform(_match, t -> named_struct('text', t, 'kind', {_kind('t')}))"),
-        ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', {_valid('v')}, 'fixed', {_fixed('v')}, 'hex', v.kind = 'secret' AND v.text RLIKE '[=:\\\\x20\\\\x22\\\\x27][0-9a-f]+$'))"),
+        ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', {_valid('v')}, 'fixed', {_fixed('v')}, 'hex', v.kind = 'secret' AND v.text RLIKE {_quoted('^' + _SECRET_NAME + '[0-9a-f]+$')}))"),
         ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', v.valid, 'fixed', v.fixed, 'chars', {chars}))"),
         ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', v.valid, 'fixed', v.fixed, 'chars', v.chars, 'codes', {codes}, 'radices', {radices}))"),
         ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', v.valid, 'fixed', v.fixed, 'chars', v.chars, 'codes', v.codes, 'new', {_feistel('v.codes', 'v.radices', tweak)}))"),
@@ -183,10 +212,12 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", found_col
     df = docs.select(F.struct("*").alias("_row"))
     hit: Column = text.rlike(r"[0-9@]|(?i:pass|token|secret|key|pwd)")
     df = df.withColumn("_match", F.when(hit, F.regexp_extract_all(text, F.lit(_ALL), 0)).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_split", F.expr(f"transform(_match, t -> {_pieces('t')})")).withColumn("_gap", F.split(text, _ALL, -1)).withColumn("_match", F.flatten("_split"))
     for name, sql in _steps(key):
         df = df.withColumn(name, F.expr(sql))
-    gaps = F.split(text, _ALL, -1)
-    joined = F.when(F.size("_match") == 0, text).otherwise(F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_match")), "_new", lambda a, b: F.concat(a, b)), ""), F.element_at(gaps, -1)))
+    # no gap lies between the pieces of a match
+    gaps = F.flatten(F.zip_with(F.slice("_gap", 1, F.size("_split")), "_split", lambda a, b: F.concat(F.array(a), F.array_repeat(F.lit(""), F.size(b) - 1))))
+    joined = F.when(F.size("_match") == 0, text).otherwise(F.concat(F.array_join(F.zip_with(gaps, "_new", lambda a, b: F.concat(a, b)), ""), F.element_at("_gap", -1)))
     out = [joined.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in fields]
     if found_col:
         out.append(F.coalesce("_kinds", F.array().cast("array<string>")).alias(found_col))
