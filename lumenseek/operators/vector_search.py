@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from lumenseek.functions.numeric import l2, similarity
 from lumenseek.operators.common import SMALL_ROWS
 
-#: Query vectors that one batch may hold; they are sent to every task.
+#: Query vectors that one block may hold; they are sent to every task.
 MAX_QUERIES = 10_000
 
 
@@ -23,10 +25,16 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: str
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """query_id, id, distance, rank for queries (query_id, query_vector): a stated query set against all rows. The set is
-    bounded and sent whole to each task; each task keeps its own k best of every query before anything is shuffled."""
-    count = queries.limit(MAX_QUERIES + 1).count()
-    if count > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: give them in blocks")
+    dealt into blocks of about MAX_QUERIES, each sent whole to each task; a block's best are kept before the next."""
+    # twice as many blocks as a full deal needs, since a hash deals unevenly
+    count = queries.count()
+    blocks = 1 if count <= MAX_QUERIES else -(-2 * count // MAX_QUERIES)
+    number = F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(blocks))
+    out = [_nearest_block(vectors, queries.where(number == i) if blocks > 1 else queries, k, id_col, vector_col) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _nearest_block(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
     asked = queries.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
     pairs = vectors.select(id_col, vector_col).join(F.broadcast(asked)).select(id_col, vector_col, F.explode("asked").alias("q"))
     pairs = pairs.select("q.query_id", id_col, l2(F.col(vector_col), F.col("q.query_vector")).alias("distance"))

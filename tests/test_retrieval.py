@@ -200,6 +200,15 @@ def test_cache_and_providers(spark):
         embed(F.lit("x"), EmbeddingConfig("none"))
 
 
+def test_queries_above_a_block(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(60)], "id int, vector array<double>")
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = lambda: sorted(map(tuple, vector_search.nearest_batch(rows, asked, 3).collect()))
+    whole = found()
+    monkeypatch.setattr(vector_search, "MAX_QUERIES", 25)
+    assert found() == whole and len(whole) == 180
+
+
 def test_change_stream(spark, tree, tmp_path):
     got = []
     query = stream_changes(spark, tree).writeStream.foreachBatch(lambda df, i: got.append(sorted((r.type, r.path) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).start()
