@@ -177,7 +177,7 @@ _BATCH = f"SELECT query_id, min(pos) AS pos, term FROM (SELECT item_id AS query_
 
 @query(_ranked_sql(PLAIN, PROBABILISTIC, _BATCH, "1.0e0") + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def bm25_batch(spark, sf_dir):
-    terms = F.slice(plain_tokens(F.col("text")), 1, 8)
+    terms = plain_tokens(F.col("text"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(terms).alias("pos", "term")).groupBy("query_id", "term").agg(F.min("pos").alias("pos"))
     scored = ranking.scored_terms(units(spark, sf_dir), KEYS, queries, ranking.SYMBOL)
     return ranking.rank(scored, KEYS).select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))

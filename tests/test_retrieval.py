@@ -1,6 +1,7 @@
 """Tokenizers, chunkers, ranking, snippets, vectors, store, engine, streams."""
 
 import json
+import math
 import os
 
 import pytest
@@ -10,6 +11,7 @@ from lumenseek.functions import numeric, paths
 from lumenseek.functions.embedding import EmbeddingConfig, embed, register_provider, registered_providers
 from lumenseek.functions.tokenize import identifier_tokens, plain_tokens, query_terms
 from lumenseek.operators import changes, chunking, hybrid, ranking, snippets, statistics, structure, vector_search
+from lumenseek.plans import queries
 from lumenseek.plans.engine import Cache, Engine, cache_key, envelope, handle
 from lumenseek.sources.files import read_tree, scan, stream_changes
 from lumenseek.sources.ignore import Ignore
@@ -221,6 +223,25 @@ def test_change_stream(spark, tree, tmp_path):
     assert ("add", "src/auth.ts") in got[0] and [("unlink", "README.md")] in got
 
 
+def saved(spark, folder, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_batch_uses_all_terms(spark, tmp_path):
+    texts = ["one two three four five six seven eight nine ten", "nine nine ten words", "eleven one", "ten", "words alone here"]
+    asked = "one two three four five six seven eight nine ten eleven nine"
+    folder = saved(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id int, text string"), benchmark=([(7, asked)], "item_id int, text string"))
+    words = [t.split() for t in texts]
+    mean, want = sum(map(len, words)) / len(words), {}
+    for i, w in enumerate(words):
+        for t in set(asked.split()) & set(w):
+            n, tf = sum(t in x for x in words), w.count(t)
+            want[i] = want.get(i, 0) + math.log((len(words) - n + 0.5) / (n + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    assert {r.doc_id: r.score for r in queries.bm25_batch(spark, folder).collect()} == {i: pytest.approx(x, abs=1e-6) for i, x in want.items()} and len(want) == 4
+
+
 def test_entry_and_oracles():
     import __spark_entry__
 
