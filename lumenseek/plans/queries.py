@@ -349,13 +349,13 @@ _HASH = "list_reduce(list_transform(regexp_extract_all(left(text, 40), '(?s).'),
 
 @query(f"SELECT item_id, {_HASH} AS h FROM benchmark")
 def poly_hash(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", numeric.poly_hash32(F.substring("text", 1, 40)).alias("h"))
+    return table(spark, sf_dir, "documents").select("doc_id", numeric.poly_hash32(F.col("text")).alias("h"))
 
 
 @query(f"SELECT item_id, round(list_sum(list_transform(r, lambda x: x / n)), 6) AS total FROM (SELECT item_id, r, sqrt(list_sum(list_transform(r, lambda x: x * x))) AS n FROM (SELECT item_id, list_transform(range(0, 16), lambda i: (sin(CAST(h AS DOUBLE) + i) + cos((CAST(h AS DOUBLE) + i) / 2.0e0)) / 2.0e0) AS r FROM (SELECT item_id, {_HASH} AS h FROM benchmark)))")
 def mock_embedding(spark, sf_dir):
-    v = numeric.mock_embedding(F.substring("text", 1, 40), 16)
-    return table(spark, sf_dir, "benchmark").select("item_id", r6(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    v = numeric.mock_embedding(F.col("text"), 16)
+    return table(spark, sf_dir, "documents").select("doc_id", r6(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
 # blending

@@ -242,6 +242,25 @@ def test_batch_uses_all_terms(spark, tmp_path):
     assert {r.doc_id: r.score for r in queries.bm25_batch(spark, folder).collect()} == {i: pytest.approx(x, abs=1e-6) for i, x in want.items()} and len(want) == 4
 
 
+def test_hashes_read_whole_documents(spark, tmp_path):
+    texts = ["a" * 40 + "b", "a" * 40 + "c", "été " * 500, "", None]
+    folder = saved(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id int, text string"))
+
+    def plain(text):
+        h = 0
+        for c in text:
+            h = (h * 31 + ord(c)) & 0xFFFFFFFF
+        return h - (1 << 32) if h >= 1 << 31 else h
+
+    def total(h):
+        v = [(math.sin(h + i) + math.cos((h + i) / 2)) / 2 for i in range(16)]
+        return pytest.approx(sum(v) / math.sqrt(sum(x * x for x in v)), abs=1e-5)
+
+    want = {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.h for r in queries.poly_hash(spark, folder).collect()} == want and want[0] != want[1]
+    assert {r.doc_id: r.total for r in queries.mock_embedding(spark, folder).collect()} == {i: None if h is None else total(h) for i, h in want.items()}
+
+
 def test_entry_and_oracles():
     import __spark_entry__
 
