@@ -204,7 +204,7 @@ _PATH = "source || '/' || lang || '/' || doc_id || '.md'"
 @query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0") + f"SELECT doc_id, round(score, 6) AS score FROM (SELECT r.*, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS k FROM r JOIN (SELECT doc_id, {_PATH} AS path FROM documents) USING (doc_id) WHERE ends_with(path, '1.md') AND contains(path, '/en/') AND NOT contains(path, 'src1/')) WHERE k <= 10")
 def bm25_filtered(spark, sf_dir):
     named = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
-    named = named.where(paths.path_matches(F.col("path"), extensions=["1.md"], contains="/en/", excludes=["src1/"]))
+    named = named.where(paths.path_matches(F.col("path"), extensions=[".md"], contains="/en/", excludes=["src1/"]))
     scored = ranking.scored_terms(units(spark, sf_dir), KEYS, ranking.query_rows(spark, {"q": QUERY}, ranking.SYMBOL), ranking.SYMBOL)
     return ranking.rank(scored.join(named, "doc_id", "left_semi"), KEYS).select("doc_id", r6("score").alias("score"))
 
@@ -362,8 +362,8 @@ def mock_embedding(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    vector = table(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("key"), (F.lit(1.0) / (F.lit(1.0) + F.abs(F.element_at("embedding", 1).cast("double")))).alias("score"))
-    lexical = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), (F.col("n_chars") % 100).cast("double").alias("score"))
+    vector = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), (F.lit(1.0) / (F.lit(1.0) + F.abs(F.element_at("embedding", 1).cast("double")))).alias("score"))
+    lexical = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), (F.col("n_chars") % 100).cast("double").alias("score"))
     return vector, lexical
 
 

@@ -261,6 +261,17 @@ def test_hashes_read_whole_documents(spark, tmp_path):
     assert {r.doc_id: r.total for r in queries.mock_embedding(spark, folder).collect()} == {i: None if h is None else total(h) for i, h in want.items()}
 
 
+def test_merges_and_filters_keep_all_ids(spark, tmp_path):
+    docs = [(i, "the thing", "en", "src2", 50 + i) for i in range(8)] + [(8, "the", "en", "src1", 9), (9, "the", "de", "src2", 9)]
+    folder = saved(spark, tmp_path, documents=(docs, "doc_id int, text string, lang string, source string, n_chars int"), embeddings=([(i, [float(i)]) for i in range(6, 14)], "vec_id int, embedding array<float>"))
+    v, x = {i: 1 / (1 + i) for i in range(6, 14)}, {d[0]: d[4] % 100 for d in docs}
+    most = max(v.values()), max(x.values())
+    want = {i: (pytest.approx(0.7 * v.get(i, 0) / most[0] + 0.3 * x.get(i, 0) / most[1], abs=1e-6), "hybrid" if i in v and i in x else "vector" if i in v else "lexical") for i in range(14)}
+    assert {r.key: (r.score, r.method) for r in queries.hybrid_merge(spark, folder).collect()} == want
+    assert {r.path for r in queries.coordinator_merge(spark, folder).collect()} == {f"p{i}" for i in range(14)}
+    assert {r.doc_id for r in queries.bm25_filtered(spark, folder).collect()} == set(range(8))
+
+
 def test_entry_and_oracles():
     import __spark_entry__
 
