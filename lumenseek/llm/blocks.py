@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenseek.llm.hashing import ragged
 from lumenseek.llm.scratch import stored
 
 #: Bytes of text after which a block is closed.
@@ -56,6 +57,11 @@ class Block:
         body = np.frombuffer(raw, np.int64, 2 * n + 1, 8)
         return cls(body[:n], np.frombuffer(raw, np.uint8, -1, 8 * (2 * n + 2)), body[n:])
 
+    def take(self, rows: np.ndarray) -> Block:
+        """A block of some of the documents."""
+        size = np.diff(self.bounds)[rows]
+        return Block(self.ids[rows], self.data[ragged(self.bounds[rows], size)], np.concatenate([[0], np.cumsum(size)]))
+
     def id_column(self) -> pa.Array:
         return pa.array(self.ids, pa.int64(), mask=self.ids == NO_ID)
 

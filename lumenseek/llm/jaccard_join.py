@@ -1,46 +1,42 @@
 """Exact Jaccard join of shingle sets in their metric space, up to connected components.
 
-The distance 1 - J is a metric, so pivots can cut it into Voronoi regions and the triangle inequality says which
-documents near a border belong to two regions. Around randomly chosen documents this cuts nothing: unrelated documents
-are at distance exactly 1 from every pivot and would be copied to all regions. So the first pivots are chosen by content:
-
-1. Documents of equal sets are one. The sets of a size class are split by hash into more parts than two linked sets can
-   differ in elements, so linked sets agree in a whole part that is not empty (sets with too many empty parts add single
-   elements of a prefix, which linked sets must share). All sets that agree in a part take the smallest of them as pivot;
-   a set near the upper border of its size class is also in the next one. Sets that share a pivot, directly or over
-   others, are a region; links never leave it.
-2. Regions of more than REGION sets are cut at documents of their own: every set goes to its nearest pivot and to those
-   that are at most twice the radius farther, over and over while that makes them smaller with few copies.
-3. In a region, sets not yet covered become pivots one after another; a pivot's distances to the sets that share an
-   element with it (found by the region's inverted lists) are exact, all others are 1; sets within the radius are its cell and link with it. Sets of two cells are compared only where their distances to
-   both pivots allow a link, and not if they are connected already.
+The distance 1 - J is a metric: pivots cut it into Voronoi regions, and the triangle inequality says which documents
+near a border must also be copied into another region. Unrelated documents are at distance exactly 1 from all pivots,
+so a document is measured only against pivots that it shares a rare shingle with:
+
+1. Documents of equal sets are one. Blocks of documents learn in how many sets each shingle is. A set's elements are
+   ordered from the rarest on; linked sets share one of the first n - ceil(n * percent / 100) + 1 of them, so a set
+   without such a shingle in common with any other is done.
+2. Of all sets that share such a shingle, the one of the smallest signature is its pivot; a set goes to the region of
+   each pivot that it has this way, so linked sets meet in a region. Nothing is closed transitively before it is verified.
+3. A region of more than REGION elements is cut at up to FAN pivots of its own, in proportion to its size: a set goes to
+   its nearest pivot and to those at most twice the radius farther. A set within the radius of its pivot is linked with
+   it; it is not copied to pivots that are connected with its own. Cells too large are cut again, and a region whose cells
+   are hardly smaller (all sets are near each other, but few linked) is tiled: each two of its chunks meet in one task.
+4. In a region's task, sets not yet covered become pivots one after another, every set belongs to the nearest, and sets
+   of two cells are compared only where their distances to both pivots allow a link, and not if connected already.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from lumenseek.llm.blocks import ANSWER, QUESTION, Block, bucket_count, first_of_runs, packed, question_batch, questions
+from lumenseek.llm.blocks import ANSWER, QUESTION, Block, bucket_count, cut, first_of_runs, packed, question_batch
 from lumenseek.llm.components import components
 from lumenseek.llm.hashing import BASES, Runs, Words, mix, ragged
-from lumenseek.llm.scratch import stored
-
-#: Sizes of a class lie within this ratio.
-CLASS_RATIO = 1.5
-#: Sets that a region may hold before it is cut (one task joins so many by inverted lists within some 300 MB), pivots it
-#: is cut at, and times it is cut at most.
-REGION, PIVOTS, CUTS = 20_000, 16, 4
-#: A region is left whole if cutting it would make more copies than this, as a multiple of its sets.
-COPIES = 1.5
-#: Sets of a large region that are compared with its pivots at once.
-CHUNK = 500
+from lumenseek.llm.scratch import discard, stored
+
+#: Elements of a region that one task joins; a set counts as LEAST at least, which bounds the sets of a region as well.
+REGION, LEAST = 1 << 17, 64
+#: Pivots that a region is cut at, at most; larger regions are cut again.
+FAN = 64
+#: Elements of the regions that are joined by one call, and sets of a region that are measured by one call.
+CALL, CHUNK = 1 << 19, 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -66,60 +62,40 @@ class _Sets:
         self.first = np.searchsorted(self.doc, np.arange(n + 1))
         self.size = np.diff(self.first)
 
-    def signatures(self) -> list[bytes]:
-        """16 bytes per document that agree where sets are equal."""
+    def signatures(self) -> np.ndarray:
+        """Two int64 per document that agree where sets are equal."""
         sums = [np.zeros(len(self.size), np.uint64) for _ in BASES]
         for s, base in zip(sums, BASES, strict=True):
             np.add.at(s, self.doc, mix(self.item + np.uint64(base)))
-        return [a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)]
-
-
-def _class_of(size: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(size, 1)) / math.log(CLASS_RATIO) + 1e-9).astype(np.int64)
-
-
-def _most_apart(size: np.ndarray, percent: int) -> np.ndarray:
-    """Elements that a set of this size and a linked set that is not smaller can differ in."""
-    return size * (100 - percent) // percent
-
-
-def part_keys(sets: _Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the document of each, such that linked sets have one in common."""
-    keys, docs = [], []
-    own = _class_of(sets.size)
-    above = _class_of(sets.size * 100 // percent)
-    exposed = np.zeros(len(sets.size), bool)
-    for level in (own, own + 1):
-        chosen = (sets.size > 0) & ((level == own) | (above >= level))
-        top = np.ceil(np.power(CLASS_RATIO, level + 1)).astype(np.int64)  # sizes of the class are below this
-        apart = _most_apart(top, percent)
-        parts = np.where(chosen, apart + 2 + apart // 64, 0)
-        base = np.cumsum(parts) - parts
-        at = np.flatnonzero(chosen[sets.doc])
-        doc, item = sets.doc[at], sets.item[at]
-        spread = mix(item + (level[doc].astype(np.uint64) + np.uint64(1)) * np.uint64(BASES[1]))
-        part = ((spread >> np.uint64(32)) * parts[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        group = base[doc] + part
-        total = int(parts.sum())
-        sums = np.zeros(total, np.uint64)
-        np.add.at(sums, group, mix(item ^ np.uint64(BASES[0])))
-        count = np.bincount(group, minlength=total)
-        of = np.repeat(np.arange(len(parts)), parts)
-        number = np.arange(total) - base[of]
-        filled = count > 0
-        tag = mix((level[of].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
-        keys.append(mix(sums + tag * np.uint64(BASES[1]))[filled])
-        docs.append(of[filled])
-        empty = np.bincount(of[~filled], minlength=len(parts))
-        # parts without a difference, less those that are empty, might be none
-        exposed |= chosen & (parts - _most_apart(sets.size, percent) - empty <= 0)
-    # an exposed set's smallest elements: linked sets share one of them
-    prefix = sets.size - -(-sets.size * percent // 100) + 1
-    rank = np.arange(len(sets.item)) - sets.first[:-1][sets.doc]
-    at = np.flatnonzero(exposed[sets.doc] & (rank < prefix[sets.doc]))
-    keys.append(mix(sets.item[at] + np.uint64(12345)))
-    docs.append(sets.doc[at])
-    return np.concatenate(keys), np.concatenate(docs)
+        return np.stack(sums).view(np.int64)
+
+
+def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as gaps, byte plane by byte plane (the high ones are mostly zero), and their counts, compressed."""
+    import zstandard
+
+    gaps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    body = np.ascontiguousarray(gaps).tobytes() + np.minimum(counts, 65535).astype(np.uint16).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack_keys(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
+    n = len(raw) // 10
+    gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64), raw[8 * n :].view(np.uint16)
+
+
+def rarity(count: np.ndarray) -> np.ndarray:
+    """A uint8 that grows with count: counts up to 32 themselves, above 16 steps per doubling."""
+    return np.where(count <= 32, count, np.minimum(255, 32 + np.floor(16 * np.log2(np.maximum(count, 32) / 32)))).astype(np.uint8)
+
+
+def prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
+    """Of how many elements, in any order common to all sets, linked sets share one."""
+    return size - -(-size * percent // 100) + 1
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -127,12 +103,13 @@ def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
 
 
 class Region:
-    """Sets with identifiers; join() gives edges that connect what links connect."""
+    """Sets with identifiers, of `size` elements each, `held` of which lie in flat: the others are in no other set.
 
-    def __init__(self, ids: np.ndarray, flat: np.ndarray, size: np.ndarray, percent: int):
-        self.ids, self.percent, self.radius = ids, percent, 1 - percent / 100 + 1e-6
+    join() gives edges that connect what links connect."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, flat: np.ndarray, held: np.ndarray, percent: int):
+        self.ids, self.percent, self.radius = ids, percent, 1 - percent / 100 + 1e-9
         self.size = size
-        # elements of one set alone are in no intersection; they only count in its size
         order = np.argsort(flat, kind="stable")
         new = first_of_runs(flat[order])
         number = np.empty(len(flat), np.int32)
@@ -140,12 +117,12 @@ class Region:
         shared = np.bincount(number) > 1
         place = np.cumsum(shared, dtype=np.int32) - 1
         keep = shared[number]
-        self.held = np.add.reduceat(keep, np.cumsum(size) - size).astype(np.int64)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), held)
+        self.held = np.bincount(owner[keep], minlength=len(size))
         self.bounds = np.concatenate([[0], np.cumsum(self.held)])
         #: elements of each set, and the sets of each element
         self.element = place[number[keep]]
-        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
-        self.owner = owner[keep[order]]
+        self.owner = owner[order][keep[order]]
         self.having = np.bincount(self.element, minlength=int(shared.sum()))
         self.from_ = np.cumsum(self.having) - self.having
         self.mark = np.zeros(len(self.having), bool)
@@ -157,13 +134,13 @@ class Region:
         return int(x)
 
     def met(self, x: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sets that share an element with set x, itself included, and the sizes of the intersections. A set of
-        elements that no other has meets itself."""
+        """The sets at a distance below 1 from set x, itself included, and their distances."""
         own = self.element[self.bounds[x] : self.bounds[x + 1]]
         both = np.bincount(self.owner[ragged(self.from_[own], self.having[own])], minlength=len(self.ids))
         both[x] = self.size[x]
         others = np.flatnonzero(both)
-        return others, both[others]
+        both = both[others]
+        return others, 1 - both / (self.size[x] + self.size[others] - both)
 
     def common(self, x: int, others: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of set x with others."""
@@ -180,108 +157,163 @@ class Region:
         def link(x: int, y: int) -> None:
             a, b = self.find(x), self.find(y)
             if a != b:
-                self.parent[max(a, b)] = min(a, b)  # of places, not of ids
+                self.parent[max(a, b)] = min(a, b)
                 edges.append((int(self.ids[x]), int(self.ids[y])))
 
-        cell = np.full(n, -1)
+        # pivots until every set is within the radius of one; a set's cell is that of the nearest
+        cell, nearest = np.full(n, -1), np.full(n, np.inf)
         pivots: list[int] = []
-        # distances below 1 from the pivots of cells with more members; a pivot alone has met all that it can link with
         met: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for p in range(n):
             if cell[p] >= 0:
                 continue
-            others, both = self.met(p)
-            near = others[linked(both, self.size[p], self.size[others], self.percent)]
+            others, gaps = self.met(p)
+            both = np.rint((1 - gaps) * (self.size[p] + self.size[others]) / (2 - gaps)).astype(np.int64)
+            inside = linked(both, self.size[p], self.size[others], self.percent)
+            near = others[inside]
             for y in near.tolist():
                 link(p, y)
-            fresh = near[cell[near] < 0]
-            cell[fresh] = len(pivots)
-            if len(fresh) > 1:
-                met[len(pivots)] = others, 1 - both / (self.size[p] + self.size[others] - both)
+            closer = gaps[inside] < nearest[near]
+            cell[near[closer]], nearest[near[closer]] = len(pivots), gaps[inside][closer]
+            met[len(pivots)] = others, gaps
             pivots.append(p)
+        members = np.bincount(cell, minlength=len(pivots))
+        # a pivot alone in its cell has been compared with all
+        met = {a: x for a, x in met.items() if members[a] > 1}
 
         def distance(a: int, sets: np.ndarray) -> np.ndarray:
+            if a not in met:
+                return np.ones(len(sets))
             others, gaps = met[a]
             at = np.minimum(np.searchsorted(others, sets), len(others) - 1)
             return np.where(others[at] == sets, gaps[at], 1.0)
 
         is_pivot = np.zeros(n, bool)
         is_pivot[pivots] = True
-        # members of two cells whose pivots are near enough, and that nothing has connected
         for a, (others, gaps) in met.items():
-            p = pivots[a]
-            members = others[(cell[others] == a) & (others != p)]
-            inside = distance(a, members)
-            # what lies outside the cell within reach of its farthest member; pivots have been compared with all
-            near = others[(gaps <= inside.max() + self.radius) & (cell[others] > a) & ~is_pivot[others]]
-            for y in near.tolist():
-                if self.find(y) == self.find(p):
+            home = others[(cell[others] == a) & ~is_pivot[others]]
+            if not len(home):
+                continue
+            inside = distance(a, home)
+            # what lies outside the cell within reach of its farthest member
+            window = others[(gaps <= inside.max() + self.radius) & (cell[others] > a) & ~is_pivot[others]]
+            for y in window.tolist():
+                if self.find(y) == self.find(pivots[a]):
                     continue
-                window = members[(np.abs(inside - distance(a, np.array([y]))) <= self.radius) & (np.abs(distance(cell[y], members) - distance(cell[y], np.array([y]))) <= self.radius)]
-                if not len(window):
+                own = distance(a, np.array([y])), distance(cell[y], np.array([y]))
+                close = home[(np.abs(inside - own[0]) <= self.radius) & (np.abs(distance(cell[y], home) - own[1]) <= self.radius)]
+                if not len(close):
                     continue
-                both = self.common(y, window)
-                hits = window[linked(both, self.size[y], self.size[window], self.percent)]
+                hits = close[linked(self.common(y, close), self.size[y], self.size[close], self.percent)]
                 if len(hits):
                     link(int(hits[0]), y)
         return edges
 
 
 def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All elements of a column of sets one after another, without a copy, and the sets' sizes."""
+    """All elements of a column of sets one after another, without a copy, and how many each set has."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        column = column.combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2], np.uint64)[bounds[0] // 8 : bounds[-1] // 8], np.diff(bounds).astype(np.int64) // 8
 
 
-def _cut(sets: DataFrame, percent: int) -> DataFrame:
-    """(region, id, items): regions of more than REGION sets cut at PIVOTS of their own sets.
+CELL = "region string, id long, cell string, open boolean, a long, b long"
 
-    A region is dealt out in chunks of about CHUNK sets; each chunk gets a copy of the region's pivots."""
-    radius = 1 - percent / 100 + 1e-9
 
-    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
-        pivots = right.sort_by("number").column("pivot").to_pylist() if right.num_rows else []
-        if not left.num_rows or not pivots:
-            return pa.table({"cell": pa.array([], pa.string()), "region": pa.array([], pa.string()), "id": pa.array([], pa.int64())})
-        flat, size = _flat(left.column("items"))
-        ends = np.concatenate([[0], np.cumsum(size)])
-        gaps = np.empty((len(pivots), len(size)))
-        for j, raw in enumerate(pivots):
-            other = np.frombuffer(raw, np.uint64)  # in order
-            at = np.minimum(np.searchsorted(other, flat), len(other) - 1)
-            hits = np.concatenate([[0], np.cumsum(other[at] == flat)])
-            both = hits[ends[1:]] - hits[ends[:-1]]
-            gaps[j] = 1 - both / (size + len(other) - both)
-        to, row = np.nonzero(gaps <= gaps.min(axis=0) + 2 * radius)
-        part = left.select(["region", "id"]).take(pa.array(row))
-        cells = [f"{region}.{j}" for region, j in zip(part.column("region").to_pylist(), to.tolist(), strict=True)]
-        return pa.table({"cell": pa.array(cells, pa.string()), "region": part.column("region"), "id": part.column("id")})
-
-    for _ in range(CUTS):
-        counts = sets.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-        large = stored(counts.where(F.col("n") > REGION).withColumn("chunks", F.ceil(F.col("n") / CHUNK)), "large-regions")
-        most = large.agg(F.max("n")).first()[0]
-        if not most:
-            break
-        inside = sets.join(large, "region").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        named = sets.select("region", "id").join(large, "region").withColumn("h", F.xxhash64("id", F.lit(1)))
-        first = F.row_number().over(W.partitionBy("region").orderBy("h", "id"))
-        named = named.withColumn("number", first).where(F.col("number") <= PIVOTS).select("region", "id", "number", "chunks")
-        pivots = sets.join(named, ["region", "id"]).select(F.col("region").alias("of"), "number", F.col("items").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
-        pair = inside.select("region", "chunk", "id", "items").groupBy("region", "chunk").cogroup(pivots.groupBy("of", "part"))
-        cells = stored(pair.applyInArrow(spread, "cell string, region string, id long"), "region-cells")
-        # a region is cut only if its cells are smaller and hold few copies; else cells inside the region do better
-        per_cell = cells.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("m"))
-        good = per_cell.groupBy("region").agg(F.max("m").alias("most"), F.sum("m").alias("copies")).join(large, "region")
-        good = stored(good.where((F.col("most") <= 0.8 * F.col("n")) & (F.col("copies") <= COPIES * F.col("n"))).select("region"), "good-cuts")
-        if not good.head():
+def measure(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Rows of CELL for sets of one region (left: region, id, n, items) and its pivots (right: pivot, size, elements).
+
+    A row with a cell places a set there; open says that it may link with something there that it is not known to be
+    connected with. A row with a and b is a link, or a connection of two pivots over a set linked with both."""
+    radius = 1 - percent / 100 + 1e-9
+    empty = pa.table({"region": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "cell": pa.array([], pa.string()), "open": pa.array([], pa.bool_()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not left.num_rows or not right.num_rows:
+        return empty
+    right = right.sort_by("pivot")
+    pivots = right.column("pivot").to_numpy()
+    flat, held = _flat(left.column("items"))
+    size, ids = left.column("n").to_numpy(), left.column("id").to_numpy()
+    ends = np.concatenate([[0], np.cumsum(held)])
+    gaps = np.empty((len(pivots), len(size)))
+    near = np.empty((len(pivots), len(size)), bool)
+    for j, (pivot, n, raw) in enumerate(zip(pivots, right.column("size").to_pylist(), right.column("elements").to_pylist(), strict=True)):
+        other = np.frombuffer(raw, np.uint64)  # in order
+        at = np.minimum(np.searchsorted(other, flat), max(len(other) - 1, 0))
+        hits = np.concatenate([[0], np.cumsum(other[at] == flat)]) if len(other) else np.zeros(len(flat) + 1, np.int64)
+        both = hits[ends[1:]] - hits[ends[:-1]]
+        both[ids == pivot] = n
+        gaps[j] = 1 - both / (size + n - both)
+        near[j] = linked(both, size, n, percent)
+    home = gaps.argmin(axis=0)
+    core = near[home, np.arange(len(size))]
+    # pivots connected over sets of this call
+    group = np.arange(len(pivots))
+    ties = []
+    for j in range(len(pivots)):
+        for k in np.unique(home[near[j] & core]).tolist():
+            if group[k] != group[j]:
+                ties.append((pivots[j], pivots[k]))
+                group[group == group[k]] = group[j]
+    window = gaps <= gaps[home, np.arange(len(size))] + 2 * radius
+    known = core & (group[:, None] == group[home][None, :])
+    copied = window & ~known
+    copied[home, np.arange(len(size))] = True
+    to, row = np.nonzero(copied)
+    region = left.column("region").to_pylist()
+    links = [*ties, *((int(ids[x]), int(pivots[home[x]])) for x in np.flatnonzero(core).tolist() if ids[x] != pivots[home[x]])]
+    is_open = ~(core[row] & (home[row] == to))
+    placed = pa.table({
+        "region": pa.array([region[x] for x in row.tolist()], pa.string()), "id": pa.array(ids[row]), "cell": pa.array([f"{region[x]}.{j}" for x, j in zip(row.tolist(), to.tolist(), strict=True)], pa.string()),
+        "open": pa.array(is_open), "a": pa.nulls(len(row), pa.int64()), "b": pa.nulls(len(row), pa.int64()),
+    })
+    n = len(links)
+    found = pa.table({
+        "region": pa.array(region[:1] * n, pa.string()), "id": pa.nulls(n, pa.int64()), "cell": pa.nulls(n, pa.string()), "open": pa.nulls(n, pa.bool_()),
+        "a": pa.array([int(x) for x, _ in links], pa.int64()), "b": pa.array([int(y) for _, y in links], pa.int64()),
+    })
+    return pa.concat_tables([placed, found])
+
+
+def cut_regions(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Regions (region, id, n, items, weight) none of which weighs more than REGION, and edges found on the way."""
+    small: list[DataFrame] = []
+    edges: list[DataFrame] = []
+    while True:
+        total = stored(sets.groupBy("region").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("m"), F.min("id").alias("root")), "region-sizes")
+        if not total.where(F.col("total") > REGION).head(1):
+            small.append(sets)
             break
-        moved = cells.join(good, "region").select(F.col("region").alias("of"), F.col("id").alias("member"), "cell")
-        cut = sets.join(moved, (F.col("region") == F.col("of")) & (F.col("id") == F.col("member"))).select(F.col("cell").alias("region"), "id", "items")
-        sets = stored(sets.join(good, "region", "left_anti").unionByName(cut), "region-sets")
-    return sets
+        large = total.where(F.col("total") > REGION).withColumn("pivots", F.least(F.lit(FAN), F.ceil(4 * F.col("total") / REGION))).withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("tiles", F.ceil(2 * F.col("total") / REGION))
+        small.append(sets.join(large.select("region"), "region", "left_anti"))
+        inside = sets.join(large, "region")
+        # pivots: the first of the region, and a sample by hash
+        sampled = F.pmod(F.xxhash64("id", "region"), F.col("m")) < F.col("pivots")
+        pivots = inside.where(sampled | (F.col("id") == F.col("root"))).select(F.col("region").alias("of"), F.col("id").alias("pivot"), F.col("n").alias("size"), F.col("items").alias("elements"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
+        dealt = inside.select("region", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "n", "items")
+        met = dealt.groupBy("region", "chunk").cogroup(pivots.groupBy("of", "part"))
+        placed = stored(met.applyInArrow(lambda left, right: measure(left, right, percent), CELL), "region-cells")
+        edges.append(placed.where("a IS NOT NULL").select("a", "b"))
+        # a cut counts if its cells are smaller by half, and hold no more than two copies of a set on average
+        weighed = placed.where("cell IS NOT NULL").join(sets.select("region", "id", "weight"), ["region", "id"])
+        cells = stored(weighed.groupBy("region", "cell").agg(F.sum("weight").alias("total"), F.max("open").alias("open")), "cell-sizes")
+        good = cells.groupBy("region").agg(F.max("total").alias("most"), F.sum("total").alias("all")).join(large, "region")
+        good = stored(good.where((2 * F.col("most") <= F.col("total")) & (F.col("all") <= 2 * F.col("total"))).select("region"), "good-cuts")
+        moved = placed.where("cell IS NOT NULL").select("region", "id", "cell").join(good, "region").join(cells.where("open").select("region", "cell"), ["region", "cell"])
+        again = moved.join(sets, ["region", "id"]).select(F.col("cell").alias("region"), "id", "n", "items", "weight")
+        number = F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+        tiled = inside.join(good, "region", "left_anti").select("region", "id", "n", "items", "weight", number.alias("i"), other.alias("j"))
+        tiled = tiled.select(F.concat_ws("/", "region", F.least("i", "j"), F.greatest("i", "j")).alias("region"), "id", "n", "items", "weight")
+        small.append(stored(tiled, "region-tiles"))
+        sets = stored(again, "region-sets")
+    out = small[0]
+    for x in small[1:]:
+        out = out.unionByName(x)
+    return out, edges
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -289,15 +321,17 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A set holds the distinct runs of `shingle` words (A-Z in lower case) of the whole text; with fewer words, all of them
     as one. Two documents link when 100 * intersection >= percent * union. Null and empty texts, and texts of white space
-    only, have no shingles and link with nothing. Rows of equal texts link whatever their ids; a null id never is a
-    component's, and its row comes out with a null component unless it is linked. Other columns are not read. An empty
-    table gives an empty table.
+    only, have no shingles and link with nothing. Rows of equal sets link whatever their ids; a null id never is a
+    component's, and its row comes out with a null component unless it is linked with a row that has one. Rows that share
+    an id are documents of their own. Other columns are not read. An empty table gives an empty table.
     """
-    if not 67 <= percent <= 100:
-        raise ValueError("percent must be at least 67, so that a set meets sets of its own and the next size class only, and at most 100")
+    if not 0 < percent <= 100:
+        raise ValueError("percent must lie between 1 and 100")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = packed(rows, "id", "text")
-    buckets = bucket_count(rows, "text", 0.3 / 7)
+    buckets = bucket_count(rows, "text", 1 / 6)
+    # keys have some 8 bits more than are needed to number all shingles: one in 256 seems shared that is not
+    shift = np.uint64(64 - min(64, (buckets << 19).bit_length() + 8))
 
     # classes of equal sets
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,110 +339,99 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = Block.load(blob.as_buffer())
                 sets = _Sets(own, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own.ids), number)), pa.array(np.arange(len(own.ids))), own.id_column(), pa.array(sets.size.astype(np.int64)), pa.array(sets.signatures(), pa.binary())], ["block", "row", "id", "n", "signature"])
-
-    every = stored(blocks.select("block", "blob").mapInArrow(describe, "block long, row long, id long, n long, signature binary"), "sets")
-    # one row stands for each set: that of the smallest id
-    key = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "block", "row")
-    classes = every.where("n > 0").groupBy("n", "signature").agg(F.min(key).alias("least"))
-    classes = stored(classes.select("n", "signature", F.col("least.id").alias("rep"), F.col("least.block").alias("block"), F.col("least.row").alias("row")), "set-classes")
-    chosen = classes.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-
-    # pivots: of each key, the smallest document that has it
-    def keys_of(own: Block, rows: np.ndarray) -> tuple[_Sets, np.ndarray, np.ndarray]:
-        sets = _Sets(own, shingle)
-        keys, doc = part_keys(sets, percent)
-        use = np.isin(doc, rows)
-        keys, ids = keys[use], own.ids[doc[use]]
-        order = np.lexsort((ids, keys))
-        return sets, keys[order], ids[order]
+                node, more = sets.signatures()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own.ids), number)), pa.array(np.arange(len(own.ids))), own.id_column(), pa.array(sets.size.astype(np.int64)), pa.array(node), pa.array(more)], ["block", "row", "id", "n", "node", "more"])
+
+    every = stored(blocks.select("block", "blob").mapInArrow(describe, "block long, row long, id long, n long, node long, more long"), "sets")
+    classes = every.where("n > 0").groupBy("node", "more", "n").agg(F.min(F.struct("block", "row")).alias("at"), F.min("id").alias("rep"))
+    classes = stored(classes.select("node", "more", "n", "rep", "at.block", "at.row"), "set-classes")
+    # a set can link with a different one only if one element more leaves it similar enough
+    able = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+    chosen = able.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("row", "node"))).alias("rows"))
+    chosen = blocks.join(chosen, "block").select("block", "blob", F.col("rows.row").alias("rows"), F.col("rows.node").alias("nodes"))
+
+    def sets_of(blob: pa.Scalar, rows: pa.Scalar) -> tuple[_Sets, np.ndarray, np.ndarray, np.ndarray]:
+        """The sets of chosen rows, and the distinct keys of their elements in order, their places and counts."""
+        sets = _Sets(Block.load(blob.as_buffer()).take(np.asarray(rows.values)), shingle)
+        keys, place, counts = np.unique(sets.item >> shift, return_inverse=True, return_counts=True)
+        return sets, keys, place, counts
 
     def question(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                _, keys, ids = keys_of(Block.load(blob.as_buffer()), np.asarray(rows.values))
-                new = first_of_runs(keys)
-                last = np.append(np.flatnonzero(new)[1:], len(keys)) - 1 if len(keys) else np.empty(0, np.int64)
-                # documents of this block beside the smallest have it in the answer; they need no question
-                several = ids[last] != ids[new]
-                yield question_batch(list(questions(number, buckets, keys[new], ids[new], several.astype(np.uint8))))
-
-    with_rows = blocks.join(chosen, "block").select("block", "blob", "rows")
-    asked = with_rows.mapInArrow(question, QUESTION)
-
-    def least(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        keys, ids, several, sizes = [], [], [], []
-        for payload in table.column("payload"):
-            raw = payload.as_buffer()
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            sizes.append(n)
-            keys.append(np.frombuffer(raw, np.uint64, n, 8))
-            ids.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
-            several.append(np.frombuffer(raw, np.uint8, n, 8 + 16 * n))
-        key, own, more = np.concatenate(keys), np.concatenate(ids), np.concatenate(several)
-        order = np.lexsort((own, key))
-        new = first_of_runs(key[order])
+                _, keys, _, counts = sets_of(blob, rows)
+                bounds = cut(keys << shift, buckets)
+                yield question_batch([(int(b), number, pack_keys(keys[bounds[b] : bounds[b + 1]], counts[bounds[b] : bounds[b + 1]])) for b in np.flatnonzero(np.diff(bounds))])
+
+    def counted(table: pa.Table) -> pa.Table:
+        parts = [unpack_keys(x.as_buffer()) for x in table.column("payload")]
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        new = first_of_runs(keys[order])
         group = np.cumsum(new) - 1
-        shared = (np.bincount(group) > 1) | (np.bincount(group, weights=more[order]) > 0)
-        pivot, goes = np.empty(len(key), np.int64), np.empty(len(key), bool)
-        pivot[order], goes[order] = own[order][new][group], shared[group]
-        # only what is shared goes back: places in the block's question, and their pivots
-        out_block, out_bucket, out = [], [], []
-        for block, bucket, part in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), np.split(np.arange(len(key)), np.cumsum(sizes)[:-1]), strict=True):
-            hit = np.flatnonzero(goes[part])
-            if len(hit):
-                out_block.append(block)
-                out_bucket.append(bucket)
-                out.append(key[part][hit].tobytes() + pivot[part][hit].tobytes())
-        return pa.table({"block": pa.array(out_block, pa.int64()), "bucket": pa.array(out_bucket, pa.int32()), "answer": pa.array(out, pa.binary())})
-
-    answers = asked.groupBy("bucket").applyInArrow(least, ANSWER).groupBy("block").agg(F.collect_list("answer").alias("answers"))
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.bincount(group, weights=np.concatenate([c for _, c in parts])[order])
+        out = np.empty(len(keys), np.uint8)
+        out[order] = rarity(sums)[group]
+        given = np.split(out, np.cumsum([len(k) for k, _ in parts])[:-1])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "answer": pa.array([x.tobytes() for x in given], pa.binary())})
+
+    answers = chosen.select("block", "blob", "rows").mapInArrow(question, QUESTION).groupBy("bucket").applyInArrow(counted, ANSWER)
+    answers = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
+
+    # sets that share a rare shingle: their shared elements, and the rare ones among them
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, rows, given in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                _, keys, ids = keys_of(Block.load(blob.as_buffer()), np.asarray(rows.values))
-                known, pivot = [], []
-                for x in given.values:
-                    raw = x.as_buffer()
-                    n = len(raw) // 16
-                    known.append(np.frombuffer(raw, np.uint64, n))
-                    pivot.append(np.frombuffer(raw, np.int64, n, 8 * n))
-                known, pivot = np.concatenate(known), np.concatenate(pivot)
-                order = np.argsort(known)
-                known, pivot = known[order], pivot[order]
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
-                pairs = np.unique(np.stack([ids[hit], pivot[at[hit]]]), axis=1)
-                pairs = pairs[:, pairs[0] != pairs[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    near = with_rows.join(answers, "block").select("blob", "rows", "answers").mapInArrow(edges, "a long, b long")
-    regions = components(near)
-
-    # the sets of each region meet
-    placed = stored(regions.join(classes.select(F.col("rep").alias("node"), "block", "row"), "node"), "regions")
-    per_block = placed.groupBy("block").agg(F.collect_list(F.struct("row", "component")).alias("members"))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for blob, rows, nodes, given in zip(*batch.columns, strict=True):
+                sets, keys, place, _ = sets_of(blob, rows)
+                rare = np.frombuffer(b"".join(x["answer"] for x in given.as_py()), np.uint8)[place]
+                assert len(rare) == len(sets.item)
+                order = np.lexsort((sets.item, rare, sets.doc))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order)) - sets.first[sets.doc]
+                shared = rare > 1
+                key = shared & (rank < prefix_size(sets.size, percent)[sets.doc])
+                node = np.asarray(nodes.values)
+                active = np.unique(sets.doc[key])
+                rows_of = lambda which, d: sets.item[sets.first[d] : sets.first[d + 1]][which[sets.first[d] : sets.first[d + 1]]].tobytes()
+                for k in range(0, len(active), CHUNK):
+                    part = active[k : k + CHUNK]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(sets.size[part].astype(np.int64)), pa.array([rows_of(shared, d) for d in part], pa.binary()), pa.array([rows_of(key, d) for d in part], pa.binary())], ["id", "n", "items", "keys"])
+
+    active = chosen.join(answers, "block").select("blob", "rows", "nodes", "answers").mapInArrow(share, "id long, n long, items binary, keys binary")
+    active = stored(active, "active-sets")
+    discard(blocks)
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, members in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = Block.load(blob.as_buffer())
-                sets = _Sets(own, shingle)
-                for k in range(0, len(members), 512):
-                    part = members[k : k + 512]
-                    raw = [sets.item[sets.first[m["row"]] : sets.first[m["row"] + 1]].tobytes() for m in part]
-                    yield pa.RecordBatch.from_arrays([pa.array([str(m["component"]) for m in part]), pa.array([int(own.ids[m["row"]]) for m in part]), pa.array(raw, pa.binary())], ["region", "id", "items"])
+            key, count = _flat(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), count))], ["key", "id"])
 
-    sets = blocks.join(per_block, "block").select("blob", "members").mapInArrow(emit, "region string, id long, items binary")
-    sets = _cut(stored(sets, "region-sets"), percent)
+    keyed = active.select("id", "keys").mapInArrow(keys_of, "key long, id long")
+    pivots = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot")
+    regions = keyed.join(pivots, "key").select("pivot", "id").distinct()
+    sets = regions.join(active.select("id", "n", "items"), "id").select(F.col("pivot").cast("string").alias("region"), "id", "n", "items")
+    sets = stored(sets.withColumn("weight", F.greatest(F.octet_length("items") / 8, F.lit(LEAST)).cast("long")), "region-sets")
+    discard(active)
+    sets, edges = cut_regions(sets, percent)
 
     def join(table: pa.Table) -> pa.Table:
-        found = Region(table.column("id").to_numpy(), *_flat(table.column("items")), percent).join()
+        found: list[tuple[int, int]] = []
+        table = table.sort_by("region")
+        new = first_of_runs(np.asarray(table.column("region").to_pylist(), object))
+        bounds = [*np.flatnonzero(new).tolist(), table.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            part = table.slice(a, b - a)
+            found += Region(part.column("id").to_numpy(), part.column("n").to_numpy(), *_flat(part.column("items")), percent).join()
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    links = components(sets.groupBy("region").applyInArrow(join, "a long, b long"))
-    found = classes.select("n", "signature", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("n", "signature", F.coalesce("component", "rep").alias("component_id"))
-    out = every.join(found, ["n", "signature"], "left")
+    calls = max(1, (sets.agg(F.sum("weight")).first()[0] or 0) // CALL)
+    edges.append(sets.withColumn("call", F.pmod(F.xxhash64("region"), F.lit(calls))).groupBy("call").applyInArrow(join, "a long, b long"))
+    links = edges[0]
+    for x in edges[1:]:
+        links = links.unionByName(x)
+    reached = components(links)
+    least = classes.join(reached, "node")
+    least = stored(least.join(least.groupBy("component").agg(F.min("rep").alias("least")), "component").select("node", "more", "n", "least"), "components")
+    found = classes.join(least, ["node", "more", "n"], "left").select("node", "more", "n", F.coalesce("least", "rep").alias("component_id"))
+    out = every.join(found, ["node", "more", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

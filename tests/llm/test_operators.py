@@ -254,29 +254,56 @@ def test_regions_are_exact():
             b[rng.integers(0, len(b), k)] = rng.integers(0, 2**63, k).astype(np.uint64)
             sets.append(np.unique(b))
         ids = np.arange(len(sets))
-        found = Region(ids, np.concatenate(sets), np.array([len(x) for x in sets]), 80).join()
+        size = np.array([len(x) for x in sets])
+        found = Region(ids, size, np.concatenate(sets), size, 80).join()
         plain = [set(x.tolist()) for x in sets]
         links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])]
         assert components_of(range(len(sets)), found) == components_of(range(len(sets)), links)
 
 
-def test_large_regions_are_cut(spark, monkeypatch):
+@pytest.mark.parametrize(("edits", "way"), [(3, "cells"), (9, "tiles")])
+def test_large_regions_are_cut(spark, edits, way, monkeypatch):
+    """Near copies of one text: most are linked and cells shrink, or none is and the region is tiled; no constant is patched."""
     from lumenseek.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "REGION", 10)
-    monkeypatch.setattr(jaccard_join, "CHUNK", 7)
+    seen = []
+    whole = jaccard_join.cut_regions
+    monkeypatch.setattr(jaccard_join, "cut_regions", lambda sets, percent: seen.append(whole(sets, percent)) or seen[-1])
     rng = random.Random(4)
-    base = [[f"w{rng.randrange(900)}" for _ in range(80)] for _ in range(2)]
+    base = [f"w{k}" for k in range(300)]
     table = []
-    for i in range(90):
-        w = list(base[i % 2])
-        for _ in range(rng.randrange(5)):
-            w[rng.randrange(80)] = f"n{rng.randrange(99)}"
+    for i in range(700):
+        w = list(base)
+        for k in rng.sample(range(300), edits if i % 5 else 1):
+            w[k] = f"n{rng.randrange(10**6)}"
         table.append((i, " ".join(w)))
-    got = {r.doc_id: r.component_id for r in jaccard_classes(spark.createDataFrame(table, "doc_id long, text string")).collect()}
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(76)} for i, t in table}
-    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in jaccard_classes(spark.createDataFrame(table, "doc_id long, text string"), shingle=5, percent=80).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in table}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(c := sets[a] & sets[b]) >= 80 * (len(sets[a]) + len(sets[b]) - len(c))]
     assert got == components_of(sets, links)
+    (regions, edges), = seen
+    names = {r.region for r in regions.select("region").distinct().collect()}
+    assert edges and edges[0].count() > 0
+    assert any(("/" if way == "tiles" else ".") in x for x in names) or way == "cells"
+    assert regions.groupBy("region").sum("weight").agg({"sum(weight)": "max"}).first()[0] <= 2 * jaccard_join.REGION
+
+
+def test_jaccard_ids_and_clashing_columns(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(None, a, 1, "x"), (7, a, 2, "y"), (7, b, 3, None), (None, b + " more", 4, ""), (5, None, 5, ""), (5, "  ", 6, ""), (None, "alone it is", 7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int, region string")
+    got = sorted(tuple(r) for r in jaccard_classes(docs, shingle=5, percent=80).select(F.coalesce("doc_id", F.lit(-1)), "n_shingles", F.coalesce("component_id", F.lit(-1))).collect())
+    assert got == [(-1, 1, -1), (-1, 36, 7), (-1, 37, 7), (5, 0, 5), (5, 0, 5), (7, 36, 7), (7, 36, 7)]
+
+
+def test_components_of_paths_and_hubs(spark, monkeypatch):
+    from lumenseek.llm import components as module
+
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(400)] + [(1400, 5), (3000, 3000), (None, 3)]
+    for most in (module.BROADCAST_EDGES, 0):
+        monkeypatch.setattr(module, "BROADCAST_EDGES", most)
+        got = {r.node: r.component for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {i: 0 for i in [*range(201), *range(1000, 1401)]}
 
 
 # op 7
