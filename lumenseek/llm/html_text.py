@@ -1,15 +1,18 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is read once, tag by tag, into blocks of text. Parts that are never article text (scripts, menus, footers, forms,
-parts whose class, id or role says advert, sidebar, notice or comments) are left out as they are read. The first pass
-then classifies each block by its length, the share of its characters inside links, its density of stop words and
-whether it stands in an article element; the second gives ambiguous short blocks the label of the nearest decided one.
+A page is read once, tag by tag and in linear time, into blocks of text. Elements that are never article text (scripts,
+menus, footers, forms) and parts named as adverts, notices, comments and the like are left out as they are read. The
+first pass classifies every block by its density of stop words, its length and the share of its characters inside links;
+whether it stands in an article element, or in a part whose name only contains such a word, sets how dense and long it
+has to be. The second pass gives ambiguous and short blocks the label of the nearest decided one.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,16 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
+#: Where a block stands: in an article element, in no such element, or in a part whose name contains a hint.
+ARTICLE, PLAIN, HINTED = "article", "plain", "hinted"
 
 #: Characters below which a block is short, and above which a dense one is good by itself.
 SHORT_CHARS, LONG_CHARS = 70, 200
 #: Shares of link characters, and of stop words for a good and a nearly good block.
 LINKS, DENSE, SPARSE = 0.5, 0.30, 0.18
-#: Words from which a block inside an article is decided.
-DECIDED_WORDS = 5
 
 # Elements whose content is not read as markup; elements never part of an article; elements that nest;
-# elements that end a block; words of class, id and role names that mark other parts of a page; common function words.
+# elements that end a block; words of class, id and role names that mark other parts of a page; words that only say what holds such a part; common
+# function words.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
 OUTSIDE = frozenset("nav footer aside form button select dialog menu object audio video canvas map head".split())
 CONTAINERS = frozenset("html head body nav header footer aside form button select dialog menu object audio video canvas map article main section div ul ol dl li table tbody thead tfoot tr td th figure figcaption blockquote details fieldset center".split())
@@ -38,13 +42,19 @@ HINTS = frozenset(
     "sidebar widget widgets related recommended share sharing social comment comments disqus reply replies respond nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "footer masthead newsletter subscribe subscription signup login search pagination pager toolbar skip copyright complementary contentinfo".split()
 )
+HOLDERS = frozenset(
+    "list box wrapper wrap container section block item items bar area inner outer slot unit button buttons link links post posts article articles content text title header head body form thread count "
+    "top bottom left right main row col column group panel module message placeholder zone card cards icon icons tools tool site page global primary secondary".split()
+)
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he this are or his from at which but have an they you were her she there been one all we their has would will what if can when so no "
     "le la les de des du un une et est en que qui dans pour pas sur au aux par plus ne se ce il elle avec son sa ses mais ou nous vous leur "
     "der die das den dem des ein eine einer und ist in zu mit von auf für nicht sich es auch als an er sie wie aus bei nach wird sind oder aber vor zum zur "
     "el los las y del que en un una es por con para no se su al lo como más pero sus le ya o este sí porque muy sin sobre también me hasta hay donde".split()
 )
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>?|<[a-zA-Z][^<>]*>?", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_OPENING = re.compile("<+")
+_PLAIN_ATTRIBUTES = re.compile(r"[^>\"']*")
 _NAMES = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -53,7 +63,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass
 class Block:
     text: str
-    in_article: bool
+    zone: str
     heading: bool
     link_chars: int
     label: str = ""
@@ -66,34 +76,86 @@ class Block:
         return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def _hinted(attributes: str, in_article: bool) -> bool:
+def _named(attributes: str, in_article: bool) -> str:
+    """GOOD, BAD for a part that is hidden or named as other than article text (every word of a name is a hint or says
+    what holds it, as in ad-box), NEAR where a name has other words too (as in related-work)."""
+    out = GOOD
     for m in _NAMES.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return BAD
         if name in ("class", "id", "role"):
-            parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower()))
-            if parts & HINTS or not in_article and "header" in parts:
-                return True
-    return False
+            for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower().split():
+                parts = set(re.split(r"[^a-z]+", token)) - {""}
+                if parts & HINTS or not in_article and "header" in parts:
+                    if parts <= HINTS | HOLDERS:
+                        return BAD
+                    out = NEAR
+    return out
+
+
+class _Tags:
+    """Finds tags from left to right. A page without a `>`, a quote or an end further on is not searched for it again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = self.closed = True
+
+    def end(self, at: int) -> int:
+        """The place of the `>` that ends the tag whose name ends at `at`, outside quotes; -1 if there is none."""
+        page, i = self.page, at
+        while self.quotes:
+            i = _PLAIN_ATTRIBUTES.match(page, i).end()
+            if i == len(page):
+                break
+            if page[i] == ">":
+                return i
+            i = page.find(page[i], i + 1) + 1
+            if not i:
+                break
+        self.quotes = False  # some quote is never closed before a tag's end: from here on they count as characters
+        found = page.find(">", at) if self.closed else -1
+        self.closed = found >= 0
+        return found
+
+    def after(self, at: int) -> tuple[int, str, bool, str]:
+        """For a `<` at `at`: where reading goes on, and name, whether it closes, and attributes (no name: no element)."""
+        page = self.page
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (end + 3 if end >= 0 else len(page)), "", False, ""
+        m = _NAME.match(page, at + 1)
+        if not m and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            return at, "", False, ""  # a character
+        begin = m.end() if m else at + 2
+        if m:
+            end = self.end(begin)
+        else:
+            end = page.find(">", begin) if self.closed else -1
+            self.closed = end >= 0
+        if end < 0:  # broken off: up to the next tag
+            following = page.find("<", begin)
+            return (following if following >= 0 else len(page)), "", False, ""
+        return end + 1, (m[2].lower() if m else ""), bool(m and m[1]), page[begin:end]
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks outside menus, adverts and the like, in page order, decoded and with single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it or one around it is left out, and is an article
+    stack: list[tuple[str, bool, str]] = []  # element, whether it or one around it is left out, and the zone
+    open_ = Counter()
     parts: list[str] = []
     linked: list[str] = []
     links = breaks = at = 0
     heading = False
+    tags = _Tags(page)
 
     def close() -> None:
-        nonlocal heading
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 anchor = " ".join(html.unescape("".join(linked)).split())
-                out.append(Block(text, stack[-1][2] if stack else False, heading, len(anchor)))
+                out.append(Block(text, stack[-1][2] if stack else PLAIN, heading, len(anchor)))
             parts.clear()
             linked.clear()
 
@@ -104,21 +166,23 @@ def blocks(page: str) -> list[Block]:
                 linked.append(text)
 
     while at < len(page):
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            text = page[at : m.start()]
+        start = page.find("<", at)
+        text = page[at:] if start < 0 else page[at:start]
+        if text:
             if not text.isspace():
                 breaks = 0
             add(text)
-        at = m.end()
-        if not m[2]:
+        if start < 0:
+            break
+        at, tag, closing, attributes = tags.after(start)
+        if at == start:
+            at = max(at + 1, _OPENING.match(page, at).end() - 1)
+            add(page[start:at])
+            continue
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
+            if not closing and not attributes.rstrip().endswith("/"):
                 end = _ENDS[tag].search(page, at)
                 at = end.end() if end else len(page)
             if tag not in ("svg", "math"):
@@ -139,16 +203,22 @@ def blocks(page: str) -> list[Block]:
         close()
         if tag in CONTAINERS:
             if closing:
-                if any(e[0] == tag for e in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                while open_[tag]:
+                    last = stack.pop()[0]
+                    open_[last] -= 1
+                    if last == tag:
+                        break
                 links = 0
             elif tag not in VOID:
                 if tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
-                gone, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                gone = gone or tag in OUTSIDE or tag == "header" and not article or tag not in ("html", "body") and _hinted(m[3], article)
-                stack.append((tag, gone, article or tag in ("article", "main")))
+                    open_["li"] -= 1
+                gone, zone = (stack[-1][1], stack[-1][2]) if stack else (False, PLAIN)
+                named = GOOD if tag in ("html", "body") else _named(attributes, zone != PLAIN)
+                gone = gone or tag in OUTSIDE or tag == "header" and zone == PLAIN or named == BAD
+                zone = HINTED if named == NEAR or zone == HINTED else ARTICLE if tag in ("article", "main") else zone
+                stack.append((tag, gone, zone))
+                open_[tag] += 1
         else:
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
             links = 0
@@ -156,48 +226,53 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def first_pass(b: Block, article: bool) -> str:
+    """A block's label by itself; article: the page has an article element."""
+    stop = b.stop_share()
+    if b.link_share() > LINKS:
+        # a sentence that is a link may belong to an article, a list of links does not
+        return NEAR if b.zone == ARTICLE and stop >= SPARSE else BAD
+    if len(b.text) < SHORT_CHARS:
+        return SHORT if b.zone == ARTICLE or not b.link_chars and not (article and b.zone == PLAIN) else BAD
+    if b.zone == ARTICLE:
+        return GOOD if stop >= SPARSE else NEAR
+    if stop >= DENSE and len(b.text) > LONG_CHARS:
+        return GOOD
+    if article and b.zone == PLAIN:
+        return BAD
+    return NEAR if stop >= SPARSE else BAD
+
+
 def classify(found: list[Block]) -> None:
-    """Labels each block good or bad."""
-    article = any(b.in_article for b in found)
+    """Labels each block good or bad: by itself, or else as the nearest decided block of its zone, or of any."""
+    article = any(b.zone == ARTICLE for b in found)
     for b in found:
-        if article:
-            # words there are the article's; link lists and single short lines are left to their neighbours
-            b.label = BAD if not b.in_article else NEAR if b.link_share() > LINKS or len(b.text.split()) < DECIDED_WORDS else GOOD
-        elif b.link_share() > LINKS:
-            b.label = BAD
-        elif len(b.text) < SHORT_CHARS:
-            b.label = SHORT if not b.link_chars else BAD
-        elif (stop := b.stop_share()) >= DENSE:
-            b.label = GOOD if len(b.text) > LONG_CHARS else NEAR
-        else:
-            b.label = NEAR if stop >= SPARSE else BAD
-    if article and not any(b.label == GOOD for b in found):
-        for b in found:
-            b.label = GOOD if b.in_article else BAD
-    # the nearest decided block before and after each
-    before: list[tuple[int, str] | None] = []
-    last = None
-    for i, b in enumerate(found):
-        if b.label in (GOOD, BAD):
-            last = (i, b.label)
-        before.append(last)
-    last, decided = None, []
-    for i in range(len(found) - 1, -1, -1):
+        b.label = first_pass(b, article)
+    for b, label in [(b, label) for zone in (ARTICLE, PLAIN, HINTED) for b, label in _neighbours(found, zone)]:
+        b.label = label
+
+
+def _neighbours(found: list[Block], zone: str) -> list[tuple[Block, str]]:
+    """Ambiguous blocks of a zone and the labels they inherit."""
+    own = [i for i, b in enumerate(found) if b.zone == zone]
+    decided = [i for i in own if found[i].label in (GOOD, BAD)]
+    if zone != ARTICLE or not decided:
+        # what is in an article looks around there first
+        decided = [i for i, b in enumerate(found) if b.label in (GOOD, BAD)] if zone != ARTICLE else []
+    out = []
+    for i in own:
         b = found[i]
         if b.label in (GOOD, BAD):
-            last = (i, b.label)
-            continue
-        near = [x for x in (before[i], last) if x]
-        if b.in_article:
-            near = [x for x in near if found[x[0]].in_article] or near
-        if not near:
-            decided.append((b, GOOD if b.label == NEAR else BAD))
             continue
-        gap = min(abs(x[0] - i) for x in near)
-        labels = {x[1] for x in near if abs(x[0] - i) == gap}
-        decided.append((b, labels.pop() if len(labels) == 1 else GOOD if b.label == NEAR or b.heading else BAD))
-    for b, label in decided:
-        b.label = label
+        k = bisect_left(decided, i)
+        near = decided[max(0, k - 1) : k + 1]
+        gap = min((abs(x - i) for x in near), default=0)
+        labels = {found[x].label for x in near if abs(x - i) == gap}
+        if len(labels) == 1:
+            out.append((b, labels.pop()))
+        else:
+            out.append((b, GOOD if b.zone == ARTICLE or b.label == NEAR or labels and b.heading else BAD))
+    return out
 
 
 def main_text(page: str) -> str:

@@ -5,14 +5,16 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenseek.llm import quality_classifier
+from lumenseek.llm import html_text, quality_classifier
 from lumenseek.llm.embedding_dedup import embedding_classes
 from lumenseek.llm.html_text import extract_text, main_text
 from lumenseek.llm.jaccard_join import Region, jaccard_classes
@@ -448,3 +450,112 @@ def test_main_text(spark):
     got = [(r.page_id, len(r.text)) for r in extract_text(pages).collect()]
     assert sorted(got)[0] == sorted(got)[1] and (2, 0) in got and (3, 0) in got
     assert extract_text(pages.limit(0)).collect() == []
+
+
+class PlainBlocks(HTMLParser):
+    """Blocks (text, in an article, heading, link characters) of well-formed pages, by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.stack, self.text, self.link, self.links = [], [], "", "", 0
+
+    def flush(self, heading=False):
+        if text := " ".join(self.text.split()):
+            self.out.append((text, "article" in self.stack, heading, len(" ".join(self.link.split()))))
+        self.text = self.link = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.links += tag == "a"
+        if tag not in ("a", "b"):
+            self.flush()
+            self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        self.links -= tag == "a"
+        if tag not in ("a", "b"):
+            self.flush(tag == "h2")
+            self.stack.pop()
+
+    def handle_data(self, data):
+        if not {"nav", "footer"} & set(self.stack):
+            self.text += data
+            self.link += data if self.links else ""
+
+
+def two_passes(page):
+    """The rules once more, without shortcuts: every ambiguous block looks at all others."""
+    parser = PlainBlocks()
+    parser.feed(page)
+    found = parser.out
+    has_article = any(b[1] for b in found)
+    labels = []
+    for text, inside, _, link in found:
+        w = re.findall(r"[^\W\d_]+", text.lower())
+        stop = sum(x in html_text.STOP_WORDS for x in w) / max(1, len(w))
+        if 2 * link > len(text):
+            labels.append("?n" if inside and stop >= 0.18 else "-")
+        elif len(text) < 70:
+            labels.append("?s" if inside or not link and not has_article else "-")
+        elif inside:
+            labels.append("+" if stop >= 0.18 else "?n")
+        elif stop >= 0.3 and len(text) > 200:
+            labels.append("+")
+        else:
+            labels.append("-" if has_article or stop < 0.18 else "?n")
+    out = []
+    for i, (text, inside, heading, _) in enumerate(found):
+        label = labels[i]
+        if label[0] == "?":
+            others = [] if inside else [j for j in range(len(found)) if labels[j] in "+-"]
+            if inside:
+                others = [j for j in range(len(found)) if found[j][1] and labels[j] in "+-"]
+            nearest = {labels[j] for j in others if abs(i - j) == min(abs(i - k) for k in others)}
+            label = nearest.pop() if len(nearest) == 1 else "+" if inside or label == "?n" or nearest and heading else "-"
+        if label == "+":
+            out.append(text)
+    return "\n\n".join(out)
+
+
+def test_main_text_by_two_plain_passes():
+    rng = random.Random(3)
+    stop, other = ["the", "of", "and", "is", "with"], ["lorem", "ipsum", "dolor", "caesar", "gallia"]
+
+    def text(n, share):
+        return " ".join(rng.choice(stop if rng.random() < share else other) for _ in range(n))
+
+    def part():
+        t = text(rng.choice([2, 8, 20, 60]), rng.choice([0.05, 0.22, 0.5]))
+        if rng.random() < 0.3:
+            t = f'<a href="x">{t}</a>' + (" " + text(rng.choice([1, 30]), 0.3) if rng.random() < 0.5 else "")
+        tag = rng.choice(["p", "p", "h2", "div"])
+        return f"<{tag}>{t}</{tag}>"
+
+    for k in range(400):
+        body = [part() for _ in range(rng.randrange(9))]
+        if k % 2:
+            a, b = sorted(rng.choices(range(len(body) + 1), k=2))
+            body = body[:a] + ["<article>"] + body[a:b] + ["</article>"] + body[b:]
+        page = f"<body><nav><p>{text(40, 0.5)}</p></nav>{''.join(body)}<footer><p>{text(60, 0.5)}</p></footer></body>"
+        assert main_text(page) == two_passes(page)
+
+
+def test_named_parts():
+    long = "It is one of the many words that are in the text of this page and they have to be there for it to be seen as good, which is what we want from it in the end, so that it is long. "
+    page = '<article><p>{0}</p><section class="related-work"><p>{0}two</p></section><div class="comment-list"><p>{0}three</p></div><div id="adBox">{0}</div><div class="cookie notice">{0}</div><section class="notice-period">A short line</section></article><div class="widget_area">{0}</div>'
+    one = (long * 2).strip()
+    assert main_text(page.format(long * 2)) == f"{one}\n\n{one} two\n\nA short line"
+
+
+def test_broken_pages_take_linear_time():
+    shapes = ["<a ", '<a x="', '<a x=">" ', "<div>", "</section>", "<", "</", "<!--", "<!x", "&", "<a b='\"", '<p class="', "<script ", "<svg", "<title>", "class=' "]
+    for shape in shapes:
+        began = time.process_time()
+        main_text("<div>" * 1000 + shape * (1_000_000 // len(shape)) + "</section>" * 1000)
+        assert time.process_time() - began < 5, shape
+    assert main_text("a < b <") == "" and main_text("<article>a < b <i c</article>") == "a < b"
+
+
+def test_density_decides_real_pages(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    found = [b for page in pages for b in html_text.blocks(page)]
+    assert sum(html_text.first_pass(b, True) in ("good", "bad") for b in found) > len(found) / 3
