@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: Feistel rounds; each adds a keyed hash of one half to the other.
 ROUNDS = 8
-#: Secrets of more characters, or of other than ASCII characters, are replaced by a keyed hash, which cannot be inverted.
+#: Secrets and local parts of addresses that are longer, or have other than ASCII characters, are replaced by a keyed
+#: hash, which cannot be inverted.
 LONG = 512
 #: Days from FIRST_DAY that dates are permuted among: DATE_A * DATE_B.
 FIRST_DAY, DATE_A, DATE_B = "1900-01-01", 340, 215
@@ -34,7 +35,7 @@ def _secret(words: str, rest: str) -> str:
 _SECRET_NAME = _secret(f"{_PASSWORD_WORDS}|{_SECRET_WORDS}", r"[=:]\s{0,3}[\x22']?")
 #: What each kind looks like; the first that fits at a place counts.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]{1,256}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": _secret(_SECRET_WORDS, f"(?:{_QUOTED}|=\\s{{0,3}}{_BARE}|:\\s{{0,3}}(?=[\\x22']?(?:\\S{{12}}|[\\p{{L}}]*+[^\\p{{L}}\\s.,;:!?)])){_BARE})") + "|" + _secret(_PASSWORD_WORDS, f"(?:{_QUOTED}|[=:]\\s{{0,3}}{_BARE})"),
     "access": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -118,7 +119,6 @@ def _fixed(v: str) -> str:
         "access": ("4", "0"),
         "iban": ("4", "0"),
         "phone": (f"length(regexp_extract({v}.text, '^[+][0-9]+', 0))", "0"),
-        "ssn": ("0", "0"),
         "card": ("0", "1"),
     }
     # an undivided phone number keeps one digit of its country code only
@@ -126,6 +126,17 @@ def _fixed(v: str) -> str:
     return f"CASE {v}.kind " + " ".join(f"WHEN '{k}' THEN named_struct('a', CAST({a} AS INT), 'z', CAST({z} AS INT))" for k, (a, z) in body.items()) + " ELSE named_struct('a', 0, 'z', 0) END"
 
 
+def _ssn_codes(v: str) -> str:
+    """SQL: places of the three groups among the valid ones: areas 001 to 899 without 666, groups from 01, serials from 0001."""
+    area = f"CAST(substr({v}, 1, 3) AS INT)"
+    return f"array({area} - CASE WHEN {area} > 666 THEN 2 ELSE 1 END, CAST(substr({v}, 5, 2) AS INT) - 1, CAST(substr({v}, 8, 4) AS INT) - 1)"
+
+
+def _ssn_text(new: str) -> str:
+    parts = (f"{new}[0] + CASE WHEN {new}[0] >= 665 THEN 2 ELSE 1 END", 3), (f"{new}[1] + 1", 2), (f"{new}[2] + 1", 4)
+    return "concat_ws('-', " + ", ".join(f"lpad(CAST({x} AS STRING), {n}, '0')" for x, n in parts) + ")"
+
+
 def _radix(v: str, c: str) -> str:
     """SQL: of how many the alphabet of a character is: 10, 26, or 16 and 36 where letters and digits mix; 0: it stays."""
     return (
@@ -146,23 +157,29 @@ def _char(radix: str, code: str, c: str) -> str:
 
 
 def _feistel(codes: str, radices: str, tweak: str) -> str:
-    """SQL: the codes (ints below their radices) permuted: halves take turns to add a keyed hash of the other."""
+    """SQL: the codes (ints below their radices) permuted: halves take turns to add a keyed stream made from the other.
+    A single code is replaced by its rank when all codes of its radix are ordered by a keyed hash."""
     half = f"(size({codes}) DIV 2)"
     left, right = f"slice({codes}, 1, {half})", f"slice({codes}, {half} + 1, size({codes}) - {half})"
-    added = "transform({own}, (x, i) -> CAST((x + CAST(conv(substr(h, 4 * (i % 16) + 1, 4), 16, 10) AS INT)) % {radix} AS INT))"
+    added = "transform({own}, (x, i) -> CAST((x + CAST(conv(substr(h[i DIV 8], 8 * (i % 8) + 1, 8), 16, 10) AS BIGINT)) % {radix} AS INT))"
 
     def turn(own: str, other: str, offset: str) -> str:
-        hashed = f"sha2(concat_ws('|', {tweak}, CAST(k AS STRING), array_join(transform({other}, x -> CAST(x AS STRING)), ',')), 256)"
-        return _bind("h", hashed, added.format(own=own, radix=f"{radices}[i + {offset}]"))
+        # 256 bits for every eight codes, from one digest of the other half
+        digest = f"sha2(array_join(transform({other}, x -> CAST(x AS STRING)), ','), 256)"
+        hashed = f"transform(sequence(0, (size({own}) - 1) DIV 8), j -> sha2(concat_ws('|', {tweak}, CAST(k AS STRING), CAST(j AS STRING), d), 256))"
+        return _bind("d", digest, _bind("h", hashed, added.format(own=own, radix=f"{radices}[i + {offset}]")))
 
     even = f"named_struct('l', {turn('s.l', 's.r', '0')}, 'r', s.r)"
     odd = f"named_struct('l', s.l, 'r', {turn('s.r', 's.l', half)})"
     start = f"named_struct('l', {left}, 'r', {right})"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, k) -> CASE WHEN k % 2 = 0 THEN {even} ELSE {odd} END, s -> concat(s.l, s.r))"
+    many = f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, k) -> CASE WHEN k % 2 = 0 THEN {even} ELSE {odd} END, s -> concat(s.l, s.r))"
+    keyed = f"transform(sequence(0, {radices}[0] - 1), x -> named_struct('h', sha2(concat_ws('|', {tweak}, CAST(x AS STRING)), 256), 'x', CAST(x AS INT)))"
+    one = f"array(CAST(array_position(transform(array_sort({keyed}), y -> y.x), {codes}[0]) - 1 AS INT))"
+    return f"CASE WHEN size({codes}) = 1 THEN {one} ELSE {many} END"
 
 
-def _steps(key: str) -> list[tuple[str, str]]:
-    """Columns, in order, from _match (array of strings) to _new (array of strings of the same length)."""
+def _steps() -> list[tuple[str, str]]:
+    """Columns, in order, from _match (array of strings) and _key to _new (array of strings of the same length)."""
     days = f"datediff(CAST({_iso('v.text')} AS DATE), DATE'{FIRST_DAY}')"
     character = "named_struct('c', c, 'r', CASE WHEN i < v.fixed.a OR i >= length(v.text) - v.fixed.z THEN 0 ELSE " + _radix("v", "c") + " END)"
     chars = f"transform(split(v.text, ''), (c, i) -> {character})"
@@ -170,21 +187,21 @@ def _steps(key: str) -> list[tuple[str, str]]:
     codes = (
         f"CASE WHEN NOT v.valid THEN CAST(array() AS ARRAY<INT>) WHEN v.kind = 'ip' THEN transform(split(v.text, '[.]'), x -> CAST(x AS INT)) "
         f"WHEN v.kind = 'date' THEN array(CAST({days} DIV {DATE_B} AS INT), CAST({days} % {DATE_B} AS INT)) "
-        f"ELSE transform({moving}, x -> CAST({_code('x.r', 'x.c')} AS INT)) END"
+        f"WHEN v.kind = 'ssn' THEN {_ssn_codes('v.text')} ELSE transform({moving}, x -> CAST({_code('x.r', 'x.c')} AS INT)) END"
     )
-    radices = f"CASE WHEN v.kind = 'ip' THEN array(256, 256, 256, 256) WHEN v.kind = 'date' THEN array({DATE_A}, {DATE_B}) ELSE transform({moving}, x -> x.r) END"
+    radices = f"CASE WHEN v.kind = 'ip' THEN array(256, 256, 256, 256) WHEN v.kind = 'date' THEN array({DATE_A}, {DATE_B}) WHEN v.kind = 'ssn' THEN array(898, 99, 9999) ELSE transform({moving}, x -> x.r) END"
     rank = "size(filter(slice(v.chars, 1, i), y -> y.r > 0))"
     letters = f"array_join(transform(v.chars, (x, i) -> CASE WHEN x.r = 0 THEN x.c ELSE {_char('x.r', f'v.new[{rank}]', 'x.c')} END), '')"
     date = f"date_add(DATE'{FIRST_DAY}', v.new[0] * {DATE_B} + v.new[1])"
     dated = f"CASE WHEN v.text LIKE '____-%' THEN date_format({date}, 'yyyy-MM-dd') WHEN v.text LIKE '%.%' THEN date_format({date}, 'dd.MM.yyyy') ELSE date_format({date}, 'MM/dd/yyyy') END"
     card = _bind("w", letters, f"concat(substr(w, 1, length(w) - 1), CAST((10 - {_luhn(_digits('substr(w, 1, length(w) - 1)'), '1')}) % 10 AS STRING))")
     iban = _bind("w", letters, f"concat(substr(w, 1, 2), lpad(CAST(98 - {_mod97('''concat(substr(w, 1, 2), '00', replace(substr(w, 5), ' ', ''))''')} AS STRING), 2, '0'), substr(w, 5))")
-    whole = f"concat(left(v.text, v.fixed.a), 'u', substr(sha2(concat_ws('|', '{key}', v.kind, v.text), 256), 1, 15), right(v.text, v.fixed.z))"
+    whole = f"concat(left(v.text, v.fixed.a), 'u', substr(sha2(concat_ws('|', _key, v.kind, v.text), 256), 1, 15), right(v.text, v.fixed.z))"
     made = (
-        f"CASE WHEN NOT v.valid THEN v.text WHEN size(v.codes) = 0 OR v.kind = 'secret' AND (length(v.text) > {LONG} OR substr(v.text, v.fixed.a + 1) RLIKE '[^ -~]') THEN {whole} WHEN v.kind = 'ip' THEN array_join(transform(v.new, x -> CAST(x AS STRING)), '.') "
-        f"WHEN v.kind = 'date' THEN {dated} WHEN v.kind = 'card' THEN {card} WHEN v.kind = 'iban' THEN {iban} ELSE {letters} END"
+        f"CASE WHEN NOT v.valid THEN v.text WHEN size(v.codes) = 0 OR v.kind IN ('secret', 'email') AND (length(v.text) > {LONG} OR substr(v.text, v.fixed.a + 1) RLIKE '[^ -~]') THEN {whole} WHEN v.kind = 'ip' THEN array_join(transform(v.new, x -> CAST(x AS STRING)), '.') "
+        f"WHEN v.kind = 'date' THEN {dated} WHEN v.kind = 'ssn' THEN {_ssn_text('v.new')} WHEN v.kind = 'card' THEN {card} WHEN v.kind = 'iban' THEN {iban} ELSE {letters} END"
     )
-    tweak = f"concat('{key}', ':', v.kind)"
+    tweak = "concat(_key, ':', v.kind)"
     return [
         ("_found", f"transform(_match, t -> named_struct('text', t, 'kind', {_kind('t')}))"),
         ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', {_valid('v')}, 'fixed', {_fixed('v')}, 'hex', v.kind = 'secret' AND v.text RLIKE {_quoted('^' + _SECRET_NAME + '[0-9a-f]+$')}))"),
@@ -197,23 +214,24 @@ def _steps(key: str) -> list[tuple[str, str]]:
 
 
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", found_col: str | None = None) -> DataFrame:
-    """docs with the values of PATTERNS in text_col replaced by their pseudonyms under key (letters and digits).
+    """docs with the values of PATTERNS in text_col replaced by their pseudonyms under key.
 
-    All rows, columns and their order stay; with found_col, that column is added last: the kinds found, in text order
+    The key reaches the tasks as a value of a one-row table, so it is in no plan or log. All rows, columns and their order stay; with found_col, that column is added last: the kinds found, in text order
     (array of strings, empty if none). A null text stays null and an empty one empty. Rows are treated one by one, so
     repeated rows give repeated rows, and columns of any names may be there. An empty table gives an empty table.
     """
-    if not key.isalnum():
-        raise ValueError("key must be letters and digits")
+    if not key:
+        raise ValueError("key must not be empty")
     fields = docs.columns
     if found_col in fields:
         raise ValueError(f"there is a column {found_col} already")
     text = F.col("_row").getField(text_col).cast("string")
-    df = docs.select(F.struct("*").alias("_row"))
+    secret = docs.sparkSession.createDataFrame([(key,)], "secret string")
+    df = docs.select(F.struct("*").alias("_row")).withColumn("_key", secret.scalar())
     hit: Column = text.rlike(r"[0-9@]|(?i:pass|token|secret|key|pwd)")
     df = df.withColumn("_match", F.when(hit, F.regexp_extract_all(text, F.lit(_ALL), 0)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_split", F.expr(f"transform(_match, t -> {_pieces('t')})")).withColumn("_gap", F.split(text, _ALL, -1)).withColumn("_match", F.flatten("_split"))
-    for name, sql in _steps(key):
+    for name, sql in _steps():
         df = df.withColumn(name, F.expr(sql))
     # no gap lies between the pieces of a match
     gaps = F.flatten(F.zip_with(F.slice("_gap", 1, F.size("_split")), "_split", lambda a, b: F.concat(F.array(a), F.array_repeat(F.lit(""), F.size(b) - 1))))

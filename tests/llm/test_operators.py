@@ -437,6 +437,51 @@ def test_whole_values_are_replaced(spark):
     assert kept == same
 
 
+def feistel(codes, radices, tweak, sign):
+    """The permutation (sign 1) or its inverse (sign -1) in plain Python."""
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    if len(codes) == 1:
+        order = sorted(range(radices[0]), key=lambda x: digest(f"{tweak}|{x}"))
+        return [order.index(codes[0])] if sign > 0 else [order[codes[0]]]
+    half = len(codes) // 2
+    sides = [codes[:half], codes[half:]]
+    for k in range(8)[::sign]:
+        own, other = k % 2, digest(",".join(map(str, sides[1 - k % 2])))
+        stream = [int(digest(f"{tweak}|{k}|{i // 8}|{other}")[8 * (i % 8) :][:8], 16) for i in range(len(sides[own]))]
+        sides[own] = [(x + sign * a) % r for x, a, r in zip(sides[own], stream, radices[own * half :])]
+    return sides[0] + sides[1]
+
+
+def test_pseudonyms_by_a_plain_feistel_network(spark):
+    rng = random.Random(11)
+    key = "it's a \"key\""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    tokens = ["".join(rng.choices(alphabet, k=n)) for n in (1, 2, 3, 9, 12, 33, 40, 63, 200)] + ["a" * 40, "a" * 200]
+    numbers = [f"{rng.choice([1, 665, 667, 899, 123]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10**4):04}" for _ in range(60)]
+    texts = [f"{t}@x.org" for t in tokens] + numbers
+    got = [r.text for r in pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), key).collect()]
+    for t, made in zip(tokens, got):
+        codes, new = [alphabet.index(c) for c in t], [alphabet.index(c) for c in made.split("@")[0]]
+        assert new == feistel(codes, [26] * len(t), f"{key}:email", 1) and codes == feistel(new, [26] * len(t), f"{key}:email", -1)
+    # nothing of a repeating value shows
+    for made in got[len(tokens) - 2 : len(tokens)]:
+        assert all(sum(a == b for a, b in zip(made, made[gap:])) < len(made) / 4 for gap in range(1, 33))
+    code = lambda t: [int(t[:3]) - (2 if int(t[:3]) > 666 else 1), int(t[4:6]) - 1, int(t[7:]) - 1]
+    for t, made in zip(numbers, got[len(tokens) :]):
+        assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", made)
+        assert code(made) == feistel(code(t), [898, 99, 9999], f"{key}:ssn", 1)
+
+
+def test_no_part_of_an_address_stays_and_no_plan_has_the_key(spark):
+    texts = ["jürgen.müller@x.de", "q" * 300 + "@x.de", "a@x.de", "b@x.de", "order 12 4929348385146306"]
+    df = pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "topsecretkey")
+    got = [r.text for r in df.collect()]
+    assert not re.search("ü|rgen|ller", got[0]) and "qqq" not in got[1] and got[2] != got[3] and "4929348385146306" not in got[4] and got[4].startswith("order 12 ")
+    assert all(x.endswith("@x.de") for x in got[:4])
+    plan = df._jdf.queryExecution()
+    assert "topsecretkey" not in plan.toString() and "topsecretkey" not in plan.optimizedPlan().toString()
+
+
 # op 10
 
 
