@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def poly_hash32(text: Column) -> Column:
     """The 31-polynomial over characters, wrapped to a signed 32-bit int (as a long). Characters are code points; texts
     outside the basic plane therefore differ from hashes over UTF-16 units."""
@@ -33,8 +40,8 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """v over its length; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    scaled = lambda w, n: F.transform(w, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return bound(v, lambda w: bound(norm(w), lambda n: scaled(w, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -54,6 +61,5 @@ def similarity(distance: Column) -> Column:
 
 def mock_embedding(text: Column, dims: int) -> Column:
     """A unit vector that depends on the text's hash alone, to test with."""
-    h = poly_hash32(text).cast("double")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.sin(h + i) + F.cos((h + i) / F.lit(2.0))) / F.lit(2.0))
-    return normalized(raw)
+    steps = F.sequence(F.lit(0), F.lit(dims - 1))
+    return bound(poly_hash32(text).cast("double"), lambda h: normalized(F.transform(steps, lambda i: (F.sin(h + i) + F.cos((h + i) / F.lit(2.0))) / F.lit(2.0))))

@@ -18,8 +18,10 @@ def merge_hybrid(vector: DataFrame, lexical: DataFrame, weight: float = 0.7, *,
     by = by or []
     scaled = []
     for name, df in (("vector_score", vector), ("lexical_score", lexical)):
-        most = F.greatest(F.max("score").over(W.partitionBy(*by) if by else W.partitionBy(F.lit(1))), F.lit(LEAST_MAX))
-        scaled.append(df.select(*by, key, (F.col("score") / most).alias(name)))
+        # one row per query beside the list, not a window over the whole list
+        most = df.groupBy(*by).agg(F.greatest(F.max("score"), F.lit(LEAST_MAX)).alias("_most"))
+        joined = df.join(most, by) if by else df.join(F.broadcast(most))
+        scaled.append(joined.select(*by, key, (F.col("score") / F.col("_most")).alias(name)))
     both = scaled[0].join(scaled[1], [*by, key], "full_outer")
     v, x = F.coalesce("vector_score", F.lit(0.0)), F.coalesce("lexical_score", F.lit(0.0))
     method = F.when(F.col("vector_score").isNull(), "lexical").when(F.col("lexical_score").isNull(), "vector").otherwise("hybrid")

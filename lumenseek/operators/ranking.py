@@ -69,7 +69,7 @@ def scored_terms(units: DataFrame, keys: list[str], queries: DataFrame, dialect:
 
 
 def rank(scored: DataFrame, keys: list[str], *, limit: int | None = 10, min_score: float | None = None, components: bool = False) -> DataFrame:
-    """query_id, keys, score, matched_terms (in query order) and rank; with components, score_components per term."""
+    """query_id, keys, score, matched_terms (in query order) and, with a limit, rank; with components, score_components per term."""
     listed = F.sort_array(F.collect_list(F.struct("pos", "term", "tf", "df", "idf", "bm25")))
     # sums run over the sorted list, so they do not depend on the order of arrival
     out = scored.groupBy("query_id", *keys).agg(listed.alias("parts"))
@@ -78,9 +78,10 @@ def rank(scored: DataFrame, keys: list[str], *, limit: int | None = 10, min_scor
     if components:
         out = out.withColumn("score_components", F.transform("parts", lambda x: F.struct(x.term.alias("term"), x.tf.cast("double").alias("term_frequency"), x.df.cast("double").alias("document_frequency"), x.idf.alias("idf"), x.bm25.alias("bm25"))))
     out = out.where(F.col("score") > 0) if min_score is None else out.where(F.col("score") >= min_score)
+    if limit is None:
+        return out.drop("parts")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), *keys)
-    out = out.withColumn("rank", F.row_number().over(order)).drop("parts")
-    return out if limit is None else out.where(F.col("rank") <= limit)
+    return out.withColumn("rank", F.row_number().over(order)).drop("parts").where(F.col("rank") <= limit)
 
 
 def search(units: DataFrame, keys: list[str], queries: dict[str, str] | DataFrame, dialect: Dialect = SYMBOL, **options) -> DataFrame:

@@ -46,8 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it lies in fewer files than there are cores; larger tables are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def units(spark: SparkSession, sf_dir: str, tokens: Callable[[Column], Column] = plain_tokens) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("tokens"))
 
 
 def r6(c: Column | str) -> Column:
@@ -172,7 +178,7 @@ def bm25_min_score(spark, sf_dir):
     return ranking.search(units(spark, sf_dir, identifier_tokens), KEYS, {"q": QUERY}, ranking.FILE, limit=None, min_score=2.5).select("doc_id", r6("score").alias("score"))
 
 
-_BATCH = f"SELECT query_id, min(pos) AS pos, term FROM (SELECT item_id AS query_id, CAST(i - 1 AS INTEGER) AS pos, ts[i] AS term FROM (SELECT item_id, {PLAIN.format('text')} AS ts FROM benchmark), unnest(range(1, least(len(ts), 8) + 1)) AS t(i)) GROUP BY ALL"
+_BATCH = f"SELECT query_id, min(pos) AS pos, term FROM (SELECT item_id AS query_id, CAST(i - 1 AS INTEGER) AS pos, ts[i] AS term FROM (SELECT item_id, {PLAIN.format('text')} AS ts FROM benchmark), unnest(range(1, len(ts) + 1)) AS t(i)) GROUP BY query_id, term"
 
 
 @query(_ranked_sql(PLAIN, PROBABILISTIC, _BATCH, "1.0e0") + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -192,16 +198,16 @@ def bm25_components(spark, sf_dir):
     return rows.join(F.broadcast(asked), "term").select("doc_id", "pos", "term", "tf", "df", "idf", "bm25")
 
 
-@query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0") + "SELECT doc_id, array_to_string(list_sort(terms), ' ') AS terms, CAST(n_parts AS BIGINT) AS n FROM s")
+@query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0") + "SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS terms, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, term, min(pos) AS pos FROM b GROUP BY doc_id, term) GROUP BY doc_id")
 def matched_terms(spark, sf_dir):
     rows = ranking.search(units(spark, sf_dir), KEYS, {"q": QUERY}, ranking.SYMBOL, limit=None)
-    return rows.select("doc_id", F.array_join(F.array_sort("matched_terms"), " ").alias("terms"), F.size("matched_terms").cast("long").alias("n"))
+    return rows.select("doc_id", F.array_join("matched_terms", " ").alias("terms"), F.size("matched_terms").cast("long").alias("n"))
 
 
 _PATH = "source || '/' || lang || '/' || doc_id || '.md'"
 
 
-@query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0") + f"SELECT doc_id, round(score, 6) AS score FROM (SELECT r.*, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS k FROM r JOIN (SELECT doc_id, {_PATH} AS path FROM documents) USING (doc_id) WHERE ends_with(path, '1.md') AND contains(path, '/en/') AND NOT contains(path, 'src1/')) WHERE k <= 10")
+@query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0") + f"SELECT doc_id, round(score, 6) AS score FROM (SELECT r.*, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS k FROM r JOIN (SELECT doc_id, {_PATH} AS path FROM documents) USING (doc_id) WHERE ends_with(path, '.md') AND contains(path, '/en/') AND NOT contains(path, 'src1/')) WHERE k <= 10")
 def bm25_filtered(spark, sf_dir):
     named = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     named = named.where(paths.path_matches(F.col("path"), extensions=[".md"], contains="/en/", excludes=["src1/"]))
@@ -233,7 +239,7 @@ def chunk_windows(spark, sf_dir):
 
 @query(_ranked_sql(IDENTIFIER, SMOOTHED, _terms_sql(IDENTIFIER, True), units_sql=f"u AS (SELECT doc_id, chunk_index, {IDENTIFIER.format('chunk')} AS tokens FROM ({_WINDOWS}))", key="doc_id, chunk_index") + "SELECT doc_id, chunk_index, round(score, 6) AS score, rank FROM r WHERE rank <= 20")
 def chunk_bm25(spark, sf_dir):
-    rows = ranking.with_tokens(chunking.chunk_text(table(spark, sf_dir, "documents"), KEYS), ranking.CHUNK, "chunk")
+    rows = ranking.with_tokens(chunking.chunk_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), KEYS), ranking.CHUNK, "chunk")
     best = ranking.search(rows, ["doc_id", "chunk_index"], {"q": QUERY}, ranking.CHUNK, limit=20)
     return best.select("doc_id", "chunk_index", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -338,47 +344,61 @@ def dense_cosine(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(numeric.cosine(F.col("embedding"), q)).alias("cosine"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))))), 6) AS total FROM embeddings")
+def _printed(vector: Column) -> Column:
+    return F.array_join(F.transform(vector, lambda x: F.format_string("%.5f", F.round(x, 5) + F.lit(0.0))), " ")
+
+
+@query("SELECT vec_id, array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda x: printf('%.5f', round(x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 5) + 0e0)), ' ') AS v FROM embeddings")
 def normalize_vectors(spark, sf_dir):
-    v = numeric.normalized(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", r6(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", _printed(numeric.normalized(F.col("embedding"))).alias("v"))
 
 
-_HASH = "list_reduce(list_transform(regexp_extract_all(left(text, 40), '(?s).'), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, c: CASE WHEN ((a * 31 + c) & 4294967295) >= 2147483648 THEN ((a * 31 + c) & 4294967295) - 4294967296 ELSE (a * 31 + c) & 4294967295 END, CAST(0 AS BIGINT))"
+_HASH = "list_reduce(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, c: CASE WHEN ((a * 31 + c) & 4294967295) >= 2147483648 THEN ((a * 31 + c) & 4294967295) - 4294967296 ELSE (a * 31 + c) & 4294967295 END, CAST(0 AS BIGINT))"
 
 
-@query(f"SELECT item_id, {_HASH} AS h FROM benchmark")
+@query(f"SELECT doc_id, {_HASH} AS h FROM documents")
 def poly_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", numeric.poly_hash32(F.col("text")).alias("h"))
 
 
-@query(f"SELECT item_id, round(list_sum(list_transform(r, lambda x: x / n)), 6) AS total FROM (SELECT item_id, r, sqrt(list_sum(list_transform(r, lambda x: x * x))) AS n FROM (SELECT item_id, list_transform(range(0, 16), lambda i: (sin(CAST(h AS DOUBLE) + i) + cos((CAST(h AS DOUBLE) + i) / 2.0e0)) / 2.0e0) AS r FROM (SELECT item_id, {_HASH} AS h FROM benchmark)))")
+@query(f"WITH k AS MATERIALIZED (SELECT doc_id, {_HASH} AS h FROM documents), r AS MATERIALIZED (SELECT doc_id, i, (sin(CAST(h AS DOUBLE) + i) + cos((CAST(h AS DOUBLE) + i) / 2.0e0)) / 2.0e0 AS x FROM k, range(0, 16) AS t(i)) SELECT doc_id, string_agg(printf('%.5f', round(x / n, 5) + 0e0), ' ' ORDER BY i) AS v FROM r JOIN (SELECT doc_id, sqrt(sum(x * x)) AS n FROM r GROUP BY doc_id) USING (doc_id) GROUP BY doc_id")
 def mock_embedding(spark, sf_dir):
     v = numeric.mock_embedding(F.col("text"), 16)
-    return table(spark, sf_dir, "documents").select("doc_id", r6(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), _printed(v)).alias("v"))
 
 
 # blending
 
 
 def _lists(spark, sf_dir):
-    vector = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), (F.lit(1.0) / (F.lit(1.0) + F.abs(F.element_at("embedding", 1).cast("double")))).alias("score"))
-    lexical = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), (F.col("n_chars") % 100).cast("double").alias("score"))
-    return vector, lexical
+    """The best 50 by BM25 and the 50 vectors nearest to the first, under one key."""
+    lexical = ranking.search(units(spark, sf_dir), KEYS, {"q": QUERY}, ranking.SYMBOL, limit=50)
+    vector = vector_search.nearest(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), 50, id_col="vec_id", vector_col="embedding")
+    return vector.select(F.col("vec_id").alias("key"), "score"), lexical.select(F.col("doc_id").alias("key"), "score", "matched_terms")
 
 
-_LISTS = "v AS (SELECT vec_id AS key, 1.0e0 / (1.0e0 + abs(CAST(embedding[1] AS DOUBLE))) AS score FROM embeddings WHERE vec_id % 3 <> 0), x AS (SELECT doc_id AS key, CAST(n_chars % 100 AS DOUBLE) AS score FROM documents WHERE doc_id % 2 = 0)"
+_LISTS = (
+    _ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0")
+    + f", v AS (SELECT vec_id AS key, 1.0e0 / (1.0e0 + {_L2.format('CAST(embedding AS DOUBLE[])', 'q')}) AS score FROM embeddings, {_V0} ORDER BY {_L2.format('CAST(embedding AS DOUBLE[])', 'q')}, vec_id LIMIT 50), x AS (SELECT doc_id AS key, score, "
+    + "array_to_string(list_transform(list_sort((SELECT list({'pos': pos, 'term': term}) FROM (SELECT min(pos) AS pos, term FROM b WHERE b.doc_id = r.doc_id GROUP BY term))), lambda y: y.term), ' ') AS terms FROM r WHERE rank <= 50)"
+)
 
 
-@query(f"WITH {_LISTS} SELECT key, round(coalesce(v.score / vm, 0) * 0.7e0 + coalesce(x.score / xm, 0) * 0.3e0, 6) AS score, CASE WHEN v.score IS NULL THEN 'lexical' WHEN x.score IS NULL THEN 'vector' ELSE 'hybrid' END AS method FROM v FULL JOIN x USING (key), (SELECT greatest(max(score), 0.01e0) AS vm FROM v), (SELECT greatest(max(score), 0.01e0) AS xm FROM x)")
+@query(f"{_LISTS} SELECT key, round(coalesce(v.score / vm, 0) * 0.7e0 + coalesce(x.score / xm, 0) * 0.3e0, 6) AS score, CASE WHEN v.score IS NULL THEN 'lexical' WHEN x.score IS NULL THEN 'vector' ELSE 'hybrid' END AS method FROM v FULL JOIN x USING (key), (SELECT greatest(max(score), 0.01e0) AS vm FROM v), (SELECT greatest(max(score), 0.01e0) AS xm FROM x) ORDER BY coalesce(v.score / vm, 0) * 0.7e0 + coalesce(x.score / xm, 0) * 0.3e0 DESC, key LIMIT 30")
 def hybrid_merge(spark, sf_dir):
-    return hybrid.merge_hybrid(*_lists(spark, sf_dir), 0.7).select("key", r6("score").alias("score"), "method")
+    vector, lexical = _lists(spark, sf_dir)
+    return hybrid.merge_hybrid(vector, lexical.select("key", "score"), 0.7, limit=30).select("key", r6("score").alias("score"), "method")
+
+
+_BLENDED = "CASE WHEN v.score IS NOT NULL AND x.score IS NOT NULL THEN 0.7e0 * v.score + 0.3e0 * x.score ELSE coalesce(0.85e0 * v.score, 0.35e0 * x.score) END"
 
 
-@query(f"WITH {_LISTS} SELECT 'p' || key AS path, round(CASE WHEN v.score IS NOT NULL AND x.score IS NOT NULL THEN 0.7e0 * v.score + 0.3e0 * x.score ELSE coalesce(0.85e0 * v.score, 0.35e0 * x.score) END, 6) AS score, CASE WHEN v.score IS NULL THEN 'b' WHEN x.score IS NULL THEN 'a' ELSE 'a b' END AS terms FROM v FULL JOIN x USING (key)")
+@query(f"{_LISTS} SELECT 'p' || lpad(CAST(key AS VARCHAR), 9, '0') AS path, round({_BLENDED}, 6) AS score, concat_ws(' ', CASE WHEN v.score IS NOT NULL THEN 'semantic' END, x.terms) AS terms FROM v FULL JOIN x USING (key) ORDER BY {_BLENDED} DESC, path LIMIT 30")
 def coordinator_merge(spark, sf_dir):
-    vector, lexical = (df.select(F.concat(F.lit("p"), F.col("key").cast("string")).alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), "score", F.array(F.lit(t)).alias("matched_terms")) for df, t in zip(_lists(spark, sf_dir), "ab", strict=True))
-    return hybrid.merge_coordinated(lexical, vector, None).select("path", r6("score").alias("score"), F.array_join("matched_terms", " ").alias("terms"))
+    path = F.format_string("p%09d", "key").alias("path")
+    vector, lexical = _lists(spark, sf_dir)
+    vector, lexical = (df.select(path, F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), "score", terms.alias("matched_terms")) for df, terms in ((vector, F.array(F.lit("semantic"))), (lexical, F.col("matched_terms"))))
+    return hybrid.merge_coordinated(lexical, vector, 30).select("path", r6("score").alias("score"), F.array_join("matched_terms", " ").alias("terms"))
 
 
 # changes

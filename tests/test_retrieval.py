@@ -252,23 +252,25 @@ def test_hashes_read_whole_documents(spark, tmp_path):
             h = (h * 31 + ord(c)) & 0xFFFFFFFF
         return h - (1 << 32) if h >= 1 << 31 else h
 
-    def total(h):
+    def vector(h):
         v = [(math.sin(h + i) + math.cos((h + i) / 2)) / 2 for i in range(16)]
-        return pytest.approx(sum(v) / math.sqrt(sum(x * x for x in v)), abs=1e-5)
+        return " ".join(f"{x / math.sqrt(sum(y * y for y in v)):.5f}" for x in v)
 
     want = {i: None if t is None else plain(t) for i, t in enumerate(texts)}
     assert {r.doc_id: r.h for r in queries.poly_hash(spark, folder).collect()} == want and want[0] != want[1]
-    assert {r.doc_id: r.total for r in queries.mock_embedding(spark, folder).collect()} == {i: None if h is None else total(h) for i, h in want.items()}
-
-
-def test_merges_and_filters_keep_all_ids(spark, tmp_path):
-    docs = [(i, "the thing", "en", "src2", 50 + i) for i in range(8)] + [(8, "the", "en", "src1", 9), (9, "the", "de", "src2", 9)]
-    folder = saved(spark, tmp_path, documents=(docs, "doc_id int, text string, lang string, source string, n_chars int"), embeddings=([(i, [float(i)]) for i in range(6, 14)], "vec_id int, embedding array<float>"))
-    v, x = {i: 1 / (1 + i) for i in range(6, 14)}, {d[0]: d[4] % 100 for d in docs}
-    most = max(v.values()), max(x.values())
-    want = {i: (pytest.approx(0.7 * v.get(i, 0) / most[0] + 0.3 * x.get(i, 0) / most[1], abs=1e-6), "hybrid" if i in v and i in x else "vector" if i in v else "lexical") for i in range(14)}
-    assert {r.key: (r.score, r.method) for r in queries.hybrid_merge(spark, folder).collect()} == want
-    assert {r.path for r in queries.coordinator_merge(spark, folder).collect()} == {f"p{i}" for i in range(14)}
+    assert {r.doc_id: r.v for r in queries.mock_embedding(spark, folder).collect()} == {i: None if h is None else vector(h) for i, h in want.items()}
+
+
+def test_merges_of_searches(spark, tmp_path):
+    docs = [(i, "the thing " * (i + 1) + "word " * 3, "en", "src2") for i in range(8)] + [(8, "the", "en", "src1"), (9, "the", "de", "src2")]
+    folder = saved(spark, tmp_path, documents=(docs, "doc_id int, text string, lang string, source string"), embeddings=([(i, [float(i)]) for i in [0, *range(6, 14)]], "vec_id int, embedding array<float>"))
+    v = {i: 1 / (1 + i) for i in [0, *range(6, 14)]}
+    hits = {r.doc_id: (r.score, r.matched_terms) for r in ranking.search(queries.units(spark, folder), ["doc_id"], {"q": queries.QUERY}, limit=50).collect()}
+    most = max(x for x, _ in hits.values())
+    want = {i: (pytest.approx(0.7 * v.get(i, 0) + 0.3 * hits.get(i, (0,))[0] / most, abs=1e-6), "hybrid" if i in v and i in hits else "vector" if i in v else "lexical") for i in {*v, *hits}}
+    assert len(hits) == 10 and {r.key: (r.score, r.method) for r in queries.hybrid_merge(spark, folder).collect()} == want
+    terms = {r.path: r.terms for r in queries.coordinator_merge(spark, folder).collect()}
+    assert terms["p000000000"] == "semantic the thing" and terms["p000000013"] == "semantic" and terms["p000000009"] == "semantic the" and terms["p000000001"] == "the thing"
     assert {r.doc_id for r in queries.bm25_filtered(spark, folder).collect()} == set(range(8))
 
 
