@@ -5,10 +5,12 @@ Sorting all suffixes of a corpus would cost its size many times over, so suffixe
 
 1. Anchors. In each string of `length` bytes the leftmost smallest hash of its runs of length / 4 bytes is an anchor, so
    equal strings have equal anchors at equal places, and an anchor owns the strings that it was chosen for: its context.
-   Blocks send hashes of anchors and contexts; a context that occurs earlier is repeated as a whole, and is finished.
-2. Suffixes. The first occurrences of different contexts that agree around an anchor meet in one task, in order of
-   document and place. Their suffixes are sorted by doubling; the previous and the next smaller position in suffix order
-   give each string's longest previous factor, and where that reaches `length`, it is repeated.
+   Blocks send hashes of anchors and contexts. Hashes only route: they tell which contexts have to meet, and that the
+   text of a context which occurs many times need be sent once.
+2. Suffixes. The contexts that agree around an anchor meet in one task, in order of document and place, and so does each
+   context that occurs again, with its copy behind all others. Their suffixes are sorted; the previous and the next
+   smaller position in suffix order give each string's longest previous factor, and where that reaches `length`, the
+   string is repeated: of a copy, and of a first occurrence that shares strings with an earlier context.
 3. Blocks remove every byte that a repeated string covers.
 """
 
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenseek.llm.blocks import QUESTION, Block, answered, ask, bucket_count, cut, first_of_runs, packed, question_batch, questions, with_answers
-from lumenseek.llm.hashing import BASES, Runs, mix
+from lumenseek.llm.hashing import BASES, Runs, mix, ragged
 from lumenseek.llm.scratch import stored
 
-LATER, CONTENDER = 1, 2
+#: Codes of a context: it occurs earlier; its text is sent; it occurs again.
+LATER, CONTENDER, COPIED = 1, 2, 4
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -75,90 +78,124 @@ class Anchors:
         self.new = first_of_runs(self.key[self.order], self.context[self.order])
         #: the first occurrence here of each pair of key and context, sorted by key
         self.firsts = self.order[self.new]
+        self.several = np.bincount(np.cumsum(self.new) - 1, minlength=len(self.firsts)) > 1
 
     def columns(self) -> tuple[np.ndarray, ...]:
         f = self.firsts
-        return self.key[f], self.context[f], self.id[f], self.place[f].astype(np.int64), self.left[f], self.right[f]
+        return self.key[f], self.context[f], self.id[f], self.place[f].astype(np.int64), self.left[f], self.right[f], self.several.astype(np.uint8)
 
 
-def _codes(key, context, ids, place, left, right, of) -> np.ndarray:
+def _codes(key, context, ids, place, left, right, several, of) -> np.ndarray:
     order = np.lexsort((place, ids, context, key))
     new = first_of_runs(key[order], context[order])
     out = np.full(len(key), LATER, np.uint8)
     first = order[new]
+    group = np.cumsum(new) - 1
+    copied = (np.bincount(group) > 1) | (np.bincount(group, weights=several[order]) > 0)
     rival = np.zeros(len(first), bool)
     for side in (left, right):
         both = mix(key[first] + side[first].astype(np.uint64) * np.uint64(BASES[1]))
         _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
         rival |= (count[inverse] > 1) & (side[first] > 0)
-    out[first] = np.where(rival, CONTENDER, 0)
+    out[first] = np.where(copied, CONTENDER + COPIED, np.where(rival, CONTENDER, 0))
     return out
 
 
-def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """For each place, the rank of the `length` bytes from it on among all such strings; bytes past the end are 0."""
-    padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-    n = len(text)
-    have = min(8, length)
-    rank = np.zeros(n + length, np.uint64)
-    for j in range(have):
-        rank[:n] |= padded[j : j + n].astype(np.uint64) << np.uint64(56 - 8 * j)
-    _, rank_ = np.unique(rank, return_inverse=True)
-    while have < length:
-        step = min(have, length - have)
-        pair = rank_.astype(np.uint64) << np.uint64(32)
-        pair[: len(pair) - step] |= rank_[step:].astype(np.uint64)
-        _, rank_ = np.unique(pair, return_inverse=True)
-        have += step
-    return rank_[:n]
-
-
-def longest_previous(ranks: np.ndarray, text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each start, the longest string from it on, up to length, that also starts at a smaller start: the larger of
-    the common prefixes with the previous and the next smaller start in suffix order."""
-    order = np.argsort(ranks[starts], kind="stable")
-    place = starts[order]
-    n = len(place)
-    previous, following = np.full(n, -1), np.full(n, -1)
-    # equal ranks stand in order of place, so only the first of each run has to look beyond it
-    new = first_of_runs(ranks[place])
-    previous[~new] = np.flatnonzero(~new) - 1
-    out = np.zeros(n, np.int64)
-    out[order[~new]] = length
-    heads = np.flatnonzero(new)
-    stack: list[int] = []
-    for i in heads.tolist():
-        while stack and place[stack[-1]] > place[i]:
-            following[stack.pop()] = i
-        previous[i] = stack[-1] if stack else -1
-        stack.append(i)
-    padded = np.concatenate([text, np.zeros(length, np.uint8)])
-    for other in (previous[heads], following[heads]):
-        has = np.flatnonzero(other >= 0)
-        a, b = place[heads[has]], place[other[has]]
-        common, open_ = np.zeros(len(has), np.int64), np.arange(len(has))
-        for j in range(length):
-            open_ = open_[padded[a[open_] + j] == padded[b[open_] + j]]
-            if not len(open_):
-                break
-            common[open_] += 1
-        np.maximum.at(out, order[heads[has]], common)
+def suffix_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For strings from starts up to ends (length bytes at least): their ranks as suffixes, and the number of the run of
+    suffixes that agree in the first length bytes; both grow in suffix order.
+
+    Eight bytes at a time are compared, from the left, and only among suffixes that have agreed so far."""
+    padded = np.concatenate([text, np.zeros(16, np.uint8)])
+    eights = np.ndarray((len(text) + 8,), ">u8", padded, 0, (1,))
+    rank = np.zeros(len(starts), np.int64)
+    runs = rank
+    open_ = np.arange(len(starts))
+    at = 0
+    longest = int((ends - starts).max(initial=0))
+    while at < longest:
+        step = min(8, length - at) if at < length else 8
+        if len(open_):
+            left = np.minimum(ends[open_] - starts[open_] - at, step)
+            word = eights[np.minimum(starts[open_] + at, len(text))].astype(np.uint64)
+            word = np.where(left > 0, word >> (np.uint64(64) - np.uint64(8) * np.maximum(left, 1).astype(np.uint64)) << np.uint64(8) * (np.uint64(8) - np.maximum(left, 1).astype(np.uint64)), np.uint64(0))
+            order = np.lexsort((word, rank[open_]))
+            by_rank, by_word = rank[open_][order], word[order]
+            new = first_of_runs(by_rank, by_word)
+            # a group's members keep its rank, plus how many of the group come before
+            head = np.flatnonzero(new)
+            base = np.flatnonzero(first_of_runs(by_rank))
+            of_group = np.repeat(base, np.diff(np.append(base, len(order))))
+            size = np.diff(np.append(head, len(order)))
+            fresh = np.repeat(head, size) - of_group + by_rank
+            rank = rank.copy()
+            rank[open_[order]] = fresh
+            open_ = open_[order][np.repeat(size > 1, size)]
+        at += step
+        if at == length:
+            runs = rank
+        if at >= length and not len(open_):
+            break
+    return rank, runs
+
+
+def nearest_smaller(place: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row, the nearest row before it of its group (rows of a group are neighbours) with a smaller place; -1 if
+    there is none. Rows jump over what lies between a larger neighbour and the nearest smaller one of that."""
+    out = np.arange(len(place)) - 1
+    open_ = np.arange(len(place))
+    while len(open_):
+        other = out[open_]
+        inside = (other >= 0) & (group[np.maximum(other, 0)] == group[open_])
+        out[open_[~inside]] = -1
+        open_, other = open_[inside], other[inside]
+        larger = place[other] > place[open_]
+        open_, other = open_[larger], other[larger]
+        out[open_] = out[other]
+    return out
+
+
+def longest_previous(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Whether each string's longest previous factor, the larger of its common prefixes with the previous and the next
+    smaller place in suffix order, reaches length. A smaller place is an earlier occurrence."""
+    rank, runs = suffix_order(text, starts, ends, length)
+    order = np.argsort(rank, kind="stable")
+    by_place, run = place[order], runs[order]
+    previous = nearest_smaller(by_place, run)
+    following = nearest_smaller(by_place[::-1], run[::-1])[::-1]
+    out = np.empty(len(starts), bool)
+    out[order] = (previous >= 0) | (following >= 0)
     return out
 
 
-def _repeated_in(contexts: list[tuple[int, int, bytes]], length: int) -> list[np.ndarray]:
-    """For contexts (id, place, bytes), which of their strings also start in an earlier one."""
-    by_place = sorted(range(len(contexts)), key=lambda i: contexts[i][:2])
-    sizes = np.array([len(contexts[i][2]) for i in by_place])
-    text = np.frombuffer(b"".join(contexts[i][2] for i in by_place), np.uint8)
+def _repeated_in(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray, copied: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts (one after another in text): a flag per string, and per context whether all strings of its copy are
+    repeated."""
     begin = np.cumsum(sizes) - sizes
     own = sizes - length + 1
-    starts = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-    repeated = (longest_previous(suffix_ranks(text, length), text, starts, length) >= length).astype(np.uint8)
-    out: list[np.ndarray] = [np.empty(0)] * len(contexts)
-    for i, flags in zip(by_place, np.split(repeated, np.cumsum(own)[:-1]), strict=True):
-        out[i] = flags
-    return out
+    context = np.repeat(np.arange(len(sizes)), own)
+    starts = ragged(begin, own)
+    # places in order of document and place; copies come behind all first occurrences
+    turn = np.empty(len(sizes), np.int64)
+    by_place = np.lexsort((places, ids))
+    turn[by_place] = np.cumsum(own[by_place]) - own[by_place]
+    place = turn[context] + starts - begin[context]
+    again = np.flatnonzero(copied[context])
+    flags = longest_previous(text, np.concatenate([starts, starts[again]]), (begin + sizes)[np.concatenate([context, context[again]])], np.concatenate([place, place[again] + len(place)]), length)
+    missing = np.bincount(context[again], weights=~flags[len(starts) :], minlength=len(sizes))
+    return flags[: len(starts)], copied & (missing == 0)
+
+
+def _parts(code: np.ndarray, anchors: Anchors, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block asks in the second round, in the order asked: numbers of contexts, their buckets, whether they send
+    their text, and bytes of their answers: a flag per string sent, and one for the copies."""
+    asked = np.flatnonzero(code > 0)
+    f = anchors.firsts[asked]
+    bucket = np.repeat(np.arange(buckets), np.diff(cut(anchors.key[f], buckets)))
+    sends = (code[asked] & CONTENDER) > 0
+    order = np.lexsort((~sends, bucket))
+    size = np.where(sends, anchors.high[f] - anchors.low[f] + 1 + ((code[asked] & COPIED) > 0), 1)
+    return asked[order], bucket[order], sends[order], size[order]
 
 
 def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -180,54 +217,75 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
         key, *rest = Anchors(own, length).columns()
         yield from questions(block, buckets, key, *rest)
 
-    kinds = ["uint64", "uint64", "int64", "int64", "uint32", "uint32"]
+    kinds = ["uint64", "uint64", "int64", "int64", "uint32", "uint32", "uint8"]
     codes = stored(answered(ask(blocks, question), kinds, _codes), "context-codes")
 
     def contend(block: int, own: Block, code: np.ndarray) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(own, length)
-        f = anchors.firsts[code == CONTENDER]
-        bounds = cut(anchors.key[f], buckets)
+        asked, bucket, sends, _ = _parts(code, anchors, buckets)
         out = []
-        for b in np.flatnonzero(np.diff(bounds)):
-            part = f[bounds[b] : bounds[b + 1]]
-            low, high = anchors.low[part], anchors.high[part] + length
-            head = np.array([len(part)], np.int64)
-            raw = b"".join(own.data[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True))
-            out.append((int(b), block, b"".join(x.tobytes() for x in (head, anchors.id[part], anchors.place[part].astype(np.int64), (high - low).astype(np.int64))) + raw))
+        for b in np.unique(bucket).tolist():
+            a, z = np.searchsorted(bucket, [b, b + 1])
+            part, full = asked[a:z], sends[a:z]
+            f = anchors.firsts[part[full]]
+            low, high = anchors.low[f], anchors.high[f] + length
+            head = np.array([len(f), int((~full).sum())], np.int64)
+            columns = (anchors.id[f], anchors.place[f].astype(np.int64), (high - low).astype(np.int64), ((code[part[full]] & COPIED) > 0).astype(np.int64), anchors.context[anchors.firsts[part]].view(np.int64))
+            out.append((b, block, b"".join(x.tobytes() for x in (head, *columns)) + own.data[ragged(low, high - low)].tobytes()))
         yield question_batch(out)
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        contexts, counts = [], []
+        sent: list[list[np.ndarray]] = [[] for _ in range(6)]
+        waiting = []
         for payload in table.column("payload"):
             raw = payload.as_buffer()
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            ids, place, size = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
-            body = memoryview(raw)[8 + 24 * n :]
-            end = np.cumsum(size)
-            contexts += [(i, p, bytes(body[e - s : e])) for i, p, s, e in zip(ids.tolist(), place.tolist(), size.tolist(), end.tolist(), strict=True)]
-            counts.append(n)
-        flags = _repeated_in(contexts, length)
-        at = np.cumsum(counts) - counts
-        answers = [b"".join(x.tobytes() for x in flags[a : a + n]) for a, n in zip(at.tolist(), counts, strict=True)]
+            n, m = np.frombuffer(raw, np.int64, 2).tolist()
+            for into, x in zip(sent, np.frombuffer(raw, np.int64, 5 * n, 16).reshape(5, n), strict=False):
+                into.append(x)
+            sent[5].append(np.frombuffer(raw, np.uint8, -1, 16 + 40 * n + 8 * m))
+            waiting.append(np.frombuffer(raw, np.int64, m, 16 + 40 * n))
+        counts = [len(x) for x in sent[0]]
+        ids, places, sizes, copied, context, text = (np.concatenate(x) for x in sent)
+        flags, again = _repeated_in(ids, places, sizes, copied > 0, text, length)
+        # a context that occurs earlier hears of the copy of the one whose text was sent
+        known = np.flatnonzero(copied)
+        known = known[np.argsort(context[known])]
+        own = sizes - length + 1
+        flag_at, answers, a = np.cumsum(own) - own, [], 0
+        for n, w in zip(counts, waiting, strict=True):
+            mine = slice(a, a + n)
+            size = own[mine] + copied[mine]
+            out = np.empty(int(size.sum()), np.uint8)
+            at = np.cumsum(size) - size
+            out[ragged(at, own[mine])] = flags[ragged(flag_at[mine], own[mine])]
+            has = copied[mine] > 0
+            out[(at + own[mine])[has]] = again[mine][has]
+            told = again[known[np.searchsorted(context[known], w)]] if len(w) else np.empty(0, bool)
+            answers.append(out.tobytes() + told.astype(np.uint8).tobytes())
+            a += n
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "answer": pa.array(answers, pa.binary())})
 
     compared = with_answers(blocks, [codes], QUESTION, contend).groupBy("bucket").applyInArrow(compare, "block long, bucket int, answer binary")
 
-    def finish(block: int, own: Block, code: np.ndarray, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def finish(block: int, own: Block, code: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(own, length)
         n = len(own.data)
-        gone = np.zeros(n + 1, np.int64)
-        # an occurrence that is not the first here, or of a context that starts earlier elsewhere, is repeated as a whole
+        asked, _, sends, size = _parts(code, anchors, buckets)
+        at = np.cumsum(size) - size
+        # contexts whose occurrences, or all but the first of them, are repeated as a whole
+        whole, copies = np.zeros(len(code), bool), np.zeros(len(code), bool)
+        whole[asked[~sends]] = answer[at[~sends]] > 0
+        has = sends & ((code[asked] & COPIED) > 0)
+        copies[asked[has]] = answer[(at + size - 1)[has]] > 0
         group = np.cumsum(anchors.new) - 1
-        whole = anchors.order[~anchors.new | (code[group] == LATER)] if len(group) else anchors.order
-        np.add.at(gone, anchors.low[whole], 1)
-        np.add.at(gone, anchors.high[whole] + 1, -1)
+        gone = np.zeros(n + 1, np.int64)
+        occurrence = anchors.order[whole[group] | (copies[group] & ~anchors.new)] if len(group) else anchors.order
+        np.add.at(gone, anchors.low[occurrence], 1)
+        np.add.at(gone, anchors.high[occurrence] + 1, -1)
         start = np.cumsum(gone[:-1]) > 0
-        f = anchors.firsts[code == CONTENDER]
+        f = anchors.firsts[asked[sends]]
         strings = anchors.high[f] - anchors.low[f] + 1
-        place = np.repeat(anchors.low[f] - (np.cumsum(strings) - strings), strings) + np.arange(int(strings.sum()))
-        start[place[flags > 0]] = True
+        start[ragged(anchors.low[f], strings)[answer[ragged(at[sends], strings)] > 0]] = True
         cover = np.zeros(n + 1, np.int64)
         at = np.flatnonzero(start)
         cover[at] += 1

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenseek.llm import html_text, quality_classifier
+from lumenseek.llm import html_text, quality_classifier, suffix_dedup
 from lumenseek.llm.embedding_dedup import embedding_classes
 from lumenseek.llm.html_text import extract_text, main_text
 from lumenseek.llm.jaccard_join import Region, jaccard_classes
@@ -24,7 +24,7 @@ from lumenseek.llm.pii import pseudonymise
 from lumenseek.llm.quality_rules import judge_documents
 from lumenseek.llm.queries import tokenizer_path
 from lumenseek.llm.substring_dedup import COVERS, period_for, remove_repeated_windows
-from lumenseek.llm.suffix_dedup import longest_previous, remove_repeated_strings, suffix_ranks
+from lumenseek.llm.suffix_dedup import remove_repeated_strings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, id string, block string"
 
@@ -111,14 +111,34 @@ def test_repeated_strings(docs, rows, length):
 
 def test_longest_previous_factors():
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        text = rng.integers(97, 100, 60).astype(np.uint8)
-        starts = np.arange(50)
-        got = longest_previous(suffix_ranks(text, 10), text, starts, 10)
-        raw = text.tobytes()
-        for i in starts:
-            want = max((next((k for k in range(10) if raw[i + k] != raw[j + k]), 10) for j in range(i)), default=0)
-            assert got[i] == want
+    for length in (4, 8, 10, 19):
+        for _ in range(20):
+            size = rng.integers(length, 3 * length, 6)
+            text = rng.integers(97, 99, size.sum()).astype(np.uint8)
+            if rng.integers(2):
+                text[size[0] : size[0] + length] = text[:length]
+            begin = np.cumsum(size) - size
+            own = size - length + 1
+            starts = np.concatenate([np.arange(a, a + n) for a, n in zip(begin, own)])
+            ends = np.repeat(begin + size, own)
+            place = rng.permutation(len(starts))
+            rank, runs = suffix_dedup.suffix_order(text, starts, ends, length)
+            raw = [text[a:z].tobytes() for a, z in zip(starts, ends)]
+            assert [raw[i] for i in np.argsort(rank, kind="stable")] == sorted(raw)
+            got = suffix_dedup.longest_previous(text, starts, ends, place, length)
+            for i in range(len(starts)):
+                assert [runs[j] == runs[i] for j in range(len(starts))] == [raw[j][:length] == raw[i][:length] for j in range(len(starts))]
+                assert got[i] == any(raw[j][:length] == raw[i][:length] for j in range(len(starts)) if place[j] < place[i])
+
+
+def test_factors_decide_copies_too(monkeypatch):
+    text = np.frombuffer(b"abcdefghijkl" + b"xbcdefghijkz", np.uint8)
+    contexts = np.array([5, 9]), np.array([0, 3]), np.array([12, 12]), np.array([True, False]), text
+    flags, again = suffix_dedup._repeated_in(*contexts, 10)
+    assert flags.tolist() == [False] * 3 + [False, True, False] and again.tolist() == [True, False]
+    monkeypatch.setattr(suffix_dedup, "longest_previous", lambda text, starts, *_: np.zeros(len(starts), bool))
+    flags, again = suffix_dedup._repeated_in(*contexts, 10)
+    assert not flags.any() and not again.any()
 
 
 def test_strings_of_empty_tables(spark):
