@@ -1,8 +1,11 @@
-"""Packing of tokenised documents into fixed-length sequences: best fit over all pieces, planned on counts.
-
-Pieces of equal length are interchangeable, so best fit, longest first, is planned on the counts per length of the whole
-table (capacity of them at most); each piece then finds its sequence in the plan by its length and its number among the
-pieces of that length. No task packs for itself, and only lengths and keys move, never tokens.
+"""Packing of tokenised documents into fixed-length sequences by hierarchical residual best fit.
+
+Every task packs its own pieces by best fit, longest first. Its nearly full bins are sequences; what is in underfull bins
+goes on to the node of a tree that stands for FAN tasks, where it is packed again in the same way, and what is underfull
+there meets at the root. Underfull bins are opened on the way, since two pieces that only shared a bin for want of better
+ones would keep out a piece that fits. At the root, items of equal size are interchangeable, so best fit is planned on
+their counts per size (capacity of them at most) and each finds its sequence by its size and number: no task holds or
+closes them all, and no bin is given up for want of room. Only lengths and keys move, never tokens.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumenseek.llm.blocks import first_of_runs
 from lumenseek.llm.hashing import ragged
 from lumenseek.llm.scratch import stored
 
 #: Bytes of text tokenised at once, and words whose ids a task remembers.
 TEXT_CHUNK = 2 << 20
 REMEMBERED = 400_000
+#: Tasks whose underfull bins meet in a node; a bin is nearly full that lacks no more than this part of the capacity.
+FAN, LACKS = 8, 1 / 256
 
 
 class Merges:
@@ -121,7 +127,8 @@ class Merges:
 
 
 class WordIds:
-    """Ids of words, for a tokenizer that never joins across white space, kept for later words of the same worker.
+    """Ids of words, kept for later words of the same worker. A tokenizer that trials show to join across white space, or
+    to give it ids, encodes whole texts instead.
 
     A word of Latin letters and then punctuation without apostrophes is taken apart there, where such tokenizers also
     divide it and treat letters as in lower case, and its parts are merged by Merges, many at once. All other words, and
@@ -134,6 +141,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.splits = self._splits()
         try:
             self.merges = Merges(self.tokenizer)
             self.apart = self._divides()
@@ -146,6 +154,11 @@ class WordIds:
         self.flat = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 12, np.int64)  # of the n-th known word; it starts where the one before ends
 
+    def _splits(self) -> bool:
+        trial = ["The first  word,\tand\n\n(the) second\r\nline ", " a\x0bb\x0cc", "don't  I'm x_y 12 345\té ß", "\n", "a. B! \"c\" --"]
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        return all(ids(x) == [i for w in re.split(r"[ \t\n\x0b\x0c\r]+", x) if w for i in ids(w)] for x in trial)
+
     def _divides(self) -> bool:
         trial = [a + b for a in ("The", "ÉÀü", "xXy", "straße", "unquestionably", "aaaaaaa", "qzxv") for b in ("", ".", "***", "&&&!", "(;", '"', "!!!!!!")]
         ids, sizes = self._divided(list(map(self._parts.fullmatch, trial)))
@@ -183,6 +196,9 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """From texts to their ids, one after another, and bounds."""
+        if not self.splits:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         counts = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
@@ -311,42 +327,91 @@ def plan_bins(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+def planned(sizes: np.ndarray, nth: np.ndarray, plan: np.ndarray) -> np.ndarray:
+    """The bins of items by their sizes and numbers among the items of their size."""
+    start = plan[:, 0] << 44 | plan[:, 1]
+    _, first, each, at = plan[np.searchsorted(start, sizes << 44 | nth, "right") - 1].T
+    return at + (nth - first) // each
+
+
+def pack_items(keys: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit, longest first, of unique keys: for each item the smallest key in its bin, its offset and the bin's fill."""
+    order = np.lexsort((keys, sizes))
+    values, first, counts = np.unique(sizes[order], return_index=True, return_counts=True)
+    nth = np.empty(len(sizes), np.int64)
+    nth[order] = np.arange(len(sizes)) - np.repeat(first, counts)
+    bins = planned(sizes, nth, plan_bins(dict(zip(values.tolist(), counts.tolist(), strict=True)), capacity)) if len(sizes) else nth
+    order = np.lexsort((keys, -sizes, bins))
+    number = np.cumsum(first_of_runs(bins[order])) - 1
+    begin = np.flatnonzero(first_of_runs(bins[order]))
+    upto = np.cumsum(sizes[order]) - sizes[order]
+    least, fill, offset = (np.empty(len(sizes), np.int64) for _ in range(3))
+    if len(sizes):
+        offset[order] = upto - upto[begin][number]
+        fill[order] = np.add.reduceat(sizes[order], begin)[number]
+        least[order] = np.minimum.reduceat(keys[order], begin)[number]
+    return least, offset, fill
+
+
+PLACED = "key long, size long, bin long, offset long, fill long, node int"
+
+
 def assign_sequences(pieces: DataFrame, capacity: int) -> DataFrame:
     """key long, sequence_id long, offset long for pieces (key long, unique and not null; length long, capacity at
     most). A sequence's id is the smallest key in it; a piece of full length is a sequence of its own."""
     whole = pieces.where(F.col("length") >= capacity).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
+    def rows(keys: np.ndarray, sizes: np.ndarray, node: int) -> pa.Table:
+        least, offset, fill = pack_items(keys, sizes, capacity)
+        return pa.table({"key": pa.array(keys), "size": pa.array(sizes), "bin": pa.array(least), "offset": pa.array(offset), "fill": pa.array(fill), "node": pa.array(np.full(len(keys), node, np.int32))})
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            keys, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from rows(keys, sizes, TaskContext.get().partitionId()).to_batches(1 << 16)
+
+    def node(table: pa.Table) -> pa.Table:
+        return rows(table.column("key").to_numpy(), table.column("size").to_numpy(), table.column("parent")[0].as_py())
+
+    full = F.col("fill") >= capacity * (1 - LACKS)
+    sequences = lambda placed: placed.where(full).select("key", F.col("bin").alias("sequence_id"), "offset")
+    left = lambda placed: placed.where(~full).select("key", "size", (F.col("node") / FAN).cast("int").alias("parent"))
+    leaves = stored(pieces.where(F.col("length") < capacity).select("key", "length").mapInArrow(leaf, PLACED), "leaf-bins")
+    nodes = stored(left(leaves).groupBy("parent").applyInArrow(node, PLACED), "node-bins")
+    return whole.unionByName(sequences(leaves)).unionByName(sequences(nodes)).unionByName(_root_bins(left(nodes), capacity))
+
+
+def _root_bins(items: DataFrame, capacity: int) -> DataFrame:
+    """key, sequence_id, offset of items (key, size) packed by a plan on their counts per size."""
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        seen = np.zeros(capacity, np.int64)
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            length = b.column(1).to_numpy()
-            order = np.argsort(length, kind="stable")
-            values, first, counts = np.unique(length[order], return_index=True, return_counts=True)
-            nth = np.empty(len(length), np.int64)
-            nth[order] = np.arange(len(length)) + np.repeat(seen[values] - first, counts)
+            size = b.column(1).to_numpy()
+            order = np.argsort(size, kind="stable")
+            values, first, counts = np.unique(size[order], return_index=True, return_counts=True)
+            nth = np.empty(len(size), np.int64)
+            nth[order] = np.arange(len(size)) + np.repeat(seen[values] - first, counts)
             seen[values] += counts
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(nth)], ["key", "length", "task", "nth"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), task, np.int32)), pa.array(nth)], ["key", "size", "task", "nth"])
 
-    parts = pieces.where(F.col("length") < capacity).select("key", "length").mapInArrow(number, "key long, length long, task int, nth long")
-    parts = stored(parts, "numbered")
-    sizes = parts.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
-    plan = plan_bins({r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    # a piece's number among all of its length: its number in its task after those of the tasks before
-    before = sizes.select("length", "task", (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    numbered = parts.join(before, ["length", "task"]).select("key", "length", (F.col("before") + F.col("nth")).alias("nth"))
+    parts = stored(items.select("key", "size").mapInArrow(number, "key long, size long, task int, nth long"), "numbered-bins")
+    counts = parts.groupBy("size", "task").agg(F.count(F.lit(1)).alias("n"))
+    plan = plan_bins({r.size: r.n for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, capacity)
+    # an item's number among all of its size: its number in its task after those of the tasks before
+    before = counts.select("size", "task", (F.sum("n").over(W.partitionBy("size").orderBy("task")) - F.col("n")).alias("before"))
+    numbered = parts.join(before, ["size", "task"]).select("key", "size", (F.col("before") + F.col("nth")).alias("nth"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = plan[:, 0] << 44 | plan[:, 1]
         for b in batches:
-            length, nth = b.column(1).to_numpy(), b.column(2).to_numpy()
-            _, first, each, at = plan[np.searchsorted(start, length << 44 | nth, "right") - 1].T
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(at + (nth - first) // each)], ["key", "length", "bin"])
+            bins = planned(b.column(1).to_numpy(), b.column(2).to_numpy(), plan)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(bins)], ["key", "size", "bin"])
 
-    placed = numbered.mapInArrow(place, "key long, length long, bin long")
     inside = W.partitionBy("bin")
-    offset = F.sum("length").over(inside.orderBy(F.desc("length"), "key").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length")
-    return whole.unionByName(placed.select("key", F.min("key").over(inside).alias("sequence_id"), offset.alias("offset")))
+    offset = F.sum("size").over(inside.orderBy(F.desc("size"), "key").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    return numbered.mapInArrow(place, "key long, size long, bin long").select("key", F.min("key").over(inside).alias("sequence_id"), offset.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int | None = 1, carry: dict[str, Column] | None = None) -> DataFrame:

@@ -409,6 +409,27 @@ def test_packing_joins_pieces_of_all_tasks(spark):
     assert got.count() == n and got.where("n <> 2 OR last <> 300 OR key <> sequence_id").count() == 0
 
 
+def test_sequences_are_near_the_least_number(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(16)
+    got = pack_documents(docs, str(tokenizer_path()), capacity=4096)
+    r = got.agg(F.sum("length").alias("tokens"), F.count_distinct("sequence_id").alias("n")).first()
+    assert -(-r.tokens // 4096) <= r.n <= 1.01 * (-(-r.tokens // 4096)) + 1
+
+
+def test_tokenizers_that_join_words_encode_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    spaced = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate("?abc Ġ")}, merges=[], unk_token="?"))
+    spaced.pre_tokenizer = pre_tokenizers.Split(" ", "merged_with_next")
+    path = str(tmp_path / "spaced.json")
+    spaced.save(path)
+    texts = [(1, "a b  c"), (2, None), (3, "abc"), (3, "abc")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("piece", F.lit("x")).withColumn("key", F.lit(0))
+    got = sorted((r.doc_id, r.length, zlib.crc32(r.ids)) for r in pack_documents(docs, path, capacity=64, end_id=None, carry={"ids": F.col("ids")}).collect())
+    want = [np.array(spaced.encode(t or "", add_special_tokens=False).ids, "<u4") for _, t in texts]
+    assert got == sorted((i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(texts, want)) and len(want[0]) == 6
+
+
 # op 9
 
 
