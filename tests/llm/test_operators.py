@@ -331,7 +331,12 @@ def test_components_of_paths_and_hubs(spark, monkeypatch):
 # op 7
 
 
-def test_embedding_classes(spark):
+@pytest.mark.parametrize(("cell_rows", "large"), [(4096, 8192), (4, 30)])
+def test_embedding_classes(spark, monkeypatch, cell_rows, large):
+    from lumenseek.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(embedding_dedup, "LARGE_CELL", large)
     rng = np.random.default_rng(5)
     base = rng.standard_normal((12, 20))
     rows = []
@@ -349,6 +354,26 @@ def test_embedding_classes(spark):
     assert embedding_classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_embedding_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 1, "x", 0), (1, [1.0, 0.01], 1, "y", 0), (None, [1.0, 0.0], 1, "z", 1), (2, [1.0, 0.0], 1, None, 1), (2, [1.0, 0.0], 1, None, 1), (3, [0.0, 1.0], 1, "", 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell string, rep int")
+    got = sorted((r.vec_id or -1, r.component_id, r.kept) for r in embedding_classes(vectors, cosine=0.98).collect())
+    assert got == [(-1, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True)]
+
+
+def test_cells_shrink_as_vectors_grow():
+    from lumenseek.llm.embedding_dedup import _budgets, _expanded, rotation
+
+    rng = np.random.default_rng(2)
+    turned = rng.standard_normal((20_000, 64))
+    turned = turned / np.linalg.norm(turned, axis=1, keepdims=True) @ rotation(64)
+    most = []
+    for cuts in (1, 3, 6):
+        at, cells, _ = _expanded(turned[:, :cuts], np.sqrt(_budgets(64, 0.98)[0]))
+        most.append(np.unique(cells, axis=0, return_counts=True)[1].max())
+    assert most[1] < 0.6 * most[0] and most[2] < 0.5 * most[1]
+
+
 # op 8
 
 
