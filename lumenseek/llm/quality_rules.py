@@ -5,7 +5,10 @@ document whose share lies above a cutoff. Cutoffs are not set by hand: labelled
 holdout, and within each stratum (language) a cutoff is admitted only if an exact binomial test rejects, at level
 DELTA / (strata * rules), that it rejects more than ALPHA of the good documents. A rule's grid is tried from the most
 lenient cutoff on and stops at the first that fails (a fixed sequence, which needs no further correction); Bonferroni
-covers rules and strata. Where labels are too few for any bound, no cutoff is set and the rule rejects nothing there.
+covers rules and strata. So with probability 1 - DELTA, no stratum loses more than RISK of its good documents to all rules
+together, of which each may take its share ALPHA. Trials have to be independent, so labelled documents that agree in all
+counts, as copies do, count as one. Where labels are too few for any bound, no cutoff is set and the rule rejects nothing
+there.
 """
 
 from __future__ import annotations
@@ -15,9 +18,8 @@ from pyspark.sql import functions as F
 
 from lumenseek.llm.scratch import stored
 
-#: False rejections that one rule may cause among good documents of a stratum, and the error level of all bounds.
-ALPHA = 0.01
-DELTA = 0.05
+#: The part of a stratum's good documents that all rules together may reject, and the error level of all bounds.
+RISK, DELTA = 0.05, 0.05
 #: Cutoffs of each rule, most lenient first.
 GRID: dict[str, tuple[float, ...]] = {
     "symbol_share": (0.5, 0.3, 0.2, 0.1, 0.05, 0.03),
@@ -26,6 +28,8 @@ GRID: dict[str, tuple[float, ...]] = {
     "capital_share": (0.9, 0.8, 0.6, 0.4),
     "bang_share": (0.3, 0.2, 0.1, 0.05),
 }
+#: What one rule may reject of them: the rules' shares add up to RISK.
+ALPHA = RISK / len(GRID)
 #: More strata than this are joined without broadcasting their cutoffs.
 BROADCAST_STRATA = 10_000
 MIN_WORDS = 50
@@ -149,5 +153,6 @@ def judge_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg((F.min(label_col) == 1).alias("_good")).where("_good")
     narrow = known.select(F.col(f"row.{id_col}").alias("_id"), F.col(f"row.{stratum_col}").cast("string").alias("_of"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_bangs")
     labelled = narrow.where(~base_failed()).join(good, F.col("_id") == F.col("_label_id")).withColumn("_good", F.lit(True))
+    labelled = labelled.dropDuplicates([c for c in narrow.columns if c != "_id"])
     cutoffs = calibrate(labelled, stratum="_of", good="_good")
     return with_verdict(known.withColumn("_of", F.col(f"row.{stratum_col}").cast("string")), cutoffs, "_of").drop("_of")

@@ -147,7 +147,9 @@ m AS (SELECT w.doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, ''))
 b AS (SELECT doc_id, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 shares AS ({long}),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-hold AS (SELECT s.* FROM shares s JOIN b USING (doc_id) JOIN good USING (doc_id) WHERE NOT base_failed),
+one AS (SELECT min(doc_id) AS doc_id FROM m JOIN b USING (doc_id) JOIN good USING (doc_id) WHERE NOT base_failed
+        GROUP BY lang, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_bangs),
+hold AS (SELECT s.* FROM shares s JOIN one USING (doc_id)),
 grid(rule, step, cutoff) AS (VALUES {grid}),
 k AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS k FROM hold JOIN grid USING (rule) GROUP BY ALL),
 strata AS (SELECT greatest(1, count(DISTINCT coalesce(lang, chr(0)))) AS strata FROM hold),

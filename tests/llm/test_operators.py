@@ -170,15 +170,32 @@ def test_rules(spark, docs, rows):
 
 
 def test_cutoffs_follow_the_exact_bound(spark):
-    good = " ".join(f"w{i}" for i in range(60))
+    good = [" ".join(f"w{i}" for i in range(60 + k)) for k in range(900)]
     bad = " ".join(f"w{i}##" for i in range(60))
-    rows = [(i, good, "en") for i in range(900)] + [(1000 + i, bad, "en") for i in range(5)] + [(2000 + i, bad, "de") for i in range(5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in rows], "doc_id long, quality int")
+    rows = [(i, good[i], "en") for i in range(900)] + [(1000 + i, bad, "en") for i in range(5)] + [(2000 + i, bad, "de") for i in range(5)]
+    rows += [(3000 + i, good[0], "fr") for i in range(900)] + [(4000, bad, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_words", F.lit("x")).withColumn("_of", F.lit(1))
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000 or 3000 <= r[0] < 4000)) for r in rows], "doc_id long, quality int")
     kept = {r.row.doc_id: r.kept for r in judge_documents(docs, labels).collect()}
     assert all(kept[i] for i in range(900)) and not any(kept[1000 + i] for i in range(5))
     assert all(kept[2000 + i] for i in range(5))  # no good documents of that stratum, so no cutoff
-    assert math.pow(0.99, 900) <= 0.05 / 5 < math.pow(0.99, 400)
+    assert kept[4000]  # 900 copies are one trial
+    assert math.pow(0.99, 900) <= 0.05 / 15 < math.pow(0.99, 400)
+
+
+def test_cutoffs_that_fire_agree_with_sql(spark):
+    import duckdb
+
+    from lumenseek.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op3_quality_rules']})").fetchall())
+    got = sorted(tuple(r[c] for c in columns) for r in QUERIES["op3_quality_rules"](spark, folder).collect())
+    assert got == want and sum(not base and not kept for *_, base, kept in got) > 100
 
 
 # op 4
