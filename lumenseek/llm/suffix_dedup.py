@@ -119,7 +119,7 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
             left = np.minimum(ends[open_] - starts[open_] - at, step)
             word = eights[np.minimum(starts[open_] + at, len(text))].astype(np.uint64)
             word = np.where(left > 0, word >> (np.uint64(64) - np.uint64(8) * np.maximum(left, 1).astype(np.uint64)) << np.uint64(8) * (np.uint64(8) - np.maximum(left, 1).astype(np.uint64)), np.uint64(0))
-            order = np.lexsort((word, rank[open_]))
+            order = np.lexsort((word, rank[open_])) if at else np.argsort(word, kind="stable")
             by_rank, by_word = rank[open_][order], word[order]
             new = first_of_runs(by_rank, by_word)
             # a group's members keep its rank, plus how many of the group come before
@@ -155,15 +155,16 @@ def nearest_smaller(place: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def longest_previous(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """Whether each string's longest previous factor, the larger of its common prefixes with the previous and the next
-    smaller place in suffix order, reaches length. A smaller place is an earlier occurrence."""
-    rank, runs = suffix_order(text, starts, ends, length)
+def longest_previous(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, string: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Whether the longest previous factor of each occurrence (number of a string from starts up to ends, and a place), the
+    larger of its common prefixes with the previous and the next smaller place in suffix order, reaches length. A smaller
+    place is an earlier occurrence; a string that occurs again is sorted once."""
+    rank, runs = (x[string] for x in suffix_order(text, starts, ends, length))
     order = np.argsort(rank, kind="stable")
     by_place, run = place[order], runs[order]
     previous = nearest_smaller(by_place, run)
     following = nearest_smaller(by_place[::-1], run[::-1])[::-1]
-    out = np.empty(len(starts), bool)
+    out = np.empty(len(string), bool)
     out[order] = (previous >= 0) | (following >= 0)
     return out
 
@@ -181,7 +182,8 @@ def _repeated_in(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray, copied:
     turn[by_place] = np.cumsum(own[by_place]) - own[by_place]
     place = turn[context] + starts - begin[context]
     again = np.flatnonzero(copied[context])
-    flags = longest_previous(text, np.concatenate([starts, starts[again]]), (begin + sizes)[np.concatenate([context, context[again]])], np.concatenate([place, place[again] + len(place)]), length)
+    every = np.concatenate([np.arange(len(starts)), again])
+    flags = longest_previous(text, starts, (begin + sizes)[context], every, np.concatenate([place, place[again] + len(place)]), length)
     missing = np.bincount(context[again], weights=~flags[len(starts) :], minlength=len(sizes))
     return flags[: len(starts)], copied & (missing == 0)
 

@@ -121,14 +121,17 @@ def test_longest_previous_factors():
             own = size - length + 1
             starts = np.concatenate([np.arange(a, a + n) for a, n in zip(begin, own)])
             ends = np.repeat(begin + size, own)
-            place = rng.permutation(len(starts))
+            string = np.concatenate([np.arange(len(starts)), rng.integers(0, len(starts), 9)])
+            place = rng.permutation(len(string))
             rank, runs = suffix_dedup.suffix_order(text, starts, ends, length)
             raw = [text[a:z].tobytes() for a, z in zip(starts, ends)]
             assert [raw[i] for i in np.argsort(rank, kind="stable")] == sorted(raw)
-            got = suffix_dedup.longest_previous(text, starts, ends, place, length)
+            got = suffix_dedup.longest_previous(text, starts, ends, string, place, length)
+            for k in range(len(string)):
+                head = raw[string[k]][:length]
+                assert got[k] == any(raw[string[j]][:length] == head for j in range(len(string)) if place[j] < place[k])
             for i in range(len(starts)):
                 assert [runs[j] == runs[i] for j in range(len(starts))] == [raw[j][:length] == raw[i][:length] for j in range(len(starts))]
-                assert got[i] == any(raw[j][:length] == raw[i][:length] for j in range(len(starts)) if place[j] < place[i])
 
 
 def test_factors_decide_copies_too(monkeypatch):
@@ -136,7 +139,7 @@ def test_factors_decide_copies_too(monkeypatch):
     contexts = np.array([5, 9]), np.array([0, 3]), np.array([12, 12]), np.array([True, False]), text
     flags, again = suffix_dedup._repeated_in(*contexts, 10)
     assert flags.tolist() == [False] * 3 + [False, True, False] and again.tolist() == [True, False]
-    monkeypatch.setattr(suffix_dedup, "longest_previous", lambda text, starts, *_: np.zeros(len(starts), bool))
+    monkeypatch.setattr(suffix_dedup, "longest_previous", lambda text, starts, ends, string, *_: np.zeros(len(string), bool))
     flags, again = suffix_dedup._repeated_in(*contexts, 10)
     assert not flags.any() and not again.any()
 
