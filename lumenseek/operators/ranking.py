@@ -53,19 +53,27 @@ def scored_terms(units: DataFrame, keys: list[str], queries: DataFrame, dialect:
     """query_id, pos, term, keys, tf (count), doc_len, df, idf, bm25: one row per query term that a unit has.
 
     Only query terms leave the units: tokens are filtered against the distinct terms before anything is shuffled."""
-    # terms and weights have no more rows than the queries, so one look at these bounds all that is broadcast
-    small = queries.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    sent = F.broadcast if small else lambda df: df
-    terms = queries.select("term").distinct()
-    stats = units.agg(F.count(F.lit(1)), F.avg(F.size("tokens").cast("double"))).first()
-    n, avgdl = F.lit(stats[0]), F.lit(max(stats[1] or 0.0, dialect.least_avgdl) or 1.0)
+    # terms have no more rows than the queries, so one look at these bounds what is broadcast
+    sent = _sender(queries)
+    stats = units.agg(F.count(F.lit(1)), F.sum(F.size("tokens").cast("double"))).first()
     hits = units.select(*keys, F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
-    hits = hits.join(sent(terms), "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    hits = hits.join(sent(queries.select("term").distinct()), "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("raw_freq"), F.first("doc_len").alias("doc_len"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = queries.join(df, "term").withColumn("idf", dialect.idf(n, F.col("df")))
+    return scored_postings(hits, df, stats[0], stats[1] or 0.0, queries, dialect)
+
+
+def _sender(queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return F.broadcast if queries.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else lambda df: df
+
+
+def scored_postings(hits: DataFrame, df: DataFrame, n: int, total_len: float, queries: DataFrame, dialect: Dialect) -> DataFrame:
+    """scored_terms() of postings (keys, term, raw_freq, doc_len), counts (term, df), and the number of units and of
+    their tokens, which an index has stored."""
+    avgdl = F.lit(max(total_len / n if n else 0.0, dialect.least_avgdl) or 1.0)
+    weights = queries.join(df, "term").withColumn("idf", dialect.idf(F.lit(n), F.col("df")))
     tf, dl = F.col("tf").cast("double"), F.col("doc_len").cast("double")
     part = F.col("idf") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
-    return hits.join(sent(weights), "term").withColumn("bm25", part)
+    return hits.withColumnRenamed("raw_freq", "tf").join(_sender(queries)(weights), "term").withColumn("bm25", part)
 
 
 def rank(scored: DataFrame, keys: list[str], *, limit: int | None = 10, min_score: float | None = None, components: bool = False) -> DataFrame:
@@ -90,6 +98,14 @@ def search(units: DataFrame, keys: list[str], queries: dict[str, str] | DataFram
     return rank(scored_terms(units, keys, rows, dialect), keys, **options)
 
 
+def candidates_of(posting_rows: DataFrame, keys: list[str], terms: list[str], limit: int = 100) -> DataFrame:
+    """candidates() from postings, with the terms that matched, in the order of terms."""
+    place = F.array_position(F.array(*map(F.lit, terms)), F.col("term"))
+    hits = posting_rows.where(F.col("term").isin(terms)).groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(place.alias("at"), "term"))).alias("m"))
+    hits = hits.select(*keys, F.size("m").cast("long").alias("matches"), F.transform("m", lambda x: x.term).alias("matched_terms"))
+    return hits.orderBy(F.col("matches").desc(), *keys).limit(limit)
+
+
 def candidates(units: DataFrame, keys: list[str], terms: list[str], limit: int = 100) -> DataFrame:
     """Units with most distinct query terms: keys, matches. A lossy preselection, for callers that ask for it."""
     hits = units.select(*keys, F.size(F.array_intersect("tokens", F.array(*map(F.lit, terms)))).cast("long").alias("matches")).where("matches > 0")

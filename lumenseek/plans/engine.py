@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from lumenseek.functions.embedding import EmbeddingConfig, embed
 from lumenseek.functions.paths import chunk_id, is_indexable, merge_key, parse_chunk_id, path_matches
 from lumenseek.operators import ranking
-from lumenseek.operators.changes import apply_changes, refresh_mode, snapshot_diff
+from lumenseek.operators.changes import refresh_mode, snapshot_diff
 from lumenseek.operators.chunking import chunk_symbols
 from lumenseek.operators.hybrid import merge_hybrid
 from lumenseek.operators.snippets import snippets
 from lumenseek.operators.statistics import document_frequencies, postings
 from lumenseek.operators.vector_search import nearest
 from lumenseek.sources.files import inventory, read_tree
-from lumenseek.sources.store import Store
+from lumenseek.sources.store import MAX_SEGMENTS, TABLES, Store
 
 KEYS = ["path", "start_line", "end_line"]
 
@@ -68,6 +68,11 @@ def cache_key(query: str, **options) -> str:
     return json.dumps([query.lower().strip(), plain], sort_keys=True)
 
 
+def _totals(chunks: DataFrame) -> tuple[int, int]:
+    row = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    return row[0], row[1]
+
+
 class Engine:
     """An index of symbol chunks in a store, with dense vectors if an embedding is configured."""
 
@@ -86,34 +91,50 @@ class Engine:
         mode = refresh_mode(diff, self.store.get_metadata("root") == root)
         counts = {r.change_type: r["count"] for r in diff.groupBy("change_type").count().collect()}
         if mode == "full":
-            self._write(files, chunk_symbols(files))
+            self._build(files, root)
         elif mode == "incremental":
             fresh = files.join(diff.where("change_type IN ('added', 'changed')"), "path", "left_semi")
             self.update(fresh, diff.where("change_type = 'deleted'").select("path"))
-        self.store.set_metadata("root", root)
         out = {"mode": mode, "files_scanned": files.count(), "chunks": self.store.count("chunks"), "changed": counts.get("added", 0) + counts.get("changed", 0), "removed": counts.get("deleted", 0), "elapsed_ms": int(1000 * (time.monotonic() - began))}
         files.unpersist()
         diff.unpersist()
         return out
 
     def update(self, files: DataFrame, gone: DataFrame) -> None:
-        """New contents of some files, and paths of files that are gone. Counts follow from all postings, so the result
-        equals a full build."""
-        changed = files.select("path").unionByName(gone.select("path")).distinct()
-        chunks = apply_changes(self.store.read("chunks"), changed, chunk_symbols(files.where(is_indexable(F.col("path")))))
-        kept = self.store.read("files").join(changed, "path", "left_anti")
-        self._write(kept.unionByName(files, allowMissingColumns=True), chunks)
-
-    def _write(self, files: DataFrame, chunks: DataFrame) -> None:
-        self.store.write("chunks", chunks)
-        self.store.write("files", files)
-        chunks = self.store.read("chunks")
-        self.store.write("postings", postings(chunks, KEYS))
-        self.store.write("terms", document_frequencies(self.store.read("postings")))
+        """New contents of some files, and paths of files that are gone. Only their rows are read and written: their old
+        postings leave the counts, new ones join them, so the result equals a full build."""
+        files = self.store.stage("files", files.where(is_indexable(F.col("path"))))
+        changed = files.select("path").unionByName(gone.select("path")).distinct().persist()
+        rows = self._rows(files)
+        old = self.store.read("postings").join(changed, "path", "left_semi")
+        before = self.store.read("chunks").join(changed, "path", "left_semi")
+        signed = old.select("term", F.lit(-1).alias("df")).unionByName(rows["postings"].select("term", F.lit(1).alias("df")))
+        counts = signed.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        (n, length), (n_old, length_old) = _totals(rows["chunks"]), _totals(before)
+        totals = {"n_chunks": self.store.get_metadata("n_chunks", 0) + n - n_old, "total_len": self.store.get_metadata("total_len", 0) + length - length_old}
+        self.store.commit(append=rows | {"files": files, "terms": self.store.stage("terms", counts)}, gone=changed, metadata=totals)
+        changed.unpersist()
+        if self.store.segments() > MAX_SEGMENTS:
+            self.store.compact()
+        self.cache.clear()
+
+    def _build(self, files: DataFrame, root: str) -> None:
+        files = self.store.stage("files", files)
+        rows = self._rows(files)
+        n, length = _totals(rows["chunks"])
+        terms = self.store.stage("terms", document_frequencies(rows["postings"]), "term")
+        self.store.commit(replace=rows | {"files": files, "terms": terms}, metadata={"root": root, "n_chunks": n, "total_len": length})
+        self.cache.clear()
+
+    def _rows(self, files: DataFrame) -> dict[str, DataFrame]:
+        """Staged chunks, postings and vectors of files."""
+        chunks = self.store.stage("chunks", chunk_symbols(files))
+        out = {"chunks": chunks, "postings": self.store.stage("postings", postings(chunks, KEYS), "term")}
         if self.embedding:
             rows = chunks.select(chunk_id(*map(F.col, KEYS)).alias("id"), embed(F.col("text"), self.embedding).alias("vector"), F.lit("code").alias("type"), F.col("text").alias("content"), "path")
-            self.store.write("vectors", self.store.spark.createDataFrame([], self.store.read("vectors").schema).unionByName(rows, allowMissingColumns=True))
-        self.cache.clear()
+            empty = self.spark.createDataFrame([], TABLES["vectors"])
+            out["vectors"] = self.store.stage("vectors", empty.unionByName(rows, allowMissingColumns=True))
+        return out
 
     # searching
 
@@ -125,17 +146,35 @@ class Engine:
         key = cache_key(query, limit=limit, min_score=min_score, extensions=extensions or [], contains=contains, excludes=excludes or [], content=content)
         if (found := self.cache.get(key)) is not None:
             return found
-        chunks = self.store.read("chunks")
-        rows = ranking.query_rows(self.spark, {"q": query}, ranking.SYMBOL)
-        scored = ranking.scored_terms(chunks, KEYS, rows, ranking.SYMBOL).where(path_matches(F.col("path"), extensions=extensions, contains=contains, excludes=excludes))
+        terms = ranking.query_rows(self.spark, {"q": query}, ranking.SYMBOL).persist()
+        asked = sorted({r.term for r in terms.collect()})
+        # the index answers: stored postings of the query's terms, and stored counts
+        hits = self.store.postings(asked, path_matches(F.col("path"), extensions=extensions, contains=contains, excludes=excludes))
+        scored = ranking.scored_postings(hits, self.store.terms(asked), self.store.get_metadata("n_chunks", 0), self.store.get_metadata("total_len", 0), terms, ranking.SYMBOL)
         best = ranking.rank(scored, KEYS, limit=limit, min_score=min_score, components=True).drop("query_id")
-        out = best.join(chunks.select(*KEYS, "symbol_name", "chunk_type", "text"), KEYS)
+        best = self.spark.createDataFrame(best.collect(), best.schema)  # limit rows
+        paths = [r.path for r in best.select("path").distinct().collect()]
+        out = best.join(self.store.read("chunks", F.col("path").isin(paths)).select(*KEYS, "symbol_name", "chunk_type", "text"), KEYS)
         if content:
             out = out.join(snippets(out.withColumnRenamed("text", "content"), KEYS), KEYS)
         found = [r.asDict(recursive=True) for r in out.drop("text").orderBy("rank").collect()]
+        terms.unpersist()
         self.cache.set(key, found)
         return found
 
+    def by_terms(self, terms: list[str], limit: int = 100) -> DataFrame:
+        """Chunks with most of some terms: KEYS, matches, matched_terms, from the stored postings."""
+        return ranking.candidates_of(self.store.postings(terms), KEYS, terms, limit)
+
+    def status(self) -> dict:
+        """What is indexed."""
+        return {"root": self.store.get_metadata("root"), "files": self.store.count("files"), "chunks": self.store.get_metadata("n_chunks", 0), "segments": self.store.segments(), "cache": self.cache.stats()}
+
+    def content(self, path: str) -> str | None:
+        """The indexed content of a file."""
+        row = self.store.get("files", path).select("content").first()
+        return row.content if row else None
+
     def semantic(self, query: str, *, limit: int = 10, min_score: float = 0.0, **filters) -> DataFrame:
         if not self.embedding:
             raise ValueError("no embedding is configured")

@@ -7,6 +7,7 @@ reads contents in as many partitions as asked for.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -74,12 +75,23 @@ class _Part(InputPartition):
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.max_bytes = options["path"], int(options.get("maxbytes", MAX_FILE_BYTES))
-        self.parts = int(options.get("partitions", 8))
+        self.parts, self.only = int(options.get("partitions", 8)), json.loads(options.get("only", "null"))
 
     def partitions(self) -> list[_Part]:
-        found = list(walk(self.root, self.max_bytes, load_ignore(self.root)))
+        found = list(self._some() if self.only is not None else walk(self.root, self.max_bytes, load_ignore(self.root)))
         return [_Part(found[i :: self.parts]) for i in range(min(self.parts, len(found)) or 1)]
 
+    def _some(self) -> Iterator[tuple[str, int, float]]:
+        """Of named paths those that are there and not ignored, without a walk."""
+        ignore = load_ignore(self.root)
+        for path in sorted(self.only):
+            try:
+                stat = os.stat(os.path.join(self.root, path))
+            except OSError:
+                continue
+            if stat.st_size <= self.max_bytes and not ignore(path):
+                yield path, stat.st_size, stat.st_mtime
+
     def read(self, partition: _Part) -> Iterator[tuple]:
         import datetime
 
@@ -134,10 +146,11 @@ class CodeTree(DataSource):
         return _ChangeReader(dict(self.options))
 
 
-def read_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, text_only: bool = True) -> DataFrame:
-    """Like scan(), with hidden files, by the codetree source."""
+def read_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, text_only: bool = True, only: list[str] | None = None) -> DataFrame:
+    """Like scan(), with hidden files, by the codetree source; only: paths to read, where the others are not even listed."""
     spark.dataSource.register(CodeTree)
-    files = spark.read.format("codetree").option("maxbytes", max_bytes).load(root)
+    reader = spark.read.format("codetree").option("maxbytes", max_bytes)
+    files = (reader if only is None else reader.option("only", json.dumps(only))).load(root)
     return described(files.where(is_text_file(F.col("path"))) if text_only else files)
 
 

@@ -1,7 +1,9 @@
 """A versioned store of tables in a folder.
 
-Every write makes a new version of a table and then moves a small pointer file over the old one, so readers see the old
-rows or the new, never a part. Tables: files, chunks, postings, terms, vectors, and key-value metadata.
+A table is a list of segments. An update appends segments with the new rows of some paths and a list of the paths whose
+older rows are gone; readers leave those out. All of an update becomes visible at once, when a small pointer file moves
+over the old one, so readers see the index before or after it, never a mixture. Tables: files, chunks, postings, terms,
+vectors, and key-value metadata. `terms` holds signed counts that are added when it is read.
 """
 
 from __future__ import annotations
@@ -10,12 +12,16 @@ import hashlib
 import json
 import os
 import uuid
+import weakref
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SCHEMA_VERSION = "1"
+SCHEMA_VERSION = "2"
+#: Segments of a table from which an update rewrites it as one.
+MAX_SEGMENTS = 32
 TABLES = {
     "files": "path string, content string, hash string, size long, mtime timestamp, language string",
     "chunks": "path string, start_line int, end_line int, symbol_name string, chunk_type string, text string, tokens array<string>",
@@ -31,14 +37,21 @@ def data_dir(root: str, base: str | None = None) -> str:
     return os.path.join(base or os.path.join(os.path.expanduser("~"), ".lumenseek"), "projects", name)
 
 
+def migrated(state: dict) -> dict:
+    """A pointer file of an older schema in the present one: version 1 had one folder per table."""
+    if state.setdefault("schema_version", SCHEMA_VERSION) == "1":
+        state |= {"schema_version": SCHEMA_VERSION, "tables": {t: [[folder, 1]] for t, folder in state["tables"].items()}, "gone": [], "seq": 1}
+    if state["schema_version"] != SCHEMA_VERSION:
+        raise ValueError(f"the store has schema {state['schema_version']}, not {SCHEMA_VERSION}")
+    return state
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._staged: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
         os.makedirs(folder, exist_ok=True)
-        state = self._state()
-        if state.setdefault("schema_version", SCHEMA_VERSION) != SCHEMA_VERSION:
-            raise ValueError(f"the store in {folder} has schema {state['schema_version']}, not {SCHEMA_VERSION}")
-        self._save(state)
+        self._save(migrated(self._state()))
 
     # the pointer file
 
@@ -47,7 +60,7 @@ class Store:
             with open(os.path.join(self.folder, "state.json"), encoding="utf-8") as f:
                 return json.load(f)
         except FileNotFoundError:
-            return {"tables": {}, "metadata": {}}
+            return {"tables": {}, "gone": [], "seq": 0, "metadata": {}}
 
     def _save(self, state: dict) -> None:
         temporary = os.path.join(self.folder, f".state-{uuid.uuid4().hex}")
@@ -57,21 +70,74 @@ class Store:
 
     # tables
 
-    def read(self, table: str) -> DataFrame:
-        version = self._state()["tables"].get(table)
-        if version is None:
+    def _schema(self, table: str) -> str:
+        return "path string" if table == "gone" else TABLES[table]
+
+    def _segments(self, table: str, segments: list) -> DataFrame:
+        """Rows of segments with their number _seq."""
+        read = lambda folder, seq: self.spark.read.schema(self._schema(table)).parquet(os.path.join(self.folder, folder)).withColumn("_seq", F.lit(seq))
+        return reduce(DataFrame.unionByName, (read(*x) for x in segments))
+
+    def read(self, table: str, where=None) -> DataFrame:
+        """The rows of a table; where is tested in the scan of every segment."""
+        state = self._state()
+        segments = state["tables"].get(table)
+        if not segments:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(os.path.join(self.folder, version))
+        rows = self._segments(table, segments)
+        rows = rows if where is None else rows.where(where)
+        gone = [x for x in state["gone"] if x[1] > segments[0][1]]
+        if "path" in rows.columns and gone:
+            dead = self._segments("gone", gone).groupBy("path").agg(F.max("_seq").alias("_dead"))
+            rows = rows.join(dead, "path", "left").where("_dead IS NULL OR _seq >= _dead").drop("_dead").select(rows.columns)
+        rows = rows.drop("_seq")
+        if table == "terms":
+            rows = rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        return rows
+
+    def stage(self, table: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df written as a segment that no reader sees before commit(); returns its rows. by: rows lie in its order, so
+        that look-ups skip most of a segment."""
+        folder = f"{table}-{uuid.uuid4().hex}"
+        schema = self.spark.createDataFrame([], self._schema(table)).schema
+        rows = df.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
+        if by:
+            rows = rows.repartitionByRange(by).sortWithinPartitions(by)
+        rows.write.parquet(os.path.join(self.folder, folder))
+        out = self.spark.read.schema(schema).parquet(os.path.join(self.folder, folder))
+        self._staged[out] = folder
+        return out
+
+    def commit(self, *, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, metadata: dict | None = None) -> None:
+        """Tables are replaced or get another segment; older rows of the paths in gone go. One move of the pointer file
+        makes all of it visible; what is replaced stays on disk until vacuum()."""
+        folder = lambda table, df: self._staged.get(df) or self._staged[self.stage(table, df)]
+        new = {t: (folder(t, df), False) for t, df in (append or {}).items()} | {t: (folder(t, df), True) for t, df in (replace or {}).items()}
+        tombstones = folder("gone", gone.select("path").distinct()) if gone is not None else None
+        state = self._state()
+        state["seq"] += 1
+        for table, (name, whole) in new.items():
+            state["tables"][table] = [*([] if whole else state["tables"].get(table, [])), [name, state["seq"]]]
+        if tombstones:
+            state["gone"].append([tombstones, state["seq"]])
+        state["metadata"] |= metadata or {}
+        self._save(state)
 
     def write(self, table: str, df: DataFrame) -> None:
-        """Replaces a table; df may read its old version, whose files stay until vacuum()."""
-        version = f"{table}-{uuid.uuid4().hex}"
-        columns = [F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], TABLES[table]).schema.fields]
-        df.select(*columns).write.parquet(os.path.join(self.folder, version))
+        """Replaces a table; df may read its old rows."""
+        self.commit(replace={table: df})
+
+    def compact(self) -> None:
+        """Every table in one segment."""
+        state = self._state()
+        self.commit(replace={t: self.stage(t, self.read(t), "term" if t == "postings" else None) for t in state["tables"]})
         state = self._state()
-        state["tables"][table] = version
+        state["gone"] = []
         self._save(state)
 
+    def segments(self) -> int:
+        return max(map(len, self._state()["tables"].values()), default=0)
+
     def upsert(self, table: str, rows: DataFrame, key: str = "path") -> None:
         """Rows of the same key are replaced; of equal keys in rows one stays, the last by hash of its columns."""
         one = rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*rows.columns)))).where("_r = 1").drop("_r")
@@ -85,28 +151,28 @@ class Store:
         self.write(table, self.read(table).join(keys.select(key).distinct(), key, "left_anti"))
 
     def delete_files(self, paths: DataFrame) -> None:
-        """Files with their chunks and postings."""
-        for table in ("files", "chunks", "postings"):
-            self.delete(table, paths)
+        """Files with all that was made from them."""
+        self.commit(gone=paths)
 
     def clear(self) -> None:
         state = self._state()
-        state["tables"], state["metadata"] = {}, {}
+        state["tables"], state["gone"], state["metadata"] = {}, [], {}
         self._save(state)
 
     def vacuum(self) -> None:
         """Removes versions that the pointer file does not name."""
         import shutil
 
-        used = set(self._state()["tables"].values())
+        state = self._state()
+        used = {folder for segments in [*state["tables"].values(), state["gone"]] for folder, _ in segments}
         for name in os.listdir(self.folder):
-            if name.split("-")[0] in TABLES and name not in used:
+            if name.split("-")[0] in (*TABLES, "gone") and name not in used:
                 shutil.rmtree(os.path.join(self.folder, name))
 
     # look-ups
 
     def get(self, table: str, value: str, key: str = "path") -> DataFrame:
-        return self.read(table).where(F.col(key) == value)
+        return self.read(table, F.col(key) == value)
 
     def exists(self, table: str, value: str, key: str = "path") -> bool:
         return self.get(table, value, key).head() is not None
@@ -118,7 +184,16 @@ class Store:
         return self.read("files").select("path", "mtime", "hash")
 
     def terms(self, terms: list[str] | None = None) -> DataFrame:
-        return self.read("terms") if terms is None else self.read("terms").where(F.col("term").isin(terms))
+        return self.read("terms", None if terms is None else F.col("term").isin(terms))
+
+    def postings(self, terms: list[str], where=None) -> DataFrame:
+        """Postings of some terms; scans skip what cannot hold them."""
+        asked = F.col("term").isin(terms)
+        return self.read("postings", asked if where is None else asked & where)
+
+    def terms_of(self, paths: DataFrame) -> DataFrame:
+        """Distinct terms of some files."""
+        return self.read("postings").join(paths.select("path").distinct(), "path", "left_semi").select("term").distinct()
 
     def set_metadata(self, key: str, value) -> None:
         state = self._state()

@@ -24,9 +24,9 @@ def watch(spark: SparkSession, root: str, engine: Engine, checkpoint: str, on_ch
     def apply(batch: DataFrame, epoch: int) -> None:
         last = latest_changes(batch, "path", ["ts"]).persist()
         if last.head():
-            files = read_tree(batch.sparkSession, root)
-            gone = last.where("type = 'unlink'").select("path")
-            engine.update(files.join(last.where("type <> 'unlink'").select("path"), "path", "left_semi"), gone)
+            # the paths of one batch, which its driver has listed before; only these files are read
+            paths = [r.path for r in last.where("type <> 'unlink'").select("path").collect()]
+            engine.update(read_tree(batch.sparkSession, root, only=paths), last.where("type = 'unlink'").select("path"))
             if on_change:
                 on_change(last)
         last.unpersist()

@@ -16,6 +16,7 @@ from lumenseek.plans.engine import Cache, Engine, cache_key, envelope, handle
 from lumenseek.sources.files import read_tree, scan, stream_changes
 from lumenseek.sources.ignore import Ignore
 from lumenseek.sources.store import Store, VectorStore, data_dir
+from lumenseek.streaming.index_stream import watch
 
 
 def one(spark, column, value, kind="string"):
@@ -163,6 +164,67 @@ def test_engine(spark, tree, tmp_path):
     assert answer["results"][0]["path"] == "src/pool.ts" and handle(spark, {"tool": "x", "input": {"folder": str(tmp_path / "index")}})["status"] == "error"
 
 
+def test_increments_equal_a_full_build(spark, tree, tmp_path):
+    engine = Engine(spark, Store(spark, str(tmp_path / "index")), EmbeddingConfig(dimensions=8))
+    engine.index(tree)
+    written = lambda name: {folder for folder, _ in engine.store._state()["tables"][name]}
+    for k in range(2):
+        before = written("postings")
+        with open(os.path.join(tree, "src/auth.ts"), "a") as f:
+            f.write(f"export function extra{k}(login) {{\n  return {k}\n}}\n")
+        if k == 1:
+            os.remove(os.path.join(tree, "src/pool.ts"))
+        assert engine.index(tree)["mode"] == "incremental"
+        assert before < written("postings")  # what was there has not been rewritten
+        fresh = Engine(spark, Store(spark, str(tmp_path / f"fresh{k}")), EmbeddingConfig(dimensions=8))
+        fresh.index(tree)
+        for t in ("chunks", "postings", "terms", "vectors"):
+            rows = [sorted(map(str, x.store.read(t).collect())) for x in (engine, fresh)]
+            assert rows[0] == rows[1], t
+        assert [engine.store.get_metadata(x) for x in ("n_chunks", "total_len")] == [fresh.store.get_metadata(x) for x in ("n_chunks", "total_len")]
+        assert engine.search("extra0 login") == fresh.search("extra0 login")
+    engine.store.compact()
+    engine.store.vacuum()
+    engine.cache.clear()
+    assert engine.store.segments() == 1 and engine.search("extra0 login") == fresh.search("extra0 login")
+    best = engine.by_terms(["extra1", "login"], 5).first()
+    assert (best.path, best.matches, best.matched_terms) == ("src/auth.ts", 2, ["extra1", "login"])
+    assert {r.term for r in engine.store.terms_of(spark.createDataFrame([("README.md",)], "path string")).collect()} == {"words", "about", "login", "readme", "md"}
+    assert engine.status()["files"] == 2 and "extra1" in engine.content("src/auth.ts") and engine.content("src/pool.ts") is None
+    # the index answers a search: no chunk is tokenised again, and the scan is given the terms
+    plan = engine.store.postings(["login"])._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "login" in plan.split("PushedFilters")[1]
+
+
+def test_watch_reads_changed_paths_only(spark, tree, tmp_path):
+    engine = Engine(spark, Store(spark, str(tmp_path / "index")))
+    engine.index(tree)
+    query = watch(spark, tree, engine, str(tmp_path / "checkpoint"))
+    try:
+        query.processAllAvailable()
+        with open(os.path.join(tree, "src/late.ts"), "w") as f:
+            f.write("export const lateness = 2\n")
+        os.remove(os.path.join(tree, "src/pool.ts"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert {r.path for r in engine.store.read("files").collect()} == {"src/auth.ts", "README.md", "src/late.ts"}
+    assert engine.search("lateness")[0]["path"] == "src/late.ts" and engine.index(tree)["mode"] == "cache_hit"
+    assert {r.path for r in read_tree(spark, tree, only=["src/late.ts", "node_modules/z.ts", "none"]).collect()} == {"src/late.ts"}
+
+
+def test_old_stores_are_migrated(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("terms", spark.createDataFrame([("a", 2)], "term string, df long"))
+    state = store._state()
+    store._save({"schema_version": "1", "tables": {t: x[0][0] for t, x in state["tables"].items()}, "metadata": {"k": 1}})
+    again = Store(spark, str(tmp_path / "s"))
+    assert [tuple(r) for r in again.read("terms").collect()] == [("a", 2)] and again.get_metadata("k") == 1 and again._state()["schema_version"] == "2"
+    store._save({"schema_version": "9", "tables": {}, "metadata": {}})
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path / "s"))
+
+
 def test_stores(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     files = lambda *rows: spark.createDataFrame(list(rows), "path string, content string, hash string")
