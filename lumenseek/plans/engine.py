@@ -91,7 +91,7 @@ class Engine:
         mode = refresh_mode(diff, self.store.get_metadata("root") == root)
         counts = {r.change_type: r["count"] for r in diff.groupBy("change_type").count().collect()}
         if mode == "full":
-            self._build(files, root)
+            self.build(files, root)
         elif mode == "incremental":
             fresh = files.join(diff.where("change_type IN ('added', 'changed')"), "path", "left_semi")
             self.update(fresh, diff.where("change_type = 'deleted'").select("path"))
@@ -118,7 +118,8 @@ class Engine:
             self.store.compact()
         self.cache.clear()
 
-    def _build(self, files: DataFrame, root: str) -> None:
+    def build(self, files: DataFrame, root: str) -> None:
+        """A new index of files (the columns of the table files)."""
         files = self.store.stage("files", files)
         rows = self._rows(files)
         n, length = _totals(rows["chunks"])

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from lumenseek.functions import numeric, paths
 from lumenseek.functions.tokenize import identifier_tokens, idf_probabilistic, idf_smoothed, plain_tokens
 from lumenseek.operators import changes, chunking, hybrid, ranking, snippets, statistics, structure, vector_search
+from lumenseek.plans.engine import Engine
+from lumenseek.sources.store import Store, temporary_folder
+from lumenseek.streaming import index_stream
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,32 +277,41 @@ def snippet_text(spark, sf_dir):
     return snippets.snippets(docs, KEYS, text_col="text", terms_col="terms").select("doc_id", F.md5("snippet").alias("digest"))
 
 
-CODE = [
-    ("src/a.ts", 'import x from "y"\n\nexport async function load(id) {\n  return get(id)\n}\nexport const LIMIT = 3\n\nexport class Loader {\n  run() {}\n}\n'),
-    ("lib/b.py", "import os\n\ndef first(a):\n    return a\n\nclass Second:\n    pass"),
-    ("docs/c.md", "# Title\n\nsome words\n"),
-    ("src/d.js", "function one() {}\nasync function two() {}\nclass Three {}\n"),
-    ("src/empty.ts", ""),
-]
-_SPANS = [
-    ("src/a.ts", 3, 5, "load", "function"), ("src/a.ts", 6, 7, "LIMIT", "const"), ("src/a.ts", 8, 10, "Loader", "class"),
-    ("lib/b.py", 3, 5, "first", "function"), ("lib/b.py", 6, 7, "Second", "class"), ("docs/c.md", 1, 3, None, "file"),
-    ("src/d.js", 1, 1, "one", "function"), ("src/d.js", 2, 2, "two", "function"), ("src/d.js", 3, 3, "Three", "class"), ("src/empty.ts", 1, 1, None, "file"),
-]
-
-
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in rows)
 
 
-@query(f"SELECT * FROM (VALUES {_values([(p, s, n, k) for p, s, _, n, k in _SPANS if n])}) AS t(path, start_line, symbol_name, chunk_type)")
+def _code(spark, sf_dir) -> DataFrame:
+    """Documents as files: before every third line stands a function, before every other third a class."""
+    content = F.expr("array_join(transform(split(text, '\\n'), (x, i) -> CASE i % 3 WHEN 0 THEN concat('export function f', i, '(a) {\\n', x) WHEN 1 THEN concat('class C', i, '\\n', x) ELSE x END), '\\n')")
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".ts"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.when(F.expr("doc_id % 4 = 0"), F.col("text")).otherwise(content).alias("content"))
+
+
+_CODE_SQL = (
+    "code AS (SELECT doc_id || '.ts' AS path, CASE WHEN doc_id % 4 = 0 THEN text ELSE array_to_string(list_transform(string_split(text, chr(10)), "
+    "lambda x, i: CASE (i - 1) % 3 WHEN 0 THEN 'export function f' || (i - 1) || '(a) {' || chr(10) || x WHEN 1 THEN 'class C' || (i - 1) || chr(10) || x ELSE x END), chr(10)) END AS content FROM documents), "
+    "ls AS (SELECT path, content, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT path, content, regexp_split_to_array(content, '\\r?\\n') AS ls FROM code)), "
+    "marks(k, pattern, kind) AS (VALUES (0, '^export\\s+(?:async\\s+)?function\\s+([A-Za-z_][A-Za-z0-9_]*)', 'function'), (1, '^export\\s+class\\s+([A-Za-z_][A-Za-z0-9_]*)', 'class'), "
+    "(2, '^export\\s+const\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*=', 'const'), (3, '^(?:async\\s+)?function\\s+([A-Za-z_][A-Za-z0-9_]*)', 'function'), (4, '^def\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 'function'), (5, '^class\\s+([A-Za-z_][A-Za-z0-9_]*)', 'class')), "
+    "found AS (SELECT path, CAST(i AS INTEGER) AS start_line, k, regexp_extract(ls[i], pattern, 1) AS symbol_name, kind AS chunk_type FROM ls, unnest(range(1, len(ls) + 1)) AS t(i), marks WHERE regexp_matches(ls[i], pattern)), "
+    "spans AS (SELECT path, start_line, symbol_name, chunk_type, min(k) AS k FROM found GROUP BY ALL)"
+)
+
+
+@query(f"WITH {_CODE_SQL} SELECT path, start_line, symbol_name, chunk_type FROM spans")
 def symbol_spans(spark, sf_dir):
-    return chunking.symbol_spans(spark.createDataFrame(CODE, "path string, content string")).drop("pattern")
+    return chunking.symbol_spans(_code(spark, sf_dir)).drop("pattern")
 
 
-@query(f"SELECT * FROM (VALUES {_values(_SPANS)}) AS t(path, start_line, end_line, symbol_name, chunk_type)")
+@query(
+    f"WITH {_CODE_SQL}, w AS (SELECT *, lead(start_line) OVER (PARTITION BY path ORDER BY start_line, k) AS following, min(start_line) OVER (PARTITION BY path) AS top FROM spans), "
+    "j AS (SELECT path, content, ls, len(ls) AS n, symbol_name, chunk_type, top, start_line AS s, greatest(coalesce(following - 1, len(ls)), start_line) AS e FROM ls LEFT JOIN w USING (path)) "
+    "SELECT path, coalesce(s, 1) AS start_line, CAST(CASE WHEN s IS NULL THEN greatest(n, 1) ELSE e END AS INTEGER) AS end_line, symbol_name, coalesce(chunk_type, 'file') AS chunk_type, "
+    "md5(CASE WHEN s IS NULL THEN content WHEN array_to_string(ls[1:top - 1], chr(10)) = '' OR top = 1 THEN array_to_string(ls[s:e], chr(10)) ELSE array_to_string(ls[1:top - 1], chr(10)) || chr(10) || array_to_string(ls[s:e], chr(10)) END) AS digest FROM j"
+)
 def symbol_chunks(spark, sf_dir):
-    return chunking.chunk_symbols(spark.createDataFrame(CODE, "path string, content string")).select("path", "start_line", "end_line", "symbol_name", "chunk_type")
+    return chunking.chunk_symbols(_code(spark, sf_dir)).select("path", "start_line", "end_line", "symbol_name", "chunk_type", F.md5("text").alias("digest"))
 
 
 @query()
@@ -498,10 +511,111 @@ def path_functions(spark, sf_dir):
     return spark.createDataFrame([(x[0],) for x in _PATHS], "path string").select("path", paths.display_language(p).alias("language"), paths.is_text_file(p).alias("is_text"), paths.is_indexable(p).alias("indexable"))
 
 
-@query("SELECT path, start_line, end_line FROM (VALUES ('a/b.ts', 3, 9), ('c.md', NULL, NULL)) AS t(path, start_line, end_line)")
+@query("SELECT source || '/' || doc_id || '.ts' AS path, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id AS INTEGER) END AS start_line, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id + n_chars AS INTEGER) END AS end_line FROM documents")
 def chunk_ids(spark, sf_dir):
-    keys = spark.createDataFrame([("chunk://a/b.ts:3-9",), ("file://c.md",)], "key string")
-    return keys.select(paths.parse_chunk_id(F.col("key")).alias("k")).select("k.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.expr("doc_id + n_chars").alias("end"))
+    key = F.when(F.expr("doc_id % 3 = 0"), F.concat(F.lit("file://"), F.col("path"))).otherwise(F.format_string("chunk://%s:%d-%d", "path", "doc_id", "end"))
+    return docs.select(paths.parse_chunk_id(key).alias("k")).select("k.*")
+
+
+# the index in a store, and streams
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.format_string("d%09d.md", "doc_id").alias("path"), F.col("text").alias("content"), F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), F.lit("Markdown").alias("language"))
+
+
+def _built(spark, files: DataFrame) -> Engine:
+    engine = Engine(spark, Store(spark, temporary_folder(spark, "index")))
+    engine.build(files.drop("doc_id"), "documents")
+    return engine
+
+
+def _updated(spark, sf_dir) -> Engine:
+    """An index of some documents after the others came, some changed and some went, in two updates."""
+    files = _files(spark, sf_dir)
+    engine = _built(spark, files.where("doc_id % 10 <> 3"))
+    changed = files.where("doc_id % 5 = 1").withColumn("content", F.concat("content", F.lit(" thing and that"))).withColumn("hash", F.sha2("content", 256))
+    engine.update(files.where("doc_id % 10 = 3").drop("doc_id"), files.where("doc_id % 7 = 2").limit(0).select("path"))
+    engine.update(changed.drop("doc_id"), files.where("doc_id % 7 = 2 AND doc_id % 5 <> 1").select("path"))
+    return engine
+
+
+def _hits(spark, engine: Engine) -> DataFrame:
+    rows = [(h["path"], round(h["score"], 6), h["rank"], " ".join(h["matched_terms"])) for h in engine.search(QUERY, content=False)]
+    return spark.createDataFrame(rows, "path string, score double, rank long, terms string")
+
+
+_MARKDOWN = PLAIN.format("'d' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || ' md ' || text")
+_INDEXED = f"u AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS path, {_MARKDOWN} AS tokens FROM documents)"
+_FINAL = f"u AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS path, {_MARKDOWN} AS tokens FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN text || ' thing and that' ELSE text END AS text FROM documents WHERE NOT (doc_id % 7 = 2 AND doc_id % 5 <> 1)))"
+_FOUND = "SELECT path, round(score, 6) AS score, rank, (SELECT string_agg(term, ' ' ORDER BY pos) FROM (SELECT min(pos) AS pos, term FROM b WHERE b.path = r.path GROUP BY term)) AS terms FROM r WHERE rank <= 10"
+
+
+@query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0", units_sql=_INDEXED, key="path") + _FOUND)
+def indexed_search(spark, sf_dir):
+    return _hits(spark, _built(spark, _files(spark, sf_dir)))
+
+
+@query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0", units_sql=_FINAL, key="path") + _FOUND)
+def incremental_search(spark, sf_dir):
+    return _hits(spark, _updated(spark, sf_dir))
+
+
+@query(f"WITH {_FINAL} SELECT term, CAST(count(DISTINCT path) AS BIGINT) AS df FROM u, unnest(tokens) AS t(term) GROUP BY term")
+def incremental_equals_full(spark, sf_dir):
+    return _updated(spark, sf_dir).store.terms()
+
+
+@query("SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS path, sha256(CASE WHEN doc_id % 5 = 1 THEN text || ' thing and that' ELSE text END) AS hash FROM documents WHERE NOT (doc_id % 7 = 2 AND doc_id % 5 <> 1)")
+def store_file_metadata(spark, sf_dir):
+    return _updated(spark, sf_dir).store.file_metadata().select("path", "hash")
+
+
+@query(f"WITH {_INDEXED} SELECT path, CAST(count(DISTINCT term) AS BIGINT) AS matches, string_agg(DISTINCT term, ' ' ORDER BY term) AS terms FROM u, unnest(tokens) AS t(term) WHERE term IN ('that', 'thing', 'tion') GROUP BY path ORDER BY matches DESC, path LIMIT 40")
+def search_by_terms(spark, sf_dir):
+    return _built(spark, _files(spark, sf_dir)).by_terms(["that", "thing", "tion"], 40).select("path", "matches", F.array_join("matched_terms", " ").alias("terms"))
+
+
+@query(f"WITH {_INDEXED}, p AS (SELECT DISTINCT path, term FROM u, unnest(tokens) AS t(term)) SELECT term, round(ln((n - count(*) + 0.5e0) / (count(*) + 0.5e0) + 1.0e0), 6) AS idf FROM p, (SELECT CAST(count(*) AS DOUBLE) AS n FROM u) WHERE term IN ('that', 'thing', 'none') GROUP BY term, n")
+def stored_idf(spark, sf_dir):
+    store = _built(spark, _files(spark, sf_dir)).store
+    return store.terms(["that", "thing", "none"]).select("term", r6(idf_probabilistic(F.lit(store.get_metadata("n_chunks")), F.col("df"))).alias("idf"))
+
+
+@query(f"WITH {_INDEXED} SELECT DISTINCT term FROM u, unnest(tokens) AS t(term) WHERE path IN (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' FROM labels WHERE toxic = 1)")
+def terms_for_files(spark, sf_dir):
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.format_string("d%09d.md", "doc_id").alias("path"))
+    return _built(spark, _files(spark, sf_dir)).store.terms_of(toxic)
+
+
+def _plain_time(name: str) -> Column:
+    return F.expr(f"convert_timezone(current_timezone(), 'UTC', CAST({name} AS TIMESTAMP_NTZ))").alias(name)
+
+
+def _streamed(spark, sf_dir, name: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All events read as a stream and what the stream has closed when they end."""
+    rows = table(spark, sf_dir, "events")
+    source = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if rows.schema["ts"].dataType.typeName() == "timestamp_ntz":  # watermarks need instants: times without a zone are read as UTC
+        source = source.withColumn("ts", F.expr("CAST(convert_timezone('UTC', current_timezone(), ts) AS TIMESTAMP)"))
+    folder = temporary_folder(spark, name)
+    out = plan(source)
+    out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS apart FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(apart) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g) SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY user_id, burst HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)")
+def stream_debounce(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, "debounce", lambda df: index_stream.debounced_stream(df, "user_id", "ts", "1 hour", "event_type", "2 hours"))
+    return rows.select("user_id", _plain_time("first_at"), _plain_time("last_at"), "n")
+
+
+@query("SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)")
+def stream_windows(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, "windows", lambda df: index_stream.windowed_counts(df, size="1 day"))
+    return rows.select(_plain_time("window.start").alias("day"), "event_type", "n")
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY event_type")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
 import uuid
 import weakref
 from functools import reduce
@@ -37,6 +38,16 @@ def data_dir(root: str, base: str | None = None) -> str:
     return os.path.join(base or os.path.join(os.path.expanduser("~"), ".lumenseek"), "projects", name)
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset and everything runs
+    in one process, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = shared.removeprefix("file://") if shared else tempfile.gettempdir()
+    return os.path.join(base, "lumenseek-stores", f"{uuid.uuid4().hex}-{name}")
+
+
 def migrated(state: dict) -> dict:
     """A pointer file of an older schema in the present one: version 1 had one folder per table."""
     if state.setdefault("schema_version", SCHEMA_VERSION) == "1":
