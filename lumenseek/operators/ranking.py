@@ -17,6 +17,8 @@ from lumenseek.functions.tokenize import identifier_tokens, idf_probabilistic, i
 from lumenseek.operators.common import SMALL_ROWS, broadcast_if_small
 
 K1, B = 1.2, 0.75
+#: Query terms up to which tokens are compared with all of them in place.
+FEW_TERMS = 64
 
 
 @dataclass(frozen=True)
@@ -53,27 +55,38 @@ def scored_terms(units: DataFrame, keys: list[str], queries: DataFrame, dialect:
     """query_id, pos, term, keys, tf (count), doc_len, df, idf, bm25: one row per query term that a unit has.
 
     Only query terms leave the units: tokens are filtered against the distinct terms before anything is shuffled."""
-    # terms have no more rows than the queries, so one look at these bounds what is broadcast
     sent = _sender(queries)
-    stats = units.agg(F.count(F.lit(1)), F.sum(F.size("tokens").cast("double"))).first()
-    hits = units.select(*keys, F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
-    hits = hits.join(sent(queries.select("term").distinct()), "term", "left_semi").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("raw_freq"), F.first("doc_len").alias("doc_len"))
+    length = F.size("tokens").cast("long").alias("doc_len")
+    few = [r.term for r in queries.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:
+        # texts are tokenised once: only lengths and hits are dealt out, and statistics and hits read the same exchange
+        asked = F.array(*map(F.lit, few)).cast("array<string>")
+        narrow = units.select(*keys, length, F.filter("tokens", lambda t: F.array_contains(asked, t)).alias("term")).repartition(*keys)
+        totals, hits = narrow.select("doc_len"), narrow.select(*keys, "doc_len", F.explode("term").alias("term"))
+    else:
+        totals = units.select(length)
+        hits = units.select(*keys, length, F.explode("tokens").alias("term")).join(sent(queries.select("term").distinct()), "term", "left_semi")
+    totals = totals.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
+    hits = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("raw_freq"), F.first("doc_len").alias("doc_len"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return scored_postings(hits, df, stats[0], stats[1] or 0.0, queries, dialect)
+    return scored_postings(hits, df, totals, queries, dialect)
 
 
 def _sender(queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Terms and weights have no more rows than the queries, so one look at these bounds what is broadcast."""
     return F.broadcast if queries.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else lambda df: df
 
 
-def scored_postings(hits: DataFrame, df: DataFrame, n: int, total_len: float, queries: DataFrame, dialect: Dialect) -> DataFrame:
-    """scored_terms() of postings (keys, term, raw_freq, doc_len), counts (term, df), and the number of units and of
-    their tokens, which an index has stored."""
-    avgdl = F.lit(max(total_len / n if n else 0.0, dialect.least_avgdl) or 1.0)
-    weights = queries.join(df, "term").withColumn("idf", dialect.idf(F.lit(n), F.col("df")))
+def scored_postings(hits: DataFrame, df: DataFrame, totals: DataFrame, queries: DataFrame, dialect: Dialect) -> DataFrame:
+    """scored_terms() of postings (keys, term, raw_freq, doc_len), counts (term, df), and one row with the number of units
+    and of their tokens (n, total_len), which an index has stored."""
+    mean = F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(F.lit(0.0))
+    mean = F.greatest(mean, F.lit(dialect.least_avgdl))
+    totals = totals.select("n", F.when(mean > 0, mean).otherwise(F.lit(1.0)).alias("avgdl"))
+    weights = queries.join(df, "term").join(F.broadcast(totals)).withColumn("idf", dialect.idf(F.col("n"), F.col("df"))).drop("n")
     tf, dl = F.col("tf").cast("double"), F.col("doc_len").cast("double")
-    part = F.col("idf") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
-    return hits.withColumnRenamed("raw_freq", "tf").join(_sender(queries)(weights), "term").withColumn("bm25", part)
+    part = F.col("idf") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / F.col("avgdl")))
+    return hits.withColumnRenamed("raw_freq", "tf").join(_sender(queries)(weights), "term").withColumn("bm25", part).drop("avgdl")
 
 
 def rank(scored: DataFrame, keys: list[str], *, limit: int | None = 10, min_score: float | None = None, components: bool = False) -> DataFrame:

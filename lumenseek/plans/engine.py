@@ -151,7 +151,8 @@ class Engine:
         asked = sorted({r.term for r in terms.collect()})
         # the index answers: stored postings of the query's terms, and stored counts
         hits = self.store.postings(asked, path_matches(F.col("path"), extensions=extensions, contains=contains, excludes=excludes))
-        scored = ranking.scored_postings(hits, self.store.terms(asked), self.store.get_metadata("n_chunks", 0), self.store.get_metadata("total_len", 0), terms, ranking.SYMBOL)
+        totals = self.spark.range(1).select(*(F.lit(self.store.get_metadata(stored, 0)).alias(name) for stored, name in (("n_chunks", "n"), ("total_len", "total_len"))))
+        scored = ranking.scored_postings(hits, self.store.terms(asked), totals, terms, ranking.SYMBOL)
         best = ranking.rank(scored, KEYS, limit=limit, min_score=min_score, components=True).drop("query_id")
         best = self.spark.createDataFrame(best.collect(), best.schema)  # limit rows
         paths = [r.path for r in best.select("path").distinct().collect()]
