@@ -44,8 +44,7 @@ def temporary_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = shared.removeprefix("file://") if shared else tempfile.gettempdir()
-    return os.path.join(base, "lumenseek-stores", f"{uuid.uuid4().hex}-{name}")
+    return f"{shared or tempfile.gettempdir()}/lumenseek-stores/{uuid.uuid4().hex}-{name}"
 
 
 def migrated(state: dict) -> dict:
@@ -57,27 +56,67 @@ def migrated(state: dict) -> dict:
     return state
 
 
+class _Folder:
+    """Small files in a folder of any file system that Spark can write to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.fs_package = spark._jvm.org.apache.hadoop.fs
+        self.io = spark._jvm.org.apache.commons.io.IOUtils
+        self.configuration, self.gateway = spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
+        self.path = self.fs_package.Path(path)
+        self.fs = self.path.getFileSystem(self.configuration)
+        self.fs.mkdirs(self.path)
+
+    def at(self, name: str):
+        return self.fs_package.Path(self.path, name)
+
+    def read(self, name: str) -> str | None:
+        if not self.fs.exists(self.at(name)):
+            return None
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.io.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Moves a new file over the old one."""
+        temporary = self.at(f".{uuid.uuid4().hex}")
+        stream = self.fs.create(temporary, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        rename = self.fs_package.Options.Rename
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.fs_package.FileContext.getFileContext(self.path.toUri(), self.configuration).rename(temporary, self.at(name), how)
+
+    def names(self) -> list[str]:
+        return [x.getPath().getName() for x in self.fs.listStatus(self.path)]
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._files = _Folder(spark, folder if "://" in folder else f"file://{os.path.abspath(folder)}")
         self._staged: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-        os.makedirs(folder, exist_ok=True)
         self._save(migrated(self._state()))
 
     # the pointer file
 
     def _state(self) -> dict:
-        try:
-            with open(os.path.join(self.folder, "state.json"), encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"tables": {}, "gone": [], "seq": 0, "metadata": {}}
+        text = self._files.read("state.json")
+        return json.loads(text) if text else {"tables": {}, "gone": [], "seq": 0, "metadata": {}}
 
     def _save(self, state: dict) -> None:
-        temporary = os.path.join(self.folder, f".state-{uuid.uuid4().hex}")
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump(state, f, indent=1, sort_keys=True)
-        os.replace(temporary, os.path.join(self.folder, "state.json"))
+        self._files.replace("state.json", json.dumps(state, indent=1, sort_keys=True))
+
+    def _at(self, name: str) -> str:
+        return str(self._files.at(name).toString())
 
     # tables
 
@@ -86,7 +125,7 @@ class Store:
 
     def _segments(self, table: str, segments: list) -> DataFrame:
         """Rows of segments with their number _seq."""
-        read = lambda folder, seq: self.spark.read.schema(self._schema(table)).parquet(os.path.join(self.folder, folder)).withColumn("_seq", F.lit(seq))
+        read = lambda folder, seq: self.spark.read.schema(self._schema(table)).parquet(self._at(folder)).withColumn("_seq", F.lit(seq))
         return reduce(DataFrame.unionByName, (read(*x) for x in segments))
 
     def read(self, table: str, where=None) -> DataFrame:
@@ -114,8 +153,8 @@ class Store:
         rows = df.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
         if by:
             rows = rows.repartitionByRange(by).sortWithinPartitions(by)
-        rows.write.parquet(os.path.join(self.folder, folder))
-        out = self.spark.read.schema(schema).parquet(os.path.join(self.folder, folder))
+        rows.write.parquet(self._at(folder))
+        out = self.spark.read.schema(schema).parquet(self._at(folder))
         self._staged[out] = folder
         return out
 
@@ -172,13 +211,11 @@ class Store:
 
     def vacuum(self) -> None:
         """Removes versions that the pointer file does not name."""
-        import shutil
-
         state = self._state()
         used = {folder for segments in [*state["tables"].values(), state["gone"]] for folder, _ in segments}
-        for name in os.listdir(self.folder):
+        for name in self._files.names():
             if name.split("-")[0] in (*TABLES, "gone") and name not in used:
-                shutil.rmtree(os.path.join(self.folder, name))
+                self._files.remove(name)
 
     # look-ups
 

@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,34 @@ def test_increments_equal_a_full_build(spark, tree, tmp_path):
     assert "PushedFilters" in plan and "login" in plan.split("PushedFilters")[1]
 
 
+def test_rankings_of_a_corpus(spark, tmp_path):
+    """Rankings over a small code base equal plain BM25 over its chunks, for several queries."""
+    root = tmp_path / "code"
+    areas = {"auth": ["login", "logout", "session", "token"], "db": ["pool", "connection", "query", "migration"], "api": ["router", "handler", "limit", "client"]}
+    for area, names in areas.items():
+        for k, name in enumerate(names):
+            path = root / "src" / area / f"{name}.ts"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            others = names[k - 1 :] + names[: k - 1]
+            path.write_text(f"import {{ {others[0]} }} from './{others[0]}'\n\nexport function {name}User(user) {{\n  return {others[1]}(user, '{area}')\n}}\n\nexport class {name.title()} {{\n  {name} = {k}\n  {area} {name} {name}\n}}\n")
+    engine = Engine(spark, Store(spark, str(tmp_path / "index")))
+    engine.index(str(root))
+    chunks = engine.store.read("chunks").collect()
+    mean = sum(len(c.tokens) for c in chunks) / len(chunks)
+    assert len(chunks) == 24
+    for query in ("user login session", "connection pool db", "rate limit handler client", "import", "nothing of this"):
+        scores = {}
+        for c in chunks:
+            for t in plain(query):
+                n, tf = sum(t in x.tokens for x in chunks), c.tokens.count(t)
+                if tf:
+                    at = (c.path, c.start_line, c.end_line)
+                    scores[at] = scores.get(at, 0) + math.log((len(chunks) - n + 0.5) / (n + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(c.tokens) / mean))
+        want = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+        got = engine.search(query, limit=5)
+        assert [((h["path"], h["start_line"], h["end_line"]), h["score"]) for h in got] == [(at, pytest.approx(x, abs=1e-9)) for at, x in want]
+
+
 def test_watch_reads_changed_paths_only(spark, tree, tmp_path):
     engine = Engine(spark, Store(spark, str(tmp_path / "index")))
     engine.index(tree)
@@ -285,6 +314,10 @@ def test_change_stream(spark, tree, tmp_path):
     assert ("add", "src/auth.ts") in got[0] and [("unlink", "README.md")] in got
 
 
+def plain(text):
+    return [t.lower() for t in re.findall("[A-Za-z0-9_]{2,}", text)]
+
+
 def saved(spark, folder, **tables):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
