@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The least length and the patterns below say what a token is.
 #: Tokens of fewer characters are dropped.
 MIN_LENGTH = 2
 
@@ -27,6 +29,22 @@ def identifier_tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(divided), r"[_\s]+"), lambda t: F.length(t) >= MIN_LENGTH)
 
 
+def bpe_tokens(text: Column | str, tokenizer_path: str) -> Column:
+    """Tokens of a byte-pair tokenizer file, in lower case, without its marks for spaces and those that are too short: a
+    backend that can stand in for identifier_tokens()."""
+
+    @F.pandas_udf("array<string>")
+    def encode(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        found = tokenizer.encode_batch(texts.tolist(), add_special_tokens=False)
+        plain = [[t.replace("Ġ", "").replace("▁", "").replace("</w>", "").strip().lower() for t in e.tokens] for e in found]
+        return pd.Series([[t for t in x if len(t) >= MIN_LENGTH] for x in plain])
+
+    return encode(_text(text))
+
+
 def query_terms(text: Column | str) -> Column:
     """Distinct identifier tokens in the order of their first occurrence."""
     return F.array_distinct(identifier_tokens(text))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenseek.functions import numeric, paths
 from lumenseek.functions.tokenize import identifier_tokens, idf_probabilistic, idf_smoothed, plain_tokens
-from lumenseek.operators import changes, chunking, hybrid, ranking, snippets, statistics, structure, vector_search
+from lumenseek.operators import changes, chunking, hybrid, ranking, records, snippets, statistics, structure, vector_search
 from lumenseek.plans.engine import Engine
 from lumenseek.sources.store import Store, temporary_folder
 from lumenseek.streaming import index_stream
@@ -518,6 +518,40 @@ def chunk_ids(spark, sf_dir):
     return docs.select(paths.parse_chunk_id(key).alias("k")).select("k.*")
 
 
+# records
+
+
+@query("SELECT doc_id, coalesce(source, '') AS type, coalesce(lang, '') AS language, '' AS category, '' AS path, '{\"n_chars\":\"' || n_chars || '\"}' AS metadata_json FROM documents")
+def flatten_metadata(spark, sf_dir):
+    meta = F.create_map(F.lit("type"), F.col("source"), F.lit("language"), F.col("lang"), F.lit("n_chars"), F.col("n_chars").cast("string"))
+    return records.flattened(table(spark, sf_dir, "documents").select("doc_id", meta.alias("metadata")))
+
+
+@query("SELECT doc_id, coalesce(source, '-') AS source, coalesce(lang, '-') AS lang, CAST(n_chars AS VARCHAR) AS n_chars, CAST(1 + (coalesce(source, '') <> '')::INT + (coalesce(lang, '') <> '')::INT AS INTEGER) AS n FROM documents")
+def unflatten_metadata(spark, sf_dir):
+    back = records.unflattened(flatten_metadata(spark, sf_dir))
+    value = lambda k: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit("-"))
+    return back.select("doc_id", value("type").alias("source"), value("language").alias("lang"), value("n_chars").alias("n_chars"), F.size("metadata").alias("n"))
+
+
+@query(f"WITH {_units_sql()} SELECT CAST(greatest(a, b) AS BIGINT) AS affected_units, CAST(t AS BIGINT) AS affected_terms, CAST(n - a + b AS BIGINT) AS total_units FROM (SELECT count(*) FILTER (doc_id % 10 = 3) AS a, count(*) FILTER (doc_id % 5 = 0) AS b, count(*) FILTER (doc_id % 5 <> 0) AS n FROM u), (SELECT count(DISTINCT term) AS t FROM u, unnest(tokens) AS x(term) WHERE doc_id % 10 = 3 OR doc_id % 5 = 0)")
+def incremental_stats(spark, sf_dir):
+    rows = units(spark, sf_dir)
+    before = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").count()
+    return records.incremental_statistics(rows.where("doc_id % 10 = 3"), rows.where("doc_id % 5 = 0"), before)
+
+
+@query(f"SELECT doc_id, md5(chunk) AS digest, 'text' AS type, 0 AS start_line, 0 AS end_line, true AS fallback, chunk_index AS index FROM ({_WINDOWS})")
+def fallback_chunks(spark, sf_dir):
+    rows = records.fallback_chunks(chunking.chunk_text(table(spark, sf_dir, "documents"), KEYS), KEYS)
+    return rows.select("doc_id", F.md5("content").alias("digest"), "type", "start_line", "end_line", "fallback", "index")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM events")
+def iso_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", records.iso_time(F.col("ts")).alias("iso"))
+
+
 # the index in a store, and streams
 
 

@@ -185,6 +185,10 @@ class Store:
         state["gone"] = []
         self._save(state)
 
+    def describe(self, root: str, created: str) -> None:
+        """A small file beside the tables that says whose index this is."""
+        self._files.replace("metadata.json", json.dumps({"projectRoot": root, "createdAt": created, "schemaVersion": SCHEMA_VERSION}, indent=1))
+
     def segments(self) -> int:
         return max(map(len, self._state()["tables"].values()), default=0)
 
@@ -252,6 +256,41 @@ class Store:
         return self._state()["metadata"].get(key, default)
 
 
+class MemoryStore:
+    """Files of one session, by path, without a folder: puts and deletes replace a cached table."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.files = spark.createDataFrame([], TABLES["files"])
+
+    def _keep(self, files: DataFrame) -> None:
+        old, self.files = self.files, files.persist()
+        self.files.count()
+        old.unpersist()
+
+    def store(self, rows: DataFrame) -> None:
+        """Rows of the same path are replaced."""
+        self._keep(self.files.join(rows.select("path"), "path", "left_anti").unionByName(rows, allowMissingColumns=True))
+
+    def delete(self, path: str) -> bool:
+        found = self.exists(path)
+        if found:
+            self._keep(self.files.where(F.col("path") != path))
+        return found
+
+    def get(self, path: str) -> DataFrame:
+        return self.files.where(F.col("path") == path)
+
+    def exists(self, path: str) -> bool:
+        return self.get(path).head() is not None
+
+    def count(self) -> int:
+        return self.files.count()
+
+    def clear(self) -> None:
+        self._keep(self.spark.createDataFrame([], TABLES["files"]))
+
+
 class VectorStore:
     """Dense vectors of one dimension in a store."""
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from lumenseek.functions import numeric, paths
 from lumenseek.functions.embedding import EmbeddingConfig, embed, register_provider, registered_providers
-from lumenseek.functions.tokenize import identifier_tokens, plain_tokens, query_terms
-from lumenseek.operators import changes, chunking, hybrid, ranking, snippets, statistics, structure, vector_search
+from lumenseek.functions.tokenize import bpe_tokens, identifier_tokens, plain_tokens, query_terms
+from lumenseek.operators import changes, chunking, hybrid, ranking, records, snippets, statistics, structure, vector_search
 from lumenseek.plans import queries
 from lumenseek.plans.engine import Cache, Engine, cache_key, envelope, handle
 from lumenseek.sources.files import read_tree, scan, stream_changes
 from lumenseek.sources.ignore import Ignore
-from lumenseek.sources.store import Store, VectorStore, data_dir
+from lumenseek.sources.store import MemoryStore, Store, VectorStore, data_dir
 from lumenseek.streaming.index_stream import watch
 
 
@@ -242,6 +242,37 @@ def test_watch_reads_changed_paths_only(spark, tree, tmp_path):
     assert {r.path for r in read_tree(spark, tree, only=["src/late.ts", "node_modules/z.ts", "none"]).collect()} == {"src/late.ts"}
 
 
+def test_records(spark, tmp_path):
+    docs = spark.createDataFrame([(1, {"type": "code", "language": "", "x": "1"}), (2, {}), (3, None)], "id int, metadata map<string,string>")
+    flat = {r.id: r for r in records.flattened(docs).collect()}
+    assert (flat[1].type, flat[1].language, flat[1].metadata_json) == ("code", "", '{"x":"1"}') and flat[3].metadata_json == "{}"
+    assert {r.id: r.metadata for r in records.unflattened(records.flattened(docs)).collect()} == {1: {"type": "code", "x": "1"}, 2: {}, 3: {}}
+    hits = spark.createDataFrame([("a", 1, 2, 0.5, None)], "path string, start_line int, end_line int, score double, matched_terms array<string>")
+    row = records.mapped_hits(hits, "lexical").first()
+    assert (row.matchedTerms, row.locator.startLine, row.route) == ([], 1, "lexical")
+    assert records.retrieval_evidence(2, 0, 2)["mode"] == "lexical" and records.retrieval_evidence(1, 1, 2)["mode"] == "hybrid" and records.retrieval_evidence(0, 0, 0)["engines"] == []
+    assert records.is_key_valid("k", "k") and not records.is_key_valid("k", "l")
+    engine = Engine(spark, Store(spark, str(tmp_path / "none")))
+    assert changes.fold_status(spark.createDataFrame(records.index_probes(engine.status()), "probe string, status string")).first().status == "unavailable"
+    engine.store.describe("/code", "2024-01-01")
+    assert json.loads((tmp_path / "none" / "metadata.json").read_text())["projectRoot"] == "/code"
+    memory = MemoryStore(spark)
+    memory.store(spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content string"))
+    memory.store(spark.createDataFrame([("a", "3")], "path string, content string"))
+    assert memory.count() == 2 and memory.get("a").first().content == "3" and memory.delete("b") and not memory.delete("b") and not memory.exists("b")
+    memory.clear()
+    assert memory.count() == 0
+
+
+def test_bpe_backend(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    texts = ["The quick getUserData walks", "", None]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(bpe_tokens("text", path).alias("t")).collect()]
+    plainly = [x.replace("</w>", "").replace("Ġ", "").strip().lower() for x in tokenizers.Tokenizer.from_file(path).encode(texts[0], add_special_tokens=False).tokens]
+    assert got == [[x for x in plainly if len(x) > 1], [], []] and got[0][:2] == ["the", "quick"]
+
+
 def test_old_stores_are_migrated(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.write("terms", spark.createDataFrame([("a", 2)], "term string, df long"))
