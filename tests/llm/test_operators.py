@@ -245,6 +245,47 @@ def test_classifier(spark):
     assert {r.score for r in quality_classifier.score(docs, flat).collect()} == {0.5}
 
 
+def test_updates_by_plain_follow_the_regularised_leader():
+    rng = random.Random(8)
+    examples = [(rng.randrange(2), n := rng.randrange(1, 12), np.array([rng.randrange(40) for _ in range(2 * n)], np.int32)) for _ in range(60)]
+    got = quality_classifier.train(examples)
+    step, offset, l1, l2 = quality_classifier.STEP, quality_classifier.OFFSET, quality_classifier.L1, quality_classifier.L2
+    z, n = defaultdict(float), defaultdict(float)
+    bias = 1 << quality_classifier.BITS
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((offset + math.sqrt(n[i])) / step + l2)
+
+    for _ in range(quality_classifier.EPOCHS):
+        for label, words, at in examples:
+            x = {i: c / math.sqrt(words) for i, c in Counter(at.tolist()).items()} | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / step * w[i]
+                n[i] += g * g
+    want = np.zeros(len(got))
+    for i in list(z):
+        want[i] = weight(i)
+    assert np.allclose(got, want, atol=1e-6) and np.count_nonzero(got) > 20
+
+
+def test_classifier_on_held_out_documents(spark):
+    from lumenseek.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.1"
+    rows = QUERIES["op5_quality_classifier"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out AND quality IS NOT NULL").select("score", "quality").collect()
+    good, bad = (np.sort([r.score for r in rows if r.quality == q]) for q in (1, 0))
+    area = (np.searchsorted(bad, good, "left").sum() + np.searchsorted(bad, good, "right").sum()) / 2 / len(good) / len(bad)
+    assert min(len(good), len(bad)) > 50 and area > 0.97
+    long = " ".join(f"w{i % 99}" for i in range(30_000))
+    table = spark.createDataFrame([(1, long, 0.5, "x"), (1, long, 0.5, "y"), (2, "a", None, None)], "doc_id long, text string, score double, label string")
+    weights = quality_classifier.fit(table, spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, quality int"))
+    scores = [(r.doc_id, r.score) for r in quality_classifier.score(table, weights).orderBy("doc_id").collect()]
+    assert scores[0] == scores[1] and scores[0][1] > 0.5 and len(scores) == 3
+
+
 # op 6
 
 
