@@ -355,7 +355,7 @@ def test_large_regions_are_cut(spark, edits, way, monkeypatch):
     rng = random.Random(4)
     base = [f"w{k}" for k in range(300)]
     table = []
-    for i in range(700):
+    for i in range(560):
         w = list(base)
         for k in rng.sample(range(300), edits if i % 5 else 1):
             w[k] = f"n{rng.randrange(10**6)}"

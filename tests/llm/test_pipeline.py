@@ -14,7 +14,9 @@ def folder(spark, tmp_path_factory):
     clean = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(20)]
     near = clean[0].replace("w0x5 ", "w0x99 ", 1)
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(clean)] + [(100, clean[0], "en", "s1", 1), (101, near, None, None, 1), (102, "too short", "en", "s0", 1), (103, None, "en", "s0", 1), (104, clean[3] + " mail joe.7@x.org", "en", "s0", 1), (None, clean[4] + " tail", "en", "s0", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    rows = [(*r, i, None, -i, "x") for i, r in enumerate(rows)]
+    # columns that clash with names that operators use inside
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, key string, _id long, _match string").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     return at
 
