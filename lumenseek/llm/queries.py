@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenseek.llm.balanced_packing import pack_balanced
 from lumenseek.llm.embedding_dedup import embedding_classes
+from lumenseek.llm.fill_in_middle import fill_in_middle, restored
 from lumenseek.llm.html_text import extract_text
 from lumenseek.llm.jaccard_join import jaccard_classes
 from lumenseek.llm.mixing import mix_sources
@@ -16,6 +18,7 @@ from lumenseek.llm import quality_classifier
 from lumenseek.llm.pii import pseudonymise
 from lumenseek.llm.quality_rules import judge_documents, with_text_stats
 from lumenseek.llm.scratch import stored
+from lumenseek.llm.source_audit import divergence_audit
 from lumenseek.llm.substring_dedup import remove_repeated_windows
 from lumenseek.llm.suffix_dedup import remove_repeated_strings
 
@@ -104,6 +107,61 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, PII_KEY, found_col="kinds").withColumn("n_found", F.size("kinds").cast("long"))
 
 
+def op11_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_balanced(_table(spark, sf_dir, "documents"), str(tokenizer_path("byte_bpe_50k.json")), capacity=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"), seed="1", percent=90, spm_percent=20)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored()).alias("restored_sha256"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, len(us) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a + 1:b], '') AS middle, array_to_string(us[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+v AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+k AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY ALL),
+s AS (SELECT DISTINCT lang, source FROM d),
+nv AS (SELECT lang, count(*) AS v FROM v GROUP BY lang),
+dense AS (SELECT s.lang, s.source, v.term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY s.lang, s.source) AS total, nv.v
+          FROM s JOIN v ON s.lang = v.lang JOIN nv ON nv.lang = s.lang LEFT JOIN k ON k.lang = s.lang AND k.source = s.source AND k.term = v.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // CAST(total + 5 * v AS HUGEINT) AS p FROM dense),
+l AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total, any_value(v) AS v FROM dense GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // CAST(total + 5 * v AS HUGEINT) AS q FROM l),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+             CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 s AS (SELECT doc_id, i AS p, md5(substring(h, 2 * i + 1, 200)) AS g FROM d, unnest(range(0, n - 99)) AS t(i)),
@@ -235,6 +293,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
+    "op11_balanced_packing": op11_balanced_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -244,4 +305,6 @@ ORACLES: dict[str, str] = {
     "op4_source_mixing": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_source_audit": OP13_SQL,
 }
