@@ -26,22 +26,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a group, characters of a text looked at once, and stretches of text whose ids a worker remembers.
-GROUP_TOKENS, SEGMENT, REMEMBERED = 1 << 22, 1 << 20, 400_000
+#: Tokens of a group, and characters of a text encoded at once.
+GROUP_TOKENS, SEGMENT = 1 << 22, 1 << 20
+#: Runs without a place to cut that are longer go to the tokenizer itself.
+LONG_RUN = 1 << 14
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n. The ratio is that of a model 1024 wide, whose layers
 #: spend about 12 * width * width multiplications on a token and 2 * width on each pair inside a piece.
 LINEAR, QUADRATIC = 1.0, 1 / (6 * 1024)
 
-#: Code points that have the property White_Space.
+#: Code points that have the property White_Space, and the pattern that byte-level pre-tokenizers divide by.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class TextIds:
-    """Ids of whole texts.
+    """Ids of whole texts, equal to those of the tokenizer in a file.
 
-    The byte-level pre-tokenizer never joins a character with white space that follows it, so a text may be cut wherever
-    white space begins: a stretch (white space, then other characters) has the same ids in every text and is looked up.
-    Any other kind of tokenizer gets whole texts.
+    A byte-level tokenizer whose merges come in the order of their ids gives the ids that merging by rank gives, so such a
+    file is read as ranks and merged by tiktoken, which is several times faster. Long texts are encoded in segments: the
+    pattern never joins a character with white space that follows it, so a text may be cut where white space begins.
+    Segments with very long runs, and files of any other kind, are left to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,36 +54,29 @@ class TextIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            told = json.load(file)
-        before = told.get("pre_tokenizer") or {}
-        added = told.get("added_tokens") or []
-        self.stretches = (
-            before.get("type") == "ByteLevel"
-            and before.get("use_regex", True)
-            and not before.get("add_prefix_space")
-            and not told.get("normalizer")
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{SPACES}]", t["content"]) for t in added)
-        )
-        self._stretch = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+            self.ranked = self._ranked(json.load(file))
         self._start = re.compile(f"(?<=[^{SPACES}])[{SPACES}]")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 12, np.int64)  # ends[k]: where the ids of the stretch before number k end
-
-    def _learn(self, fresh: list[str]) -> None:
-        n, stop = len(self.number), int(self.ends[len(self.number)])
-        found = [e.ids for k in range(0, len(fresh), 4096) for e in self.tokenizer.encode_batch_fast(fresh[k : k + 4096], add_special_tokens=False)]
-        ends = stop + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        if n + len(fresh) >= len(self.ends):
-            self.ends = np.resize(self.ends, 2 * (n + len(fresh)))
-        if ends[-1] > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * int(ends[-1]))
-        self.ends[n + 1 : n + 1 + len(fresh)] = ends
-        self.flat[stop : ends[-1]] = np.fromiter((i for ids in found for i in ids), np.uint32, int(ends[-1]) - stop)
-        self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self._runs = re.compile(f"[{SPACES}]{{{LONG_RUN}}}|[^{SPACES}]{{{LONG_RUN}}}")
+
+    @staticmethod
+    def _ranked(told: dict):
+        """A merger by ranks with the ids of a tokenizer file, or None where the file does not say that both are equal."""
+        before, model, added = told.get("pre_tokenizer") or {}, told["model"], told.get("added_tokens") or []
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        divided = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told.get("normalizer")
+        special = {t["content"]: t["id"] for t in added}
+        bare = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] or re.search(f"[{SPACES}]", t["content"]) for t in added)
+        if not (plain and divided and bare):
+            return None
+        vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        # every token is a byte or one merge's product, and products come in the order of merges
+        if made != sorted(set(made)) or sorted([*made, *(i for t, i in vocab.items() if len(t) == 1)]) != sorted(vocab.values()):
+            return None
+        import tiktoken
+
+        byte = {c: b for b, c in enumerate(byte_characters())}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens=special)
 
     def _segments(self, text: str) -> Iterator[str]:
         at = 0
@@ -89,25 +86,27 @@ class TextIds:
             yield text[at:end]
             at = end
 
+    def _encoded(self, segment: str) -> np.ndarray:
+        if self.ranked and not (len(segment) >= LONG_RUN and self._runs.search(segment)):
+            return self.ranked.encode_to_numpy(segment, allowed_special="all")
+        return np.array(self.tokenizer.encode(segment, add_special_tokens=False).ids, np.uint32)
+
     def encode(self, text: str) -> np.ndarray:
-        if not self.stretches:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = []
-        for segment in self._segments(text):
-            found = self._stretch.findall(segment)
-            if len(self.number) > REMEMBERED:
-                self._clear()
-            if fresh := [x for x in dict.fromkeys(found) if x not in self.number]:
-                self._learn(fresh)
-            at = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
-            start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-            upto = np.cumsum(size)
-            parts.append(self.flat[np.repeat(start - upto + size, size) + np.arange(upto[-1])])
+        if not self.ranked:
+            return self._encoded(text)
+        parts = [self._encoded(x) for x in self._segments(text)]
         return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint32), *parts])
 
 
+def byte_characters() -> list[str]:
+    """Byte-level alphabets show printable Latin-1 bytes as themselves and the others, in order, from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(256))
+    return [chr(b) if b in shown else chr(256 + next(other)) for b in range(256)]
+
+
 def text_ids(path: str) -> TextIds:
-    """The TextIds of this worker, which keeps what earlier tasks have learnt."""
+    """The TextIds of this worker, made once for all its tasks."""
     kept = sys.modules.setdefault("lumenseek_text_ids", types.ModuleType("lumenseek_text_ids")).__dict__
     if path not in kept:
         kept[path] = TextIds(path)

@@ -1,6 +1,7 @@
 """Cost-balanced packing, fill-in-middle and the audit of sources against plain versions, on rows with nulls, repeats and ties."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -12,9 +13,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
-from lumenseek.llm.balanced_packing import LINEAR, QUADRATIC, Packer, TextIds, balance, pack_balanced
+from lumenseek.llm.balanced_packing import LINEAR, QUADRATIC, Packer, TextIds, balance, byte_characters, pack_balanced
 from lumenseek.llm.fill_in_middle import count_units, fill_in_middle, restored, unit_ends
 from lumenseek.llm.queries import tokenizer_path
 from lumenseek.llm.source_audit import divergence_audit, share, term_counts
@@ -48,13 +49,31 @@ def rows():
 @pytest.mark.parametrize("name", [BYTES, "word_bpe_49k.json"])
 def test_ids_equal_the_tokenizers(rows, name, monkeypatch):
     monkeypatch.setattr("lumenseek.llm.balanced_packing.SEGMENT", 50)
-    monkeypatch.setattr("lumenseek.llm.balanced_packing.REMEMBERED", 40)
     ids, plain = TextIds(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
-    assert ids.stretches == (name == BYTES)
-    for _, text, *_ in rows:
+    assert bool(ids.ranked) == (name == BYTES)
+    for text in [*(r[1] for r in rows), " " * 40_000, "\n" * 40_000 + "a", "é" * 40_000 + " b"]:
         assert ids.encode(text or "").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_every_token_is_its_own_encoding():
+    """Then merging by ranks and merging by pairs agree on all texts: before a token is made, its bytes are merged as they
+    are when they stand alone."""
+    plain = Tokenizer.from_file(tokenizer_path(BYTES))
+    byte = {c: b for b, c in enumerate(byte_characters())}
+    vocab = {t: i for t, i in plain.get_vocab(with_added_tokens=False).items() if t != "<|endoftext|>"}
+    alone = Tokenizer(models.BPE(vocab=vocab, merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in json.loads(plain.to_str())["model"]["merges"]]))
+    assert all(e.ids == [i] for e, i in zip(alone.encode_batch(list(vocab)), vocab.values(), strict=True))
+    assert len(byte) == 256 and all(c in byte for t in vocab for c in t)
+
+
+def test_other_files_are_left_to_the_tokenizer():
+    with open(tokenizer_path(BYTES), encoding="utf-8") as file:
+        told = json.load(file)
+    assert TextIds._ranked(told)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": told["model"] | {"merges": told["model"]["merges"][::-1]}}, {"model": told["model"] | {"merges": told["model"]["merges"][1:]}}):
+        assert TextIds._ranked(told | change) is None
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　​ab1'.é<|", max_size=40))
 def test_cuts_before_white_space_keep_ids(text):
