@@ -14,14 +14,18 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def poly_hash32(text: Column) -> Column:
-    """The 31-polynomial over characters, wrapped to a signed 32-bit int (as a long). Characters are code points; texts
-    outside the basic plane therefore differ from hashes over UTF-16 units."""
+    """The 31-polynomial over UTF-16 units, wrapped to a signed 32-bit int (as a long)."""
     codes = F.filter(F.split(text, ""), lambda c: c != "")
 
-    def step(acc: Column, c: Column) -> Column:
-        x = (acc * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    def unit(acc: Column, code: Column) -> Column:
+        x = (acc * 31 + code).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
         return F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x)
 
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        high, low = F.shiftright(code, 10) + 0xD7C0, code.bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(code > 0xFFFF, unit(unit(acc, high), low)).otherwise(unit(acc, code))
+
     return F.aggregate(codes, F.lit(0).cast("long"), step)
 
 

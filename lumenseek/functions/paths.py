@@ -14,11 +14,11 @@ DISPLAY_LANGUAGES = {
     ".c": "C", ".cpp": "C++", ".cs": "C#", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift", ".kt": "Kotlin", ".md": "Markdown", ".json": "JSON",
     ".yaml": "YAML", ".yml": "YAML", ".toml": "TOML", ".sql": "SQL", ".sh": "Shell", ".bash": "Bash",
 }
-TEXT_EXTENSIONS = (".ts .tsx .js .jsx .py .java .go .rs .c .cpp .h .hpp .cs .rb .php .swift .kt .md .txt .json .yaml .yml .toml .xml .sql .sh .bash .zsh .fish .dockerfile .gitignore .env .config").split()
+TEXT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".java", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".cs", ".rb", ".php", ".swift", ".kt", ".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".xml", ".sql", ".sh", ".bash", ".zsh", ".fish", ".dockerfile", ".gitignore", ".env", ".config")
 TEXT_NAMES = ("dockerfile", "makefile", ".gitignore")
 INDEX_EXTENSIONS = (".ts", ".tsx", ".js", ".rs", ".md")
 SKIPPED_SEGMENTS = ("node_modules", "dist", "target", ".git")
-IGNORE_PATTERNS = ("node_modules .git .svn .hg .DS_Store .idea .vscode *.suo *.ntvs* *.njsproj *.sln *.swp .cache dist build coverage .nyc_output *.log tmp temp .lumenseek").split()
+IGNORE_PATTERNS = ("node_modules", ".git", ".svn", ".hg", ".DS_Store", ".idea", ".vscode", "*.suo", "*.ntvs*", "*.njsproj", "*.sln", "*.swp", ".cache", "dist", "build", "coverage", ".nyc_output", "*.log", "tmp", "temp", ".lumenseek")
 MAX_FILE_BYTES = 1 << 20
 
 
@@ -41,7 +41,7 @@ def display_language(path: Column) -> Column:
 
 def is_text_file(path: Column) -> Column:
     name = F.lower(basename(path))
-    return extension(path).isin(TEXT_EXTENSIONS) | name.isin(*TEXT_NAMES) | name.startswith(".env")
+    return extension(path).isin(*TEXT_EXTENSIONS) | name.isin(*TEXT_NAMES) | name.startswith(".env")
 
 
 def is_indexable(path: Column) -> Column:

@@ -15,18 +15,23 @@ def _text(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def _lower(text: Column) -> Column:
+    """A-Z only: other letters whose lower case is ASCII are no part of a token."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def plain_tokens(text: Column | str) -> Column:
     """Runs of ASCII letters, digits and underscores, then in lower case; case and snake humps stay together."""
-    runs = F.regexp_extract_all(_text(text), F.lit("[A-Za-z0-9_]{2,}"), 0)
-    # lower case comes after extraction: other letters whose lower case is ASCII are no part of a run
-    return F.transform(runs, F.lower)
+    # texts are divided between runs: the built-in that extracts all matches copies the text for each of them
+    return F.filter(F.split(_lower(_text(text)), "[^a-z0-9_]+"), lambda t: F.length(t) >= MIN_LENGTH)
 
 
 def identifier_tokens(text: Column | str) -> Column:
     """Identifiers and numbers, divided at underscores and before a capital that follows a small letter or digit."""
-    runs = F.regexp_extract_all(_text(text), F.lit("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), 0)
-    divided = F.regexp_replace(F.array_join(runs, " "), "([a-z0-9])([A-Z])", "$1 $2")
-    return F.filter(F.split(F.lower(divided), r"[_\s]+"), lambda t: F.length(t) >= MIN_LENGTH)
+    # digits at the start of a run are a number of their own
+    apart = F.regexp_replace(_text(text), "(?<![A-Za-z0-9_])([0-9]+)(?=[A-Za-z_])", "$1 ")
+    divided = F.split(F.regexp_replace(apart, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+")
+    return F.transform(F.filter(divided, lambda t: F.length(t) >= MIN_LENGTH), F.lower)
 
 
 def bpe_tokens(text: Column | str, tokenizer_path: str) -> Column:

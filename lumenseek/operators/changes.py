@@ -22,6 +22,16 @@ def snapshot_diff(old: DataFrame, new: DataFrame, *, key: str = "path", by: str
     return a.join(b, key, "full_outer").select(key, kind.alias("change_type"))
 
 
+def stale_files(known: DataFrame, found: DataFrame) -> DataFrame:
+    """path, change_type of known and found files (path, size, mtime) without a look at contents: changed where sizes
+    differ or times do by more than the slack, or where a time is missing."""
+    a = known.select("path", F.col("size").alias("_size"), F.unix_millis("mtime").alias("_old"), F.lit(True).alias("_known"))
+    b = found.select("path", "size", F.unix_millis("mtime").alias("_new"), F.lit(True).alias("_found"))
+    same = (F.col("_size") == F.col("size")) & (F.abs(F.col("_old") - F.col("_new")) <= MTIME_SLACK_MS)
+    kind = F.when(F.col("_known").isNull(), "added").when(F.col("_found").isNull(), "deleted").when(F.coalesce(same, F.lit(False)), "unchanged").otherwise("changed")
+    return a.join(b, "path", "full_outer").select("path", kind.alias("change_type"))
+
+
 def refresh_mode(diff: DataFrame, has_index: bool) -> str:
     """full without an index, cache_hit without changes, else incremental."""
     if not has_index:
@@ -65,7 +75,7 @@ def rebuild_statistics(df: DataFrame, updates: DataFrame, n_units: int) -> DataF
     return rows.withColumn("full_rebuild", over)
 
 
-def fold_status(probes: DataFrame, status: str = "status") -> DataFrame:
-    """One row: ready, degraded (any warn) or unavailable (any fail), and the exit code."""
-    worst = probes.agg(F.coalesce(F.bool_or(F.col(status) == "fail"), F.lit(False)).alias("f"), F.coalesce(F.bool_or(F.col(status) == "warn"), F.lit(False)).alias("w"))
-    return worst.select(F.when(F.col("f"), "unavailable").when(F.col("w"), "degraded").otherwise("ready").alias("status"), F.col("f").cast("int").alias("exit_code"))
+def fold_status(probes: DataFrame, status: str = "status", by: list[str] | None = None) -> DataFrame:
+    """One row, or one per group: ready, degraded (any warn) or unavailable (any fail), and the exit code."""
+    worst = probes.groupBy(*(by or [])).agg(F.coalesce(F.bool_or(F.col(status) == "fail"), F.lit(False)).alias("f"), F.coalesce(F.bool_or(F.col(status) == "warn"), F.lit(False)).alias("w"))
+    return worst.select(*(by or []), F.when(F.col("f"), "unavailable").when(F.col("w"), "degraded").otherwise("ready").alias("status"), F.col("f").cast("int").alias("exit_code"))

@@ -41,12 +41,16 @@ def retrieval_evidence(lexical: int, semantic: int, merged: int) -> dict:
     return {"engines": used, "mode": "hybrid" if len(used) == 2 else used[0] if used else "none", "counts": {"lexical": lexical, "semantic": semantic, "merged": merged}}
 
 
-def incremental_statistics(removed: DataFrame, added: DataFrame, before: int) -> DataFrame:
-    """One row: affected_units, affected_terms, total_units, for units (with tokens) that left and came."""
-    counted = removed.agg(F.count(F.lit(1)).alias("gone")).join(F.broadcast(added.agg(F.count(F.lit(1)).alias("come"))))
-    terms = affected_terms(removed, added).agg(F.count(F.lit(1)).alias("affected_terms"))
-    total = F.lit(before) - F.col("gone") + F.col("come")
-    return counted.join(F.broadcast(terms)).select(F.greatest("gone", "come").alias("affected_units"), "affected_terms", total.alias("total_units"))
+def incremental_statistics(before: DataFrame, removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: affected_units, affected_terms, total_units, for units (keys, tokens) that left and came: a unit that came
+    in place of one that left has the same keys in both. Affected are units that came, and all that stayed and hold a term
+    of one that left or came."""
+    terms = affected_terms(removed, added)
+    stayed = before.join(removed.select(*keys), keys, "left_anti").join(added.select(*keys), keys, "left_anti")
+    held = stayed.select(*keys, F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").select(*keys).distinct()
+    one = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))
+    row = one(held, "held").join(one(added, "came")).join(one(terms, "affected_terms")).join(one(stayed, "stayed"))
+    return row.select((F.col("held") + F.col("came")).alias("affected_units"), "affected_terms", (F.col("stayed") + F.col("came")).alias("total_units"))
 
 
 def fallback_chunks(windows: DataFrame, keys: list[str]) -> DataFrame:

@@ -34,10 +34,12 @@ def corpus_statistics(units: DataFrame) -> DataFrame:
 
 
 def tfidf(units: DataFrame, keys: list[str]) -> DataFrame:
-    """term_frequencies() with idf and tfidf; a term's idf follows from its own count and the number of units."""
+    """term_frequencies() with df, idf and tfidf. Postings are made once and dealt by term, where each finds its term's
+    count; the number of units is a sum beside them, not a pass of its own."""
+    n = units.agg(F.count(F.lit(1)).alias("_n"))
     rows = term_frequencies(units, keys)
-    n = F.lit(units.count())
-    return rows.join(document_frequencies(rows), "term").withColumn("idf", idf_smoothed(n, F.col("df"))).withColumn("tfidf", F.col("tf") * F.col("idf"))
+    counted = rows.join(document_frequencies(rows), "term").join(F.broadcast(n))
+    return counted.withColumn("idf", idf_smoothed(F.col("_n"), F.col("df"))).withColumn("tfidf", F.col("tf") * F.col("idf")).drop("_n")
 
 
 def magnitudes(units: DataFrame, weighted: DataFrame, keys: list[str]) -> DataFrame:

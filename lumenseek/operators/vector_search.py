@@ -23,11 +23,11 @@ MAX_QUERIES = 10_000
 TILE = 256
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: str = "id", vector_col: str = "vector", where: Column | None = None, min_score: float = 0.0) -> DataFrame:
-    """id, distance, score of the k nearest by L2 among rows for which where holds, which is tested before the limit."""
+def nearest(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: str = "id", vector_col: str = "vector", where: Column | None = None, min_score: float = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, distance, score and the columns of carry of the k nearest by L2 among rows for which where holds, which is tested before the limit."""
     rows = vectors if where is None else vectors.where(where)
     distance = l2(F.col(vector_col), F.array(*(F.lit(float(x)) for x in query)))
-    rows = rows.where(F.size(vector_col) == len(query)).select(id_col, distance.alias("distance")).withColumn("score", similarity(F.col("distance")))
+    rows = rows.where(F.size(vector_col) == len(query)).select(id_col, *carry, distance.alias("distance")).withColumn("score", similarity(F.col("distance")))
     return rows.where(F.col("score") >= min_score).orderBy("distance", id_col).limit(k)
 
 

@@ -6,6 +6,7 @@ Floating-point results are rounded to six places on both sides, since sums may r
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 
 from lumenseek.functions import numeric, paths
 from lumenseek.functions.tokenize import identifier_tokens, idf_probabilistic, idf_smoothed, plain_tokens
-from lumenseek.operators import changes, chunking, hybrid, ranking, records, snippets, statistics, structure, vector_search
+from lumenseek.functions.embedding import EmbeddingConfig, embed_rows, register_provider
+from lumenseek.operators import changes, chunking, hybrid, ranking, records, snippets, statistics, structure, vector_clusters, vector_search
 from lumenseek.plans.engine import Engine
+from lumenseek.sources.files import tree_metadata, written_tree
 from lumenseek.sources.store import Store, temporary_folder
 from lumenseek.streaming import index_stream
+from lumenseek.streaming.change_feed import ChangeFeed
+from lumenseek.streaming.timers import debounced_by_timers
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,10 +352,19 @@ def knn_filtered(spark, sf_dir):
 def knn_batch(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    rows = vector_search.nearest_batch(vectors, asked, 5, id_col="vec_id", vector_col="embedding")
+    middle = vector_clusters.centres(vectors, "embedding")
+    members = vector_clusters.clustered(vectors, middle, id_col="vec_id", vector_col="embedding").persist()
+    rows = vector_clusters.nearest_in_clusters(members, middle, asked, 5, id_col="vec_id")
     return rows.select("query_id", "vec_id", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"SELECT vec_id, round({_L2.format('CAST(embedding AS DOUBLE[])', 'q')}, 6) AS distance FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7) WHERE label <> 3 ORDER BY {_L2.format('CAST(embedding AS DOUBLE[])', 'q')}, vec_id LIMIT 12")
+def knn_clusters(spark, sf_dir):
+    index = vector_clusters.VectorIndex(spark, temporary_folder(spark, "vectors"), "vec_id")
+    index.build(table(spark, sf_dir, "embeddings"), vector_col="embedding", keep=("label",))
+    return index.search(_vector(spark, sf_dir, 7), 12, F.col("label") != 3).select("vec_id", r6("distance").alias("distance"))
+
+
 @query(f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS cosine FROM embeddings, {_V0}")
 def dense_cosine(spark, sf_dir):
     q = F.array(*(F.lit(float(x)) for x in _vector(spark, sf_dir, 0)))
@@ -366,12 +380,14 @@ def normalize_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", _printed(numeric.normalized(F.col("embedding"))).alias("v"))
 
 
-_HASH = "list_reduce(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, c: CASE WHEN ((a * 31 + c) & 4294967295) >= 2147483648 THEN ((a * 31 + c) & 4294967295) - 4294967296 ELSE (a * 31 + c) & 4294967295 END, CAST(0 AS BIGINT))"
+_UNITS = "flatten(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN unicode(c) > 65535 THEN [CAST(55232 + (unicode(c) >> 10) AS BIGINT), CAST(56320 + (unicode(c) & 1023) AS BIGINT)] ELSE [CAST(unicode(c) AS BIGINT)] END))"
+_HASH = _UNITS.join(("list_reduce(", ", lambda a, c: CASE WHEN ((a * 31 + c) & 4294967295) >= 2147483648 THEN ((a * 31 + c) & 4294967295) - 4294967296 ELSE (a * 31 + c) & 4294967295 END, CAST(0 AS BIGINT))"))
 
 
-@query(f"SELECT doc_id, {_HASH} AS h FROM documents")
+@query(f"SELECT doc_id, h, CASE WHEN h < 0 THEN '-' ELSE '' END || lower(to_base(abs(h), 36)) AS digits FROM (SELECT doc_id, {_HASH} AS h FROM documents)")
 def poly_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", numeric.poly_hash32(F.col("text")).alias("h"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", numeric.poly_hash32(F.col("text")).alias("h"), numeric.poly_hash(F.col("text")).alias("digits"))
 
 
 @query(f"WITH k AS MATERIALIZED (SELECT doc_id, {_HASH} AS h FROM documents), r AS MATERIALIZED (SELECT doc_id, i, (sin(CAST(h AS DOUBLE) + i) + cos((CAST(h AS DOUBLE) + i) / 2.0e0)) / 2.0e0 AS x FROM k, range(0, 16) AS t(i)) SELECT doc_id, string_agg(printf('%.5f', round(x / n, 5) + 0e0), ' ' ORDER BY i) AS v FROM r JOIN (SELECT doc_id, sqrt(sum(x * x)) AS n FROM r GROUP BY doc_id) USING (doc_id) GROUP BY doc_id")
@@ -490,25 +506,39 @@ def dedupe_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
+def _probes(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("source", "lang", F.expr("CASE WHEN n_chars > 25000 THEN 'fail' WHEN n_chars < 20 THEN 'warn' ELSE 'ok' END").alias("status"))
+
+
 @query("SELECT source, CASE WHEN bool_or(s = 'fail') THEN 'unavailable' WHEN bool_or(s = 'warn') THEN 'degraded' ELSE 'ready' END AS status FROM (SELECT source, CASE WHEN n_chars > 25000 THEN 'fail' WHEN n_chars < 20 THEN 'warn' ELSE 'ok' END AS s FROM documents) GROUP BY source")
 def status_fold(spark, sf_dir):
-    probes = table(spark, sf_dir, "documents").select("source", F.expr("CASE WHEN n_chars > 25000 THEN 'fail' WHEN n_chars < 20 THEN 'warn' ELSE 'ok' END").alias("s"))
-    worst = probes.groupBy("source").agg(F.bool_or(F.col("s") == "fail").alias("f"), F.bool_or(F.col("s") == "warn").alias("w"))
-    return worst.select("source", F.when(F.col("f"), "unavailable").when(F.col("w"), "degraded").otherwise("ready").alias("status"))
+    return changes.fold_status(_probes(spark, sf_dir), by=["source"]).select("source", "status")
 
 
-@query("SELECT CASE WHEN bool_or(s = 'fail') THEN 'unavailable' WHEN bool_or(s = 'warn') THEN 'degraded' ELSE 'ready' END AS status, CAST(bool_or(s = 'fail') AS INTEGER) AS exit_code FROM (VALUES ('ok'), ('warn'), ('ok')) AS t(s)")
+@query("SELECT CASE WHEN bool_or(n_chars > 25000) THEN 'unavailable' WHEN bool_or(n_chars < 20) THEN 'degraded' ELSE 'ready' END AS status, CAST(bool_or(n_chars > 25000) AS INTEGER) AS exit_code FROM documents")
 def doctor_fold(spark, sf_dir):
-    return changes.fold_status(spark.createDataFrame([("ok",), ("warn",), ("ok",)], "status string"))
+    return changes.fold_status(_probes(spark, sf_dir))
 
 
-_PATHS = [("src/a.TS", "TypeScript", True, False), ("x/Dockerfile", None, True, False), ("a/node_modules/b.js", "JavaScript", True, True), (".env.local", None, True, False), ("pic.png", None, False, False), ("t/x.rs", "Rust", True, True)]
+#: Endings of the paths that documents get, by doc_id.
+_NAMES = ("{}.TS", "Dockerfile", "node_modules/{}.js", ".env.{}", "{}.png", "t/{}.rs", "a-b.{}.Py", "Makefile", "dist/x{}.tsx", "{}.d.md", ".gitignore", "{}.config", "no{}")
+_NAMED = "source || '/' || CASE doc_id % {} {} END".format(len(_NAMES), " ".join(f"WHEN {i} THEN " + " || ".join(f"'{x}'" if x != "{}" else "CAST(doc_id AS VARCHAR)" for x in n.replace("{}", "\0{}\0").split("\0") if x) for i, n in enumerate(_NAMES)))
+_SETS = {n: ", ".join(f"'{x}'" for x in v) for n, v in {"text": paths.TEXT_EXTENSIONS, "names": paths.TEXT_NAMES, "skipped": paths.SKIPPED_SEGMENTS}.items()}
+_SUFFIXES = " OR ".join(f"ends_with(path, '{x}')" for x in paths.INDEX_EXTENSIONS)
+_LANGUAGES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.DISPLAY_LANGUAGES.items())
 
 
-@query(f"SELECT * FROM (VALUES {_values(_PATHS)}) AS t(path, language, is_text, indexable)")
+@query(
+    f"WITH p AS (SELECT doc_id, {_NAMED} AS path FROM documents), b AS (SELECT *, string_split(path, '/')[-1] AS base FROM p), e AS (SELECT *, lower(regexp_extract(base, '^.+(\\.[^.]*)$', 1)) AS ext FROM b) "
+    f"SELECT doc_id, path, base, ext, CASE ext {_LANGUAGES} END AS language, ext IN ({_SETS['text']}) OR lower(base) IN ({_SETS['names']}) OR starts_with(lower(base), '.env') AS is_text, "
+    f"{_SUFFIXES} AS indexable, len(list_intersect(string_split(path, '/'), [{_SETS['skipped']}])) > 0 AS skipped, translate(path, '/.-', '   ') AS words FROM e"
+)
 def path_functions(spark, sf_dir):
+    number, n = F.col("doc_id").cast("string"), F.lit(len(_NAMES))
+    ends = F.element_at(F.array(*(F.replace(F.lit(x), F.lit("{}"), number) for x in _NAMES)), (F.col("doc_id") % n + 1).cast("int"))
     p = F.col("path")
-    return spark.createDataFrame([(x[0],) for x in _PATHS], "path string").select("path", paths.display_language(p).alias("language"), paths.is_text_file(p).alias("is_text"), paths.is_indexable(p).alias("indexable"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), ends).alias("path"))
+    return rows.select("doc_id", "path", paths.basename(p).alias("base"), paths.extension(p).alias("ext"), paths.display_language(p).alias("language"), paths.is_text_file(p).alias("is_text"), paths.is_indexable(p).alias("indexable"), paths.has_skipped_segment(p).alias("skipped"), paths.path_words(p).alias("words"))
 
 
 @query("SELECT source || '/' || doc_id || '.ts' AS path, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id AS INTEGER) END AS start_line, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id + n_chars AS INTEGER) END AS end_line FROM documents")
@@ -534,11 +564,14 @@ def unflatten_metadata(spark, sf_dir):
     return back.select("doc_id", value("type").alias("source"), value("language").alias("lang"), value("n_chars").alias("n_chars"), F.size("metadata").alias("n"))
 
 
-@query(f"WITH {_units_sql()} SELECT CAST(greatest(a, b) AS BIGINT) AS affected_units, CAST(t AS BIGINT) AS affected_terms, CAST(n - a + b AS BIGINT) AS total_units FROM (SELECT count(*) FILTER (doc_id % 10 = 3) AS a, count(*) FILTER (doc_id % 5 = 0) AS b, count(*) FILTER (doc_id % 5 <> 0) AS n FROM u), (SELECT count(DISTINCT term) AS t FROM u, unnest(tokens) AS x(term) WHERE doc_id % 10 = 3 OR doc_id % 5 = 0)")
+@query(
+    f"WITH {_units_sql()}, x AS (SELECT doc_id, term FROM u, unnest(tokens) AS t(term)), f AS (SELECT DISTINCT term FROM x WHERE doc_id % 10 = 3 OR doc_id % 5 = 0) "
+    "SELECT (SELECT count(DISTINCT doc_id) FROM x WHERE doc_id % 10 <> 3 AND doc_id % 5 <> 0 AND term IN (SELECT term FROM f)) + count(*) FILTER (doc_id % 5 = 0) AS affected_units, "
+    "(SELECT count(*) FROM f) AS affected_terms, count(*) FILTER (doc_id % 10 <> 3) AS total_units FROM u"
+)
 def incremental_stats(spark, sf_dir):
     rows = units(spark, sf_dir)
-    before = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").count()
-    return records.incremental_statistics(rows.where("doc_id % 10 = 3"), rows.where("doc_id % 5 = 0"), before)
+    return records.incremental_statistics(rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 10 = 3"), rows.where("doc_id % 5 = 0"), KEYS)
 
 
 @query(f"SELECT doc_id, md5(chunk) AS digest, 'text' AS type, 0 AS start_line, 0 AS end_line, true AS fallback, chunk_index AS index FROM ({_WINDOWS})")
@@ -555,21 +588,41 @@ def iso_times(spark, sf_dir):
 # the index in a store, and streams
 
 
-def _files(spark, sf_dir) -> DataFrame:
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.format_string("d%09d.md", "doc_id").alias("path"), F.col("text").alias("content"), F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), F.lit("Markdown").alias("language"))
 
 
-def _built(spark, files: DataFrame) -> Engine:
-    engine = Engine(spark, Store(spark, temporary_folder(spark, "index")))
+def built_index(spark: SparkSession, files: DataFrame, embedding: EmbeddingConfig | None = None) -> Engine:
+    """A new index of files in a folder of its own."""
+    engine = Engine(spark, Store(spark, temporary_folder(spark, "index")), embedding)
     engine.build(files.drop("doc_id"), "documents")
     return engine
 
 
-def _updated(spark, sf_dir) -> Engine:
+#: Indexes of this session by name and data: queries that only read one share it.
+_shared: dict[tuple, Engine] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Engine]) -> Engine:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _shared:
+        _shared[key] = make()
+    return _shared[key]
+
+
+def _built(spark: SparkSession, sf_dir: str) -> Engine:
+    return _once(spark, sf_dir, "all", lambda: built_index(spark, document_files(spark, sf_dir)))
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> Engine:
+    return _once(spark, sf_dir, "updated", lambda: _make_updated(spark, sf_dir))
+
+
+def _make_updated(spark, sf_dir) -> Engine:
     """An index of some documents after the others came, some changed and some went, in two updates."""
-    files = _files(spark, sf_dir)
-    engine = _built(spark, files.where("doc_id % 10 <> 3"))
+    files = document_files(spark, sf_dir)
+    engine = built_index(spark, files.where("doc_id % 10 <> 3"))
     changed = files.where("doc_id % 5 = 1").withColumn("content", F.concat("content", F.lit(" thing and that"))).withColumn("hash", F.sha2("content", 256))
     engine.update(files.where("doc_id % 10 = 3").drop("doc_id"), files.where("doc_id % 7 = 2").limit(0).select("path"))
     engine.update(changed.drop("doc_id"), files.where("doc_id % 7 = 2 AND doc_id % 5 <> 1").select("path"))
@@ -589,7 +642,7 @@ _FOUND = "SELECT path, round(score, 6) AS score, rank, (SELECT string_agg(term,
 
 @query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0", units_sql=_INDEXED, key="path") + _FOUND)
 def indexed_search(spark, sf_dir):
-    return _hits(spark, _built(spark, _files(spark, sf_dir)))
+    return _hits(spark, _built(spark, sf_dir))
 
 
 @query(_ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0", units_sql=_FINAL, key="path") + _FOUND)
@@ -609,19 +662,133 @@ def store_file_metadata(spark, sf_dir):
 
 @query(f"WITH {_INDEXED} SELECT path, CAST(count(DISTINCT term) AS BIGINT) AS matches, string_agg(DISTINCT term, ' ' ORDER BY term) AS terms FROM u, unnest(tokens) AS t(term) WHERE term IN ('that', 'thing', 'tion') GROUP BY path ORDER BY matches DESC, path LIMIT 40")
 def search_by_terms(spark, sf_dir):
-    return _built(spark, _files(spark, sf_dir)).by_terms(["that", "thing", "tion"], 40).select("path", "matches", F.array_join("matched_terms", " ").alias("terms"))
+    return _built(spark, sf_dir).by_terms(["that", "thing", "tion"], 40).select("path", "matches", F.array_join("matched_terms", " ").alias("terms"))
 
 
 @query(f"WITH {_INDEXED}, p AS (SELECT DISTINCT path, term FROM u, unnest(tokens) AS t(term)) SELECT term, round(ln((n - count(*) + 0.5e0) / (count(*) + 0.5e0) + 1.0e0), 6) AS idf FROM p, (SELECT CAST(count(*) AS DOUBLE) AS n FROM u) WHERE term IN ('that', 'thing', 'none') GROUP BY term, n")
 def stored_idf(spark, sf_dir):
-    store = _built(spark, _files(spark, sf_dir)).store
+    store = _built(spark, sf_dir).store
     return store.terms(["that", "thing", "none"]).select("term", r6(idf_probabilistic(F.lit(store.get_metadata("n_chunks")), F.col("df"))).alias("idf"))
 
 
 @query(f"WITH {_INDEXED} SELECT DISTINCT term FROM u, unnest(tokens) AS t(term) WHERE path IN (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' FROM labels WHERE toxic = 1)")
 def terms_for_files(spark, sf_dir):
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.format_string("d%09d.md", "doc_id").alias("path"))
-    return _built(spark, _files(spark, sf_dir)).store.terms_of(toxic)
+    return _built(spark, sf_dir).store.terms_of(toxic)
+
+
+_WEIGHTED = (
+    ", w AS (SELECT path, term, count(*) AS raw_freq, any_value(len(tokens)) AS token_count FROM u, unnest(tokens) AS t(term) GROUP BY path, term), d AS (SELECT term, count(*) AS df FROM w GROUP BY term), c AS (SELECT count(*) AS n FROM u), "
+    f"v AS (SELECT path, term, raw_freq, token_count, raw_freq / CAST(token_count AS DOUBLE) AS tf, raw_freq / CAST(token_count AS DOUBLE) * ({SMOOTHED}) AS tfidf FROM w JOIN d USING (term), c), m AS (SELECT path, sqrt(sum(tfidf * tfidf)) AS magnitude FROM v GROUP BY path)"
+)
+_WEIGHTS = "SELECT path, term, raw_freq, token_count, round(tf, 6) AS tf, round(tfidf, 6) AS tfidf, round(magnitude, 6) AS magnitude FROM v JOIN m USING (path)"
+
+
+def _weights(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "term", "raw_freq", "token_count", r6("tf").alias("tf"), r6("tfidf").alias("tfidf"), r6("magnitude").alias("magnitude"))
+
+
+@query(f"WITH {_INDEXED}{_WEIGHTED} {_WEIGHTS}")
+def stored_vectors(spark, sf_dir):
+    return _weights(_built(spark, sf_dir).vectors_of())
+
+
+@query(f"WITH {_FINAL}{_WEIGHTED} {_WEIGHTS}")
+def incremental_weights(spark, sf_dir):
+    return _weights(_updated(spark, sf_dir).vectors_of())
+
+
+@query(f"WITH {_FINAL}{_WEIGHTED} SELECT u.path, CAST(len(tokens) AS BIGINT) AS token_count, round(coalesce(magnitude, 0), 6) AS magnitude FROM u LEFT JOIN m ON m.path = u.path")
+def incremental_magnitudes(spark, sf_dir):
+    return _updated(spark, sf_dir).magnitudes().select("path", "token_count", r6("magnitude").alias("magnitude"))
+
+
+#: Queries with rare and with common terms, for which searches leave out blocks of postings.
+_ASKED = {"q1": "the thing and that tion", "q2": "the of and to", "q3": "md d000000007 the", "q4": "thing thing unquestionable", "q5": "tion heat whan of the"}
+_ASKED_TERMS = " UNION ALL ".join(f"SELECT '{k}' AS query_id, CAST(i - 1 AS INTEGER) AS pos, ts[i] AS term FROM (SELECT {PLAIN.format(chr(39) + v + chr(39))} AS ts), unnest(range(1, len(ts) + 1)) AS t(i)" for k, v in _ASKED.items())
+
+
+@query(_ranked_sql(PLAIN, PROBABILISTIC, _ASKED_TERMS, "1.0e0", units_sql=_FINAL, key="path") + "SELECT query_id, path, round(score, 6) AS score, rank FROM r WHERE rank <= 7")
+def threshold_search(spark, sf_dir):
+    engine = _updated(spark, sf_dir)
+    rows = [(k, r["path"], round(r["score"], 6), r["rank"]) for k, text in _ASKED.items() for r in engine.ranked(text, limit=7)]
+    return spark.createDataFrame(rows, "query_id string, path string, score double, rank long")
+
+
+@query(f"WITH {_INDEXED}{_WEIGHTED}, h AS (SELECT path, count(*) AS matches, string_agg(term || ' ' || raw_freq || ' ' || printf('%.5f', round(tfidf, 5)), ', ' ORDER BY list_position(['that', 'thing', 'tion'], term)) AS weights FROM v WHERE term IN ('that', 'thing', 'tion') GROUP BY path ORDER BY matches DESC, path LIMIT 40) SELECT h.path, matches, weights, round(magnitude, 6) AS magnitude, CAST(len(tokens) AS BIGINT) AS token_count FROM h JOIN m USING (path) JOIN u USING (path)")
+def search_by_terms_weights(spark, sf_dir):
+    rows = _built(spark, sf_dir).by_terms(["that", "thing", "tion"], 40)
+    weights = F.array_join(F.transform("weights", lambda x: F.concat_ws(" ", x.term, x.raw_freq.cast("string"), F.format_string("%.5f", F.round(x.tfidf, 5)))), ", ")
+    return rows.select("path", "matches", weights.alias("weights"), r6("magnitude").alias("magnitude"), "token_count")
+
+
+@query(f"WITH {_INDEXED} SELECT u.path, 'Markdown' AS language, CAST(len(ls) AS INTEGER) AS lines, CAST(len(tokens) AS INTEGER) AS n_tokens FROM u JOIN (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS path, CASE WHEN ls[-1] = '' AND len(ls) > 1 THEN ls[:-2] ELSE ls END AS ls FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents)) USING (path) WHERE len(tokens) >= 40")
+def chunk_metadata(spark, sf_dir):
+    field = lambda name, kind: F.variant_get("metadata", f"$.{name}", kind)
+    rows = _built(spark, sf_dir).store.read("chunks", field("tokens", "int") >= 40)
+    return rows.select("path", field("language", "string").alias("language"), field("lines", "int").alias("lines"), field("tokens", "int").alias("n_tokens"))
+
+
+_MOCK_HYBRID = EmbeddingConfig(dimensions=16)
+
+
+def _flaky(texts: list[str], config: EmbeddingConfig) -> list[list[float]]:
+    """A provider that fails for a whole batch if a text starts with a capital letter A to C: a stated rule."""
+    if any(t[:1] in ("A", "B", "C") for t in texts):
+        raise ConnectionError("no vector")
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("SELECT doc_id, substring(coalesce(text, ''), 1, 1) IN ('A', 'B', 'C') AS failed, CASE WHEN failed THEN NULL ELSE length(text) END AS x, CASE WHEN failed THEN NULL ELSE length(text) - length(replace(text, ' ', '')) END AS y, CASE WHEN failed THEN 'ConnectionError: no vector' END AS error FROM documents")
+def embedding_failures(spark, sf_dir):
+    register_provider("flaky", _flaky)
+    rows = embed_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), EmbeddingConfig("flaky", 2))
+    return rows.select("doc_id", F.col("vector").isNull().alias("failed"), F.col("vector")[0].cast("long").alias("x"), F.col("vector")[1].cast("long").alias("y"), "error")
+
+
+_TREE = "'s' || (doc_id % 7) || '/t' || (doc_id % 3) || '/d' || doc_id || '.md'"
+
+
+def _tree_files(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('s', doc_id % 7, '/t', doc_id % 3, '/d', doc_id, '.md')").alias("path"), F.col("text").alias("content"))
+
+
+def _tree_folder(spark) -> str:
+    folder = temporary_folder(spark, "tree")
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("trees are written to and listed in folders of a file system that all executors mount")
+    return folder.removeprefix("file://")
+
+
+@query(f"SELECT {_TREE} AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE octet_length(encode(text)) BETWEEN 200 AND 20000 AND doc_id % 7 <> 0")
+def file_inventory(spark, sf_dir):
+    root = _tree_folder(spark)
+    written_tree(_tree_files(spark, sf_dir).where("content IS NOT NULL"), root)
+    files = tree_metadata(spark, root).where((F.col("size") >= 200) & (F.col("size") <= 20000))
+    return files.where(~F.col("path").startswith("s0/")).select("path", "size")
+
+
+@query(f"SELECT {_TREE} AS path, CASE WHEN doc_id % 10 = 3 THEN 'add' WHEN doc_id % 10 = 4 THEN 'unlink' ELSE 'change' END AS type, CASE WHEN doc_id % 10 IN (3, 4, 5) THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id % 10 IN (3, 4, 5) UNION ALL SELECT {_TREE}, 'add', 1 FROM documents WHERE doc_id % 10 <> 3")
+def change_feed(spark, sf_dir):
+    root, files = _tree_folder(spark), _tree_files(spark, sf_dir)
+    feed = ChangeFeed(spark, root, temporary_folder(spark, "feed"))
+    written_tree(files.where("doc_id % 10 <> 3"), root)
+    feed.poll()
+    later = F.when(F.expr("doc_id % 10 <> 4"), F.concat("content", F.lit(" and more")))
+    written_tree(files.where("doc_id % 10 IN (3, 4, 5)").withColumn("content", later), root)
+    feed.poll()
+    out = temporary_folder(spark, "changes")
+    feed.stream(max_files=2).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("type string, path string, version long").parquet(f"{out}/rows").select("path", "type", F.col("version").cast("int").alias("version"))
+
+
+@query("SELECT doc_id AS path, CASE WHEN o.s IS NULL THEN 'added' WHEN n.s IS NULL THEN 'deleted' WHEN o.s <> n.s OR abs(o.m - n.m) > 1000 THEN 'changed' ELSE 'unchanged' END AS change_type FROM (SELECT doc_id, n_chars AS s, doc_id * 1000 AS m FROM documents WHERE doc_id % 10 <> 3) o FULL JOIN (SELECT doc_id, n_chars + CAST(doc_id % 4 = 1 AS INTEGER) AS s, doc_id * 1000 + (doc_id % 3) * 600 AS m FROM documents WHERE doc_id % 7 <> 2) n USING (doc_id)")
+def stale_files(spark, sf_dir):
+    at = lambda ms: F.timestamp_millis(F.expr(ms)).alias("mtime")
+    docs = table(spark, sf_dir, "documents")
+    known = docs.where("doc_id % 10 <> 3").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), at("doc_id * 1000"))
+    found = docs.where("doc_id % 7 <> 2").select(F.col("doc_id").alias("path"), F.expr("n_chars + CAST(doc_id % 4 = 1 AS INT)").alias("size"), at("doc_id * 1000 + (doc_id % 3) * 600"))
+    return changes.stale_files(known, found)
 
 
 def _plain_time(name: str) -> Column:
@@ -646,6 +813,17 @@ def stream_debounce(spark, sf_dir):
     return rows.select("user_id", _plain_time("first_at"), _plain_time("last_at"), "n")
 
 
+@query(
+    "WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type FROM events), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w >= 3600000 THEN 1 ELSE 0 END AS apart FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_type)), "
+    "k AS (SELECT *, sum(apart) OVER (PARTITION BY user_id ORDER BY ms, event_type ROWS UNBOUNDED PRECEDING) AS burst FROM g), "
+    "b AS (SELECT user_id, burst, min(ms) AS first_ms, max(ms) AS last_ms, last(event_type ORDER BY ms, event_type) AS event_type, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY user_id, burst) "
+    "SELECT user_id, first_ms, last_ms, event_type, n FROM (SELECT *, max(burst) OVER (PARTITION BY user_id) AS newest FROM b) WHERE burst < newest OR last_ms + 3600000 < (SELECT max(ms) - 7200000 FROM e)"
+)
+def timer_debounce(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, "timers", lambda df: debounced_by_timers(df, "user_id", "ts", "event_type", gap_ms=3_600_000, clock="event", delay="2 hours"))
+    return rows.select("user_id", F.unix_millis("first_at").alias("first_ms"), F.unix_millis("last_at").alias("last_ms"), "event_type", "n")
+
+
 @query("SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)")
 def stream_windows(spark, sf_dir):
     rows = _streamed(spark, sf_dir, "windows", lambda df: index_stream.windowed_counts(df, size="1 day"))

@@ -14,9 +14,10 @@ from lumenseek.functions.tokenize import bpe_tokens, identifier_tokens, plain_to
 from lumenseek.operators import changes, chunking, hybrid, ranking, records, snippets, statistics, structure, vector_search
 from lumenseek.plans import queries
 from lumenseek.plans.engine import Cache, Engine, cache_key, envelope, handle
-from lumenseek.sources.files import read_tree, scan, stream_changes
+from lumenseek.sources.files import read_tree, scan
 from lumenseek.sources.ignore import Ignore
 from lumenseek.sources.store import MemoryStore, Store, VectorStore, data_dir
+from lumenseek.streaming.change_feed import ChangeFeed
 from lumenseek.streaming.index_stream import watch
 
 
@@ -168,20 +169,21 @@ def test_engine(spark, tree, tmp_path):
 def test_increments_equal_a_full_build(spark, tree, tmp_path):
     engine = Engine(spark, Store(spark, str(tmp_path / "index")), EmbeddingConfig(dimensions=8))
     engine.index(tree)
-    written = lambda name: {folder for folder, _ in engine.store._state()["tables"][name]}
+    written = lambda name: {folder for folder, _ in engine.store.state()["tables"][name]}
     for k in range(2):
-        before = written("postings")
+        before = written("blocks")
         with open(os.path.join(tree, "src/auth.ts"), "a") as f:
             f.write(f"export function extra{k}(login) {{\n  return {k}\n}}\n")
         if k == 1:
             os.remove(os.path.join(tree, "src/pool.ts"))
         assert engine.index(tree)["mode"] == "incremental"
-        assert before < written("postings")  # what was there has not been rewritten
+        assert before < written("blocks")  # what was there has not been rewritten
         fresh = Engine(spark, Store(spark, str(tmp_path / f"fresh{k}")), EmbeddingConfig(dimensions=8))
         fresh.index(tree)
-        for t in ("chunks", "postings", "terms", "vectors"):
+        for t in ("chunks", "forward", "terms", "vectors"):
             rows = [sorted(map(str, x.store.read(t).collect())) for x in (engine, fresh)]
             assert rows[0] == rows[1], t
+        assert sorted(map(tuple, engine.store.postings().collect())) == sorted(map(tuple, fresh.store.postings().collect()))
         assert [engine.store.get_metadata(x) for x in ("n_chunks", "total_len")] == [fresh.store.get_metadata(x) for x in ("n_chunks", "total_len")]
         assert engine.search("extra0 login") == fresh.search("extra0 login")
     engine.store.compact()
@@ -193,7 +195,7 @@ def test_increments_equal_a_full_build(spark, tree, tmp_path):
     assert {r.term for r in engine.store.terms_of(spark.createDataFrame([("README.md",)], "path string")).collect()} == {"words", "about", "login", "readme", "md"}
     assert engine.status()["files"] == 2 and "extra1" in engine.content("src/auth.ts") and engine.content("src/pool.ts") is None
     # the index answers a search: no chunk is tokenised again, and the scan is given the terms
-    plan = engine.store.postings(["login"])._jdf.queryExecution().toString()
+    plan = engine.store.postings(F.col("term") == "login")._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "login" in plan.split("PushedFilters")[1]
 
 
@@ -276,11 +278,11 @@ def test_bpe_backend(spark):
 def test_old_stores_are_migrated(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.write("terms", spark.createDataFrame([("a", 2)], "term string, df long"))
-    state = store._state()
-    store._save({"schema_version": "1", "tables": {t: x[0][0] for t, x in state["tables"].items()}, "metadata": {"k": 1}})
+    state = store.state()
+    store._save({"version": state["version"], "schema_version": "1", "tables": {t: x[0][0] for t, x in state["tables"].items()}, "metadata": {"k": 1}})
     again = Store(spark, str(tmp_path / "s"))
-    assert [tuple(r) for r in again.read("terms").collect()] == [("a", 2)] and again.get_metadata("k") == 1 and again._state()["schema_version"] == "2"
-    store._save({"schema_version": "9", "tables": {}, "metadata": {}})
+    assert [tuple(r) for r in again.read("terms").collect()] == [("a", 2)] and again.get_metadata("k") == 1 and again.state()["schema_version"] == "3"
+    store._save({"version": state["version"] + 1, "schema_version": "9", "tables": {}, "metadata": {}})
     with pytest.raises(ValueError):
         Store(spark, str(tmp_path / "s"))
 
@@ -335,10 +337,13 @@ def test_queries_above_a_block(spark, monkeypatch):
 
 def test_change_stream(spark, tree, tmp_path):
     got = []
-    query = stream_changes(spark, tree).writeStream.foreachBatch(lambda df, i: got.append(sorted((r.type, r.path) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).start()
+    feed = ChangeFeed(spark, tree, str(tmp_path / "feed"))
+    assert feed.poll() == 5 and feed.poll() == 0
+    query = feed.stream().writeStream.foreachBatch(lambda df, i: got.append(sorted((r.type, r.path) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).start()
     try:
         query.processAllAvailable()
         os.remove(os.path.join(tree, "README.md"))
+        assert feed.poll() == 1
         query.processAllAvailable()
     finally:
         query.stop()
