@@ -1,10 +1,14 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is read once, tag by tag and in linear time, into blocks of text. Elements that are never article text (scripts,
-menus, footers, forms) and parts named as adverts, notices, comments and the like are left out as they are read. The
-first pass classifies every block by its density of stop words, its length and the share of its characters inside links;
-whether it stands in an article element, or in a part whose name only contains such a word, sets how dense and long it
-has to be. The second pass gives ambiguous and short blocks the label of the nearest decided one.
+A page is read once, tag by tag and in linear time, into blocks of text; of these only scripts, styles and the like are no
+part. The first pass classifies every block by its density of stop words, its length and the share of its characters
+inside links. Tags and names are features: an article element, a form, and a part whose name has a word like `related`
+beside others, set how dense and long a block has to be. A part whose element or whole name says that it is a menu, an
+advert, a notice or a comment is believed as long as dense text is found elsewhere; if it holds all of that (a layout
+class on the page's frame, a menu that is never closed), its name says nothing. The second pass gives ambiguous and short
+blocks the label of the nearest decided one.
+
+Pages in a language without a list of stop words are measured by their sentence marks instead.
 """
 
 from __future__ import annotations
@@ -28,12 +32,17 @@ ARTICLE, PLAIN, HINTED = "article", "plain", "hinted"
 SHORT_CHARS, LONG_CHARS = 70, 200
 #: Shares of link characters, and of stop words for a good and a nearly good block.
 LINKS, DENSE, SPARSE = 0.5, 0.30, 0.18
+#: A page with a smaller share of stop words is in a language without a list; there a block is dense that has a sentence
+#: mark for so many characters.
+KNOWN, MARK_CHARS = 0.12, 250
+#: Dense text that a part must hold for its name to be doubted: so many blocks, or characters.
+DOUBT_BLOCKS, DOUBT_CHARS = 2, 400
 
 # Elements whose content is not read as markup; elements never part of an article; elements that nest;
 # elements that end a block; words of class, id and role names that mark other parts of a page; words that only say what holds such a part; common
 # function words.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
-OUTSIDE = frozenset("nav footer aside form button select dialog menu object audio video canvas map head".split())
+OUTSIDE = frozenset("nav footer aside button select dialog menu object audio video canvas map head".split())
 CONTAINERS = frozenset("html head body nav header footer aside form button select dialog menu object audio video canvas map article main section div ul ol dl li table tbody thead tfoot tr td th figure figcaption blockquote details fieldset center".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr dt dd address summary caption option legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +51,7 @@ HINTS = frozenset(
     "sidebar widget widgets related recommended share sharing social comment comments disqus reply replies respond nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "footer masthead newsletter subscribe subscription signup login search pagination pager toolbar skip copyright complementary contentinfo".split()
 )
+READERS = frozenset("comment comments disqus reply replies respond".split())  # of these, what readers wrote
 HOLDERS = frozenset(
     "list box wrapper wrap container section block item items bar area inner outer slot unit button buttons link links post posts article articles content text title header head body form thread count "
     "top bottom left right main row col column group panel module message placeholder zone card cards icon icons tools tool site page global primary secondary".split()
@@ -58,6 +68,9 @@ _PLAIN_ATTRIBUTES = re.compile(r"[^>\"']*")
 _NAMES = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 _LETTERS = re.compile(r"[^\W\d_]+")
+# Marks that end sentences or clauses, in any script; elements that a head may hold.
+_MARKS = re.compile(r"[.!?,;:](?=\s|$)|[。、！？，；：．।۔؟،]")
+IN_HEAD = frozenset("head html base link meta title style script noscript template".split())
 
 
 @dataclass
@@ -66,14 +79,29 @@ class Block:
     zone: str
     heading: bool
     link_chars: int
+    parts: tuple[tuple[int, bool], ...] = ()  # number, and whether readers wrote it, of the parts named as other than article text that it lies in, from the outermost on
     label: str = ""
+    density: float = 0.0
 
     def link_share(self) -> float:
         return self.link_chars / max(1, len(self.text))
 
-    def stop_share(self) -> float:
+    def stop_words(self) -> tuple[int, int]:
+        """Stop words, and words."""
         words = [w.lower() for w in _LETTERS.findall(self.text)]
-        return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        return sum(w in STOP_WORDS for w in words), len(words)
+
+    def dense(self) -> bool:
+        """Text that could be an article's by itself."""
+        return self.density >= SPARSE and len(self.text) >= SHORT_CHARS and self.link_share() <= LINKS
+
+
+def measure(found: list[Block]) -> None:
+    """The density of each block, by the page's language."""
+    counts = [b.stop_words() for b in found]
+    known = sum(n for n, _ in counts) >= KNOWN * sum(n for _, n in counts)
+    for b, (stop, words) in zip(found, counts, strict=True):
+        b.density = stop / max(1, words) if known else min(1.0, len(_MARKS.findall(b.text)) * MARK_CHARS / len(b.text) * DENSE)
 
 
 def _named(attributes: str, in_article: bool) -> str:
@@ -140,9 +168,10 @@ class _Tags:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks outside menus, adverts and the like, in page order, decoded and with single spaces."""
+    """The page's blocks, in page order, decoded and with single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, str]] = []  # element, whether it or one around it is left out, and the zone
+    stack: list[tuple[str, tuple[tuple[int, bool], ...], str]] = []  # element, the named parts it lies in or is, and the zone
+    named_parts = 0
     open_ = Counter()
     parts: list[str] = []
     linked: list[str] = []
@@ -155,12 +184,12 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 anchor = " ".join(html.unescape("".join(linked)).split())
-                out.append(Block(text, stack[-1][2] if stack else PLAIN, heading, len(anchor)))
+                out.append(Block(text, stack[-1][2] if stack else PLAIN, heading, len(anchor), stack[-1][1] if stack else ()))
             parts.clear()
             linked.clear()
 
     def add(text: str) -> None:
-        if text and not (stack and stack[-1][1]):
+        if text:
             parts.append(text)
             if links:
                 linked.append(text)
@@ -201,6 +230,9 @@ def blocks(page: str) -> list[Block]:
             continue
         breaks = 0
         close()
+        if stack and stack[-1][0] == "head" and not closing and tag not in IN_HEAD:
+            stack.pop()  # its end tag may be left out
+            open_["head"] -= 1
         if tag in CONTAINERS:
             if closing:
                 while open_[tag]:
@@ -213,11 +245,13 @@ def blocks(page: str) -> list[Block]:
                 if tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
                     open_["li"] -= 1
-                gone, zone = (stack[-1][1], stack[-1][2]) if stack else (False, PLAIN)
+                around, zone = (stack[-1][1], stack[-1][2]) if stack else ((), PLAIN)
                 named = GOOD if tag in ("html", "body") else _named(attributes, zone != PLAIN)
-                gone = gone or tag in OUTSIDE or tag == "header" and zone == PLAIN or named == BAD
-                zone = HINTED if named == NEAR or zone == HINTED else ARTICLE if tag in ("article", "main") else zone
-                stack.append((tag, gone, zone))
+                if tag in OUTSIDE or tag == "header" and zone == PLAIN or named == BAD:
+                    around = (*around, (named_parts, bool(READERS.intersection(re.split(r"[^a-z]+", attributes.lower())))))
+                    named_parts += 1
+                zone = HINTED if named == NEAR or tag == "form" and zone == PLAIN or zone == HINTED and tag not in ("article", "main") else ARTICLE if tag in ("article", "main") else zone
+                stack.append((tag, around, zone))
                 open_[tag] += 1
         else:
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -226,30 +260,60 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def believed(found: list[Block]) -> set[tuple[int, bool]]:
+    """The named parts that are what they are named. As long as all dense text lies in such parts, or all articles do with
+    most of the dense text and no reader wrote them, the outermost of them that holds most is not."""
+    out = {p for b in found for p in b.parts}
+    dense = [b for b in found if b.dense()]
+    total = sum(len(b.text) for b in dense)
+    while out:
+        inside: dict[tuple[int, bool], list[Block]] = {}
+        free = [b for b in found if not out.intersection(b.parts)]
+        for b in dense:
+            if first := next((p for p in b.parts if p in out), None):
+                inside.setdefault(first, []).append(b)
+        if not inside:
+            break
+        most, held = max(inside.items(), key=lambda x: (not x[0][1], sum(len(b.text) for b in x[1]), -x[0][0]))
+        size = sum(len(b.text) for b in held)
+        enough = len(held) >= DOUBT_BLOCKS or size >= DOUBT_CHARS
+        articles = any(b.zone == ARTICLE for b in held) and not any(b.zone == ARTICLE for b in free) and 2 * size >= total and not most[1]
+        if not enough or any(b.dense() for b in free) and not articles:
+            break
+        out.remove(most)
+    return out
+
+
 def first_pass(b: Block, article: bool) -> str:
     """A block's label by itself; article: the page has an article element."""
-    stop = b.stop_share()
     if b.link_share() > LINKS:
         # a sentence that is a link may belong to an article, a list of links does not
-        return NEAR if b.zone == ARTICLE and stop >= SPARSE else BAD
+        return NEAR if b.zone == ARTICLE and b.density >= SPARSE else BAD
     if len(b.text) < SHORT_CHARS:
         return SHORT if b.zone == ARTICLE or not b.link_chars and not (article and b.zone == PLAIN) else BAD
     if b.zone == ARTICLE:
-        return GOOD if stop >= SPARSE else NEAR
-    if stop >= DENSE and len(b.text) > LONG_CHARS:
+        return GOOD if b.density >= SPARSE else NEAR
+    if b.density >= DENSE and len(b.text) > LONG_CHARS:
         return GOOD
     if article and b.zone == PLAIN:
         return BAD
-    return NEAR if stop >= SPARSE else BAD
+    return NEAR if b.density >= SPARSE else BAD
 
 
 def classify(found: list[Block]) -> None:
     """Labels each block good or bad: by itself, or else as the nearest decided block of its zone, or of any."""
-    article = any(b.zone == ARTICLE for b in found)
+    measure(found)
+    names = believed(found)
+    own = [b for b in found if not names.intersection(b.parts)]
+    article = any(b.zone == ARTICLE for b in own)
     for b in found:
-        b.label = first_pass(b, article)
-    for b, label in [(b, label) for zone in (ARTICLE, PLAIN, HINTED) for b, label in _neighbours(found, zone)]:
+        b.label = BAD if names.intersection(b.parts) else first_pass(b, article)
+    for b, label in [(b, label) for zone in (ARTICLE, PLAIN, HINTED) for b, label in _neighbours(own, zone)]:
         b.label = label
+    if not any(b.label == GOOD for b in own):
+        # an article of links only is an article
+        for b in own:
+            b.label = GOOD if b.zone == ARTICLE else b.label
 
 
 def _neighbours(found: list[Block], zone: str) -> list[tuple[Block, str]]:
