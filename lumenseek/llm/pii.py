@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data and secrets, in DataFrame functions only.
 
 Validated values (card numbers by their check digit, IBANs by their remainder, IPv4 addresses, dates of the calendar,
-phone numbers, social security numbers, e-mail addresses, keys and tokens) are replaced by a keyed permutation of all
+IPv6 addresses written out, phone numbers, social security numbers, e-mail addresses, keys and tokens) are replaced by a keyed permutation of all
 values of the same format: an unbalanced Feistel network over the value's characters. Equal values get equal pseudonyms
 in every document, different values different ones, and whoever has the key can invert it. A card number's pseudonym
 has a right check digit, a date's is a date, an address's octets stay below 256; what separates digits stays.
@@ -17,11 +17,11 @@ ROUNDS = 8
 #: Secrets and local parts of addresses that are longer, or have other than ASCII characters, are replaced by a keyed
 #: hash, which cannot be inverted.
 LONG = 512
-#: Days from FIRST_DAY that dates are permuted among: DATE_A * DATE_B.
-FIRST_DAY, DATE_A, DATE_B = "1900-01-01", 340, 215
+#: Days from FIRST_DAY that dates are permuted among: DATE_A * DATE_B, exactly those up to the end of 2099.
+FIRST_DAY, DATE_A, DATE_B = "1900-01-01", 17, 4297
 
 _DIGIT_END = r"(?![\d\p{L}])"
-_PASSWORD_WORDS, _SECRET_WORDS = "password|passwd|pwd", r"token|secret|api[_-]?key"
+_PASSWORD_WORDS, _SECRET_WORDS = "password|passwd|pwd", r"token|secret|api[ _-]?key|access[_-]?key"
 #: A separator and a quoted value without its last quote; and a value up to the next space.
 _QUOTED = r"[=:]\s{0,3}(?:\x22(?!\x22|$)[^\x22\\\n]*+(?:\\.[^\x22\\\n]*+)*+(?=\x22|$)|'(?!'|$)[^'\\\n]*+(?:\\.[^'\\\n]*+)*+(?='|$))"
 _BARE = r"[\x22']?[^\s\x22']\S*+"
@@ -33,22 +33,26 @@ def _secret(words: str, rest: str) -> str:
 
 #: What stays of a secret.
 _SECRET_NAME = _secret(f"{_PASSWORD_WORDS}|{_SECRET_WORDS}", r"[=:]\s{0,3}[\x22']?")
+#: What stays of a token after the word bearer.
+_BEARER_NAME = r"(?i:bearer)\s{1,3}"
 #: What each kind looks like; the first that fits at a place counts.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]++(?:'[\p{L}\p{N}_.+-]++)*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": _secret(_SECRET_WORDS, f"(?:{_QUOTED}|=\\s{{0,3}}{_BARE}|:\\s{{0,3}}(?=[\\x22']?(?:\\S{{12}}|[\\p{{L}}]*+[^\\p{{L}}\\s.,;:!?)])){_BARE})") + "|" + _secret(_PASSWORD_WORDS, f"(?:{_QUOTED}|[=:]\\s{{0,3}}{_BARE})"),
+    "bearer": rf"(?<![A-Za-z]){_BEARER_NAME}(?=[A-Za-z._~+/-]{{0,64}}+\d)(?=[\w.~+/-]{{16}})[\w.~+/-]++=*+",
     "access": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)\d\d|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/(?:19|20)\d\d)(?![\d/-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
+    "ip6": r"(?<![\w:.])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![\w:])",
     "phone": r"(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,2}?|\d{1,4}(?:[ .-]?\d{2,4}){2,4})|(?<![\d+.-])(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![.-]\d)))" + _DIGIT_END,
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
 }
 # a run of digit groups that may hold card numbers; see _pieces
 PATTERNS["card"] = r"(?<![\d\p{L}])(?=(?:[ -]?\d){13})\d++(?!\p{L})(?:[ -](?!" + "|".join(PATTERNS[k] for k in ("date", "ip", "ssn")) + r")\d++(?!\p{L}))*+"
 #: What every value of any kind has in it: an at sign; a word for a secret and its separator; the start of an access key or
-#: of an IBAN; a sign or parenthesis before a digit; a point, slash or hyphen between digits; thirteen digits.
-_TRACE = rf"@|(?i:{_PASSWORD_WORDS}|{_SECRET_WORDS})[\x22']?\s{{0,3}}[=:]|AKIA|[A-Z]{{2}}\d\d|[+(]\d|\d[-./]\d|\d(?:[ -]?\d){{12}}"
+#: of an IBAN; the word bearer; two colons around hexadecimal digits; a sign or parenthesis before a digit; a point, slash or hyphen between digits; thirteen digits.
+_TRACE = rf"@|(?i:{_PASSWORD_WORDS}|{_SECRET_WORDS})[\x22']?\s{{0,3}}[=:]|AKIA|[A-Z]{{2}}\d\d|(?i:bearer)\s|[0-9a-f]:[0-9a-f]{{1,4}}:[0-9a-f]|[+(]\d|\d[-./]\d|\d(?:[ -]?\d){{12}}"
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -86,7 +90,8 @@ def _mod97(text: str) -> str:
 
 def _pieces(v: str) -> str:
     """SQL: a match as an array of strings: a run of digit groups is divided into the card numbers in it, each the longest
-    from a group's start to a group's end whose check digit is right, and what lies between them."""
+    from a group's start to a group's end whose check digit is right, and what lies between them. What starts like an IBAN
+    is divided at the last space before which its remainder is right, for a word in capitals may follow."""
     part = "array_join(slice(tk, n, m - n + 1), '')"
     ends = f"filter(sequence(n, least(n + 36, size(tk)), 2), m -> length({_digits(part)}) BETWEEN 13 AND 19 AND {_luhn(_digits(part), '0')} = 0)"
     put = "named_struct('at', m + 1, 'made', concat(g.made, array(array_join(slice(tk, g.at, n - g.at), ''), " + part + ")))"
@@ -94,8 +99,11 @@ def _pieces(v: str) -> str:
     start = "named_struct('at', 1, 'made', CAST(array() AS ARRAY<STRING>))"
     left = "array_join(slice(tk, g.at, size(tk)), '')"
     parts = f"aggregate(sequence(1, size(tk), 2), {start}, (g, n) -> CASE WHEN n < g.at THEN g ELSE {found} END, g -> filter(concat(g.made, array({left})), y -> y <> ''))"
+    ends = f"filter(sequence(15, length({v})), m -> (m = length({v}) OR substr({v}, m + 1, 1) = ' ') AND length(replace(left({v}, m), ' ', '')) >= 15 AND {_mod97(f"replace(left({v}, m), ' ', '')")} = 1)"
+    iban = _bind("m", f"array_max({ends})", f"CASE WHEN m IS NULL OR m = length({v}) THEN array({v}) ELSE array(left({v}, m), substr({v}, m + 1)) END")
     # digit groups and single separators take turns
-    return f"CASE WHEN {v} RLIKE '^[0-9][0-9 -]{{12,}}$' THEN {_bind('tk', f"regexp_extract_all({v}, '[0-9]+|[ -]', 0)", parts)} ELSE array({v}) END"
+    cards = _bind("tk", f"regexp_extract_all({v}, '[0-9]+|[ -]', 0)", parts)
+    return f"CASE WHEN {v} RLIKE '^[0-9][0-9 -]{{12,}}$' THEN {cards} WHEN length({v}) >= 15 AND {v} RLIKE {_quoted('^' + PATTERNS['iban'] + '$')} THEN {iban} ELSE array({v}) END"
 
 
 def _valid(v: str) -> str:
@@ -119,6 +127,7 @@ def _fixed(v: str) -> str:
     body = {
         "email": ("0", f"length({v}.text) - instr({v}.text, '@') + 1"),
         "secret": (f"length(regexp_extract({v}.text, {_quoted('^' + _SECRET_NAME)}, 0))", "0"),
+        "bearer": (f"length(regexp_extract({v}.text, {_quoted('^' + _BEARER_NAME)}, 0))", "0"),
         "access": ("4", "0"),
         "iban": ("4", "0"),
         "phone": (f"length(regexp_extract({v}.text, '^[+][0-9]+', 0))", "0"),
@@ -201,13 +210,13 @@ def _steps() -> list[tuple[str, str]]:
     iban = _bind("w", letters, f"concat(substr(w, 1, 2), lpad(CAST(98 - {_mod97('''concat(substr(w, 1, 2), '00', replace(substr(w, 5), ' ', ''))''')} AS STRING), 2, '0'), substr(w, 5))")
     whole = f"concat(left(v.text, v.fixed.a), 'u', substr(sha2(concat_ws('|', _key, v.kind, v.text), 256), 1, 15), right(v.text, v.fixed.z))"
     made = (
-        f"CASE WHEN NOT v.valid THEN v.text WHEN size(v.codes) = 0 OR v.kind IN ('secret', 'email') AND (length(v.text) > {LONG} OR substr(v.text, v.fixed.a + 1) RLIKE '[^ -~]') THEN {whole} WHEN v.kind = 'ip' THEN array_join(transform(v.new, x -> CAST(x AS STRING)), '.') "
+        f"CASE WHEN NOT v.valid THEN v.text WHEN size(v.codes) = 0 OR v.kind IN ('secret', 'email', 'bearer') AND (length(v.text) > {LONG} OR substr(v.text, v.fixed.a + 1) RLIKE '[^ -~]') THEN {whole} WHEN v.kind = 'ip' THEN array_join(transform(v.new, x -> CAST(x AS STRING)), '.') "
         f"WHEN v.kind = 'date' THEN {dated} WHEN v.kind = 'ssn' THEN {_ssn_text('v.new')} WHEN v.kind = 'card' THEN {card} WHEN v.kind = 'iban' THEN {iban} ELSE {letters} END"
     )
     tweak = "concat(_key, ':', v.kind)"
     return [
         ("_found", f"transform(_match, t -> named_struct('text', t, 'kind', {_kind('t')}))"),
-        ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', {_valid('v')}, 'fixed', {_fixed('v')}, 'hex', v.kind = 'secret' AND v.text RLIKE {_quoted('^' + _SECRET_NAME + '[0-9a-f]+$')}))"),
+        ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', {_valid('v')}, 'fixed', {_fixed('v')}, 'hex', v.kind = 'ip6' OR v.kind = 'secret' AND v.text RLIKE {_quoted('^' + _SECRET_NAME + '[0-9a-f]+$')}))"),
         ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', v.valid, 'fixed', v.fixed, 'chars', {chars}))"),
         ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', v.valid, 'fixed', v.fixed, 'chars', v.chars, 'codes', {codes}, 'radices', {radices}))"),
         ("_found", f"transform(_found, v -> named_struct('text', v.text, 'kind', v.kind, 'valid', v.valid, 'fixed', v.fixed, 'chars', v.chars, 'codes', v.codes, 'new', {_feistel('v.codes', 'v.radices', tweak)}))"),
