@@ -6,7 +6,7 @@ part of its input only, and each is judged on what its predecessor kept.
 
 Nulls and repeats: a null text has no words and fails the quality rules; a null lang or source is a stratum or source of
 its own; rows with a null doc_id are never dropped as near duplicates, for nothing else can name them; of rows that share
-a doc_id and survive, one stays. Empty tables pass through all stages.
+a doc_id and a text and survive, one stays. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from lumenseek.llm.scratch import stored
 #: No source is read more than this many times as often as the least read one, which is read once.
 MAX_REPEATS = 2.0
 
-#: SQL cannot tokenise, so the rows of run() have none; tests compare them with a brute-force version.
+#: SQL cannot tokenise, so the rows of run() have none; tests compare each stage's rows with what it should keep.
 ORACLE_SQL = None
 
 
@@ -42,7 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select("doc_id", F.struct("*").alias("_row"))
     named = rows.where("doc_id IS NOT NULL").join(stays, F.col("doc_id") == F.col("_id"), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("_row.text")))
+    # rows that share an id are one document if they share a text
+    text = F.sha2(F.coalesce(F.col("_row.text").cast("string"), F.lit("")), 256)
+    first = F.row_number().over(W.partitionBy("doc_id", text).orderBy(F.lit(0)))
     named = named.withColumn("_n", first).where("_n = 1")
     return named.select("_row.*").unionByName(rows.where("doc_id IS NULL").select("_row.*"))
 
