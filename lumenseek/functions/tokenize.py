@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,13 +43,14 @@ def bpe_tokens(text: Column | str, tokenizer_path: str) -> Column:
     backend that can stand in for identifier_tokens()."""
 
     @F.pandas_udf("array<string>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        found = tokenizer.encode_batch(texts.tolist(), add_special_tokens=False)
-        plain = [[t.replace("Ġ", "").replace("▁", "").replace("</w>", "").strip().lower() for t in e.tokens] for e in found]
-        return pd.Series([[t for t in x if len(t) >= MIN_LENGTH] for x in plain])
+        tokenizer = Tokenizer.from_file(tokenizer_path)  # once per task
+        for texts in batches:
+            found = tokenizer.encode_batch(texts.tolist(), add_special_tokens=False)
+            plain = [[t.replace("Ġ", "").replace("▁", "").replace("</w>", "").strip().lower() for t in e.tokens] for e in found]
+            yield pd.Series([[t for t in x if len(t) >= MIN_LENGTH] for x in plain])
 
     return encode(_text(text))
 

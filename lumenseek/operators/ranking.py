@@ -119,6 +119,23 @@ def candidates_of(posting_rows: DataFrame, keys: list[str], terms: list[str], li
     return hits.orderBy(F.col("matches").desc(), *keys).limit(limit)
 
 
+def rank_candidates(found: DataFrame, keys: list[str], terms: list[str], idf: DataFrame, *, limit: int = 10, min_score: float = 0.0, avgdl: float | None = None) -> DataFrame:
+    """keys, score, matched_terms, rank of candidates (keys, token_count, weights: array of term, raw_freq and more) by
+    BM25, from what stands beside them and idf (term, idf) alone: a term without one counts 0, a missing or zero length
+    counts 1, and without avgdl the mean length of the candidates stands in."""
+    place = F.array_position(F.array(*map(F.lit, dict.fromkeys(terms))), F.col("term"))
+    mean = found.agg(F.greatest(F.coalesce(F.avg(F.coalesce("token_count", F.lit(0)).cast("double")), F.lit(1.0)), F.lit(1.0)).alias("_mean"))
+    mean = found.sparkSession.range(1).select(F.lit(max(float(avgdl), 1.0)).alias("_mean")) if avgdl else mean
+    rows = found.select(*keys, F.when(F.col("token_count") > 0, F.col("token_count")).otherwise(1).alias("_dl"), F.inline("weights")).where(F.col("term").isin(terms))
+    rows = rows.join(broadcast_if_small(idf.select("term", "idf")), "term", "left").join(F.broadcast(mean))
+    tf, dl = F.col("raw_freq").cast("double"), F.col("_dl").cast("double")
+    part = F.coalesce("idf", F.lit(0.0)) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / F.col("_mean")))
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(place.alias("pos"), part.alias("part"), "term"))).alias("_parts"))
+    scored = listed.select(*keys, F.aggregate("_parts", F.lit(0.0), lambda x, y: x + y.part).alias("score"), F.transform("_parts", lambda x: x.term).alias("matched_terms")).where(F.col("score") >= min_score)
+    best = scored.orderBy(F.desc("score"), *keys).limit(limit)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), *keys)))
+
+
 def candidates(units: DataFrame, keys: list[str], terms: list[str], limit: int = 100) -> DataFrame:
     """Units with most distinct query terms: keys, matches. A lossy preselection, for callers that ask for it."""
     hits = units.select(*keys, F.size(F.array_intersect("tokens", F.array(*map(F.lit, terms)))).cast("long").alias("matches")).where("matches > 0")

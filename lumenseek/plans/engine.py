@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import sys
 import time
@@ -136,8 +137,11 @@ class Engine:
                         raise
         finally:
             changed.unpersist()
-        if self.store.segments() > MAX_SEGMENTS:
-            self.store.compact()
+        if out["rebuild_advised"] or self.store.segments() > MAX_SEGMENTS:
+            try:  # nothing is lost where another writer comes first: it will find as many segments
+                self.store.compact()
+            except Conflict:
+                pass
         self.cache.clear()
         return out
 
@@ -185,6 +189,7 @@ class Engine:
         norms = self.store.stage("norms", inverted.norm_rows(rows["blocks"].select("term", F.inline("docs")), terms, KEYS))
         metadata = {"root": root, "n_chunks": counts["n"], "total_len": counts["total_len"], "mean_len": counts["mean_len"]}
         self.store.commit(replace=rows | {"files": files, "terms": terms, "norms": norms}, metadata=metadata)
+        self.store.describe(root, datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"))
         self.cache.clear()
         return {"files": seen.get["n"], "chunks": counts["n"], "failed": counts["failed"]}
 

@@ -722,6 +722,23 @@ def search_by_terms_weights(spark, sf_dir):
     return rows.select("path", "matches", weights.alias("weights"), r6("magnitude").alias("magnitude"), "token_count")
 
 
+@query(
+    f"WITH {_INDEXED}{_WEIGHTED}, h AS (SELECT path, count(*) AS matches FROM v WHERE term IN ('that', 'thing', 'tion') GROUP BY path ORDER BY matches DESC, path LIMIT 40), "
+    f"k AS (SELECT path, term, raw_freq, token_count FROM v JOIN h USING (path) WHERE term IN ('that', 'thing', 'tion')), a AS (SELECT greatest(avg(dl), 1e0) AS mean FROM (SELECT path, any_value(CAST(token_count AS DOUBLE)) AS dl FROM k GROUP BY path)), "
+    f"i AS (SELECT term, {SMOOTHED} AS idf FROM d, c WHERE term IN ('that', 'thing')), "
+    "s AS (SELECT path, sum(coalesce(idf, 0e0) * raw_freq * 2.2e0 / (raw_freq + 1.2e0 * (0.25e0 + 0.75e0 * token_count / mean)) ORDER BY list_position(['that', 'thing', 'tion'], k.term)) AS score, "
+    "string_agg(k.term, ' ' ORDER BY list_position(['that', 'thing', 'tion'], k.term)) AS terms FROM k LEFT JOIN i ON i.term = k.term, a GROUP BY path) "
+    "SELECT path, round(score, 6) AS score, terms, row_number() OVER (ORDER BY round(score, 9) DESC, path) AS rank FROM s WHERE score >= 0.5e0 QUALIFY rank <= 8"
+)
+def rank_candidates(spark, sf_dir):
+    """A term without a stored frequency counts 0, and the candidates' mean length stands in for the corpus's."""
+    engine = _built(spark, sf_dir)
+    n = F.lit(engine.store.get_metadata("n_chunks"))
+    idf = engine.store.terms(["that", "thing"]).select("term", idf_smoothed(n, F.col("df")).alias("idf"))
+    best = ranking.rank_candidates(engine.by_terms(["that", "thing", "tion"], 40), ["path"], ["that", "thing", "tion"], idf, limit=8, min_score=0.5)
+    return best.select("path", r6("score").alias("score"), F.array_join("matched_terms", " ").alias("terms"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {_INDEXED} SELECT u.path, 'Markdown' AS language, CAST(len(ls) AS INTEGER) AS lines, CAST(len(tokens) AS INTEGER) AS n_tokens FROM u JOIN (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS path, CASE WHEN ls[-1] = '' AND len(ls) > 1 THEN ls[:-2] ELSE ls END AS ls FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents)) USING (path) WHERE len(tokens) >= 40")
 def chunk_metadata(spark, sf_dir):
     field = lambda name, kind: F.variant_get("metadata", f"$.{name}", kind)
@@ -729,7 +746,24 @@ def chunk_metadata(spark, sf_dir):
     return rows.select("path", field("language", "string").alias("language"), field("lines", "int").alias("lines"), field("tokens", "int").alias("n_tokens"))
 
 
-_MOCK_HYBRID = EmbeddingConfig(dimensions=16)
+_MOCK = (
+    f"m AS MATERIALIZED (SELECT path, {_HASH} AS h FROM (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS path, text FROM documents UNION ALL SELECT '?', '{QUERY}')), "
+    "y AS MATERIALIZED (SELECT path, list_transform(range(0, 16), lambda i: (sin(CAST(h AS DOUBLE) + i) + cos((CAST(h AS DOUBLE) + i) / 2.0e0)) / 2.0e0) AS y FROM m), "
+    "e AS MATERIALIZED (SELECT path, CAST(CAST(list_transform(y, lambda v: v / sqrt(list_sum(list_transform(y, lambda z: z * z)))) AS FLOAT[]) AS DOUBLE[]) AS e FROM y), "
+    f"n AS (SELECT path, 1.0e0 / (1.0e0 + distance) AS score FROM (SELECT a.path, {_L2.format('a.e', 'q.e')} AS distance FROM e a, e q WHERE q.path = '?' AND a.path <> '?') ORDER BY round(distance, 9), path LIMIT 20)"
+)
+
+
+@query(
+    _ranked_sql(PLAIN, PROBABILISTIC, _terms_sql(PLAIN, False), "1.0e0", units_sql=_INDEXED, key="path")
+    + f", {_MOCK}, x AS (SELECT path, score FROM r WHERE rank <= 20) SELECT path, round(s, 6) AS score, method, round(similarity, 6) AS similarity, language, n_terms FROM (SELECT path, coalesce(n.score / nm, 0e0) * 0.7e0 + coalesce(x.score / xm, 0e0) * 0.3e0 AS s, "
+    "CASE WHEN n.score IS NULL THEN 'lexical' WHEN x.score IS NULL THEN 'vector' ELSE 'hybrid' END AS method, n.score AS similarity, 'Markdown' AS language, coalesce(len(terms), 0) AS n_terms "
+    "FROM n FULL JOIN (SELECT x.path, x.score, terms FROM x JOIN r ON r.path = x.path) x USING (path), (SELECT greatest(max(score), 0.01e0) AS nm FROM n), (SELECT greatest(max(score), 0.01e0) AS xm FROM x)) WHERE s >= 0.01e0 ORDER BY round(s, 9) DESC, path LIMIT 10"
+)
+def hybrid_search(spark, sf_dir):
+    engine = _once(spark, sf_dir, "embedded", lambda: built_index(spark, document_files(spark, sf_dir), EmbeddingConfig(dimensions=16)))
+    rows = [(r["path"], round(r["score"], 6), r["method"], r["similarity"] and round(r["similarity"], 6), r["language"], len(r["matched_terms"])) for r in engine.hybrid(QUERY)]
+    return spark.createDataFrame(rows, "path string, score double, method string, similarity double, language string, n_terms long")
 
 
 def _flaky(texts: list[str], config: EmbeddingConfig) -> list[list[float]]:

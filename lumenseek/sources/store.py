@@ -288,6 +288,15 @@ class Store:
         """All rows of keys go, rows come: for tables with several rows per key."""
         self._rewrite(table, lambda old: old.join(keys.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True))
 
+    def store_chunks(self, rows: DataFrame) -> DataFrame:
+        """All chunks of the rows' paths go, rows (columns of the table chunks) come; returns id, path, start_line,
+        end_line of what came. Raises where a path is no file of the store."""
+        missing = rows.join(self.read("files").select("path"), "path", "left_anti").select("path").head()
+        if missing:
+            raise ValueError(f"{missing.path} is not a file of the store")
+        self.replace_keys("chunks", rows.select("path"), rows)
+        return rows.select(F.format_string("chunk://%s:%d-%d", "path", "start_line", "end_line").alias("id"), "path", "start_line", "end_line")
+
     def delete(self, table: str, keys: DataFrame, key: str = "path") -> None:
         self._rewrite(table, lambda old: old.join(keys.select(key).distinct(), key, "left_anti"))
 

@@ -219,6 +219,16 @@ def test_an_update_is_made_again_after_another(spark, tmp_path, monkeypatch):
         one.store.check_root("elsewhere")
 
 
+def test_chunks_need_their_file(spark, tmp_path):
+    at = Store(spark, str(tmp_path / "s"))
+    at.write("files", rows_of(spark, {"a.md": "x"}))
+    chunk = lambda *r: spark.createDataFrame(list(r), "path string, start_line int, end_line int, text string")
+    assert [r.id for r in at.store_chunks(chunk(("a.md", 1, 2, "x"))).collect()] == ["chunk://a.md:1-2"]
+    with pytest.raises(ValueError, match="b.md"):
+        at.store_chunks(chunk(("a.md", 1, 1, "y"), ("b.md", 1, 1, "z")))
+    assert [r.text for r in at.read("chunks").collect()] == ["x"]
+
+
 # files and changes
 
 
