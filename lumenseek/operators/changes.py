@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenseek.operators.statistics import postings
+from lumenseek.operators.statistics import frequencies
 
 #: Differences of modification times up to this many milliseconds are none.
 MTIME_SLACK_MS = 1000
@@ -55,10 +55,10 @@ def debounce(events: DataFrame, key: str, time: str, gap: str, kind: str) -> Dat
     return events.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.max_by(kind, time).alias(kind), F.count(F.lit(1)).alias("n")).drop("w")
 
 
-def updated_frequencies(df: DataFrame, removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
-    """term, df after units (keys, tokens) went and came: signed counts, added to what was known."""
-    gone = postings(removed, keys).select("term", F.lit(-1).cast("long").alias("df"))
-    come = postings(added, keys).select("term", F.lit(1).cast("long").alias("df"))
+def updated_frequencies(df: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """term, df after units (tokens) went and came: signed counts, added to what was known."""
+    gone = frequencies(removed).select("term", (-F.col("df")).alias("df"))
+    come = frequencies(added)
     return df.select("term", "df").unionByName(gone).unionByName(come).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Saturation of term frequencies and share of length normalisation in BM25.
+K1, B = 1.2, 0.75
 #: Rows up to which a side is broadcast.
 SMALL_ROWS = 100_000
 

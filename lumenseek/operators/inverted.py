@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenseek.operators.ranking import K1, B
+from lumenseek.operators.common import B, K1
 
 #: Postings of a block.
 BLOCK = 128

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenseek.functions.tokenize import identifier_tokens, idf_probabilistic, idf_smoothed, plain_tokens
-from lumenseek.operators.common import SMALL_ROWS, broadcast_if_small
+from lumenseek.operators.common import B, K1, SMALL_ROWS, broadcast_if_small
+from lumenseek.operators.inverted import forward_rows, postings_of
 
-K1, B = 1.2, 0.75
 #: Query terms up to which tokens are compared with all of them in place.
 FEW_TERMS = 64
 
@@ -64,10 +64,12 @@ def scored_terms(units: DataFrame, keys: list[str], queries: DataFrame, dialect:
         narrow = units.select(*keys, length, F.filter("tokens", lambda t: F.array_contains(asked, t)).alias("term")).repartition(*keys)
         totals, hits = narrow.select("doc_len"), narrow.select(*keys, "doc_len", F.explode("term").alias("term"))
     else:
+        # a unit's terms are counted where it lies; of the counts, those of query terms go on
         totals = units.select(length)
-        hits = units.select(*keys, length, F.explode("tokens").alias("term")).join(sent(queries.select("term").distinct()), "term", "left_semi")
+        hits = postings_of(forward_rows(units, keys), keys).join(sent(queries.select("term").distinct()), "term", "left_semi")
     totals = totals.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
-    hits = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("raw_freq"), F.first("doc_len").alias("doc_len"))
+    if len(few) <= FEW_TERMS:
+        hits = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("raw_freq"), F.first("doc_len").alias("doc_len"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return scored_postings(hits, df, totals, queries, dialect)
 

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenseek.functions.tokenize import idf_smoothed
+from lumenseek.operators.inverted import forward_rows, postings_of
 
 
 def postings(units: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term, raw_freq long, doc_len long: one row per unit and distinct term. Units without tokens have none."""
-    rows = units.select(*keys, F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
-    return rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("raw_freq"), F.first("doc_len").alias("doc_len"))
+    """keys, term, raw_freq long, doc_len long: one row per unit and distinct term. Units without tokens have none. A unit
+    is one row, so its terms are counted where it lies and nothing is shuffled."""
+    return postings_of(forward_rows(units, keys), keys)
 
 
 def term_frequencies(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,17 +29,22 @@ def document_frequencies(posting_rows: DataFrame) -> DataFrame:
     return posting_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def frequencies(units: DataFrame) -> DataFrame:
+    """document_frequencies() of units themselves: each counts a term once, and counts are added up before they move."""
+    return units.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def corpus_statistics(units: DataFrame) -> DataFrame:
     """n (all units, those without tokens too) and avgdl, in one row."""
     return units.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens").cast("double")), F.lit(0.0)).alias("avgdl"))
 
 
 def tfidf(units: DataFrame, keys: list[str]) -> DataFrame:
-    """term_frequencies() with df, idf and tfidf. Postings are made once and dealt by term, where each finds its term's
-    count; the number of units is a sum beside them, not a pass of its own."""
+    """term_frequencies() with df, idf and tfidf. Postings are dealt by term once, where each finds its term's count; the
+    number of units is a sum beside them."""
     n = units.agg(F.count(F.lit(1)).alias("_n"))
     rows = term_frequencies(units, keys)
-    counted = rows.join(document_frequencies(rows), "term").join(F.broadcast(n))
+    counted = rows.join(frequencies(units), "term").join(F.broadcast(n))
     return counted.withColumn("idf", idf_smoothed(F.col("_n"), F.col("df"))).withColumn("tfidf", F.col("tf") * F.col("idf")).drop("_n")
 
 

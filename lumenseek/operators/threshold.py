@@ -16,8 +16,9 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenseek.operators.common import K1
 from lumenseek.operators.inverted import BLOCK, impact, postings_of
-from lumenseek.operators.ranking import K1, Dialect
+from lumenseek.operators.ranking import Dialect
 
 if TYPE_CHECKING:
     from lumenseek.sources.store import Store

@@ -102,12 +102,12 @@ def doc_len(spark, sf_dir):
 
 @query(f"WITH {_units_sql()}, {_POSTINGS}, {_DF} SELECT term, CAST(df AS BIGINT) AS df FROM d")
 def doc_freq(spark, sf_dir):
-    return statistics.document_frequencies(statistics.postings(units(spark, sf_dir), KEYS))
+    return statistics.frequencies(units(spark, sf_dir))
 
 
 def _idf(spark, sf_dir, tokens, idf):
     rows = units(spark, sf_dir, tokens)
-    df = statistics.document_frequencies(statistics.postings(rows, KEYS))
+    df = statistics.frequencies(rows)
     return df.select("term", r6(idf(F.lit(rows.count()), F.col("df"))).alias("idf"))
 
 
@@ -140,10 +140,11 @@ def avgdl(spark, sf_dir):
     return statistics.corpus_statistics(units(spark, sf_dir)).select("n", r6("avgdl").alias("avgdl"))
 
 
-@query(f"{_TFIDF} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, max(raw_freq) AS most FROM w GROUP BY doc_id")
+@query(f"{_TFIDF} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, md5(string_agg(term || ' ' || raw_freq || ' ' || printf('%.4f', round(tfidf, 4)), ',' ORDER BY term)) AS digest FROM w GROUP BY doc_id")
 def document_vectors(spark, sf_dir):
     rows = statistics.document_vectors(statistics.tfidf(units(spark, sf_dir, identifier_tokens), KEYS), KEYS)
-    return rows.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.array_max(F.map_values("raw_terms")).alias("most"))
+    entry = F.transform(F.array_sort(F.map_keys("terms")), lambda t: F.concat_ws(" ", t, F.col("raw_terms")[t].cast("string"), F.format_string("%.4f", F.round(F.col("terms")[t], 4))))
+    return rows.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(entry, ",")).alias("digest"))
 
 
 # ranking
@@ -464,15 +465,15 @@ def retain_unaffected(spark, sf_dir):
 @query(f"WITH {_units_sql()}, p AS (SELECT DISTINCT doc_id, term FROM u, unnest(tokens) AS t(term)) SELECT term, CAST(count(*) AS BIGINT) AS df FROM p WHERE doc_id % 10 <> 3 GROUP BY term")
 def delta_df(spark, sf_dir):
     rows = units(spark, sf_dir)
-    before = statistics.document_frequencies(statistics.postings(rows.where("doc_id % 5 <> 0"), KEYS))
-    return changes.updated_frequencies(before, rows.where("doc_id % 5 <> 0 AND doc_id % 10 = 3"), rows.where("doc_id % 5 = 0"), KEYS)
+    before = statistics.frequencies(rows.where("doc_id % 5 <> 0"))
+    return changes.updated_frequencies(before, rows.where("doc_id % 5 <> 0 AND doc_id % 10 = 3"), rows.where("doc_id % 5 = 0"))
 
 
 @query(f"WITH {_units_sql()}, p AS (SELECT DISTINCT doc_id, term FROM u, unnest(tokens) AS t(term)), f AS (SELECT count(DISTINCT term) AS k FROM p WHERE doc_id % 10 = 0 AND term NOT IN (SELECT term FROM p WHERE doc_id % 10 <> 0)) SELECT CAST(m AS BIGINT) AS n_updates, CAST(k AS BIGINT) AS new_terms, m / CAST(n AS DOUBLE) > 0.2e0 OR k > 1000 AS full_rebuild FROM f, (SELECT count(*) FILTER (doc_id % 10 = 0) AS m, count(*) FILTER (doc_id % 10 <> 0) AS n FROM documents)")
 def rebuild_decision(spark, sf_dir):
     rows = units(spark, sf_dir)
     known = rows.where("doc_id % 10 <> 0")
-    df = statistics.document_frequencies(statistics.postings(known, KEYS))
+    df = statistics.frequencies(known)
     return changes.rebuild_statistics(df, rows.where("doc_id % 10 = 0"), known.count())
 
 

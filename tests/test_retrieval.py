@@ -113,7 +113,7 @@ def test_incremental_equals_full(spark):
     rows = spark.createDataFrame([(i, [f"t{i % 3}", f"u{i}"]) for i in range(12)], "id int, tokens array<string>")
     full = lambda df: {tuple(r) for r in statistics.document_frequencies(statistics.postings(df, ["id"])).collect()}
     before = statistics.document_frequencies(statistics.postings(rows.where("id < 8"), ["id"]))
-    after = changes.updated_frequencies(before, rows.where("id < 2"), rows.where("id >= 8"), ["id"])
+    after = changes.updated_frequencies(before, rows.where("id < 2"), rows.where("id >= 8"))
     assert {tuple(r) for r in after.collect()} == full(rows.where("id >= 2"))
 
 
