@@ -137,7 +137,8 @@ class Engine:
                         raise
         finally:
             changed.unpersist()
-        if out["rebuild_advised"] or self.store.segments() > MAX_SEGMENTS:
+        # large updates are rewritten as one segment sooner: most of what older ones hold is gone
+        if self.store.segments() > (MAX_SEGMENTS // 4 if out["rebuild_advised"] else MAX_SEGMENTS):
             try:  # nothing is lost where another writer comes first: it will find as many segments
                 self.store.compact()
             except Conflict:
