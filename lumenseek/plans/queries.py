@@ -18,7 +18,7 @@ from lumenseek.functions.embedding import EmbeddingConfig, embed_rows, register_
 from lumenseek.operators import changes, chunking, hybrid, ranking, records, snippets, statistics, structure, vector_clusters, vector_search
 from lumenseek.plans.engine import Engine
 from lumenseek.sources.files import tree_metadata, written_tree
-from lumenseek.sources.store import Store, temporary_folder
+from lumenseek.sources.store import Store, VectorStore, temporary_folder
 from lumenseek.streaming import index_stream
 from lumenseek.streaming.change_feed import ChangeFeed
 from lumenseek.streaming.timers import debounced_by_timers
@@ -781,6 +781,35 @@ def embedding_failures(spark, sf_dir):
     return rows.select("doc_id", F.col("vector").isNull().alias("failed"), F.col("vector")[0].cast("long").alias("x"), F.col("vector")[1].cast("long").alias("y"), "error")
 
 
+@query("SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || ' again' ELSE text END) AS hash, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n_chunks FROM documents WHERE doc_id % 4 <> 1")
+def store_upserts(spark, sf_dir):
+    """Files and chunks put, put again and deleted in a store; what is replaced is never rewritten."""
+    store, files = Store(spark, temporary_folder(spark, "upserts")), document_files(spark, sf_dir)
+    chunks = lambda rows, n: rows.select("path", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("start_line")).withColumn("end_line", F.col("start_line"))
+    store.upsert("files", files.where("doc_id % 5 <> 0"))
+    store.upsert("files", files.where("doc_id % 5 = 0"))
+    store.store_chunks(chunks(files, 2))
+    again = files.where("doc_id % 3 = 0").withColumn("hash", F.sha2(F.concat("content", F.lit(" again")), 256))
+    store.upsert("files", again)
+    store.store_chunks(chunks(again, 1))
+    store.delete_files(files.where("doc_id % 4 = 1").select("path"))
+    counted = store.read("chunks").groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
+    return store.file_metadata().select("path", "hash").join(counted, "path")
+
+
+@query(f"WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN vec_id % 6 = 2 THEN 0 - x ELSE x END) AS e FROM embeddings WHERE vec_id % 5 <> 3 AND vec_id <> 4) SELECT 'v' || vec_id AS id, round(1.0e0 / (1.0e0 + {_L2.format('e', 'q')}), 6) AS score FROM v, {_V0} ORDER BY {_L2.format('e', 'q')}, 'v' || vec_id LIMIT 15")
+def vector_store(spark, sf_dir):
+    """Vectors added, updated, and deleted by id and by path."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").cast("array<float>").alias("vector"), F.concat(F.lit("p"), (F.col("vec_id") % 5).cast("string")).alias("path"))
+    made = VectorStore(Store(spark, temporary_folder(spark, "vectors")), 64)
+    made.add(rows.where("vec_id % 2 = 0").drop("vec_id"))
+    made.add(rows.where("vec_id % 2 = 1").drop("vec_id"))
+    made.update(rows.where("vec_id % 6 = 2").withColumn("vector", F.transform("vector", lambda x: -x)).drop("vec_id"))
+    made.delete_path("p3")
+    made.delete("v4")
+    return vector_search.nearest(made.rows(), _vector(spark, sf_dir, 0), 15).select("id", r6("score").alias("score"))
+
+
 _TREE = "'s' || (doc_id % 7) || '/t' || (doc_id % 3) || '/d' || doc_id || '.md'"
 
 

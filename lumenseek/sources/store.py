@@ -194,9 +194,9 @@ class Store:
         read = lambda folder, seq: self.spark.read.schema(self._schema(table)).parquet(self._at(folder)).withColumn("_seq", F.lit(seq))
         return reduce(DataFrame.unionByName, (x if where is None else x.where(where) for x in (read(*y) for y in segments)))
 
-    def _alive(self, rows: DataFrame, state: dict, since: int) -> DataFrame:
-        """rows (path, _seq) without those of paths that went later, and without _seq."""
-        gone = [x for x in state["gone"] if x[1] > since]
+    def _alive(self, rows: DataFrame, state: dict, since: int, table: str) -> DataFrame:
+        """rows (path, _seq) of a table without those of paths that went later, and without _seq."""
+        gone = [x[:2] for x in state["gone"] if x[1] > since and x[2:] in ([], [table])]
         if gone:
             dead = self._segments("gone", gone).groupBy("path").agg(F.max("_seq").alias("_dead"))
             rows = rows.join(dead, "path", "left").where("_dead IS NULL OR _seq >= _dead").select([c for c in rows.columns])
@@ -210,7 +210,7 @@ class Store:
         if not segments:
             return self.spark.createDataFrame([], self._schema(table))
         rows = self._segments(table, segments, where)
-        rows = self._alive(rows, state, segments[0][1]) if "path" in rows.columns else rows.drop("_seq")
+        rows = self._alive(rows, state, segments[0][1], table) if "path" in rows.columns else rows.drop("_seq")
         if by := SUMMED.get(table):
             rows = rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in rows.columns if c not in by))
             rows = rows.where("df > 0") if table == "terms" else rows
@@ -231,8 +231,8 @@ class Store:
         self._staged[out] = folder
         return out
 
-    def commit(self, *, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, metadata: dict | None = None, add: dict[str, int] | None = None, since: dict | None = None) -> None:
-        """Tables are replaced or get another segment; older rows of the paths in gone go; numbers of `add` join those of
+    def commit(self, *, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, only: str | None = None, metadata: dict | None = None, add: dict[str, int] | None = None, since: dict | None = None) -> None:
+        """Tables are replaced or get another segment; older rows of the paths in gone go, of one table or of all; numbers of `add` join those of
         the metadata. One new state file makes all of it visible; what is replaced stays on disk until vacuum(). since:
         the state that these rows were made from; a commit in between raises Conflict."""
         folder = lambda table, df: self._staged.get(df) or self._staged[self.stage(table, df)]
@@ -244,7 +244,7 @@ class Store:
             for table, (name, whole) in new.items():
                 state["tables"][table] = [*([] if whole else state["tables"].get(table, [])), [name, state["seq"]]]
             if tombstones:
-                state["gone"].append([tombstones, state["seq"]])
+                state["gone"].append([tombstones, state["seq"], *([only] if only else [])])
             state["metadata"] |= metadata or {}
             for key, n in (add or {}).items():
                 state["metadata"][key] = state["metadata"].get(key, 0) + n
@@ -282,11 +282,15 @@ class Store:
     def upsert(self, table: str, rows: DataFrame, key: str = "path") -> None:
         """Rows of the same key are replaced; of equal keys in rows one stays, the last by hash of its columns."""
         one = rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*rows.columns)))).where("_r = 1").drop("_r")
-        self._rewrite(table, lambda old: old.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True))
+        self.replace_keys(table, one, one, key)
 
     def replace_keys(self, table: str, keys: DataFrame, rows: DataFrame, key: str = "path") -> None:
-        """All rows of keys go, rows come: for tables with several rows per key."""
-        self._rewrite(table, lambda old: old.join(keys.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True))
+        """All rows of keys go, rows come: for tables with several rows per key. By path this writes the new rows and a list
+        of paths; other tables are written anew."""
+        if key == "path" and table != "blocks" and "path" in self._schema(table):
+            self.commit(append={table: rows}, gone=keys, only=table)
+        else:
+            self._rewrite(table, lambda old: old.join(keys.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True))
 
     def store_chunks(self, rows: DataFrame) -> DataFrame:
         """All chunks of the rows' paths go, rows (columns of the table chunks) come; returns id, path, start_line,
@@ -298,7 +302,7 @@ class Store:
         return rows.select(F.format_string("chunk://%s:%d-%d", "path", "start_line", "end_line").alias("id"), "path", "start_line", "end_line")
 
     def delete(self, table: str, keys: DataFrame, key: str = "path") -> None:
-        self._rewrite(table, lambda old: old.join(keys.select(key).distinct(), key, "left_anti"))
+        self.replace_keys(table, keys, self.spark.createDataFrame([], self._schema(table)), key)
 
     def _rewrite(self, table: str, change: Callable[[DataFrame], DataFrame]) -> None:
         """Replaces a table by a change of its rows, made again from the newer rows where another writer came first."""
@@ -320,7 +324,7 @@ class Store:
     def vacuum(self) -> None:
         """Removes folders that the newest state does not name, and older states but the last few."""
         state = self.state()
-        used = {folder for segments in [*state["tables"].values(), state["gone"]] for folder, _ in segments}
+        used = {x[0] for segments in [*state["tables"].values(), state["gone"]] for x in segments}
         for name in self._files.names():
             if name.split("-")[0] in (*TABLES, "gone", "postings", "scratch") and name not in used:
                 self._files.remove(name)
@@ -354,7 +358,7 @@ class Store:
         if not segments:
             return self.spark.createDataFrame([], f"{_UNIT}, term string, raw_freq long, doc_len long")
         rows = self._segments("blocks", segments, where).select("term", "_seq", F.inline("docs"))
-        rows = self._alive(rows if paths is None else rows.where(paths), state, segments[0][1])
+        rows = self._alive(rows if paths is None else rows.where(paths), state, segments[0][1], "blocks")
         return rows.select("path", "start_line", "end_line", "term", "raw_freq", "doc_len")
 
     def postings_of_terms(self, terms: DataFrame, state: dict) -> DataFrame:
@@ -363,7 +367,7 @@ class Store:
         if not segments:
             return self.postings(state=state)
         rows = self._segments("blocks", segments).join(terms, "term", "left_semi").select("term", "_seq", F.inline("docs"))
-        return self._alive(rows, state, segments[0][1]).select("path", "start_line", "end_line", "term", "raw_freq", "doc_len")
+        return self._alive(rows, state, segments[0][1], "blocks").select("path", "start_line", "end_line", "term", "raw_freq", "doc_len")
 
     def stage_scratch(self, df: DataFrame, name: str) -> DataFrame:
         """df written and read back, for rows that several tables are made from; vacuum() takes it away."""
@@ -449,11 +453,11 @@ class VectorStore:
     def delete(self, doc_id: str) -> bool:
         found = self.store.exists("vectors", doc_id, "id")
         if found:
-            self.store._rewrite("vectors", lambda old: old.where(F.col("id") != doc_id))
+            self.store.delete("vectors", self.store.get("vectors", doc_id, "id").select("id"), "id")
         return found
 
     def delete_path(self, path: str) -> None:
-        self.store._rewrite("vectors", lambda old: old.where(~F.col("path").eqNullSafe(path)))
+        self.store.delete("vectors", self.store.spark.createDataFrame([(path,)], "path string"))
 
     def get(self, doc_id: str) -> DataFrame:
         return self.store.get("vectors", doc_id, "id")
