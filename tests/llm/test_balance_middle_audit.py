@@ -1,5 +1,6 @@
 """Cost-balanced packing, fill-in-middle and the audit of sources against plain versions, on rows with nulls, repeats and ties."""
 
+import functools
 import hashlib
 import json
 import random
@@ -74,10 +75,15 @@ def test_other_files_are_left_to_the_tokenizer():
         assert TextIds._ranked(told | change) is None
 
 
+@functools.cache
+def encoders():
+    return TextIds(tokenizer_path(BYTES)), Tokenizer.from_file(tokenizer_path(BYTES))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　​ab1'.é<|", max_size=40))
 def test_cuts_before_white_space_keep_ids(text):
-    ids, plain = test_cuts_before_white_space_keep_ids.__dict__.setdefault("held", (TextIds(tokenizer_path(BYTES)), Tokenizer.from_file(tokenizer_path(BYTES))))
+    ids, plain = encoders()
     assert ids.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
