@@ -1,8 +1,8 @@
 """Packing of tokenised documents into fixed-length sequences by hierarchical residual best fit.
 
 Every task packs its own pieces by best fit, longest first. Its nearly full bins are sequences; what is in underfull bins
-goes on to the node of a tree that stands for FAN tasks, where it is packed again in the same way, and what is underfull
-there meets at the root. Underfull bins are opened on the way, since two pieces that only shared a bin for want of better
+goes on to the node of a tree that stands for FAN tasks, where it is packed again in the same way, and so on up the tree
+until no more than FAN nodes are left, whose underfull bins meet at the root. Underfull bins are opened on the way, since two pieces that only shared a bin for want of better
 ones would keep out a piece that fits. At the root, items of equal size are interchangeable, so best fit is planned on
 their counts per size (capacity of them at most) and each finds its sequence by its size and number: no task holds or
 closes them all, and no bin is given up for want of room. Only lengths and keys move, never tokens.
@@ -378,8 +378,12 @@ def assign_sequences(pieces: DataFrame, capacity: int) -> DataFrame:
     sequences = lambda placed: placed.where(full).select("key", F.col("bin").alias("sequence_id"), "offset")
     left = lambda placed: placed.where(~full).select("key", "size", (F.col("node") / FAN).cast("int").alias("parent"))
     leaves = stored(pieces.where(F.col("length") < capacity).select("key", "length").mapInArrow(leaf, PLACED), "leaf-bins")
-    nodes = stored(left(leaves).groupBy("parent").applyInArrow(node, PLACED), "node-bins")
-    return whole.unionByName(sequences(leaves)).unionByName(sequences(nodes)).unionByName(_root_bins(left(nodes), capacity))
+    out, level = whole.unionByName(sequences(leaves)), leaves
+    n = (leaves.agg(F.max("node")).first()[0] or 0) + 1
+    while level is leaves or n > FAN:
+        level = stored(left(level).groupBy("parent").applyInArrow(node, PLACED), "node-bins")
+        out, n = out.unionByName(sequences(level)), -(-n // FAN)
+    return out.unionByName(_root_bins(left(level), capacity))
 
 
 def _root_bins(items: DataFrame, capacity: int) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenseek.llm import html_text, quality_classifier, suffix_dedup
+from lumenseek.llm import html_text, packing, quality_classifier, suffix_dedup
 from lumenseek.llm.embedding_dedup import embedding_classes
 from lumenseek.llm.html_text import extract_text, main_text
 from lumenseek.llm.jaccard_join import Region, jaccard_classes
@@ -495,6 +495,30 @@ def test_packing_joins_pieces_of_all_tasks(spark):
     assert got.count() == n and got.where("n <> 2 OR last <> 300 OR key <> sequence_id").count() == 0
 
 
+def test_the_tree_has_levels_for_its_tasks(spark, monkeypatch):
+    """With many tasks, what is underfull passes several levels before few nodes meet at the root."""
+    read = []
+    real = packing._root_bins
+    monkeypatch.setattr(packing, "_root_bins", lambda items, capacity: (read.append(items.select("parent").distinct().count()), real(items, capacity))[1])
+    monkeypatch.setattr(packing, "FAN", 3)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(1, 400)) for i in range(4000)]
+    pieces = spark.createDataFrame(rows, "key long, length long").repartition(40, "key")
+    got = assign_sequences(pieces, 512).collect()
+    assert sorted(r.key for r in got) == list(range(4000)) and 0 < read[0] <= 3
+    size = dict(rows)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, size[r.key]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(bins) <= 1.01 * -(-sum(size.values()) // 512) + 1
+
+
 def test_sequences_are_near_the_least_number(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(16)
     got = pack_documents(docs, str(tokenizer_path()), capacity=4096)
