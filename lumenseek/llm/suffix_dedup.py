@@ -5,12 +5,12 @@ Sorting all suffixes of a corpus would cost its size many times over, so suffixe
 
 1. Anchors. In each string of `length` bytes the leftmost smallest hash of its runs of length / 4 bytes is an anchor, so
    equal strings have equal anchors at equal places, and an anchor owns the strings that it was chosen for: its context.
-   Blocks send hashes of anchors and contexts. Hashes only route: they tell which contexts have to meet, and that the
-   text of a context which occurs many times need be sent once.
-2. Suffixes. The contexts that agree around an anchor meet in one task, in order of document and place, and so does each
-   context that occurs again, with its copy behind all others. Their suffixes are sorted; the previous and the next
-   smaller position in suffix order give each string's longest previous factor, and where that reaches `length`, the
-   string is repeated: of a copy, and of a first occurrence that shares strings with an earlier context.
+   Blocks send hashes of anchors and contexts. Hashes only route: they tell which contexts have to meet, and which occur so
+   often that the text of their first two occurrences in different blocks stands for all.
+2. Suffixes. The contexts that agree around an anchor meet in one task, in order of document and place; of a context that
+   occurs in several blocks the first two do. Their suffixes are sorted; the previous and the next smaller position in
+   suffix order give each string's longest previous factor, and where that reaches `length`, the string is repeated. If all
+   strings of a second occurrence are, the later ones are repeated too. Occurrences in one block are compared there.
 3. Blocks remove every byte that a repeated string covers.
 """
 
@@ -27,8 +27,8 @@ from lumenseek.llm.blocks import QUESTION, Block, answered, ask, bucket_count, c
 from lumenseek.llm.hashing import BASES, Runs, mix, ragged
 from lumenseek.llm.scratch import stored
 
-#: Codes of a context: it occurs earlier; its text is sent; it occurs again.
-LATER, CONTENDER, COPIED = 1, 2, 4
+#: Codes of a context: it occurs earlier in another block; its text is sent; it is the second, which speaks for later ones.
+LATER, CONTENDER, SECOND = 1, 2, 4
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -44,6 +44,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[:n], up[width - 1 : width - 1 + n])
 
 
+def context_hashes(runs: Runs, low: np.ndarray, end: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Of contexts, from their bytes and from where their anchors lie."""
+    return mix(runs.hash(low, end) + mix(shape))
+
+
 class Anchors:
     """Of a block: at (place of the anchor), low and high (first and last string that it owns), doc; and hashes."""
 
@@ -67,7 +72,7 @@ class Anchors:
         self.id, self.place = block.ids[self.doc], self.low - bounds[self.doc]
         self.key = grams[self.at] if len(grams) else np.empty(0, np.uint64)
         size = self.high - self.low
-        self.context = mix(runs.hash(self.low, self.high + length) + mix(((self.at - self.low) * (1 << 20) + size).astype(np.uint64)))
+        self.context = context_hashes(runs, self.low, self.high + length, ((self.at - self.low) * (1 << 20) + size).astype(np.uint64))
         # two strings that agree do so over at least half of the rest on one side of the anchor
         side = -(-(length - k) // 2)
         left = np.maximum(self.at - side, 0)
@@ -78,26 +83,51 @@ class Anchors:
         self.new = first_of_runs(self.key[self.order], self.context[self.order])
         #: the first occurrence here of each pair of key and context, sorted by key
         self.firsts = self.order[self.new]
-        self.several = np.bincount(np.cumsum(self.new) - 1, minlength=len(self.firsts)) > 1
 
     def columns(self) -> tuple[np.ndarray, ...]:
         f = self.firsts
-        return self.key[f], self.context[f], self.id[f], self.place[f].astype(np.int64), self.left[f], self.right[f], self.several.astype(np.uint8)
-
-
-def _codes(key, context, ids, place, left, right, several, of) -> np.ndarray:
+        return self.key[f], self.context[f], self.id[f], self.place[f].astype(np.int64), self.left[f], self.right[f]
+
+    def copies(self) -> np.ndarray:
+        """Occurrences of a context after its first here, byte for byte."""
+        group = np.cumsum(self.new) - 1
+        later, first = self.order[~self.new], self.firsts[group[~self.new]]
+        size = self.high[later] - self.low[later] + self.length
+        same = (size == self.high[first] - self.low[first] + self.length) & (self.at[later] - self.low[later] == self.at[first] - self.low[first])
+        later, first, size = later[same], first[same], size[same]
+        keep = []
+        upto = np.concatenate([[0], np.cumsum(size)])
+        for a, z in _chunks(upto, 1 << 24):
+            differs = self.block.data[ragged(self.low[later[a:z]], size[a:z])] != self.block.data[ragged(self.low[first[a:z]], size[a:z])]
+            bad = np.concatenate([[0], np.cumsum(differs)])
+            keep.append(bad[upto[a + 1 : z + 1] - upto[a]] == bad[upto[a:z] - upto[a]])
+        return later[np.concatenate(keep)] if keep else later
+
+
+def _chunks(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items, whose sizes end at upto, of about `most` together."""
+    a = 0
+    while a < len(upto) - 1:
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1)
+        yield a, z
+        a = z
+
+
+def _codes(key, context, ids, place, left, right, of) -> np.ndarray:
     order = np.lexsort((place, ids, context, key))
     new = first_of_runs(key[order], context[order])
     out = np.full(len(key), LATER, np.uint8)
     first = order[new]
     group = np.cumsum(new) - 1
-    copied = (np.bincount(group) > 1) | (np.bincount(group, weights=several[order]) > 0)
+    copied = np.bincount(group) > 1
+    second = order[np.flatnonzero(new)[copied] + 1]
     rival = np.zeros(len(first), bool)
     for side in (left, right):
         both = mix(key[first] + side[first].astype(np.uint64) * np.uint64(BASES[1]))
         _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
         rival |= (count[inverse] > 1) & (side[first] > 0)
-    out[first] = np.where(copied, CONTENDER + COPIED, np.where(rival, CONTENDER, 0))
+    out[first] = np.where(copied | rival, CONTENDER, 0)
+    out[second] = LATER + CONTENDER + SECOND
     return out
 
 
@@ -169,34 +199,32 @@ def longest_previous(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, str
     return out
 
 
-def _repeated_in(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray, copied: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts (one after another in text): a flag per string, and per context whether all strings of its copy are
-    repeated."""
+def _repeated_in(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray, second: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts (one after another in text): a flag per string, and per context whether it is a second occurrence and
+    all its strings are repeated."""
     begin = np.cumsum(sizes) - sizes
     own = sizes - length + 1
     context = np.repeat(np.arange(len(sizes)), own)
     starts = ragged(begin, own)
-    # places in order of document and place; copies come behind all first occurrences
+    # places in order of document and place
     turn = np.empty(len(sizes), np.int64)
     by_place = np.lexsort((places, ids))
     turn[by_place] = np.cumsum(own[by_place]) - own[by_place]
     place = turn[context] + starts - begin[context]
-    again = np.flatnonzero(copied[context])
-    every = np.concatenate([np.arange(len(starts)), again])
-    flags = longest_previous(text, starts, (begin + sizes)[context], every, np.concatenate([place, place[again] + len(place)]), length)
-    missing = np.bincount(context[again], weights=~flags[len(starts) :], minlength=len(sizes))
-    return flags[: len(starts)], copied & (missing == 0)
+    flags = longest_previous(text, starts, (begin + sizes)[context], np.arange(len(starts)), place, length)
+    missing = np.bincount(context, weights=~flags, minlength=len(sizes))
+    return flags, second & (missing == 0)
 
 
 def _parts(code: np.ndarray, anchors: Anchors, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What a block asks in the second round, in the order asked: numbers of contexts, their buckets, whether they send
-    their text, and bytes of their answers: a flag per string sent, and one for the copies."""
+    their text, and bytes of their answers: a flag per string sent, or one for all."""
     asked = np.flatnonzero(code > 0)
     f = anchors.firsts[asked]
     bucket = np.repeat(np.arange(buckets), np.diff(cut(anchors.key[f], buckets)))
     sends = (code[asked] & CONTENDER) > 0
     order = np.lexsort((~sends, bucket))
-    size = np.where(sends, anchors.high[f] - anchors.low[f] + 1 + ((code[asked] & COPIED) > 0), 1)
+    size = np.where(sends, anchors.high[f] - anchors.low[f] + 1, 1)
     return asked[order], bucket[order], sends[order], size[order]
 
 
@@ -219,7 +247,7 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
         key, *rest = Anchors(own, length).columns()
         yield from questions(block, buckets, key, *rest)
 
-    kinds = ["uint64", "uint64", "int64", "int64", "uint32", "uint32", "uint8"]
+    kinds = ["uint64", "uint64", "int64", "int64", "uint32", "uint32"]
     codes = stored(answered(ask(blocks, question), kinds, _codes), "context-codes")
 
     def contend(block: int, own: Block, code: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -232,7 +260,7 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
             f = anchors.firsts[part[full]]
             low, high = anchors.low[f], anchors.high[f] + length
             head = np.array([len(f), int((~full).sum())], np.int64)
-            columns = (anchors.id[f], anchors.place[f].astype(np.int64), (high - low).astype(np.int64), ((code[part[full]] & COPIED) > 0).astype(np.int64), anchors.context[anchors.firsts[part]].view(np.int64))
+            columns = (anchors.id[f], anchors.place[f].astype(np.int64), (high - low).astype(np.int64), ((code[part[full]] & SECOND) > 0).astype(np.int64), anchors.context[anchors.firsts[part]].view(np.int64))
             out.append((b, block, b"".join(x.tobytes() for x in (head, *columns)) + own.data[ragged(low, high - low)].tobytes()))
         yield question_batch(out)
 
@@ -247,23 +275,17 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
             sent[5].append(np.frombuffer(raw, np.uint8, -1, 16 + 40 * n + 8 * m))
             waiting.append(np.frombuffer(raw, np.int64, m, 16 + 40 * n))
         counts = [len(x) for x in sent[0]]
-        ids, places, sizes, copied, context, text = (np.concatenate(x) for x in sent)
-        flags, again = _repeated_in(ids, places, sizes, copied > 0, text, length)
-        # a context that occurs earlier hears of the copy of the one whose text was sent
-        known = np.flatnonzero(copied)
+        ids, places, sizes, second, context, text = (np.concatenate(x) for x in sent)
+        flags, again = _repeated_in(ids, places, sizes, second > 0, text, length)
+        # a context that occurs earlier hears of its second occurrence
+        known = np.flatnonzero(second)
         known = known[np.argsort(context[known])]
         own = sizes - length + 1
-        flag_at, answers, a = np.cumsum(own) - own, [], 0
+        flag_at, answers, a = np.concatenate([[0], np.cumsum(own)]), [], 0
         for n, w in zip(counts, waiting, strict=True):
-            mine = slice(a, a + n)
-            size = own[mine] + copied[mine]
-            out = np.empty(int(size.sum()), np.uint8)
-            at = np.cumsum(size) - size
-            out[ragged(at, own[mine])] = flags[ragged(flag_at[mine], own[mine])]
-            has = copied[mine] > 0
-            out[(at + own[mine])[has]] = again[mine][has]
+            mine = flags[flag_at[a] : flag_at[a + n]]
             told = again[known[np.searchsorted(context[known], w)]] if len(w) else np.empty(0, bool)
-            answers.append(out.tobytes() + told.astype(np.uint8).tobytes())
+            answers.append(mine.astype(np.uint8).tobytes() + told.astype(np.uint8).tobytes())
             a += n
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "answer": pa.array(answers, pa.binary())})
 
@@ -274,14 +296,11 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
         n = len(own.data)
         asked, _, sends, size = _parts(code, anchors, buckets)
         at = np.cumsum(size) - size
-        # contexts whose occurrences, or all but the first of them, are repeated as a whole
-        whole, copies = np.zeros(len(code), bool), np.zeros(len(code), bool)
+        # contexts that are repeated as a whole, and copies of one that lies in this block too
+        whole = np.zeros(len(code), bool)
         whole[asked[~sends]] = answer[at[~sends]] > 0
-        has = sends & ((code[asked] & COPIED) > 0)
-        copies[asked[has]] = answer[(at + size - 1)[has]] > 0
-        group = np.cumsum(anchors.new) - 1
         gone = np.zeros(n + 1, np.int64)
-        occurrence = anchors.order[whole[group] | (copies[group] & ~anchors.new)] if len(group) else anchors.order
+        occurrence = np.concatenate([anchors.firsts[whole], anchors.copies()])
         np.add.at(gone, anchors.low[occurrence], 1)
         np.add.at(gone, anchors.high[occurrence] + 1, -1)
         start = np.cumsum(gone[:-1]) > 0

@@ -134,14 +134,30 @@ def test_longest_previous_factors():
                 assert [runs[j] == runs[i] for j in range(len(starts))] == [raw[j][:length] == raw[i][:length] for j in range(len(starts))]
 
 
-def test_factors_decide_copies_too(monkeypatch):
-    text = np.frombuffer(b"abcdefghijkl" + b"xbcdefghijkz", np.uint8)
-    contexts = np.array([5, 9]), np.array([0, 3]), np.array([12, 12]), np.array([True, False]), text
-    flags, again = suffix_dedup._repeated_in(*contexts, 10)
-    assert flags.tolist() == [False] * 3 + [False, True, False] and again.tolist() == [True, False]
-    monkeypatch.setattr(suffix_dedup, "longest_previous", lambda text, starts, ends, string, *_: np.zeros(len(string), bool))
-    flags, again = suffix_dedup._repeated_in(*contexts, 10)
-    assert not flags.any() and not again.any()
+def test_second_occurrences_are_compared(monkeypatch):
+    """Equal hashes of different contexts are caught: the second speaks for later ones only if all of it is repeated."""
+    for other, flagged in ((b"abcdefghijkl", [True] * 3), (b"xbcdefghijkz", [False, True, False])):
+        contexts = np.array([5, 9]), np.array([0, 3]), np.array([12, 12]), np.array([False, True]), np.frombuffer(b"abcdefghijkl" + other, np.uint8)
+        flags, again = suffix_dedup._repeated_in(*contexts, 10)
+        assert flags.tolist() == [False] * 3 + flagged and again.tolist() == [False, all(flagged)]
+
+
+def test_a_corrupted_hash_removes_nothing_else(spark, rows, monkeypatch):
+    """If contexts of one size had one hash, no byte would go that is not in a repeated string."""
+    monkeypatch.setattr(suffix_dedup, "context_hashes", lambda runs, low, end, shape: shape)
+    some = [r for r in rows if len(r[1] or "") < 20_000]
+    got = {r.doc_id: r for r in remove_repeated_strings(spark.createDataFrame(some, SCHEMA).repartition(3), length=30).collect()}
+    seen, removed = set(), 0
+    for r in sorted(some, key=lambda r: r[0]):
+        x = (r[1] or "").encode()
+        gone = bytearray(len(x))
+        for p in range(len(x) - 29):
+            if x[p : p + 30] in seen:
+                gone[p : p + 30] = b"\1" * 30
+            seen.add(x[p : p + 30])
+        assert got[r[0]].n_removed <= sum(gone)
+        removed += got[r[0]].n_removed
+    assert removed
 
 
 def test_strings_of_empty_tables(spark):
