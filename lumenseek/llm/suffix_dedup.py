@@ -131,9 +131,10 @@ def _codes(key, context, ids, place, left, right, of) -> np.ndarray:
     return out
 
 
-def suffix_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For strings from starts up to ends (length bytes at least): their ranks as suffixes, and the number of the run of
-    suffixes that agree in the first length bytes; both grow in suffix order.
+    suffixes that agree in the first length bytes; both grow in suffix order. With depth, suffixes that agree in so many
+    bytes count as equal.
 
     Eight bytes at a time are compared, from the left, and only among suffixes that have agreed so far."""
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
@@ -143,6 +144,7 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     open_ = np.arange(len(starts))
     at = 0
     longest = int((ends - starts).max(initial=0))
+    longest = longest if depth is None else min(longest, depth)
     while at < longest:
         step = min(8, length - at) if at < length else 8
         if len(open_):
@@ -189,7 +191,8 @@ def longest_previous(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, str
     """Whether the longest previous factor of each occurrence (number of a string from starts up to ends, and a place), the
     larger of its common prefixes with the previous and the next smaller place in suffix order, reaches length. A smaller
     place is an earlier occurrence; a string that occurs again is sorted once."""
-    rank, runs = (x[string] for x in suffix_order(text, starts, ends, length))
+    # what follows the first length bytes would order a run, of which only the smallest place matters
+    rank, runs = (x[string] for x in suffix_order(text, starts, ends, length, depth=length))
     order = np.argsort(rank, kind="stable")
     by_place, run = place[order], runs[order]
     previous = nearest_smaller(by_place, run)
