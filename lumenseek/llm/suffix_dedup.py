@@ -8,9 +8,10 @@ Sorting all suffixes of a corpus would cost its size many times over, so suffixe
    Blocks send hashes of anchors and contexts. Hashes only route: they tell which contexts have to meet, and which occur so
    often that the text of their first two occurrences in different blocks stands for all.
 2. Suffixes. The contexts that agree around an anchor meet in one task, in order of document and place; of a context that
-   occurs in several blocks the first two do. Their suffixes are sorted; the previous and the next smaller position in
-   suffix order give each string's longest previous factor, and where that reaches `length`, the string is repeated. If all
-   strings of a second occurrence are, the later ones are repeated too. Occurrences in one block are compared there.
+   occurs in several blocks the first two do, which are compared byte by byte. Suffixes are sorted, those of a second
+   occurrence that equals the first but once; the previous and the next smaller position in suffix order give each string's
+   longest previous factor, and where that reaches `length`, the string is repeated. If all strings of a second occurrence
+   are, the later ones are repeated too. Occurrences in one block are compared there.
 3. Blocks remove every byte that a repeated string covers.
 """
 
@@ -202,20 +203,45 @@ def longest_previous(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, str
     return out
 
 
-def _repeated_in(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray, second: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts (one after another in text): a flag per string, and per context whether it is a second occurrence and
-    all its strings are repeated."""
+def _equal_to_first(context: np.ndarray, sizes: np.ndarray, second: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which contexts are second occurrences that equal the first one of their hash byte for byte."""
+    out = np.zeros(len(sizes), bool)
+    firsts, seconds = np.flatnonzero(~second), np.flatnonzero(second)
+    firsts = firsts[np.argsort(context[firsts], kind="stable")]
+    if not len(firsts) or not len(seconds):
+        return out
+    at = np.minimum(np.searchsorted(context[firsts], context[seconds]), len(firsts) - 1)
+    first = firsts[at]
+    same = (context[first] == context[seconds]) & (sizes[first] == sizes[seconds])
+    first, seconds = first[same], seconds[same]
+    begin = np.cumsum(sizes) - sizes
+    upto = np.concatenate([[0], np.cumsum(sizes[seconds])])
+    for a, z in _chunks(upto, 1 << 24):
+        differs = text[ragged(begin[seconds[a:z]], sizes[seconds[a:z]])] != text[ragged(begin[first[a:z]], sizes[seconds[a:z]])]
+        bad = np.concatenate([[0], np.cumsum(differs)])
+        out[seconds[a:z]] = bad[upto[a + 1 : z + 1] - upto[a]] == bad[upto[a:z] - upto[a]]
+    return out
+
+
+def _repeated_in(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray, second: np.ndarray, context: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts (one after another in text, with their hashes): a flag per string, and per context whether it is a
+    second occurrence and all its strings are repeated. A second one that equals the first is repeated as it stands; only
+    the others' suffixes are sorted."""
     begin = np.cumsum(sizes) - sizes
     own = sizes - length + 1
-    context = np.repeat(np.arange(len(sizes)), own)
-    starts = ragged(begin, own)
+    equal = _equal_to_first(context, sizes, second, text)
+    sorted_ = np.flatnonzero(~equal)
+    of = np.repeat(np.arange(len(sizes)), own)
+    number = np.repeat(sorted_, own[sorted_])
+    starts = ragged(begin[sorted_], own[sorted_])
     # places in order of document and place
     turn = np.empty(len(sizes), np.int64)
     by_place = np.lexsort((places, ids))
     turn[by_place] = np.cumsum(own[by_place]) - own[by_place]
-    place = turn[context] + starts - begin[context]
-    flags = longest_previous(text, starts, (begin + sizes)[context], np.arange(len(starts)), place, length)
-    missing = np.bincount(context, weights=~flags, minlength=len(sizes))
+    place = turn[number] + starts - begin[number]
+    flags = np.ones(int(own.sum()), bool)
+    flags[~equal[of]] = longest_previous(text, starts, (begin + sizes)[number], np.arange(len(starts)), place, length)
+    missing = np.bincount(of, weights=~flags, minlength=len(sizes))
     return flags, second & (missing == 0)
 
 
@@ -279,7 +305,7 @@ def remove_repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col
             waiting.append(np.frombuffer(raw, np.int64, m, 16 + 40 * n))
         counts = [len(x) for x in sent[0]]
         ids, places, sizes, second, context, text = (np.concatenate(x) for x in sent)
-        flags, again = _repeated_in(ids, places, sizes, second > 0, text, length)
+        flags, again = _repeated_in(ids, places, sizes, second > 0, context, text, length)
         # a context that occurs earlier hears of its second occurrence
         known = np.flatnonzero(second)
         known = known[np.argsort(context[known])]

@@ -134,10 +134,10 @@ def test_longest_previous_factors():
                 assert [runs[j] == runs[i] for j in range(len(starts))] == [raw[j][:length] == raw[i][:length] for j in range(len(starts))]
 
 
-def test_second_occurrences_are_compared(monkeypatch):
+def test_second_occurrences_are_compared():
     """Equal hashes of different contexts are caught: the second speaks for later ones only if all of it is repeated."""
     for other, flagged in ((b"abcdefghijkl", [True] * 3), (b"xbcdefghijkz", [False, True, False])):
-        contexts = np.array([5, 9]), np.array([0, 3]), np.array([12, 12]), np.array([False, True]), np.frombuffer(b"abcdefghijkl" + other, np.uint8)
+        contexts = np.array([5, 9]), np.array([0, 3]), np.array([12, 12]), np.array([False, True]), np.array([7, 7]), np.frombuffer(b"abcdefghijkl" + other, np.uint8)
         flags, again = suffix_dedup._repeated_in(*contexts, 10)
         assert flags.tolist() == [False] * 3 + flagged and again.tolist() == [False, all(flagged)]
 
