@@ -353,10 +353,9 @@ def knn_filtered(spark, sf_dir):
 def knn_batch(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    middle = vector_clusters.centres(vectors, "embedding")
-    members = vector_clusters.clustered(vectors, middle, id_col="vec_id", vector_col="embedding").persist()
-    rows = vector_clusters.nearest_in_clusters(members, middle, asked, 5, id_col="vec_id")
-    return rows.select("query_id", "vec_id", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
+    index = vector_clusters.VectorIndex(spark, temporary_folder(spark, "vectors"), "vec_id")
+    index.build(vectors, vector_col="embedding")
+    return index.search_batch(asked, 5).select("query_id", "vec_id", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"SELECT vec_id, round({_L2.format('CAST(embedding AS DOUBLE[])', 'q')}, 6) AS distance FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7) WHERE label <> 3 ORDER BY {_L2.format('CAST(embedding AS DOUBLE[])', 'q')}, vec_id LIMIT 12")
