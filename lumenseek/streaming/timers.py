@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructField, StructType
@@ -22,39 +21,35 @@ class _Debounce(StatefulProcessor):
     """Bursts as (first_ms, last_ms, kind, n), with one timer per key. Times are milliseconds."""
 
     def __init__(self, names: list[str], gap_ms: int, event_clock: bool, kind: str):
-        self.names, self.gap_ms, self.event_clock, self.kind = names, gap_ms, event_clock, kind
+        self.row, self.gap_ms, self.event_clock, self.kind = Row(*names), gap_ms, event_clock, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         # a key that is quiet has no state: what a timer sends out it also clears
         self.burst = handle.getValueState("burst", f"first_ms long, last_ms long, kind {self.kind}, n long")
 
-    def _out(self, key: tuple, burst: tuple) -> pd.DataFrame:
-        first, last, kind, n = burst
-        return pd.DataFrame([[*key, first, last, kind, n]], columns=self.names)
-
     def _timer(self, at: int) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.handle.registerTimer(at)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        burst = tuple(self.burst.get()) if self.burst.exists() else None
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["event_ms", "event_order"], kind="stable")
-        for ms, kind in zip(events["event_ms"], events["event_kind"], strict=True):
-            ms = int(ms)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.burst.get()
+        burst = tuple(known) if known else None
+        events = sorted(((r.event_ms, r.event_order is None, r.event_order, r.event_kind) for r in rows), key=lambda e: e[:2] if e[1] else e[:3])
+        for ms, _, _, kind in events:
             if burst and self.event_clock and ms - burst[1] >= self.gap_ms:
-                yield self._out(key, burst)
+                yield self.row(*key, *burst)
                 burst = None
             burst = (min(burst[0], ms), max(burst[1], ms), kind if ms >= burst[1] else burst[2], burst[3] + 1) if burst else (ms, ms, kind, 1)
         self.burst.update(burst)
         self._timer(burst[1] + self.gap_ms if self.event_clock else timerValues.getCurrentProcessingTimeInMs() + self.gap_ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.burst.exists():
-            burst = tuple(self.burst.get())
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        burst = self.burst.get()
+        if burst:
             self.burst.clear()
-            yield self._out(key, burst)
+            yield self.row(*key, *burst)
 
     def close(self) -> None: ...
 
@@ -73,6 +68,6 @@ def debounced_by_timers(events: DataFrame, key: str = "path", time: str = "ts",
     rows = rows.withWatermark(time, delay) if clock == "event" else rows
     rows = rows.select(F.col(key), F.col(time), ms.alias("event_ms"), F.col(kind).alias("event_kind"), F.col(order or kind).alias("event_order"))
     fields = StructType([StructField(key, rows.schema[key].dataType), *StructType.fromDDL("first_ms long, last_ms long"), StructField("kind", rows.schema["event_kind"].dataType), *StructType.fromDDL("n long")])
-    made = rows.groupBy(key).transformWithStateInPandas(_Debounce(fields.names, gap_ms, clock == "event", rows.schema["event_kind"].dataType.simpleString()), fields, "Append", "EventTime" if clock == "event" else "ProcessingTime")
+    made = rows.groupBy(key).transformWithState(_Debounce(fields.names, gap_ms, clock == "event", rows.schema["event_kind"].dataType.simpleString()), fields, "Append", "EventTime" if clock == "event" else "ProcessingTime")
     at = lambda c: F.timestamp_millis(c)
     return made.select(key, at("first_ms").alias("first_at"), at("last_ms").alias("last_at"), F.col("kind").alias(kind), "n")

@@ -492,3 +492,27 @@ def test_stale_files(spark):
 
 
 assert KEYS == threshold.KEYS
+
+
+def test_bursts_of_a_key_are_rows_not_frames():
+    """A frame per burst took most of the time where keys have many bursts."""
+    from pyspark.sql import Row
+
+    from lumenseek.streaming.timers import _Debounce
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    made = _Debounce(["path", "first_ms", "last_ms", "kind", "n"], 500, True, "string")
+    made.burst, timers = Value(), []
+    made._timer = timers.append
+    rows = [Row(event_ms=ms, event_kind=kind, event_order=kind) for ms, kind in [(9000, None), (0, "b"), (0, "a"), (9000, "c"), (400, "d"), (2000, "e")]]
+    out = list(made.handleInputRows(("p",), iter(rows), None))
+    assert [tuple(r) for r in out] == [("p", 0, 400, "d", 3), ("p", 2000, 2000, "e", 1)] and out[0].first_ms == 0
+    assert made.burst.held == (9000, 9000, None, 2) and timers == [9500]
