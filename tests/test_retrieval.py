@@ -3,8 +3,10 @@
 import json
 import math
 import os
+import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,3 +411,39 @@ def test_entry_and_oracles():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_many_queries_are_ranked_where_units_lie(spark, monkeypatch):
+    """A task hands on its best of each query, whatever the number of pairs; slices of a task make no difference."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)] * 2 + ["the"] * 40
+    docs = [(i, [rng.choice(words) for _ in range(rng.randrange(0, 60))] if i % 9 else None) for i in range(200)]
+    docs += [(1000 + i, docs[i % 20][1]) for i in range(100)]
+    rows = spark.createDataFrame(docs, "doc_id long, tokens array<string>").repartition(3)
+    asked = [(f"q{q}", p, t) for q in range(25) for p, t in enumerate(dict.fromkeys(rng.choice(words) for _ in range(8)))] + [("none", 0, "absent")]
+    asked += [("many", p, f"w{p}") for p in range(60)] + [("rare", p, f"x{p}") for p in range(20)]
+    queries = spark.createDataFrame(asked, "query_id string, pos int, term string")
+    known = [(i, t) for i, t in docs if t]
+    n, mean = len(docs), max(sum(len(t or []) for _, t in docs) / len(docs), 1.0)
+    df = {t: sum(t in x for _, x in known) for _, _, t in asked}
+    idf = {t: math.log((n - d + 0.5) / (d + 0.5) + 1) for t, d in df.items() if d}
+    want = {}
+    for q in {q for q, _, _ in asked}:
+        scores = []
+        for i, t in known:
+            s = sum(idf[w] * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for x, _, w in asked if x == q and w in t)
+            scores += [(-round(s, 9), i)] if s > 0 else []
+        want |= {(q, k + 1): i for k, (_, i) in enumerate(sorted(scores)[:7])}
+    def got(queries):
+        return {(r.query_id, r["rank"]): r.doc_id for r in ranking.search_batch(rows, ["doc_id"], queries, ranking.SYMBOL, 7).collect()}
+    assert got(queries) == want
+    monkeypatch.setattr(ranking, "SMALL_ROWS", 5)
+    assert got(queries) == want
+    # small slices, in this process
+    monkeypatch.setattr(ranking, "PAIRS", 1)
+    weights = pa.table({"query_id": ["a", "a", "b"], "pos": pa.array([0, 1, 0], pa.int32()), "term": ["w1", "the", "the"], "idf": [1.0, 0.5, 0.5]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "tokens": pa.array([t for _, t in docs], pa.list_(pa.string()))})
+    few = pa.concat_tables(pa.Table.from_batches([b]) for b in ranking._best_in_task(iter([batch]), weights, mean, 7)).to_pydict()
+    assert few["query"].count(0) == few["query"].count(1) == 7
+    best = sorted((-round(0.5 * t.count("the") * 2.2 / (t.count("the") + 1.2 * (0.25 + 0.75 * len(t) / mean)), 9), i) for i, t in known if "the" in t)[:7]
+    assert [i for q, i in zip(few["query"], few["doc_id"], strict=True) if q == 1] == [i for _, i in best]
