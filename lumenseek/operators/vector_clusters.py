@@ -25,6 +25,8 @@ from lumenseek.functions.numeric import l2
 
 #: Centres at most, vectors that they are drawn from, and rounds in which they move to the mean of what is near them.
 CENTRES, SAMPLE, ROUNDS = 256, 20_000, 6
+#: Queries of which a task writes out at once which clusters they visit.
+QUERIES = 64
 #: Members of a cluster that one task compares with its queries at once.
 TILE = 4096
 #: Distances in another order of summation may differ by this part.
@@ -61,6 +63,13 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int = QUERIES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _near(rows: np.ndarray, middle: np.ndarray) -> np.ndarray:
     """Distances of rows to each centre."""
     square = (rows * rows).sum(1)[:, None] - 2 * rows @ middle.T + (middle * middle).sum(1)[None]
@@ -74,7 +83,7 @@ def clustered(vectors: DataFrame, middle: np.ndarray, *, id_col: str = "id", vec
     schema = StructType([*(f for f in plain.schema if f.name != "_v"), StructField("cluster", IntegerType()), StructField("at", DoubleType()), plain.schema["_v"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches, 1024):
             rows = _matrix(batch.columns[-1], dims)
             near = _near(rows, middle).argmin(axis=1)
             at = np.sqrt(((rows - middle[near]) ** 2).sum(axis=1)) if len(rows) else np.empty(0)
@@ -96,24 +105,12 @@ def nearest_in_clusters(members: DataFrame, middle: np.ndarray, queries: DataFra
     visit = StructType([asked.schema["query_id"], asked.schema["q"], StructField("cluster", IntegerType())])
     have = np.flatnonzero(reach >= 0)
 
-    def least(batch: pa.RecordBatch) -> np.ndarray:
-        """What at least lies between each query and the members of each cluster."""
-        near = _near(_matrix(batch.column(1), dims), middle[have])
-        return np.maximum(near * (1 - ROUNDING) - reach[have] - ROUNDING, 0)
-
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(have[least(batch).argmin(axis=1)].astype(np.int32))], visit.names)
+        for batch in _cut(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(have[_least(batch, middle, reach, have).argmin(axis=1)].astype(np.int32))], visit.names)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bound = least(batch)
-            # a query with fewer than k so far visits all clusters
-            beat = batch.column(2).fill_null(np.inf).to_numpy()
-            todo = bound <= beat[:, None]
-            todo[np.arange(len(batch)), bound.argmin(axis=1)] = False
-            i, j = np.nonzero(todo)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(i)) for c in batch.columns[:2]), pa.array(have[j].astype(np.int32))], visit.names)
+        return _others(batches, middle, reach, have, visit.names)
 
     if not len(have):
         best = more = _compared(asked.select("query_id", "q", F.lit(0).alias("cluster")).limit(0), members, k, id_col, dims)
@@ -125,6 +122,25 @@ def nearest_in_clusters(members: DataFrame, middle: np.ndarray, queries: DataFra
     return best.unionByName(more).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
+def _least(batch: pa.RecordBatch, middle: np.ndarray, reach: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """What at least lies between each query (query_id, q) and the members of each cluster."""
+    near = _near(_matrix(batch.column(1), middle.shape[1]), middle[have])
+    return np.maximum(near * (1 - ROUNDING) - reach[have] - ROUNDING, 0)
+
+
+def _others(batches: Iterator[pa.RecordBatch], middle: np.ndarray, reach: np.ndarray, have: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """query_id, q, cluster: all visits but the first of queries (query_id, q, beat). A query may visit every cluster, and
+    has a copy of its vector for each, so only a few queries are written out at once."""
+    for batch in _cut(batches):
+        bound = _least(batch, middle, reach, have)
+        # a query with fewer than k so far visits all clusters
+        beat = batch.column(2).fill_null(np.inf).to_numpy()
+        todo = bound <= beat[:, None]
+        todo[np.arange(len(batch)), bound.argmin(axis=1)] = False
+        i, j = np.nonzero(todo)
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(i)) for c in batch.columns[:2]), pa.array(have[j].astype(np.int32))], names)
+
+
 def _compared(visits: DataFrame, members: DataFrame, k: int, id_col: str, dims: int) -> DataFrame:
     """query_id, id, distance: the k nearest per visit and tile of a cluster, of visits (query_id, q, cluster)."""
     schema = StructType([visits.schema["query_id"], members.schema[id_col], StructField("distance", DoubleType())])

@@ -6,8 +6,10 @@ import os
 import random
 import re
 import threading
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -516,3 +518,24 @@ def test_bursts_of_a_key_are_rows_not_frames():
     out = list(made.handleInputRows(("p",), iter(rows), None))
     assert [tuple(r) for r in out] == [("p", 0, 400, "d", 3), ("p", 2000, 2000, "e", 1)] and out[0].first_ms == 0
     assert made.burst.held == (9000, 9000, None, 2) and timers == [9500]
+
+
+def test_visits_are_written_out_in_small_batches():
+    """Queries of a batch with a copy for each cluster that they visit were one batch of vectors."""
+    middle = np.arange(256, dtype=np.float64)[:, None] * np.ones((1, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([[float(i % 256)] * 4 for i in range(1000)]), pa.array([None] * 1000, pa.float64())], ["query_id", "q", "beat"])
+    out = list(vector_clusters._others(iter([batch]), middle, np.ones(256), np.arange(256), ["query_id", "q", "cluster"]))
+    assert sum(map(len, out)) == 1000 * 255 and max(map(len, out)) <= 64 * 256
+
+
+def test_tokens_are_counted_in_slices():
+    """What a task holds at once does not grow with the rows of a batch."""
+    rng = random.Random(3)
+    rows = [[f"t{rng.randrange(40)}" for _ in range(n)] if n else None for n in [0, 1, inverted.SLICE + 9, 3, 0, *[1000] * 600]]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(rows))), "tokens": pa.array(rows, pa.list_(pa.string()))})
+    out = list(inverted.counted(iter([batch, batch.slice(0, 0), batch.slice(2, 2)])))
+    assert max(sum(b.column(1).to_pylist()) for b in out if len(b) > 1) <= inverted.SLICE and len(out) > 4
+    got = [r for b in out for r in b.to_pylist()]
+    assert [r["k"] for r in got] == [*range(len(rows)), 2, 3]
+    for r in got:
+        assert {x["term"]: x["raw_freq"] for x in r["terms"]} == Counter(rows[r["k"]] or []) and r["doc_len"] == len(rows[r["k"]] or [])
