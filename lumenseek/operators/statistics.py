@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenseek.functions.tokenize import idf_smoothed
+from lumenseek.operators.common import with_counts
 from lumenseek.operators.inverted import forward_rows, postings_of
+from lumenseek.sources.store import scratch
 
 
 def postings(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,7 +23,11 @@ def postings(units: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def term_frequencies(units: DataFrame, keys: list[str]) -> DataFrame:
-    return postings(units, keys).withColumn("tf", F.col("raw_freq") / F.col("doc_len").cast("double"))
+    return _with_tf(postings(units, keys))
+
+
+def _with_tf(posting_rows: DataFrame) -> DataFrame:
+    return posting_rows.withColumn("tf", F.col("raw_freq") / F.col("doc_len").cast("double"))
 
 
 def document_frequencies(posting_rows: DataFrame) -> DataFrame:
@@ -40,12 +46,12 @@ def corpus_statistics(units: DataFrame) -> DataFrame:
 
 
 def tfidf(units: DataFrame, keys: list[str]) -> DataFrame:
-    """term_frequencies() with df, idf and tfidf. Postings are dealt by term once, where each finds its term's count; the
-    number of units is a sum beside them."""
-    n = units.agg(F.count(F.lit(1)).alias("_n"))
-    rows = term_frequencies(units, keys)
-    counted = rows.join(frequencies(units), "term").join(F.broadcast(n))
-    return counted.withColumn("idf", idf_smoothed(F.col("_n"), F.col("df"))).withColumn("tfidf", F.col("tf") * F.col("idf")).drop("_n")
+    """term_frequencies() with df, idf and tfidf. Units are tokenised once, by a job that runs at once: their terms and
+    the terms' counts are written to a scratch folder and read from there."""
+    forward = scratch(forward_rows(units, keys), "forward")
+    counts = scratch(document_frequencies(forward.select(F.explode("terms.term").alias("term"))), "terms")
+    rows = with_counts(_with_tf(postings_of(forward, keys)), counts)
+    return rows.withColumn("idf", idf_smoothed(F.lit(forward.count()), F.col("df"))).withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
 def magnitudes(units: DataFrame, weighted: DataFrame, keys: list[str]) -> DataFrame:
