@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenseek.functions import numeric
 from lumenseek.functions.embedding import EmbeddingConfig, compose, embed_rows, register_provider
-from lumenseek.operators import changes, inverted, snippets, threshold, vector_clusters
+from lumenseek.operators import changes, chunking, common, inverted, snippets, statistics, threshold, vector_clusters
 from lumenseek.plans.engine import KEYS, Engine
 from lumenseek.sources import files as sources
 from lumenseek.sources import store
@@ -539,3 +539,76 @@ def test_tokens_are_counted_in_slices():
     assert [r["k"] for r in got] == [*range(len(rows)), 2, 3]
     for r in got:
         assert {x["term"]: x["raw_freq"] for x in r["terms"]} == Counter(rows[r["k"]] or []) and r["doc_len"] == len(rows[r["k"]] or [])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_packed_where_units_lie(spark):
+    rng = random.Random(8)
+    units = spark.createDataFrame([(f"p{i:03d}", [f"t{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(0, 40))]) for i in range(120)], "path string, tokens array<string>").repartition(2)
+    forward = inverted.forward_rows(units, ["path"])
+    blocks = inverted.packs_of(forward.localCheckpoint(), ["path"], 12.0)
+    assert "Exchange" not in plan_of(blocks)
+    batch = pa.RecordBatch.from_pylist([r.asDict(True) for r in forward.orderBy("path").collect()], schema=pa.schema([("path", pa.string()), ("doc_len", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("raw_freq", pa.int64())])))]))
+    for size, pack in ((4, 200), (128, 10**6), (1, 1)):
+        out = [r for b in inverted._packs(iter([batch]), size, pack, 12.0) for r in b.to_pylist()]
+        got = sorted((r["term"], d["path"], d["raw_freq"], d["doc_len"]) for r in out for d in r["docs"])
+        assert got == sorted((x["term"], r["path"], x["raw_freq"], r["doc_len"]) for r in batch.to_pylist() for x in r["terms"])
+        for r in out:
+            held = [d["raw_freq"] / (d["raw_freq"] + 1.2 * (0.25 + 0.75 * d["doc_len"] / 12.0)) for d in r["docs"]]
+            assert r["n"] == len(held) <= size and held == sorted(held, reverse=True) and held[0] == pytest.approx(r["bound"])
+    assert {(r.term, r.n) for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()} == {(r.term, r.n) for r in forward.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+
+
+@pytest.mark.parametrize("most", [0, 7, 10**6])
+def test_counts_of_frequent_terms_go_to_the_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "FREQUENT", most)
+    rows = spark.createDataFrame([(i, f"t{i % k}") for i in range(60) for k in (3, 17, 50)], "u long, term string")
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("term <> 't2'").localCheckpoint()
+    got = common.with_counts(rows, counts)
+    assert sorted(map(tuple, got.select("u", "term", "df").collect())) == sorted(map(tuple, rows.join(counts, "term").select("u", "term", "df").collect()))
+    if most > 1000:
+        assert "SortMergeJoin" not in plan_of(got) and "hashpartitioning" not in plan_of(got)
+
+
+def test_chunks_are_cut_where_files_lie(spark):
+    files = spark.createDataFrame([("a.ts", "x\nexport function f() {\n}\nclass A\nclass A\n", "TS"), ("b.ts", "", "TS"), ("c.ts", None, None), ("d.py", "def g():\n  1", "PY")], "path string, content string, language string")
+    chunks = chunking.chunk_symbols(files, keep=("language",))
+    assert "Exchange" not in plan_of(chunks)
+    got = sorted((r.path, r.start_line, r.end_line, r.symbol_name, r.chunk_type, r.text, r.language) for r in chunks.collect())
+    assert got == [
+        ("a.ts", 2, 3, "f", "function", "x\nexport function f() {\n}", "TS"), ("a.ts", 4, 4, "A", "class", "x\nclass A", "TS"), ("a.ts", 5, 5, "A", "class", "x\nclass A", "TS"),
+        ("b.ts", 1, 1, None, "file", "", "TS"), ("c.ts", 1, 1, None, "file", "", None), ("d.py", 1, 2, "g", "function", "def g():\n  1", "PY"),
+    ]
+
+
+def test_large_updates_read_units_and_small_ones_blocks(spark, tmp_path, monkeypatch):
+    from lumenseek.plans import engine as plans
+
+    texts, later = corpus(3, 40), {p: t for p, t in corpus(4, 40).items() if p.endswith(("1.md", "4.md"))}
+    norms = []
+    for most in (0, 10**6):
+        monkeypatch.setattr(plans, "SMALL_ROWS", most)
+        engine = engine_at(spark, tmp_path / f"s{most}")
+        engine.build(rows_of(spark, texts), "r")
+        engine.update(rows_of(spark, later), spark.createDataFrame([], "path string"))
+        norms.append({r.path: pytest.approx(r.magnitude, abs=1e-9) for r in engine.magnitudes().collect()})
+    assert norms[0] == norms[1]
+
+
+def test_tfidf_tokenises_a_unit_once(spark):
+    told = spark.sparkContext.accumulator(0)
+
+    def tokens(text):
+        told.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, "a b" if i % 2 else "a c c") for i in range(8)], "doc_id long, text string")
+    weighted = statistics.tfidf(docs.select("doc_id", F.udf(tokens, "array<string>")("text").alias("tokens")), ["doc_id"])
+    assert weighted.count() == 16 and len(weighted.collect()) == 16
+    assert told.value == 8
+    from lumenseek.operators.ranking import sparse_cosine
+
+    assert "SortMergeJoin" not in plan_of(sparse_cosine(weighted, ["doc_id"], "aa bb"))
