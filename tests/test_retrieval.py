@@ -103,6 +103,23 @@ def test_ranking_counts_repeats_by_dialect(spark):
     assert {(r.query_id, r.id) for r in both} == {("a", 2), ("g", 3)}
 
 
+def test_search_tokenises_units_once(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha t7"), (3, "t1 t2"), (4, ""), (5, None)], "id int, text string")
+    for asked in ("alpha beta", "alpha beta " + " ".join(f"t{i}" for i in range(ranking.FEW_TERMS))):
+        seen = spark.sparkContext.accumulator(0)
+
+        def tokens(text, seen=seen):
+            seen.add(1)
+            return (text or "").split()
+
+        units = docs.select("id", F.udf(tokens, "array<string>")("text").alias("tokens"))
+        got = ranking.search(units, ["id"], {"q": asked}, ranking.FILE, limit=None, components=True).collect()
+        assert seen.value == 5
+        parts = {(r.id, x.term): (x.term_frequency, x.document_frequency) for r in got for x in r.score_components}
+        want = {(1, "alpha"): (1, 2), (1, "beta"): (2, 1), (2, "alpha"): (1, 2)}
+        assert parts == (want if len(asked) < 20 else want | {(2, "t7"): (1, 1), (3, "t1"): (1, 1), (3, "t2"): (1, 1)})
+
+
 def test_snippets(spark):
     text = "\n".join("needle" if i in (3, 30) else f"line {i}" for i in range(40))
     units = spark.createDataFrame([("p", text, ["needle"]), ("q", "a\nb\nc\nd\ne\nf", ["zzz"])], "path string, content string, matched_terms array<string>")
