@@ -573,6 +573,36 @@ def test_counts_of_frequent_terms_go_to_the_rows(spark, monkeypatch, most):
         assert "SortMergeJoin" not in plan_of(got) and "hashpartitioning" not in plan_of(got)
 
 
+@pytest.mark.parametrize("most", [0, 7, 10**6])
+def test_norms_are_added_up_in_one_pass_over_units(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "FREQUENT", most)
+    docs = {i: [f"t{i % k}" for k in (1, 2, 3, 17, 50)] * (1 + i % 2) for i in range(60)} | {60: []}
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches, read=read):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    units = spark.createDataFrame(list(docs.items()), "path long, tokens array<string>")
+    forward = inverted.forward_rows(units, ["path"])
+    df = inverted.postings_of(forward, ["path"]).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("term <> 't2'").localCheckpoint()
+    counts = {r.term: r.df for r in df.collect()}
+    share = {(i, t): x.count(t) / len(x) for i, x in docs.items() for t in set(x) if t in counts}
+    kept = []
+    got = inverted.norm_rows(forward.mapInArrow(told, forward.schema), df, ["path"], lambda rows: kept.append(rows.localCheckpoint()) or kept[-1]).collect()
+    assert read.value == 61 and len(kept) == (most < 50)
+    for level, column in enumerate(("s0", "s1", "s2")):
+        want = {}
+        for (i, t), x in share.items():
+            want[i] = want.get(i, 0) + x * x * math.log1p(counts[t]) ** level
+        assert {r.path: r[column] for r in got} == {i: pytest.approx(x) for i, x in want.items()} and len(got) == len(want)
+    moved = df.withColumn("df_new", F.col("df") + 1)
+    a = inverted.norm_changes(forward, moved, ["path"], lambda rows: rows.localCheckpoint()).collect()
+    b = {r.path: r for r in inverted.posting_changes(inverted.postings_of(forward, ["path"]), moved, ["path"]).collect()}
+    assert len(a) == len(b) and all(tuple(r) == pytest.approx(tuple(b[r.path])) for r in a)
+
+
 def test_chunks_are_cut_where_files_lie(spark):
     files = spark.createDataFrame([("a.ts", "x\nexport function f() {\n}\nclass A\nclass A\n", "TS"), ("b.ts", "", "TS"), ("c.ts", None, None), ("d.py", "def g():\n  1", "PY")], "path string, content string, language string")
     chunks = chunking.chunk_symbols(files, keep=("language",))
